@@ -5,19 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, topk_search, url_filter
+from . import byte_bpe, chat_format, language_id, line_dedup, topk_search, url_filter
 from ._spark import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    turn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    model = language_id.fit(docs.where(turn != 1))
+    return language_id.predict(docs.select("doc_id", "text", F.coalesce(turn == 1, F.lit(False)).alias("held_out")), model)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TURN).alias("text"))
     return chat_format.digest(chat_format.format_events(chat_format.as_log(turns.unionByName(control))))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = byte_bpe.decode(byte_bpe.encode(docs, path=path, pattern=public_tokenizers.PATTERN, keep=["doc_id"]), path=path)
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a page is labelled by the row of ``labels`` with its id; good is quality 1 and toxic 0."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -32,7 +53,14 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
-QUERIES = {"op6_chat_format": op6_chat_format, "op8_url_filter": op8_url_filter, "op9_topk_search": op9_topk_search}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op6_chat_format": op6_chat_format,
+    "op8_url_filter": op8_url_filter,
+    "op9_topk_search": op9_topk_search,
+}
 
 ORACLE: dict[str, str] = {}
 
@@ -89,3 +117,12 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
 s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score FROM v q JOIN v r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id AND len(r.v) = len(q.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
+
+ORACLE["op4_line_dedup"] = """
+WITH t AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS piece, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+b AS (SELECT trim(piece, ' ') AS line, min(doc_id) AS keeper FROM t WHERE length(trim(piece, ' ')) >= 8 GROUP BY 1 HAVING count(DISTINCT source) >= 10)
+SELECT doc_id, count(k) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN piece END, chr(10) ORDER BY k), '')) AS text_sha256
+FROM (SELECT d.doc_id, k, piece, coalesce(keeper <> d.doc_id, false) AS gone FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN b ON line = trim(piece, ' '))
+GROUP BY doc_id
+"""
