@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, line_dedup, topk_search, toxicity, url_filter
+from . import byte_bpe, chat_format, jaccard_join, language_id, line_dedup, topk_search, toxicity, url_filter
 from ._spark import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TURN).alias("text"))
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
     "op6_chat_format": op6_chat_format,
     "op8_url_filter": op8_url_filter,
@@ -132,3 +137,17 @@ SELECT doc_id, count(k) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
 FROM (SELECT d.doc_id, k, piece, coalesce(keeper <> d.doc_id, false) AS gone FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN b ON line = trim(piece, ' '))
 GROUP BY doc_id
 """
+
+ORACLE["op5_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+r AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY 2),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM r),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.n) AS x, any_value(b.n) AS y FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+e AS (SELECT u, v FROM p WHERE 100 * k >= 80 * (x + y - k)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+c(node, root) AS (SELECT doc_id, doc_id FROM r UNION SELECT v, root FROM c JOIN b ON node = u WHERE root < v),
+m AS (SELECT node, min(root) AS root FROM c GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id
+FROM s LEFT JOIN r ON list_sort(s.s) = r.s LEFT JOIN m ON m.node = r.doc_id
+"""
