@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bounds of what a Python worker keeps: pieces with their ids, and pairs of tokens. Both start anew when full.
-CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 200_000, 1_000_000, 48
+CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 400_000, 1_000_000, 48
 #: Texts of more characters are split into pieces bit by bit.
 LONG_TEXT, PIECES_AT_ONCE = 1 << 20, 1 << 16
 BATCH_BYTES = 4 << 20
@@ -56,6 +56,7 @@ class Encoder(dict):
         super().__init__()
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
         self.length_of = {r: len(t) for t, r in ranks.items()}
         self.shorter: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
@@ -66,7 +67,10 @@ class Encoder(dict):
         self.longest.make_automaton()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.ids(piece.encode()), "<u4").tobytes()
+        raw = piece.encode()
+        whole = self.ranks.get(raw)
+        packed = self.packed
+        ids = packed[whole] if whole is not None else b"".join([packed[token] for token in self.split(raw.decode("latin-1"))])
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
                 self.clear()
@@ -91,37 +95,48 @@ class Encoder(dict):
             found = self.shorter[token] = next((self.ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.reachable), -1)
         return found
 
-    def ids(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        text = piece.decode("latin-1")
-        greedy = [token for _, token in self.longest.iter_long(text)]
-        if all(self.fits(a, b) for a, b in zip(greedy, greedy[1:], strict=False)):
-            return greedy
-        return self.backtrack(text)
-
-    def backtrack(self, text: str) -> list[int]:
-        end, out, at = len(text), [], 0
-        dead = bytearray(end + 1)  # positions from which no way led on
-        token = self.at(text, 0)
-        while at < end:
-            after = at + self.length_of[token]
-            if not dead[after] and (not out or self.fits(out[-1], token)):
-                out.append(token)
-                at = after
-                token = self.at(text, at)
-            elif (shorter := self.prefix(token)) >= 0:
-                token = shorter
-            else:
-                dead[at] = 1
-                token = out.pop()
-                at -= self.length_of[token]
+    def split(self, text: str) -> list[int]:
+        """The tokens of a piece that is no token itself, in Latin-1."""
+        out, at, pairs = [], 0, self.pairs
+        last = -1
+        for end, token in self.longest.iter_long(text):
+            if last >= 0:
+                fits = pairs.get(last << 32 | token)
+                if not (self.fits(last, token) if fits is None else fits):
+                    return self.backtrack(text, out, at, token)
+            out.append(token)
+            at, last = end + 1, token
         return out
 
-    def at(self, text: str, start: int) -> int:
-        """The longest token at a position; -1 at the end."""
-        return next(self.longest.iter_long(text, start))[1] if start < len(text) else -1
+    def backtrack(self, text: str, out: list[int], at: int, token: int) -> list[int]:
+        """Goes on from the tokens ``out`` of text[:at] where ``token``, the longest there, doesn't fit."""
+        end, pairs, shorter, length_of, longest = len(text), self.pairs, self.shorter, self.length_of, self.longest.iter_long
+        dead = set()  # positions from which no way led on
+        while True:
+            after = at + length_of[token]
+            if after not in dead:
+                if out:
+                    fits = pairs.get(out[-1] << 32 | token)
+                    if fits is None:
+                        fits = self.fits(out[-1], token)
+                else:
+                    fits = True
+                if fits:
+                    out.append(token)
+                    at = after
+                    if at == end:
+                        return out
+                    token = next(longest(text, at))[1]
+                    continue
+            less = shorter.get(token)
+            if less is None:
+                less = self.prefix(token)
+            if less >= 0:
+                token = less
+            else:
+                dead.add(at)
+                token = out.pop()
+                at -= length_of[token]
 
 
 def encode_text(text: str, pattern: regex.Pattern, encoder: Encoder) -> bytes:
