@@ -151,7 +151,7 @@ class _Join:
         # Ordered tokens that no other set has come first; then, by frequency, those in the array.
         placed = F.transform("t", lambda x, i: F.struct(F.when(x["place"] == 0, F.col("low") - F.col("ordered") + i + 1).otherwise(x["place"]).alias("at"), x["df"].alias("df"), x["token"].alias("token")))
         own = own.withColumns({"ordered": ordered, "spare": spare}).withColumn("t", placed)
-        read = [F.aggregate(F.filter("t", lambda x, k=k: x["at"] <= F.col("spare") + k), F.lit(0.0), lambda s, x: s + x["df"] - 1) for k in range(1, MOST_MATCHES + 1)]
+        read = [F.expr(f"aggregate(filter(t, x -> x.at <= spare + {k}), 0D, (s, x) -> s + x.df - 1)") for k in range(1, MOST_MATCHES + 1)]
         costs = F.array(*(F.when(F.lit(k) <= F.col("n") - F.col("spare"), r * (1 + VERIFY_COST / k)).otherwise(float("inf")) for k, r in enumerate(read, 1)))
         own = own.withColumn("costs", costs).withColumn("matches", F.array_position("costs", F.array_min("costs")).cast("int"))
         prefix = F.filter("t", lambda x: x["at"] <= F.col("spare") + F.col("matches"))

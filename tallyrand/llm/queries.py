@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, topk_search, toxicity, url_filter
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, topk_search, toxicity, url_filter
 from ._spark import table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -66,6 +66,14 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner: a document's source; repository: its source and language."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    counts = [F.size(F.expr(f"filter(base, x -> x.kind = {k})")).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(secret_scan.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), "spans", F.size("added").cast("long").alias("n_owned"), "n_shared")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +84,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op8_url_filter": op8_url_filter,
     "op9_topk_search": op9_topk_search,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
