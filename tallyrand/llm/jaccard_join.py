@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words
@@ -26,9 +26,12 @@ from ._spark import checkpointed
 ORDERED = 0.3
 MOST_MATCHES = 4
 #: What verifying a candidate costs, in postings.
-VERIFY_COST = 8.0
-#: Buckets of more nodes are first joined by rounds, of which there are as many as it pays, up to ROUNDS.
-LARGE_BUCKET, ROUNDS = 32, 6
+VERIFY_COST = 2.0
+#: Tokens in at least this share of the texts, and of that many, stand behind the ordered ones; there are no more of them than
+#: a text has tokens on average, by 1 / COMMON. A task reports tokens that reach the share among its own texts.
+COMMON, COMMON_TEXTS = 0.001, 64
+#: Buckets of more nodes are first joined by rounds, of which there are as many as it pays, up to ROUNDS, with PIVOTS comparisons a node.
+LARGE_BUCKET, ROUNDS, PIVOTS = 32, 8, 3
 #: Up to so many ids are broadcast; more are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -58,45 +61,106 @@ _LOW = np.uint64(int(ORDERED * 2.0**64))
 
 
 def _fingerprints(n: int):
+    """One row per text (id, n, node) and one per token that is common in this task (null, its count, token)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, seen = 0, np.empty(0, np.uint64)
+        counts = np.empty(0, np.int64)
         for batch in batches:
-            size, low, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            size, node, low = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for i, tokens in shingles(batch, n):
                 if len(tokens):
-                    size[i], low[i], node[i] = len(tokens), np.searchsorted(tokens, _LOW), _node(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(low), pa.array(node)], names=["id", "n", "low", "node"])
+                    size[i], node[i] = len(tokens), _node(tokens)
+                    low.append(tokens[: np.searchsorted(tokens, _LOW)])
+            yield _prints(batch.column(0), size, node)
+            if low:
+                own, c = np.unique(np.concatenate(low), return_counts=True)
+                keep = c > 1  # a token that is common in a task is in several texts of some batch, as batches hold many
+                own, c = own[keep], c[keep]
+                both, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, c])).astype(np.int64) if len(both) else counts
+                seen = both
+            texts += batch.num_rows
+        keep = counts >= max(2, texts * COMMON)
+        yield _prints(pa.nulls(int(keep.sum()), pa.int64()), counts[keep], seen[keep].view(np.int64), True)
 
     return run
 
 
-def _postings(n: int, num: int, den: int):
-    """(token, node, place) of the tokens that can stand in a prefix: place 0 for the ordered share, else the token's place in the order."""
+def _prints(ids: pa.Array, n: np.ndarray, node: np.ndarray, is_token: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.array(np.full(len(n), is_token))], names=["id", "n", "node", "is_token"])
+
+
+def _postings(n: int, num: int, den: int, held):
+    """(token, node, at) of the tokens that can stand in a prefix. at holds the number of ordered tokens and, for a token that isn't one, its place (in the upper half).
+
+    Ordered are the tokens of the lowest hashes that aren't common; common ones follow, then all others. Copies within a task are read once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, met = held.value, set()
+        out: list[tuple] = []
+        total = 0
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
             for _, tokens in shingles(batch, n):
-                if not len(tokens):
+                if not len(tokens) or (node := _node(tokens)) in met:
                     continue
+                met.add(node)
                 low = int(np.searchsorted(tokens, _LOW))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, tokens[:low]), len(common) - 1)
+                    often = common[at] == tokens[:low]
+                    if often.any():
+                        tokens = np.concatenate([tokens[:low][~often], tokens[:low][often], tokens[low:]])
+                        low -= int(often.sum())
                 needs = _least_overlap(len(tokens), num, den)
                 upto = max(low, len(tokens) - needs + min(MOST_MATCHES, needs))
-                place = np.arange(1, upto + 1, dtype=np.int32)
+                place = np.arange(1, upto + 1, dtype=np.int64)
                 place[:low] = 0
-                out.append((tokens[:upto].view(np.int64), np.full(upto, _node(tokens)), place))
-                held += upto
-                if held > 100_000:
+                out.append((tokens[:upto].view(np.int64), np.full(upto, node), place << 32 | low))
+                total += upto
+                if total > 100_000:
                     yield _flat(out)
-                    out, held = [], 0
+                    out, total = [], 0
+        if out:
+            yield _flat(out)
+
+    return run
+
+
+def _prefixes(num: int, den: int):
+    """The prefix of each node (node, n, t): its tokens in the global order, cut for the number of matches that costs least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2)
+            token, df, at = (rows.values.field(k).to_numpy() for k in range(3))
+            starts = rows.offsets.to_numpy()
+            out = []
+            for i, (node, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = slice(starts[i], starts[i + 1])
+                t, f, place, low = token[own], df[own], at[own] >> 32, int(at[own][0] & 0xFFFFFFFF)
+                order = np.lexsort((t, f, place))
+                t, f, place = t[order], f[order], place[order]
+                ordered = int((place == 0).sum())
+                # Ordered tokens that no other set has stand before these.
+                place[:ordered] = low - ordered + 1 + np.arange(ordered)
+                needs = _least_overlap(n, num, den)
+                spare = n - needs
+                ends = np.searchsorted(place, spare + np.arange(1, min(MOST_MATCHES, needs) + 1), "right")
+                read = np.concatenate([[0.0], np.cumsum(f - 1.0)])[ends]
+                matches = int(np.argmin(read * (1 + VERIFY_COST / np.arange(1, len(ends) + 1)))) + 1
+                k = ends[matches - 1]
+                if k:
+                    out.append((t[:k], np.full(k, node), np.full(k, n), place[:k], np.maximum(1, place[:k] - spare), np.full(k, matches)))
             if out:
-                yield _flat(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["token", "node", "n", "place", "level", "matches"])
 
     return run
 
 
 def _flat(parts: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["token", "node", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["token", "node", "at"])
 
 
 def _sets(n: int):
@@ -137,37 +201,34 @@ def _verified(num: int, den: int):
 class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int) -> None:
         self.docs, self.n, self.num, self.den = docs, n, num, den
-        self.prints = checkpointed(docs.mapInArrow(_fingerprints(n), "id long, n long, low long, node long"))
-        self.nodes = self.prints.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("low").alias("low"))
+        read = checkpointed(docs.mapInArrow(_fingerprints(n), "id long, n long, node long, is_token boolean"))
+        self.prints = read.where("not is_token").drop("is_token")
+        self.nodes = self.prints.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
+        least = max(COMMON_TEXTS, self.prints.count() * COMMON)
+        common = read.where("is_token").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("node").collect()
+        self.common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["node"] for r in common], np.int64).view(np.uint64)))
 
     def postings(self) -> DataFrame:
-        """(token, node, n, level, matches): each node's prefix for the number of matches that it takes."""
-        rows = self.docs.select("text_id", "text").mapInArrow(_postings(self.n, self.num, self.den), "token long, node long, place int")
+        """(token, node, n, place, level, matches, size): each node's prefix, in the buckets of its tokens of more than one node."""
+        rows = self.docs.mapInArrow(_postings(self.n, self.num, self.den, self.common), "token long, node long, at long").repartition("token")
+        # One shuffle by token serves the count, the join with it and the merging of copies.
         often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        shared = rows.join(often.hint("shuffle_hash"), "token").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("place", "df", "token"))).alias("t"))
-        own = shared.join(self.nodes.drop("least"), "node")
-        ordered = F.size(F.filter("t", lambda x: x["place"] == 0))
-        spare = F.col("n") - F.floor((F.col("n") * self.num + self.den - 1) / self.den)  # n - t
-        # Ordered tokens that no other set has come first; then, by frequency, those in the array.
-        placed = F.transform("t", lambda x, i: F.struct(F.when(x["place"] == 0, F.col("low") - F.col("ordered") + i + 1).otherwise(x["place"]).alias("at"), x["df"].alias("df"), x["token"].alias("token")))
-        own = own.withColumns({"ordered": ordered, "spare": spare}).withColumn("t", placed)
-        read = [F.expr(f"aggregate(filter(t, x -> x.at <= spare + {k}), 0D, (s, x) -> s + x.df - 1)") for k in range(1, MOST_MATCHES + 1)]
-        costs = F.array(*(F.when(F.lit(k) <= F.col("n") - F.col("spare"), r * (1 + VERIFY_COST / k)).otherwise(float("inf")) for k, r in enumerate(read, 1)))
-        own = own.withColumn("costs", costs).withColumn("matches", F.array_position("costs", F.array_min("costs")).cast("int"))
-        prefix = F.filter("t", lambda x: x["at"] <= F.col("spare") + F.col("matches"))
-        out = own.select("node", "n", "matches", "spare", F.explode(prefix).alias("e"))
-        out = checkpointed(out.select("e.token", "node", "n", F.greatest(F.lit(1), F.col("e.at") - F.col("spare")).cast("int").alias("level"), "matches"))
+        shared = rows.join(often.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"])
+        own = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df", "at")).alias("t"))
+        own = own.join(self.nodes.drop("least"), "node").select("node", "n", "t")
+        out = checkpointed(own.mapInArrow(_prefixes(self.num, self.den), "token long, node long, n long, place long, level long, matches long"))
         # A token of one node only, known from its copies, leads to no pair.
         many = out.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-        return out.join(many, "token")
+        return checkpointed(out.join(many, "token"))
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, tokens) of nodes (node), from the text of the smallest id of each."""
+        ids = checkpointed(nodes.join(self.nodes, "node").where(F.col("least").isNotNull()).select(F.col("least").alias("text_id")).distinct())
+        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "text_id", "left_semi")
+        return texts.mapInArrow(_sets(self.n), "node long, tokens binary").join(nodes, "node", "left_semi")
+
+    def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of pairs (u, v) of nodes whose sets are similar enough."""
-        pairs = checkpointed(pairs)
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(self.nodes, "node").select(F.col("least").alias("text_id"))
-        ends = checkpointed(ends.where(F.col("text_id").isNotNull()).distinct())
-        texts = self.docs.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "text_id", "left_semi")
-        sets = texts.select("text_id", "text").mapInArrow(_sets(self.n), "node long, tokens binary").repartition("node")
         sides = [sets.select(F.col("node").alias(e), F.col("tokens").alias(f"{e}_tokens")) for e in "uv"]
         held = pairs.join(sides[0].hint("shuffle_hash"), "u").join(sides[1].hint("shuffle_hash"), "v")
         return checkpointed(held.select("u", "v", "u_tokens", "v_tokens").mapInArrow(_verified(self.num, self.den), "u long, v long").distinct())
@@ -176,14 +237,14 @@ class _Join:
         """Sets of these sizes can be similar."""
         return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
 
-    def links(self) -> DataFrame:
-        """Edges (u, v) that connect exactly the nodes that similar pairs connect."""
-        postings = checkpointed(self.postings())
-        edges = self.prints.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-        labels = None
-        large = postings.where(F.col("size") > LARGE_BUCKET).select("token", "node", "n")
+    def joined(self, large: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+        """(edges, labels) that a few rounds find in large buckets: each round, nodes meet members of other components in their buckets."""
+        edges = labels = None
         n_large = large.count()
-        for k in range(ROUNDS if n_large else 0):
+        if not n_large:
+            return None, None
+        sets = checkpointed(self.sets(large.select("node").distinct()))
+        for k in range(ROUNDS):
             now = self.labelled(large, labels)
             split = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
             if (split.agg(F.sum("open")).first()[0] or 0) <= 4 * n_large:
@@ -191,22 +252,38 @@ class _Join:
             turn = F.xxhash64("token", "node", F.lit(k))
             pivot = now.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("v"), F.col("component").alias("vc"), F.col("n").alias("vn")), turn).alias("p"))
             met = now.join(split.where("open > 0"), "token", "left_semi").join(pivot.select("token", "p.*"), "token").where((F.col("component") != F.col("vc")) & self.near("n", "vn"))
-            found = self.similar(met.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct())
+            # Of a node's pivots, those of the lowest hashes.
+            turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "v", F.lit(k))))
+            few = met.select("node", "v").distinct().withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
+            found = self.similar(few.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), sets)
             if found.isEmpty():
                 break
-            edges = edges.union(found)
+            edges = found if edges is None else edges.union(found)
             labels = checkpointed(components(edges))
+        return edges, labels
+
+    def links(self) -> DataFrame:
+        """Edges (u, v) that connect exactly the nodes that similar pairs connect."""
+        postings = self.postings()
+        edges, labels = self.joined(postings.where(F.col("size") > LARGE_BUCKET).select("token", "node", "n"))
         now = checkpointed(self.labelled(postings, labels))
         # In a bucket, all but the largest component meet every other component; pairs within the largest are connected already.
         sizes = now.groupBy("token", "component").agg(F.count("*").alias("c"))
         main = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
         all_ = now.join(main, "token")
-        minor = all_.where("component <> main").select("token", F.col("node").alias("u"), F.col("component").alias("uc"), F.col("n").alias("un"), F.col("level").alias("ul"), F.col("matches").alias("um"))
-        major = all_.select("token", F.col("node").alias("v"), F.col("component").alias("vc"), F.col("n").alias("vn"), F.col("level").alias("vl"), F.col("matches").alias("vm"), (F.col("component") == F.col("main")).alias("is_main"))
+        names = {"node": "", "component": "c", "n": "n", "place": "p", "level": "l", "matches": "m"}
+        minor = all_.where("component <> main").select("token", *(F.col(c).alias(f"u{x}") for c, x in names.items()))
+        other = all_.select("token", *(F.col(c).alias(f"v{x}") for c, x in names.items()), (F.col("component") == F.col("main")).alias("is_main"))
         asked = F.least("um", "vm")
-        met = minor.join(major, "token").where((F.col("uc") != F.col("vc")) & (F.col("is_main") | (F.col("u") < F.col("v"))) & (F.greatest("ul", "vl") <= asked) & self.near("un", "vn"))
+        # A shared token at these places leaves room for enough others before and behind it.
+        room = F.least("up", "vp") + F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp"))
+        fits = room * (self.num + self.den) >= (F.col("un") + F.col("vn")) * self.num
+        met = minor.join(other, "token").where((F.col("uc") != F.col("vc")) & (F.col("is_main") | (F.col("u") < F.col("v"))) & (F.greatest("ul", "vl") <= asked) & self.near("un", "vn") & fits)
         pairs = met.groupBy(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"), asked.alias("asked")).agg(F.count("*").alias("c")).where("c >= asked")
-        return edges.union(self.similar(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        pairs = checkpointed(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        found = self.similar(pairs, sets)
+        return found if edges is None else edges.union(found)
 
     @staticmethod
     def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:

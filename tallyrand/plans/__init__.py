@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("snapshots", "metrics")
+MODULES = ("snapshots", "metrics", "audits")
 
 
 def queries() -> dict[str, Callable]:
