@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +34,14 @@ def write_table(df: DataFrame, path: str, files: int | None = None) -> None:
 
 def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share and read back: later steps start from the files, also after an executor is lost.
+
+    The folder is spark.checkpoint.dir; where it is unset, as in tests, one of our own.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return df.checkpoint()
