@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,21 +154,35 @@ def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.concat(out, ignore_index=True)
 
 
-COLUMNS = ("kind", "customer_no", "week", "event_type", "before", "after", "users", "depth", "tickets", "nps", "status")
+TYPES = {"kind": pa.string(), "customer_no": pa.int64(), "week": pa.int32(), "event_type": pa.string(), "before": pa.int64(), "after": pa.int64(), "users": pa.int64(), "depth": pa.float64(), "tickets": pa.int64(), "nps": pa.int64(), "status": pa.string()}
+
+
+def _arrow(made: pd.DataFrame) -> pa.RecordBatch:
+    arrays = []
+    for name, kind in TYPES.items():
+        if name not in made:
+            arrays.append(pa.nulls(len(made), kind))
+            continue
+        missing = made[name].isna().to_numpy()
+        if pa.types.is_string(kind):
+            arrays.append(pa.array(made[name].tolist(), kind, mask=missing))
+        else:
+            arrays.append(pa.array(made[name].fillna(0).to_numpy().astype(kind.to_pandas_dtype()), kind, mask=missing))
+    return pa.RecordBatch.from_arrays(arrays, names=list(TYPES))
 
 
 def simulate(spark: SparkSession, world: LifecycleWorld) -> dict[str, DataFrame]:
     """customers, subscriptions, subscription_events, health_signals and invoices of a world, over ``weeks`` weeks from each customer's start."""
     who = materialised(customers(spark, world))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                for made in _weeks(world, batch.iloc[at : at + 2000].reset_index(drop=True)):
-                    made = made.reindex(columns=COLUMNS)
-                    yield made.astype({"before": "Int64", "after": "Int64", "users": "Int64", "tickets": "Int64", "nps": "Int64"})
+            rows = batch.to_pandas()
+            for at in range(0, len(rows), 2000):
+                for made in _weeks(world, rows.iloc[at : at + 2000].reset_index(drop=True)):
+                    yield _arrow(made)
 
-    log = materialised(who.mapInPandas(run, EVENTS)).join(who.select("customer_no", "customer_id", "customer_start_at"), "customer_no")
+    log = materialised(who.mapInArrow(run, EVENTS)).join(who.select("customer_no", "customer_id", "customer_start_at"), "customer_no")
     log = log.withColumn("at", F.date_format(F.date_add(F.col("customer_start_at").cast("date"), F.col("week") * 7), "yyyy-MM-dd"))
     numbered = lambda prefix: F.concat_ws("_", F.lit(prefix), F.lpad(F.col("customer_no").cast("string"), 9, "0"), F.lpad(F.col("week").cast("string"), 3, "0"))
     sub = F.concat(F.lit("sub_"), F.substring("customer_id", 6, 20))

@@ -19,7 +19,8 @@ def _ranges(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = df.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n) if n > 1 else []
     splits = [-math.inf, *sorted({x for x in found if math.isfinite(x)}), math.inf]
-    return Bucketizer(splits=splits, inputCol=key, outputCol="_range", handleInvalid="keep").transform(df)
+    keyed = df.withColumn("_nan", F.coalesce(F.col(key), F.lit(math.nan)))  # what is not a number has a range of its own, the last
+    return Bucketizer(splits=splits, inputCol="_nan", outputCol="_range", handleInvalid="keep").transform(keyed).drop("_nan")
 
 
 def ranked(df: DataFrame, key: Column, ties: Sequence[Column | str], *, descending: bool = False, rank: str = "rn", total: str | None = None) -> DataFrame:
