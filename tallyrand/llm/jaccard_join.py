@@ -12,10 +12,11 @@ candidates between different components are formed, all of them; so a group of n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words
@@ -30,8 +31,12 @@ VERIFY_COST = 2.0
 #: Tokens in at least this share of the texts, and of that many, stand behind the ordered ones; there are no more of them than
 #: a text has tokens on average, by 1 / COMMON. A task reports tokens that reach the share among its own texts.
 COMMON, COMMON_TEXTS = 0.001, 64
-#: Buckets of more nodes are first joined by rounds, of which there are as many as it pays, up to ROUNDS, with PIVOTS comparisons a node.
-LARGE_BUCKET, ROUNDS, PIVOTS = 32, 8, 3
+#: Buckets of more nodes are first joined by rounds, of which there are as many as it pays, up to ROUNDS, with PIVOTS comparisons a node,
+#: as long as a round links at least LEAST_GAIN times the large buckets' postings.
+LARGE_BUCKET, ROUNDS, PIVOTS, LEAST_GAIN = 32, 2, 3, 0.0005
+#: A pair is formed where it shares a token, but for places where one of so many tokens before it is shared too.
+EARLIER = 3
+POSTINGS = ["token", "node", "n", "place", "level", "matches", *(f"earlier{i}" for i in range(1, EARLIER + 1))]
 #: Up to so many ids are broadcast; more are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -152,9 +157,12 @@ def _prefixes(num: int, den: int):
                 matches = int(np.argmin(read * (1 + VERIFY_COST / np.arange(1, len(ends) + 1)))) + 1
                 k = ends[matches - 1]
                 if k:
-                    out.append((t[:k], np.full(k, node), np.full(k, n), place[:k], np.maximum(1, place[:k] - spare), np.full(k, matches)))
+                    # The tokens before each one; before the first, numbers that no other node has.
+                    led = np.concatenate([np.int64(node) ^ np.arange(1, EARLIER + 1), t[:k]])
+                    earlier = [led[EARLIER - i : EARLIER - i + k] for i in range(1, EARLIER + 1)]
+                    out.append((t[:k], np.full(k, node), np.full(k, n), place[:k], np.maximum(1, place[:k] - spare), np.full(k, matches), *earlier))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["token", "node", "n", "place", "level", "matches"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=POSTINGS)
 
     return run
 
@@ -198,6 +206,15 @@ def _verified(num: int, den: int):
     return run
 
 
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, pivot, n, delta): the tokens that a node's set and its pivot's don't share."""
+    for batch in batches:
+        own, other = batch.column(2), batch.column(3)
+        delta = [np.setxor1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True) for a, b in zip(own, other, strict=True)]
+        n = [len(a.as_buffer()) // 8 for a in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x.view(np.int64) for x in delta], pa.list_(pa.int64()))], names=["node", "pivot", "n", "delta"])
+
+
 class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int) -> None:
         self.docs, self.n, self.num, self.den = docs, n, num, den
@@ -209,14 +226,13 @@ class _Join:
         self.common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["node"] for r in common], np.int64).view(np.uint64)))
 
     def postings(self) -> DataFrame:
-        """(token, node, n, place, level, matches, size): each node's prefix, in the buckets of its tokens of more than one node."""
-        rows = self.docs.mapInArrow(_postings(self.n, self.num, self.den, self.common), "token long, node long, at long").repartition("token")
-        # One shuffle by token serves the count, the join with it and the merging of copies.
-        often = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        shared = rows.join(often.hint("shuffle_hash"), "token").dropDuplicates(["token", "node"])
+        """(POSTINGS, size): each node's prefix, in the buckets of its tokens of more than one node."""
+        rows = self.docs.mapInArrow(_postings(self.n, self.num, self.den, self.common), "token long, node long, at long")
+        # One shuffle by token serves the count and the merging of copies; no token is in more than a small share of the texts.
+        shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").dropDuplicates(["token", "node"])
         own = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df", "at")).alias("t"))
         own = own.join(self.nodes.drop("least"), "node").select("node", "n", "t")
-        out = checkpointed(own.mapInArrow(_prefixes(self.num, self.den), "token long, node long, n long, place long, level long, matches long"))
+        out = checkpointed(own.mapInArrow(_prefixes(self.num, self.den), ", ".join(f"{c} long" for c in POSTINGS)))
         # A token of one node only, known from its copies, leads to no pair.
         many = out.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
         return checkpointed(out.join(many, "token"))
@@ -233,16 +249,27 @@ class _Join:
         held = pairs.join(sides[0].hint("shuffle_hash"), "u").join(sides[1].hint("shuffle_hash"), "v")
         return checkpointed(held.select("u", "v", "u_tokens", "v_tokens").mapInArrow(_verified(self.num, self.den), "u long, v long").distinct())
 
-    def near(self, a: str, b: str):
-        """Sets of these sizes can be similar."""
-        return (F.col(a) * self.den >= F.col(b) * self.num) & (F.col(b) * self.den >= F.col(a) * self.num)
+    def meets(self, matches):
+        """Whether a token at places up and vp of sets of un and vn tokens can be among the first ``matches`` that a similar pair shares.
+
+        A similar pair shares at least o = ceil((un + vn) num / (num + den)) tokens, so these stand among the first n - o + matches of each set;
+        and before and behind a shared token there is room for o - 1 others.
+        """
+        total, parts = (F.col("un") + F.col("vn")) * self.num, self.num + self.den
+        in_prefix = lambda e: (F.col(f"{e}n") - F.col(f"{e}p") + matches) * parts >= total
+        room = F.least("up", "vp") + F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp"))
+        return in_prefix("u") & in_prefix("v") & (room * parts >= total)
+
+    def joined(self, large: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+        """(edges, labels, pivots) of large buckets: all links within the groups of pivots, and some others.
 
-    def joined(self, large: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-        """(edges, labels) that a few rounds find in large buckets: each round, nodes meet members of other components in their buckets."""
+        A few rounds let nodes meet members of other components in their buckets. Then each node takes the head of a component that is the largest in most of its buckets as its
+        pivot, and within() finds what the rounds have left among nodes of one pivot.
+        """
         edges = labels = None
         n_large = large.count()
         if not n_large:
-            return None, None
+            return None, None, None
         sets = checkpointed(self.sets(large.select("node").distinct()))
         for k in range(ROUNDS):
             now = self.labelled(large, labels)
@@ -250,37 +277,85 @@ class _Join:
             if (split.agg(F.sum("open")).first()[0] or 0) <= 4 * n_large:
                 break
             turn = F.xxhash64("token", "node", F.lit(k))
-            pivot = now.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("v"), F.col("component").alias("vc"), F.col("n").alias("vn")), turn).alias("p"))
-            met = now.join(split.where("open > 0"), "token", "left_semi").join(pivot.select("token", "p.*"), "token").where((F.col("component") != F.col("vc")) & self.near("n", "vn"))
+            pivot = now.groupBy("token").agg(F.min_by(F.struct(F.col("node").alias("v"), F.col("component").alias("vc"), F.col("n").alias("vn"), F.col("place").alias("vp")), turn).alias("p"))
+            met = now.withColumnsRenamed({"n": "un", "place": "up"}).join(split.where("open > 0"), "token", "left_semi").join(pivot.select("token", "p.*"), "token").where((F.col("component") != F.col("vc")) & self.meets(F.lit(1)))
             # Of a node's pivots, those of the lowest hashes.
             turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "v", F.lit(k))))
             few = met.select("node", "v").distinct().withColumn("turn", turn).where(F.col("turn") <= PIVOTS)
             found = self.similar(few.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), sets)
-            if found.isEmpty():
+            n_found = found.count()
+            if not n_found:
                 break
             edges = found if edges is None else edges.union(found)
             labels = checkpointed(components(edges))
-        return edges, labels
+            if n_found < n_large * LEAST_GAIN:
+                break
+        now = self.labelled(large, labels)
+        sizes = now.groupBy("token", "component").agg(F.count("*").alias("c"))
+        heads = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("head"))
+        votes = now.join(heads, "token").groupBy("node", "head").agg(F.count("*").alias("c"))
+        pivots = votes.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("pivot"))
+        many = pivots.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > LARGE_BUCKET).select("pivot")
+        pivots = checkpointed(pivots.join(many, "pivot").select("node", "pivot"))
+        found = self.within(pivots, sets, labels)
+        edges = found if edges is None else edges.union(found)
+        return edges, checkpointed(components(edges)), pivots
+
+    def within(self, pivots: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Edges that connect all similar nodes of one pivot, by their deltas from it.
+
+        With d tokens of delta and f = (den + num) d - (den - num) n, two nodes are similar exactly if f + f' <= 2 (den + num) c for c shared tokens of delta. So whoever is similar
+        without sharing any is so to the node of the lowest f too; the others share c tokens at least, which a prefix of their few tokens must show.
+        """
+        parts = self.num + self.den
+        copies = int(pivots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = sets.join(pivots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(copies)))
+        heads = sets.join(pivots.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("salt"))
+        rows = salted.join(heads, ["pivot", "salt"]).select("node", "pivot", "tokens", "pivot_tokens").mapInArrow(_deltas, "node long, pivot long, n long, delta array<long>")
+        rows = checkpointed(rows.withColumn("d", F.size("delta").cast("long")).withColumn("f", F.col("d") * parts - F.col("n") * (self.den - self.num)))
+        lowest = rows.groupBy("pivot").agg(F.min(F.struct("f", "node")).alias("m")).select("pivot", F.col("m.f").alias("mf"), F.col("m.node").alias("m"))
+        rows = rows.join(lowest, "pivot")
+        plain = rows.where((F.col("f") + F.col("mf") <= 0) & (F.col("node") != F.col("m"))).select(F.col("node").alias("u"), F.col("m").alias("v"))
+        plain = checkpointed(plain if labels is None else plain.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        labels = checkpointed(components(plain))
+        asked = lambda f, g: F.greatest(F.lit(1), F.ceil((f + g) / (2 * parts)))
+        tokens = self.labelled(rows.drop("n", "m"), labels).withColumn("token", F.explode("delta")).drop("delta")
+        tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("pivot", "token")))
+        tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))).where((F.col("df") > 1) & (F.col("place") <= F.col("d") - asked(F.col("f"), F.col("mf")) + 1))
+        tokens = checkpointed(tokens.select("pivot", "token", "node", "component", "d", "f", "place"))
+        sides = [tokens.select("pivot", "token", F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in ("component", "d", "f", "place"))) for e in "uv"]
+        least = asked(F.col("u_f"), F.col("v_f"))
+        met = sides[0].join(sides[1], ["pivot", "token"]).where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")) & (F.col("u_place") <= F.col("u_d") - least + 1) & (F.col("v_place") <= F.col("v_d") - least + 1))
+        pairs = met.select("u", "v").distinct()
+        held = pairs.join(rows.select(F.col("node").alias("u"), F.col("delta").alias("ud"), F.col("f").alias("uf")), "u").join(rows.select(F.col("node").alias("v"), F.col("delta").alias("vd"), F.col("f").alias("vf")), "v")
+        shared = held.where(F.col("uf") + F.col("vf") <= 2 * parts * F.size(F.array_intersect("ud", "vd"))).select("u", "v")
+        return checkpointed(plain.union(shared))
 
     def links(self) -> DataFrame:
         """Edges (u, v) that connect exactly the nodes that similar pairs connect."""
         postings = self.postings()
-        edges, labels = self.joined(postings.where(F.col("size") > LARGE_BUCKET).select("token", "node", "n"))
-        now = checkpointed(self.labelled(postings, labels))
+        edges, labels, pivots = self.joined(postings.where(F.col("size") > LARGE_BUCKET).select("token", "node", "n", "place"))
+        now = self.labelled(postings, labels)
+        if pivots is not None:
+            # Nodes of one pivot have met already.
+            now = now.join(pivots, "node", "left").withColumn("component", F.when(F.col("pivot").isNotNull(), F.xxhash64(F.lit("pivot"), "pivot")).otherwise(F.col("component"))).drop("pivot")
+        now = checkpointed(now)
         # In a bucket, all but the largest component meet every other component; pairs within the largest are connected already.
         sizes = now.groupBy("token", "component").agg(F.count("*").alias("c"))
         main = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
         all_ = now.join(main, "token")
-        names = {"node": "", "component": "c", "n": "n", "place": "p", "level": "l", "matches": "m"}
+        names = {"node": "", "component": "c", "n": "n", "place": "p", "matches": "m"} | {f"earlier{i}": f"e{i}" for i in range(1, EARLIER + 1)}
         minor = all_.where("component <> main").select("token", *(F.col(c).alias(f"u{x}") for c, x in names.items()))
         other = all_.select("token", *(F.col(c).alias(f"v{x}") for c, x in names.items()), (F.col("component") == F.col("main")).alias("is_main"))
+        again = reduce(Column.__or__, (F.col(f"ue{i}") == F.col(f"ve{j}") for i in range(1, EARLIER + 1) for j in range(1, EARLIER + 1)))
         asked = F.least("um", "vm")
-        # A shared token at these places leaves room for enough others before and behind it.
-        room = F.least("up", "vp") + F.least(F.col("un") - F.col("up"), F.col("vn") - F.col("vp"))
-        fits = room * (self.num + self.den) >= (F.col("un") + F.col("vn")) * self.num
-        met = minor.join(other, "token").where((F.col("uc") != F.col("vc")) & (F.col("is_main") | (F.col("u") < F.col("v"))) & (F.greatest("ul", "vl") <= asked) & self.near("un", "vn") & fits)
-        pairs = met.groupBy(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"), asked.alias("asked")).agg(F.count("*").alias("c")).where("c >= asked")
-        pairs = checkpointed(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        met = minor.join(other, "token").where((F.col("uc") != F.col("vc")) & (F.col("is_main") | (F.col("u") < F.col("v"))) & self.meets(asked) & ~again)
+        pairs = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), asked.alias("asked")).distinct()
+        # The number of shared tokens decides what is verified.
+        prefix = all_.groupBy("node").agg(F.collect_list(F.struct("level", "token")).alias("t"))
+        held = pairs.join(prefix.select(F.col("node").alias("u"), F.col("t").alias("ut")), "u").join(prefix.select(F.col("node").alias("v"), F.col("t").alias("vt")), "v")
+        first = [F.transform(F.filter(t, lambda x: x["level"] <= F.col("asked")), lambda x: x["token"]) for t in ("ut", "vt")]
+        pairs = checkpointed(held.where(F.size(F.array_intersect(*first)) >= F.col("asked")).select("u", "v"))
         sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         found = self.similar(pairs, sets)
         return found if edges is None else edges.union(found)
