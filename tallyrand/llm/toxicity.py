@@ -19,7 +19,7 @@ from ._spark import checkpointed
 
 WORDS, TERMS, FEATURES = "_words", "_terms", "_features"
 #: The bounded sample is fitted in so many partitions, so that a step of the solver sends that many gradients and shuffles none.
-FIT_PARTITIONS = 6
+FIT_PARTITIONS = 4
 #: A word's beginning stands for its inflected and compounded forms.
 STEM = 4
 
@@ -32,14 +32,14 @@ def words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Chain:
-    """One model per category, in order; None in place of terms where nothing was labelled."""
+    """One model per category, in order; None in place of terms where no labelled text had a word."""
 
     categories: tuple[str, ...]
     terms: CountVectorizerModel | None
     models: tuple[LogisticRegressionModel, ...]
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with a double column p_<category> for each category; 0 where nothing was labelled.
+        """docs with a double column p_<category> for each category; 0 where no labelled text had a word.
 
         Null and empty texts have no words and get the models' constants. Rows stay as they are; columns of the names p_<category> are replaced.
         """
@@ -72,13 +72,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
     picked = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     # At most sample_rows ids, which bounds what is broadcast.
     texts = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(picked), id_col)
-    sample = checkpointed(texts.select(*categories, words(F.col("_text")).alias(WORDS), F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(folds)).alias("_fold")))
-    in_fold = {r["_fold"]: r["count"] for r in sample.groupBy("_fold").count().collect()}
-    n = sum(in_fold.values())
-    if not n:
+    sample = texts.select(*categories, words(F.col("_text")).alias(WORDS), F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(folds)).alias("_fold"))
+    # Without a word to learn from there is no model. Few rows keep all their terms.
+    n_words = sample.where(F.size(WORDS) > 0).limit(20 * least_docs).count()
+    if not n_words:
         return Chain(tuple(categories), None, ())
-    terms = CountVectorizer(inputCol=WORDS, outputCol=TERMS, vocabSize=vocabulary, minDF=min(float(least_docs), n / 2 if n > 1 else 1), binary=True).setMinTF(1.0).fit(sample)
+    terms = CountVectorizer(inputCol=WORDS, outputCol=TERMS, vocabSize=vocabulary, minDF=float(least_docs if n_words >= 20 * least_docs else 1), binary=True).fit(sample)
+    # The vectors are small beside the words, so only they are kept for the fits.
     rows = checkpointed(terms.transform(sample).drop(WORDS).coalesce(FIT_PARTITIONS))
+    in_fold = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
+    n = sum(in_fold.values())
     models: list[LogisticRegressionModel] = []
     for i, category in enumerate(categories):
         learner = LogisticRegression(featuresCol=FEATURES, labelCol=category, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_predicted", family="binomial", regParam=penalty, elasticNetParam=1.0, maxIter=iterations)
@@ -98,11 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
 
 
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.02, **options) -> DataFrame:
-    """docs with p_low_quality, p_toxic and toxic (p_toxic of ``threshold`` or more), learnt from labels (doc_id, quality 0/1, toxic 0/1).
+    """docs with p_low_quality, p_toxic and toxic (p_toxic of ``threshold`` or more, and a letter in the text), learnt from labels (doc_id, quality 0/1, toxic 0/1).
 
     The penalty shrinks all weights, so a text with a single toxic term scores low: on held-out labels clean texts stay under 0.004 and toxic ones
     over 0.03, and the threshold lies between.
     """
     marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic"))
     chain = fit(docs, marks, ["low_quality", "toxic"], **options)
-    return chain.predict(docs).withColumn("toxic", F.col("p_toxic") >= threshold)
+    has_words = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return chain.predict(docs).withColumn("toxic", has_words & (F.col("p_toxic") >= threshold))
