@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..generate import graph, leads, lifecycle, motifs
 from ..operators import models as M
-from ..operators import sampling, snapshots
+from ..operators import flat, sampling, snapshots
 from ..sources.tables import read_table
 
 QUERIES: dict = {}
@@ -80,6 +80,12 @@ def lead_world_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.lead_snapshot(leads.simulate(spark, lead_world(spark, d)), window=30)
 
 
+@query()
+def flat_dataset(spark: SparkSession, d: str) -> DataFrame:
+    world = lead_world(spark, d)
+    return flat.flat_dataset(snapshots.lead_snapshot(leads.simulate(spark, world), window=30), flat.Flat(n=world.n_leads // 10, rate=0.3))
+
+
 @query()
 def lifecycle_simulation(spark: SparkSession, d: str) -> DataFrame:
     """All subscription events of a simulated customer world."""

@@ -129,3 +129,18 @@ def test_configuration():
         api.configured("leads_intro", {"label_days": 100})
     with pytest.raises(ValueError):
         api.configured("leads_intro", {"colour": 1})
+
+
+def test_flat_dataset(spark):
+    from tallyrand.generate import leads
+    from tallyrand.operators import flat, snapshots
+
+    shot = snapshots.lead_snapshot(leads.simulate(spark, leads.LeadWorld(n_accounts=20, n_contacts=40, n_leads=150)), window=30).cache()
+    out = flat.flat_dataset(shot, flat.Flat(n=60, rate=0.3))
+    assert out.count() == 60 and out.where("converted = 1").count() == 18
+    assert out.where("expected_acv > 120000 or expected_acv < 10000").count() == 0
+    assert not [c for c in out.columns if c.startswith(flat.LEAKAGE)]
+    assert f"{flat.LEAKAGE}total_touches_90d" in flat.flat_dataset(shot, flat.Flat(n=30, rate=0.3, instructor=True)).columns
+    assert {r.acquisition_wave for r in out.select("acquisition_wave").collect()} == set("ABC")
+    with pytest.raises(ValueError):
+        flat.renamed(out, {"nothing": "x"})
