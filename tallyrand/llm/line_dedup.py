@@ -15,23 +15,40 @@ from pyspark.sql import functions as F
 from ._spark import checkpointed, clean_name
 
 
+#: Bounds of what is broadcast: lines in all, and the share of all boilerplate that makes a line common.
+BROADCAST_LINES, COMMON_SHARE = 100_000, 0.001
+
+
 def line_hashes(text: Column) -> Column:
     """A hash of every line without outer blanks."""
     return F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(F.trim(line)))
 
 
 def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 8, lg_k: int = 12) -> DataFrame:
-    """(line, keeper): the hash of every line of ``min_chars`` or more on ``min_sites`` distinct sites or more, and the smallest id that has it.
+    """(line, keeper, n): the hash of every line of ``min_chars`` or more on ``min_sites`` distinct sites or more, the smallest id that has it and the number of documents.
 
     Null sites are none; a line that recurs in a document counts once for it.
     """
     rows = lines(docs, id_col, text_col, site_col, min_chars)
-    sketched = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("id").alias("keeper"))
+    sketched = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("id").alias("keeper"), F.count("*").alias("n"))
     doubt = max(1, math.ceil(3 * 1.04 / math.sqrt(1 << lg_k) * min_sites))
     likely = checkpointed(sketched.where(F.col("sites") >= min_sites - doubt))
-    near = likely.where(F.col("sites") <= min_sites + doubt).select("line")
-    exact = rows.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("exact"))
-    return likely.join(exact, "line", "left").where(F.coalesce("exact", "sites") >= min_sites).select("line", "keeper")
+    near = likely.where(F.col("sites") <= min_sites + doubt).select("line", "n")
+    exact = _met(rows, near).groupBy("line").agg(F.count_distinct("site").alias("exact"))
+    return likely.join(exact, "line", "left").where(F.coalesce("exact", "sites") >= min_sites).select("line", "keeper", "n")
+
+
+def _met(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows joined with found (line, n, ...) by line; n: rows of each line.
+
+    Up to BROADCAST_LINES lines are broadcast. Of more, those that COMMON_SHARE of the rows have are, as each would land in one task, and there
+    are at most 1 / COMMON_SHARE of them; the others are joined by a shuffle.
+    """
+    n_lines, total = found.agg(F.count("*"), F.sum("n")).first()
+    if n_lines <= BROADCAST_LINES:
+        return rows.join(F.broadcast(found), "line")
+    hot = F.broadcast(found.where(F.col("n") >= total * COMMON_SHARE))
+    return rows.join(hot, "line").unionByName(rows.join(hot.select("line"), "line", "left_anti").join(found.where(F.col("n") < total * COMMON_SHARE), "line"))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
@@ -46,10 +63,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     The other lines stay as they are. Null texts stay null with no lines, empty texts have one empty line; rows with a
     null id are counted but not changed; rows of one id are treated as one document's; columns named n_lines or n_removed are replaced; an empty table stays empty.
     """
-    found = boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars, lg_k=lg_k)
+    found = checkpointed(boilerplate(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_chars=min_chars, lg_k=lg_k))
     doomed = clean_name(docs, "doomed")
     rows = lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col, site_col, min_chars)
-    hits = rows.join(found, "line").where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias(doomed)).withColumnRenamed("id", id_col)
+    hits = _met(rows, found).where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set("line").alias(doomed)).withColumnRenamed("id", id_col)
     pieces, hashes = F.split(F.col(text_col), "\n", -1), line_hashes(F.col(text_col))
     kept = F.filter(F.arrays_zip(pieces.alias("piece"), hashes.alias("hash")), lambda x: ~F.array_contains(F.col(doomed), x["hash"]))
     out = docs.drop("n_lines", "n_removed").join(hits, id_col, "left")
