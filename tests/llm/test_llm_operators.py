@@ -114,7 +114,10 @@ def test_small_blocks_find_the_same(spark):
 # -- line dedup
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_lines(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
+    monkeypatch.setattr(line_dedup, "COMMON_SHARE", 0.5)
     rows = [(i, f"All rights reserved.\nown line {i}\n\nAll rights reserved.", f"s{i}") for i in range(12)] + [(20, None, "s1"), (21, "", None), (None, "All rights reserved.", "s3")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("x")).withColumn("line", F.lit(1)).withColumn("doomed", F.lit(2))
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
