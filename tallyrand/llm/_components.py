@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ._spark import checkpointed
 
 
+#: Up to so many edges are contracted in one task: spreading them would cost more files than rows.
+SMALL = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v): the smallest node of its component. Loops and repeated edges don't matter.
 
     Star contraction: every node is linked to the smallest of its neighbours, first from all its neighbours, then from the smaller ones,
     until nothing changes. Neighbours are only ever reduced to their minimum, so a node with very many is no large group.
     """
-    now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    parts = 1 if edges.count() <= SMALL else None
+    now = kept(gathered(edges, parts).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), parts)
     before = None
     while (state := _state(now)) != before:
         before = state
@@ -23,9 +28,19 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = kept(gathered(small.union(least.select("u", F.col("m").alias("v"))), parts).distinct(), parts)
     tops = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    return gathered(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops), parts)
+
+
+def gathered(df: DataFrame, parts: int | None) -> DataFrame:
+    """df in so few partitions; what follows in one partition needs no shuffle."""
+    return df if parts is None else df.coalesce(parts)
+
+
+def kept(df: DataFrame, parts: int | None) -> DataFrame:
+    """checkpointed(), in as few partitions afterwards."""
+    return gathered(checkpointed(gathered(df, parts)), parts)
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words
-from ._components import components
+from ._components import components, gathered, kept
 from ._spark import checkpointed
 
 #: The share of all tokens, those of the lowest hashes, that are ordered by their frequency and stand before all others.
@@ -33,10 +33,12 @@ VERIFY_COST = 2.0
 COMMON, COMMON_TEXTS = 0.001, 64
 #: Buckets of more nodes are first joined by rounds, of which there are as many as it pays, up to ROUNDS, with PIVOTS comparisons a node,
 #: as long as a round links at least LEAST_GAIN times the large buckets' postings.
-LARGE_BUCKET, ROUNDS, PIVOTS, LEAST_GAIN = 32, 2, 3, 0.0005
+LARGE_BUCKET, ROUNDS, PIVOTS, LEAST_GAIN = 32, 1, 3, 0.0005
 #: A pair is formed where it shares a token, but for places where one of so many tokens before it is shared too.
 EARLIER = 3
 POSTINGS = ["token", "node", "n", "place", "level", "matches", *(f"earlier{i}" for i in range(1, EARLIER + 1))]
+#: Rows of postings to a partition, and the least number of partitions of whole sets: few postings aren't spread over tasks that would mostly be empty.
+PART_ROWS, SET_PARTS = 200_000, 8
 #: Up to so many ids are broadcast; more are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -270,7 +272,9 @@ class _Join:
         n_large = large.count()
         if not n_large:
             return None, None, None
-        sets = checkpointed(self.sets(large.select("node").distinct()))
+        parts = -(-n_large // PART_ROWS)
+        large = kept(large, parts)
+        sets = kept(checkpointed(self.sets(large.select("node").distinct())), max(parts, SET_PARTS))
         for k in range(ROUNDS):
             now = self.labelled(large, labels)
             split = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
@@ -287,7 +291,7 @@ class _Join:
             if not n_found:
                 break
             edges = found if edges is None else edges.union(found)
-            labels = checkpointed(components(edges))
+            labels = kept(components(edges), parts)
             if n_found < n_large * LEAST_GAIN:
                 break
         now = self.labelled(large, labels)
@@ -296,50 +300,52 @@ class _Join:
         votes = now.join(heads, "token").groupBy("node", "head").agg(F.count("*").alias("c"))
         pivots = votes.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("pivot"))
         many = pivots.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > LARGE_BUCKET).select("pivot")
-        pivots = checkpointed(pivots.join(many, "pivot").select("node", "pivot"))
-        found = self.within(pivots, sets, labels)
+        pivots = kept(pivots.join(many, "pivot").select("node", "pivot"), parts)
+        found = self.within(pivots, sets, labels, parts)
         edges = found if edges is None else edges.union(found)
-        return edges, checkpointed(components(edges)), pivots
+        return edges, kept(components(edges), parts), pivots
 
-    def within(self, pivots: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    def within(self, pivots: DataFrame, sets: DataFrame, labels: DataFrame | None, parts: int) -> DataFrame:
         """Edges that connect all similar nodes of one pivot, by their deltas from it.
 
         With d tokens of delta and f = (den + num) d - (den - num) n, two nodes are similar exactly if f + f' <= 2 (den + num) c for c shared tokens of delta. So whoever is similar
         without sharing any is so to the node of the lowest f too; the others share c tokens at least, which a prefix of their few tokens must show.
         """
-        parts = self.num + self.den
-        copies = int(pivots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = self.num + self.den
+        copies = SET_PARTS if parts == 1 else int(pivots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         salted = sets.join(pivots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(copies)))
         heads = sets.join(pivots.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("salt"))
         rows = salted.join(heads, ["pivot", "salt"]).select("node", "pivot", "tokens", "pivot_tokens").mapInArrow(_deltas, "node long, pivot long, n long, delta array<long>")
-        rows = checkpointed(rows.withColumn("d", F.size("delta").cast("long")).withColumn("f", F.col("d") * parts - F.col("n") * (self.den - self.num)))
+        rows = kept(rows.withColumn("d", F.size("delta").cast("long")).withColumn("f", F.col("d") * both - F.col("n") * (self.den - self.num)), parts)
         lowest = rows.groupBy("pivot").agg(F.min(F.struct("f", "node")).alias("m")).select("pivot", F.col("m.f").alias("mf"), F.col("m.node").alias("m"))
         rows = rows.join(lowest, "pivot")
         plain = rows.where((F.col("f") + F.col("mf") <= 0) & (F.col("node") != F.col("m"))).select(F.col("node").alias("u"), F.col("m").alias("v"))
-        plain = checkpointed(plain if labels is None else plain.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        labels = checkpointed(components(plain))
-        asked = lambda f, g: F.greatest(F.lit(1), F.ceil((f + g) / (2 * parts)))
+        plain = kept(plain if labels is None else plain.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))), parts)
+        labels = kept(components(plain), parts)
+        asked = lambda f, g: F.greatest(F.lit(1), F.ceil((f + g) / (2 * both)))
         tokens = self.labelled(rows.drop("n", "m"), labels).withColumn("token", F.explode("delta")).drop("delta")
         tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("pivot", "token")))
         tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))).where((F.col("df") > 1) & (F.col("place") <= F.col("d") - asked(F.col("f"), F.col("mf")) + 1))
-        tokens = checkpointed(tokens.select("pivot", "token", "node", "component", "d", "f", "place"))
+        tokens = kept(tokens.select("pivot", "token", "node", "component", "d", "f", "place"), parts)
         sides = [tokens.select("pivot", "token", F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in ("component", "d", "f", "place"))) for e in "uv"]
         least = asked(F.col("u_f"), F.col("v_f"))
         met = sides[0].join(sides[1], ["pivot", "token"]).where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")) & (F.col("u_place") <= F.col("u_d") - least + 1) & (F.col("v_place") <= F.col("v_d") - least + 1))
         pairs = met.select("u", "v").distinct()
         held = pairs.join(rows.select(F.col("node").alias("u"), F.col("delta").alias("ud"), F.col("f").alias("uf")), "u").join(rows.select(F.col("node").alias("v"), F.col("delta").alias("vd"), F.col("f").alias("vf")), "v")
-        shared = held.where(F.col("uf") + F.col("vf") <= 2 * parts * F.size(F.array_intersect("ud", "vd"))).select("u", "v")
-        return checkpointed(plain.union(shared))
+        shared = held.where(F.col("uf") + F.col("vf") <= 2 * both * F.size(F.array_intersect("ud", "vd"))).select("u", "v")
+        return kept(plain.union(shared), parts)
 
     def links(self) -> DataFrame:
         """Edges (u, v) that connect exactly the nodes that similar pairs connect."""
         postings = self.postings()
+        parts = max(1, -(-postings.count() // PART_ROWS))
+        postings = gathered(postings, parts)
         edges, labels, pivots = self.joined(postings.where(F.col("size") > LARGE_BUCKET).select("token", "node", "n", "place"))
         now = self.labelled(postings, labels)
         if pivots is not None:
             # Nodes of one pivot have met already.
             now = now.join(pivots, "node", "left").withColumn("component", F.when(F.col("pivot").isNotNull(), F.xxhash64(F.lit("pivot"), "pivot")).otherwise(F.col("component"))).drop("pivot")
-        now = checkpointed(now)
+        now = kept(now, parts)
         # In a bucket, all but the largest component meet every other component; pairs within the largest are connected already.
         sizes = now.groupBy("token", "component").agg(F.count("*").alias("c"))
         main = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
@@ -355,7 +361,7 @@ class _Join:
         prefix = all_.groupBy("node").agg(F.collect_list(F.struct("level", "token")).alias("t"))
         held = pairs.join(prefix.select(F.col("node").alias("u"), F.col("t").alias("ut")), "u").join(prefix.select(F.col("node").alias("v"), F.col("t").alias("vt")), "v")
         first = [F.transform(F.filter(t, lambda x: x["level"] <= F.col("asked")), lambda x: x["token"]) for t in ("ut", "vt")]
-        pairs = checkpointed(held.where(F.size(F.array_intersect(*first)) >= F.col("asked")).select("u", "v"))
+        pairs = kept(held.where(F.size(F.array_intersect(*first)) >= F.col("asked")).select("u", "v"), parts)
         sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         found = self.similar(pairs, sets)
         return found if edges is None else edges.union(found)
