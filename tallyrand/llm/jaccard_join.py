@@ -301,12 +301,11 @@ class _Join:
         pivots = votes.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("pivot"))
         many = pivots.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > LARGE_BUCKET).select("pivot")
         pivots = kept(pivots.join(many, "pivot").select("node", "pivot"), parts)
-        found = self.within(pivots, sets, labels, parts)
-        edges = found if edges is None else edges.union(found)
-        return edges, kept(components(edges), parts), pivots
+        labels = kept(components(self.within(pivots, sets, labels, parts)), parts)
+        return labels.select(F.col("node").alias("u"), F.col("component").alias("v")), labels, pivots
 
     def within(self, pivots: DataFrame, sets: DataFrame, labels: DataFrame | None, parts: int) -> DataFrame:
-        """Edges that connect all similar nodes of one pivot, by their deltas from it.
+        """Edges that connect what labels connect and all similar nodes of one pivot, by their deltas from it.
 
         With d tokens of delta and f = (den + num) d - (den - num) n, two nodes are similar exactly if f + f' <= 2 (den + num) c for c shared tokens of delta. So whoever is similar
         without sharing any is so to the node of the lowest f too; the others share c tokens at least, which a prefix of their few tokens must show.
@@ -330,10 +329,10 @@ class _Join:
         sides = [tokens.select("pivot", "token", F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in ("component", "d", "f", "place"))) for e in "uv"]
         least = asked(F.col("u_f"), F.col("v_f"))
         met = sides[0].join(sides[1], ["pivot", "token"]).where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")) & (F.col("u_place") <= F.col("u_d") - least + 1) & (F.col("v_place") <= F.col("v_d") - least + 1))
-        pairs = met.select("u", "v").distinct()
+        pairs = met.select("u", "v", "u_component", "v_component").distinct()
         held = pairs.join(rows.select(F.col("node").alias("u"), F.col("delta").alias("ud"), F.col("f").alias("uf")), "u").join(rows.select(F.col("node").alias("v"), F.col("delta").alias("vd"), F.col("f").alias("vf")), "v")
-        shared = held.where(F.col("uf") + F.col("vf") <= 2 * both * F.size(F.array_intersect("ud", "vd"))).select("u", "v")
-        return kept(plain.union(shared), parts)
+        shared = held.where(F.col("uf") + F.col("vf") <= 2 * both * F.size(F.array_intersect("ud", "vd"))).select("u_component", "v_component").distinct()
+        return kept(labels.select("node", "component").union(shared).toDF("u", "v"), parts)
 
     def links(self) -> DataFrame:
         """Edges (u, v) that connect exactly the nodes that similar pairs connect."""
