@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 BITS, LONGEST = 15, 4
 BUCKETS = 1 << BITS
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
-BATCH, SLICE = 64, 1 << 20
+BATCH, SLICE, PARTS = 64, 1 << 20, 64
 UNKNOWN = "und"
 
 
@@ -110,8 +110,11 @@ def fit(docs: DataFrame, *, sample_rows: int = 2000, n_landmarks: int = 192, rid
     langs = able.select("lang").distinct().count()
     if not langs:
         return None
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = able.select("doc_id", "lang").withColumn("at", order).where(F.col("at") <= max(2, sample_rows // langs))
+    most = max(2, sample_rows // langs)
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # First within parts of each language, so that a language's task gets a bounded number of rows.
+    ids = able.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part"))
+    ids = ids.withColumn("at", rank("lang", "part")).where(F.col("at") <= most).withColumn("at", rank("lang")).where(F.col("at") <= most).drop("part")
     sample = able.join(F.broadcast(ids), ["doc_id", "lang"])  # at most sample_rows ids, or two per language
     rows = sample.select("text", "lang", F.col("at").cast("long")).mapInArrow(_packed, "lang string, at long, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], bytes(r["bits"])))
