@@ -51,8 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, ids_sha256, whole): ids packed as little-endian unsigned 32-bit integers; whole: decoding gives the text back."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded = byte_bpe.encode(rows, path=path, pattern=public_tokenizers.PATTERN, keep=["doc_id", "source", "text_sha256"])
-    both = byte_bpe.decode(encoded, path=path)
+    both = byte_bpe.encode(rows, path=path, pattern=public_tokenizers.PATTERN, bytes_col="decoded", keep=["doc_id", "source", "text_sha256"])
     return both.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("whole"))
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bounds of what a Python worker keeps: pieces with their ids, and pairs of tokens. Both start anew when full.
-CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 400_000, 1_000_000, 48
+CACHED_PIECES, CACHED_PAIRS, CACHED_LENGTH = 400_000, 400_000, 48
 #: Texts of more characters are split into pieces bit by bit.
 LONG_TEXT, PIECES_AT_ONCE = 1 << 20, 1 << 16
 BATCH_BYTES = 4 << 20
@@ -149,35 +149,41 @@ def encode_text(text: str, pattern: regex.Pattern, encoder: Encoder) -> bytes:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _with_column(batches: Iterable[pa.RecordBatch], source: int, made, name: str, keep: list[int]) -> Iterator[pa.RecordBatch]:
-    """Batches with one more binary column, cut so that the new values of a batch stay near BATCH_BYTES."""
+def _with_columns(batches: Iterable[pa.RecordBatch], source: int, made, names: list[str], keep: list[int]) -> Iterator[pa.RecordBatch]:
+    """Batches with more binary columns, made(value) for each row, cut so that the new values of a batch stay near BATCH_BYTES."""
     for batch in batches:
         column, start = batch.column(source), 0
-        held: list[bytes | None] = []
+        held: list[tuple[bytes, ...]] = []
         size = 0
         for i in range(batch.num_rows):
-            held.append(value := made(column[i].as_py()))
-            size += len(value or b"")
+            held.append(values := made(column[i].as_py()))
+            size += sum(map(len, values))
             if size >= BATCH_BYTES or i == batch.num_rows - 1:
                 rows = batch.slice(start, len(held))
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(held, pa.binary())], names=[*(batch.schema.names[k] for k in keep), name])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), *(pa.array(c, pa.binary()) for c in zip(*held, strict=True))], names=[*(batch.schema.names[k] for k in keep), *names])
                 start, held, size = i + 1, [], 0
 
 
-def _mapped(df: DataFrame, source: str, name: str, keep_cols: list[str] | None, maker) -> DataFrame:
+def _mapped(df: DataFrame, source: str, names: list[str], keep_cols: list[str] | None, maker) -> DataFrame:
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    keep = [i for i, c in enumerate(df.columns) if c.lower() != name.lower() and (keep_cols is None or c in keep_cols)]
+    new = {n.lower() for n in names}
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in new and (keep_cols is None or c in keep_cols)]
     at = df.columns.index(source)
-    schema = StructType([*(df.schema.fields[i] for i in keep), StructField(name, BinaryType())])
-    return df.mapInArrow(lambda batches: _with_column(batches, at, maker(), name, keep), schema)
+    schema = StructType([*(df.schema.fields[i] for i in keep), *(StructField(n, BinaryType()) for n in names)])
+    return df.mapInArrow(lambda batches: _with_columns(batches, at, maker(), names, keep), schema)
 
 
-def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def _decoded(ids: bytes, bytes_of: dict[int, bytes]) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """df, or its columns ``keep``, with ``ids_col``: the token ids of the whole text, packed as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded by itself, without special tokens; a piece that is a token is that token. Null text counts as empty and has no ids.
-    Rows stay as they are, repeated ones too; a column of the name of ``ids_col`` is replaced; an empty table stays empty.
+    bytes_col: also a column with what the ids decode to, from the same pass. Rows stay as they are, repeated ones too; columns of the new names
+    are replaced; an empty table stays empty.
     """
     ranks = df.sparkSession.sparkContext.broadcast(load(path))  # a vocabulary: bounded by its file
 
@@ -187,9 +193,14 @@ def encode(df: DataFrame, *, path: str, pattern: str, text_col: str = "text", id
             _ENCODERS.clear()
             _ENCODERS[key] = Encoder(*ranks.value)
         encoder, compiled = _ENCODERS[key], regex.compile(pattern)
-        return lambda text: encode_text(text or "", compiled, encoder)
 
-    return _mapped(df, text_col, ids_col, keep, maker)
+        def made(text: str | None) -> tuple[bytes, ...]:
+            ids = encode_text(text or "", compiled, encoder)
+            return (ids,) if bytes_col is None else (ids, _decoded(ids, encoder.bytes_of))
+
+        return made
+
+    return _mapped(df, text_col, [ids_col] if bytes_col is None else [ids_col, bytes_col], keep, maker)
 
 
 def decode(df: DataFrame, *, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -198,6 +209,6 @@ def decode(df: DataFrame, *, path: str, ids_col: str = "ids", bytes_col: str = "
 
     def maker():
         of = {r: t for t, r in ranks.value.items()}
-        return lambda ids: b"".join(map(of.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+        return lambda ids: (_decoded(ids or b"", of),)
 
-    return _mapped(df, ids_col, bytes_col, None, maker)
+    return _mapped(df, ids_col, [bytes_col], None, maker)

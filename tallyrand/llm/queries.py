@@ -48,7 +48,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
 
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.decode(byte_bpe.encode(docs, path=path, pattern=public_tokenizers.PATTERN, keep=["doc_id"]), path=path)
+    ids = byte_bpe.encode(docs, path=path, pattern=public_tokenizers.PATTERN, bytes_col="decoded", keep=["doc_id"])
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
