@@ -39,7 +39,7 @@ EARLIER = 3
 POSTINGS = ["token", "node", "n", "place", "level", "matches", *(f"earlier{i}" for i in range(1, EARLIER + 1))]
 #: Rows of postings to a partition, and the least number of partitions of whole sets: few postings aren't spread over tasks that would mostly be empty.
 PART_ROWS, SET_PARTS = 200_000, 8
-#: Up to so many ids are broadcast; more are shuffled.
+#: Up to so many keys are broadcast; more are shuffled.
 BROADCAST_IDS = 500_000
 
 
@@ -68,7 +68,7 @@ _LOW = np.uint64(int(ORDERED * 2.0**64))
 
 
 def _fingerprints(n: int):
-    """One row per text (id, n, node) and one per token that is common in this task (null, its count, token)."""
+    """One row per text (id, key, n, node) and one per token that is common in this task (null, null, its count, token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, seen = 0, np.empty(0, np.uint64)
@@ -79,7 +79,7 @@ def _fingerprints(n: int):
                 if len(tokens):
                     size[i], node[i] = len(tokens), _node(tokens)
                     low.append(tokens[: np.searchsorted(tokens, _LOW)])
-            yield _prints(batch.column(0), size, node)
+            yield _prints(batch.column(0), batch.column(2), size, node)
             if low:
                 own, c = np.unique(np.concatenate(low), return_counts=True)
                 keep = c > 1  # a token that is common in a task is in several texts of some batch, as batches hold many
@@ -89,13 +89,14 @@ def _fingerprints(n: int):
                 seen = both
             texts += batch.num_rows
         keep = counts >= max(2, texts * COMMON)
-        yield _prints(pa.nulls(int(keep.sum()), pa.int64()), counts[keep], seen[keep].view(np.int64), True)
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        yield _prints(none, none, counts[keep], seen[keep].view(np.int64), True)
 
     return run
 
 
-def _prints(ids: pa.Array, n: np.ndarray, node: np.ndarray, is_token: bool = False) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(node), pa.array(np.full(len(n), is_token))], names=["id", "n", "node", "is_token"])
+def _prints(ids: pa.Array, keys: pa.Array, n: np.ndarray, node: np.ndarray, is_token: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, keys, pa.array(n), pa.array(node), pa.array(np.full(len(n), is_token))], names=["id", "key", "n", "node", "is_token"])
 
 
 def _postings(n: int, num: int, den: int, held):
@@ -220,9 +221,11 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int) -> None:
         self.docs, self.n, self.num, self.den = docs, n, num, den
-        read = checkpointed(docs.mapInArrow(_fingerprints(n), "id long, n long, node long, is_token boolean"))
+        # By its key a row is fetched again, with an id or without; repeated rows have one key.
+        self.keyed = docs.withColumn("key", F.xxhash64("text_id", "text"))
+        read = checkpointed(self.keyed.mapInArrow(_fingerprints(n), "id long, key long, n long, node long, is_token boolean"))
         self.prints = read.where("not is_token").drop("is_token")
-        self.nodes = self.prints.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
+        self.nodes = self.prints.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"))
         least = max(COMMON_TEXTS, self.prints.count() * COMMON)
         common = read.where("is_token").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("node").collect()
         self.common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["node"] for r in common], np.int64).view(np.uint64)))
@@ -233,17 +236,22 @@ class _Join:
         # One shuffle by token serves the count and the merging of copies; no token is in more than a small share of the texts.
         shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").dropDuplicates(["token", "node"])
         own = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df", "at")).alias("t"))
-        own = own.join(self.nodes.drop("least"), "node").select("node", "n", "t")
+        own = own.join(self.nodes.drop("least", "key"), "node").select("node", "n", "t")
         out = checkpointed(own.mapInArrow(_prefixes(self.num, self.den), ", ".join(f"{c} long" for c in POSTINGS)))
         # A token of one node only, known from its copies, leads to no pair.
         many = out.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
         return checkpointed(out.join(many, "token"))
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, tokens) of nodes (node), from the text of the smallest id of each."""
-        ids = checkpointed(nodes.join(self.nodes, "node").where(F.col("least").isNotNull()).select(F.col("least").alias("text_id")).distinct())
-        texts = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "text_id", "left_semi")
-        return texts.mapInArrow(_sets(self.n), "node long, tokens binary").join(nodes, "node", "left_semi")
+        """(node, tokens) of nodes (node), one row each, from the text of one row's key."""
+        keys = nodes.join(self.nodes, "node").select("node", "key")
+        keys = checkpointed(keys.join(self.prints.select("node", "key"), ["node", "key"]).groupBy("key").agg(F.count("*").alias("rows")))
+        n_keys, most = keys.agg(F.count("*"), F.max("rows")).first()
+        keys = keys.select("key")
+        texts = self.keyed.join(F.broadcast(keys) if n_keys <= BROADCAST_IDS else keys, "key", "left_semi").select("text_id", "text")
+        found = texts.mapInArrow(_sets(self.n), "node long, tokens binary").join(nodes, "node", "left_semi")
+        # A node whose row is repeated is read from each copy.
+        return found if (most or 0) <= 1 else found.dropDuplicates(["node"])
 
     def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of pairs (u, v) of nodes whose sets are similar enough."""

@@ -199,6 +199,31 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert joined(spark, rows) == plain_components(rows)
 
 
+def test_large_groups_of_repeated_rows(spark):
+    """All rows of a large group repeated, some of them with different texts of one id: the copies change no prefix, and no link is lost."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(121):
+        t = [f"b{k}" for k in range(100)]
+        for _ in range(rng.choice((1, 2, 3, 3, 4))):
+            t[rng.randrange(100)] = f"x{rng.randrange(60)}"
+        rows.append((i - i % 2 if i < 20 else i, " ".join(t)))
+    rows = rows * 3
+    assert joined(spark, rows) == plain_components(rows)
+
+
+def test_rows_without_an_id_are_bridges(spark):
+    """Texts that are similar only to one that no row with an id has, in a small bucket and in a large one."""
+    rows = []
+    for g, n in enumerate((2, 48)):
+        for i in range(n):
+            t = [f"g{g}w{k}" for k in range(100)]
+            t[5 + i] = t[30 + i] = f"g{g}x{i}"
+            rows.append((len(rows), " ".join(t)))
+        rows += [(None, " ".join(f"g{g}w{k}" for k in range(100)))] * 2
+    assert joined(spark, rows) == plain_components(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1040)]
