@@ -71,15 +71,14 @@ class Tree:
                 continue
             scores = self.points[lo:hi] @ query
             ids = self.ids[lo:hi]
+            wanted = ids != own_id  # before the cut, as the query's own rows may be many
             if len(best) == k:
-                keep = np.flatnonzero(scores >= best[0][0])
-                scores, ids = scores[keep], ids[keep]
-            if len(scores) > k + 1:  # one more, as one may be the query itself
-                top = np.lexsort((ids, -scores))[: k + 1]
+                wanted &= scores >= best[0][0]
+            scores, ids = scores[wanted], ids[wanted]
+            if len(scores) > k:
+                top = np.lexsort((ids, -scores))[:k]
                 scores, ids = scores[top], ids[top]
             for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                if i == own_id:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:

@@ -343,6 +343,19 @@ def test_top_k_against_all_pairs(spark):
     assert topk_search.top_k(df.limit(0), queries, k=5).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_top_k_with_repeated_rows_of_the_query(spark, copies):
+    """All of the query's own rows score highest in their leaf; none of them takes a neighbour's place."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(100, 4)) * 20).astype(int)
+    x[0] = 99
+    rows = [(0, x[0].tolist())] * copies + [(i, v.tolist()) for i, v in enumerate(x) if i]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk_search.top_k(df, df.where("vec_id = 0"), k=5).collect())
+    best = sorted((-int(x[0] @ x[i]), i) for i in range(1, 100))[:5]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1, [0.5, -0.0001]), (2, [float("nan")]), (3, [float("inf")]), (4, [None]), (5, None), (6, [])], "vec_id long, e array<float>")
     out = {r.vec_id: r.v for r in df.select("vec_id", topk_search.scaled(F.col("e"), 1024).alias("v")).collect()}
