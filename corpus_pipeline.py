@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrand.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
-from tallyrand.llm._spark import checkpointed, shared_dir, table
+from tallyrand.llm._spark import checkpointed, clean_name, shared_dir, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +29,34 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the name of a column of longs that is different in every row: doc_id, or where ids are null or repeated one that is put in."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("doc_id").isNull() | (F.col("n") > 1)).isEmpty():
+        return docs, "doc_id"
+    key = clean_name(docs, "row_key")
+    return checkpointed(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id. Rows of one id are one document only if their texts are near duplicates; then the first by text stays; rows without an id stay."""
-    found = checkpointed(jaccard_join.near_duplicates(docs))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not again.isEmpty():
-        first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct([c for c in docs.columns if c != "doc_id"])).alias("row"))
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(first.select("doc_id", "row.*"))
-    return kept.select(docs.columns)
+    rows, key = keyed(docs)
+    found = checkpointed(jaccard_join.near_duplicates(rows, id_col=key)).select(F.col("doc_id").alias(key), "component_id")
+    if key == "doc_id":
+        gone = found.where("doc_id <> component_id").select("doc_id")
+    else:
+        group = clean_name(rows, "component_id")
+        placed = rows.where(F.col("doc_id").isNotNull()).join(found.withColumnRenamed("component_id", group), key)
+        order = F.struct("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")), key)
+        first = placed.groupBy(group).agg(F.min(order).alias("row")).select(F.col(f"row.{key}").alias(key))
+        gone = placed.select(key).join(first, key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    rows, key = keyed(docs)
+    hits = decontaminate.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(hits, key, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,17 @@ def test_awkward_rows(spark):
     assert P.tokens(spark, df.limit(0), SF).count() == 0
 
 
+def test_rows_of_one_id_are_decided_one_by_one(spark):
+    """Two unlike texts of one id, a copy of one under a smaller id, and contaminated rows without an id or with a clean row's."""
+    first, second, other = (" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, make(rows), SF).collect()), key=str)
+    assert left(P.near_duplicates, [(5, first), (5, second), (3, first), (7, second), (8, other), (8, other)]) == [(3, first), (5, second), (8, other)]
+    assert left(P.near_duplicates, [(5, first), (5, second)]) == [(5, first), (5, second)]
+    assert left(P.benchmark, [(None, item), (None, first), (5, item), (5, second), (6, other)]) == [(5, second), (6, other), (None, first)]
+
+
 def ids_or_null(df):
     return [r.doc_id for r in df.select("doc_id").collect()]
 
