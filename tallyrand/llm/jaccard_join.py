@@ -41,6 +41,13 @@ POSTINGS = ["token", "node", "n", "place", "level", "matches", *(f"earlier{i}" f
 PART_ROWS, SET_PARTS = 200_000, 8
 #: Up to so many keys are broadcast; more are shuffled.
 BROADCAST_IDS = 500_000
+#: A group's center is the majority of up to so many of its members, three at least and of no more bytes otherwise; it goes to a group's rows in parts of so many
+#: members. Which ones are taken changes costs only.
+CENTER_OF, CENTER_BYTES, CENTER_ROWS = 48, 1 << 24, 2048
+#: Tokens in so large a share of those members' deltas are frequent ones. Of the others' postings, about so many are brought together at once.
+FREQUENT, DEALT_ROWS = 0.2, 500_000
+#: A posting of a token in a delta.
+DEALT = np.dtype([(c, np.int64) for c in ("token", "node", "component", "d", "f", "place")])
 
 
 def _least_overlap(n, num: int, den: int):
@@ -209,13 +216,93 @@ def _verified(num: int, den: int):
     return run
 
 
+def _center(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the tokens that more than half of the sets have, tokens that several of them have or lack unlike that center, how many do)."""
+    tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+    inside = 2 * count > len(sets)
+    unlike = np.where(inside, len(sets) - count, count)
+    return tokens[inside], tokens[unlike > 1], unlike[unlike > 1]
+
+
+def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, sets) to (pivot, center, known, often, members)."""
+    for batch in batches:
+        rows = batch.column(1)
+        out = [[], [], [], []]
+        for sets in rows:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.values]
+            for column, value in zip(out, (*(x.tobytes() for x in _center(own)), len(own)), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, (*[pa.binary()] * 3, pa.int64()), strict=True))], names=["pivot", "center", "known", "often", "members"])
+
+
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, pivot, n, delta): the tokens that a node's set and its pivot's don't share."""
+    """(node, pivot, n, rare, delta): the tokens that a node's set and its group's center don't share, those first that are in few of the members' deltas; rare: how many aren't frequent."""
     for batch in batches:
-        own, other = batch.column(2), batch.column(3)
-        delta = [np.setxor1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True) for a, b in zip(own, other, strict=True)]
-        n = [len(a.as_buffer()) // 8 for a in own]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([x.view(np.int64) for x in delta], pa.list_(pa.int64()))], names=["node", "pivot", "n", "delta"])
+        node, pivot, *sets, members = batch.columns
+        n, rare, delta = [], [], []
+        for *own, of in zip(*sets, members.to_pylist(), strict=True):
+            tokens, center, known, often = (np.frombuffer(x.as_buffer(), t) for x, t in zip(own, (np.uint64, np.uint64, np.uint64, np.int64), strict=True))
+            unlike = np.setxor1d(tokens, center, assume_unique=True)
+            at = np.searchsorted(known, unlike)
+            at[at == len(known)] = 0
+            seen = np.where(known[at] == unlike, often[at], 0) if len(known) else np.zeros(len(unlike), np.int64)
+            n.append(len(tokens))
+            rare.append(int((seen < FREQUENT * of).sum()))
+            delta.append(unlike[np.lexsort((unlike, seen))].view(np.int64))
+        yield pa.RecordBatch.from_arrays([node, pivot, pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], names=["node", "pivot", "n", "rare", "delta"])
+
+
+def _dealt(parts: int):
+    """Postings (DEALT) of (node, pivot, component, d, f, rare, prefix) in blocks: a token of a group in the part of its hash; those behind the rare ones, which surely are several nodes', anywhere in parts of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(6)
+            size = np.diff(tokens.offsets.to_numpy())
+            token = tokens.flatten().to_numpy().view(np.uint64)
+            node, pivot, component, d, f, rare = (np.repeat(batch.column(k).to_numpy(), size) for k in range(6))
+            out = np.empty(len(token), DEALT)
+            # A token is one group's: what two share by chance is told apart by the deltas.
+            out["token"] = _words.mixed(token + pivot.view(np.uint64) * _words.PLACES[11]).view(np.int64)
+            out["node"], out["component"], out["d"], out["f"] = node, component, d, f
+            out["place"] = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) + 1
+            spread = np.where(out["place"] <= rare, out["token"], _words.mixed(node.view(np.uint64)).view(np.int64))
+            part = (spread.view(np.uint64) % np.uint64(parts)).astype(np.int64) + parts * (out["place"] > rare)
+            order = np.argsort(part, kind="stable")
+            out, part = out[order], part[order]
+            own, first = np.unique(part, return_index=True)
+            blocks = [x.tobytes() for x in np.split(out, first[1:])] if len(own) else []
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+    return run
+
+
+def _met(parts: int):
+    """The postings (DEALT) of tokens that nodes of different components have, from the blocks of one part after the other."""
+
+    def some(blocks: list[bytes], part: int) -> pa.RecordBatch:
+        rows = np.concatenate([np.frombuffer(x, DEALT) for x in blocks])
+        if part < parts:
+            rows = rows[np.lexsort((rows["component"], rows["token"]))]
+            heads = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
+            ends = np.append(heads[1:], len(rows))
+            rows = rows[np.repeat(rows["component"][heads] != rows["component"][ends - 1], ends - heads)]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in DEALT.names], names=list(DEALT.names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blocks = -1, []
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != last and blocks:
+                    yield some(blocks, last)
+                    blocks = []
+                last = part
+                blocks.append(block.as_buffer())
+        if blocks:
+            yield some(blocks, last)
+
+    return run
 
 
 class _Join:
@@ -312,31 +399,53 @@ class _Join:
         labels = kept(components(self.within(pivots, sets, labels, parts)), parts)
         return labels.select(F.col("node").alias("u"), F.col("component").alias("v")), labels, pivots
 
+    def centers(self, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+        """(pivot, center, known, often, members) of every group."""
+        order = Window.partitionBy("pivot").orderBy(F.xxhash64("node"), "node")
+        few = pivots.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= CENTER_OF)
+        own = sets.join(few, "node").withColumn("held", F.sum(F.octet_length("tokens")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        own = own.where((F.col("turn") <= 3) | (F.col("held") <= CENTER_BYTES)).groupBy("pivot").agg(F.collect_list("tokens").alias("sets"))
+        return own.mapInArrow(_centers, "pivot long, center binary, known binary, often binary, members long")
+
     def within(self, pivots: DataFrame, sets: DataFrame, labels: DataFrame | None, parts: int) -> DataFrame:
-        """Edges that connect what labels connect and all similar nodes of one pivot, by their deltas from it.
+        """Edges that connect what labels connect and all similar nodes of one pivot, by their deltas from the group's center.
 
         With d tokens of delta and f = (den + num) d - (den - num) n, two nodes are similar exactly if f + f' <= 2 (den + num) c for c shared tokens of delta. So whoever is similar
-        without sharing any is so to the node of the lowest f too; the others share c tokens at least, which a prefix of their few tokens must show.
+        without sharing any is so to the node of the lowest f too. The others share c tokens at least, which the first d - c + 1 of each, in one order, must show; only those are
+        brought together, and only where nodes of different components meet. c is at least what the lowest f of another component asks, and, as c is no more than d',
+        (f - (den - num) n') / (den + num) for the largest n' that can be similar.
         """
-        both = self.num + self.den
-        copies = SET_PARTS if parts == 1 else int(pivots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = sets.join(pivots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(copies)))
-        heads = sets.join(pivots.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("salt"))
-        rows = salted.join(heads, ["pivot", "salt"]).select("node", "pivot", "tokens", "pivot_tokens").mapInArrow(_deltas, "node long, pivot long, n long, delta array<long>")
-        rows = kept(rows.withColumn("d", F.size("delta").cast("long")).withColumn("f", F.col("d") * both - F.col("n") * (self.den - self.num)), parts)
+        both, less = self.num + self.den, self.den - self.num
+        sizes = pivots.groupBy("pivot").agg(F.ceil(F.count("*") / CENTER_ROWS).alias("copies"))
+        salted = sets.join(pivots.join(sizes, "pivot"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("copies"))).drop("copies")
+        heads = self.centers(pivots, sets).join(sizes, "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        held = salted.join(heads, ["pivot", "salt"]).select("node", "pivot", "tokens", "center", "known", "often", "members")
+        rows = held.mapInArrow(_deltas, "node long, pivot long, n long, rare long, delta array<long>")
+        rows = kept(rows.withColumn("d", F.size("delta").cast("long")).withColumn("f", F.col("d") * both - F.col("n") * less), parts)
         lowest = rows.groupBy("pivot").agg(F.min(F.struct("f", "node")).alias("m")).select("pivot", F.col("m.f").alias("mf"), F.col("m.node").alias("m"))
-        rows = rows.join(lowest, "pivot")
-        plain = rows.where((F.col("f") + F.col("mf") <= 0) & (F.col("node") != F.col("m"))).select(F.col("node").alias("u"), F.col("m").alias("v"))
+        plain = rows.select("node", "pivot", "f").join(lowest, "pivot").where((F.col("f") + F.col("mf") <= 0) & (F.col("node") != F.col("m"))).select(F.col("node").alias("u"), F.col("m").alias("v"))
         plain = kept(plain if labels is None else plain.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))), parts)
         labels = kept(components(plain), parts)
+        placed = self.labelled(rows, labels)
+        # The lowest f of a group, and the lowest one outside of that node's component.
+        least = placed.groupBy("pivot", "component").agg(F.min("f").alias("f"))
+        first = least.groupBy("pivot").agg(F.min(F.struct("f", "component")).alias("first"))
+        second = least.join(first, "pivot").where(F.col("component") != F.col("first.component")).groupBy("pivot", "first").agg(F.min("f").alias("second"))
+        placed = placed.join(second, "pivot").withColumn("other", F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.f")))
         asked = lambda f, g: F.greatest(F.lit(1), F.ceil((f + g) / (2 * both)))
-        tokens = self.labelled(rows.drop("n", "m"), labels).withColumn("token", F.explode("delta")).drop("delta")
-        tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("pivot", "token")))
-        tokens = tokens.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))).where((F.col("df") > 1) & (F.col("place") <= F.col("d") - asked(F.col("f"), F.col("mf")) + 1))
-        tokens = kept(tokens.select("pivot", "token", "node", "component", "d", "f", "place"), parts)
-        sides = [tokens.select("pivot", "token", F.col("node").alias(e), *(F.col(c).alias(f"{e}_{c}") for c in ("component", "d", "f", "place"))) for e in "uv"]
-        least = asked(F.col("u_f"), F.col("v_f"))
-        met = sides[0].join(sides[1], ["pivot", "token"]).where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")) & (F.col("u_place") <= F.col("u_d") - least + 1) & (F.col("v_place") <= F.col("v_d") - least + 1))
+        needs = F.greatest(asked(F.col("f"), F.col("other")), F.ceil((F.col("f") * self.num - F.col("n") * less * self.den) / (self.num * both)))
+        length = (F.col("d") - needs + 1).cast("int")
+        prefixes = kept(placed.where(length > 0).select("node", "pivot", "component", "d", "f", "rare", F.slice("delta", F.lit(1), length).alias("prefix")), parts)
+        n_tokens = prefixes.agg(F.sum(F.size("prefix"))).first()[0]
+        if not n_tokens:
+            return labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        deals = max(parts, -(-n_tokens // DEALT_ROWS))
+        blocks = gathered(prefixes.mapInArrow(_dealt(deals), "part long, block binary"), 1 if deals == 1 else None)
+        blocks = blocks.sortWithinPartitions("part") if deals == 1 else blocks.repartition("part").sortWithinPartitions("part")
+        tokens = kept(blocks.mapInArrow(_met(deals), ", ".join(f"{c} long" for c in DEALT.names)), parts)
+        sides = [tokens.select("token", *(F.col(c).alias(e if c == "node" else f"{e}_{c}") for c in DEALT.names[1:])) for e in "uv"]
+        share = asked(F.col("u_f"), F.col("v_f"))
+        met = sides[0].join(sides[1], "token").where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")) & (F.col("u_place") <= F.col("u_d") - share + 1) & (F.col("v_place") <= F.col("v_d") - share + 1))
         pairs = met.select("u", "v", "u_component", "v_component").distinct()
         held = pairs.join(rows.select(F.col("node").alias("u"), F.col("delta").alias("ud"), F.col("f").alias("uf")), "u").join(rows.select(F.col("node").alias("v"), F.col("delta").alias("vd"), F.col("f").alias("vf")), "v")
         shared = held.where(F.col("uf") + F.col("vf") <= 2 * both * F.size(F.array_intersect("ud", "vd"))).select("u_component", "v_component").distinct()

@@ -1,5 +1,6 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import collections
 import itertools
 import random
 
@@ -199,6 +200,42 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert joined(spark, rows) == plain_components(rows)
 
 
+def matrix_components(rows):
+    """As plain_components(), for many rows of ids and at least five words: all pairs at once, by the matrix of the tokens that several sets have."""
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for _, t in rows]
+    number = {g: k for k, (g, n) in enumerate(collections.Counter(g for s in sets for g in s).items()) if n > 1}
+    number = {g: k for k, g in enumerate(number)}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[g] for g in s if g in number]] = 1
+    both, n = has @ has.T, np.array([len(s) for s in sets])
+    near = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    np.fill_diagonal(near, True)
+    least = np.arange(len(rows))
+    while True:
+        now = np.array([least[near[i]].min() for i in range(len(rows))])
+        if (now == least).all():
+            return sorted(((i, int(k), rows[m][0]) for (i, _), k, m in zip(rows, n, least, strict=True)), key=str)
+        least = now
+
+
+@pytest.mark.parametrize("edits", [(1, 2, 3, 4, 5, 6), (6,), (3, 4)])
+def test_thousands_of_edited_copies(spark, edits):
+    """Groups in which many, few and no copies are linked, some of them in two variants of one text, against all pairs."""
+    rng = random.Random(len(edits))
+    base = [f"b{k}" for k in range(200)]
+    variant = base[:60] + [f"c{k}" for k in range(60)] + base[120:]
+    rows = []
+    for i in range(2000):
+        t = list(variant if i % 3 == 0 else base)
+        for _ in range(rng.choice(edits)):
+            t[rng.randrange(200)] = f"x{rng.randrange(100)}" if i % 2 else f"y{i}"
+        rows.append((i, " ".join(t[rng.randrange(9) :] if i % 5 == 0 else t)))
+    want = matrix_components(rows)
+    assert 10 < len({r[2] for r in want}) <= 2000
+    assert joined(spark, rows) == want
+
+
 def test_large_groups_of_repeated_rows(spark):
     """All rows of a large group repeated, some of them with different texts of one id: the copies change no prefix, and no link is lost."""
     rng = random.Random(11)
