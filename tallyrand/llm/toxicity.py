@@ -2,24 +2,30 @@
 
 Categories are predicted one after the other. Each category's linear model sees a text's words and word beginnings and the probabilities of
 all earlier categories; for training, those probabilities are out-of-fold predictions, so that a later model meets the same errors that it will meet on new texts.
+The penalty leaves few terms with a weight, so a text is scored from the terms that it shares with them, once for all categories.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed
 
-WORDS, TERMS, FEATURES = "_words", "_terms", "_features"
-#: The bounded sample is fitted in so many partitions, so that a step of the solver sends that many gradients and shuffles none.
-FIT_PARTITIONS = 4
+WORDS, TERMS, FEATURES, FOLD = "words", "terms", "features", "fold"
+#: Rows of the sample to a partition: a step of the solver sends one gradient for each partition.
+FIT_ROWS = 2000
 #: A word's beginning stands for its inflected and compounded forms.
 STEM = 4
 
@@ -32,81 +38,121 @@ def words(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Chain:
-    """One model per category, in order; None in place of terms where no labelled text had a word."""
+    """For each category, in order: the terms' weights, the earlier categories' weights and the constant. thresholds: where out-of-fold probabilities part each category best."""
 
     categories: tuple[str, ...]
-    terms: CountVectorizerModel | None
-    models: tuple[LogisticRegressionModel, ...]
+    terms: tuple[str, ...]
+    weights: tuple[tuple[float, ...], ...]
+    earlier: tuple[tuple[float, ...], ...]
+    constants: tuple[float, ...]
+    thresholds: tuple[float, ...]
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with a double column p_<category> for each category; 0 where no labelled text had a word.
+        """docs with a double column p_<category> for each category.
 
-        Null and empty texts have no words and get the models' constants. Rows stay as they are; columns of the names p_<category> are replaced.
+        Null and empty texts have no words and get the models' constants. Rows stay as they are, repeated ones too; columns of the names p_<category>, in any case, are replaced;
+        other columns may have any name.
         """
-        if self.terms is None:
-            return docs.withColumns({f"p_{c}": F.lit(0.0) for c in self.categories})
-        out = self.terms.transform(docs.withColumn(WORDS, words(F.col(text_col)))).drop(WORDS)
-        for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            out = _probability(model, _assembled(out, self.categories[:i]), category)
-        return out.drop(TERMS)
-
-
-def _assembled(rows: DataFrame, earlier: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=[TERMS, *(f"p_{c}" for c in earlier)], outputCol=FEATURES).transform(rows)
-
-
-def _probability(model: LogisticRegressionModel, rows: DataFrame, category: str) -> DataFrame:
-    out = model.transform(rows).withColumn(f"p_{category}", vector_to_array(F.col("_p"))[1])
-    return out.drop("_p", "_raw", "_predicted", FEATURES)
-
-
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, folds: int = 3, vocabulary: int = 20_000, least_docs: int = 5, penalty: float = 3e-4, iterations: int = 30) -> Chain:
+        names = [f"p_{c}" for c in self.categories]
+        # The row goes along as one column, so no working column can clash with its names.
+        out = docs.select(F.struct(*docs.columns).alias("row"), (F.array_intersect(words(F.col(text_col)), F.lit(list(self.terms))) if self.terms else F.lit(None)).alias("hits"))
+        for i, name in enumerate(names):
+            score = F.lit(self.constants[i])
+            if any(self.weights[i]):
+                score = score + _summed("hits", {t: w for t, w in zip(self.terms, self.weights[i], strict=True) if w})
+            for j, w in enumerate(self.earlier[i]):
+                score = score + w * F.col(f"p{j}")
+            out = out.withColumn(f"p{i}", 1 / (1 + F.exp(-score)))
+        kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+        return out.select(*kept, *(F.col(f"p{i}").alias(n) for i, n in enumerate(names)))
+
+
+def _summed(hits: str, weights: dict[str, float]) -> Column:
+    """The sum of the weights of an array's terms."""
+    held = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    return F.aggregate(hits, F.lit(0.0), lambda total, term: total + F.coalesce(F.try_element_at(held, term), F.lit(0.0)))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where the shares of ones and of zeros that lie on their side add up to most, midway on the logit scale between two of the values; of several such places the widest. 0.5 with one class only."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(p, kind="stable")
+    p, y = np.clip(p[order], 1e-12, 1 - 1e-12), y[order]
+    logit = np.log(p / (1 - p))
+    gaps = np.flatnonzero(np.diff(logit) > 0)  # a cut between places i and i + 1
+    if not len(gaps):
+        return 0.5
+    right = np.cumsum(1 - y)[gaps] / (len(y) - y.sum()) + (y.sum() - np.cumsum(y)[gaps]) / y.sum()
+    best = gaps[right > right.max() - 1e-12]
+    at = best[np.argmax(logit[best + 1] - logit[best])]
+    return 1 / (1 + math.exp(-(logit[at] + logit[at + 1]) / 2))
+
+
+def _at_once(jobs: Sequence[Callable[[], object]]) -> list:
+    """The results of jobs that run side by side, as each step of a solver keeps few cores busy."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, folds: int = 3, vocabulary: int = 20_000, least_docs: int = 3, penalty: float = 3e-4, iterations: int = 30) -> Chain:
     """A chain over ``categories``, 0/1 columns of labels (id, categories), for the texts of docs.
 
-    It is fitted on a bounded sample: the ``sample_rows`` labelled ids lowest by a hash. Labels with a null id or a null category are left out;
-    of repeated labels of an id one counts, the highest value of each category. A category that has one value only is predicted as that value.
-    The penalty is on absolute weights: terms that don't matter get none, so the many rare terms of a long text add nothing up.
+    It is fitted on a bounded sample: the ``sample_rows`` labelled ids lowest by a hash, whole texts. Its terms are those of the sample that ``least_docs`` of its texts have,
+    the ``vocabulary`` most frequent ones at most. Labels with a null id or a null category are left out;
+    of repeated labels of an id one counts, the highest value of each category. A category that has one value only is predicted as that value; without any term all
+    probabilities are 0. The penalty is on absolute weights: terms that don't matter get none, so the many rare terms of a long text add nothing up.
     """
     labelled = labels.where(F.col(id_col).isNotNull() & F.greatest(*(F.col(c).isNull().cast("int") for c in [*categories, categories[0]])).eqNullSafe(0))
-    labelled = labelled.groupBy(id_col).agg(*(F.max(c).cast("double").alias(c) for c in categories))
-    picked = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
+    labelled = labelled.groupBy(F.col(id_col).alias("id")).agg(*(F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)))
+    picked = labelled.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     # At most sample_rows ids, which bounds what is broadcast.
-    texts = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(picked), id_col)
-    sample = texts.select(*categories, words(F.col("_text")).alias(WORDS), F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(folds)).alias("_fold"))
-    # Without a word to learn from there is no model. Few rows keep all their terms.
-    n_words = sample.where(F.size(WORDS) > 0).limit(20 * least_docs).count()
-    if not n_words:
-        return Chain(tuple(categories), None, ())
-    terms = CountVectorizer(inputCol=WORDS, outputCol=TERMS, vocabSize=vocabulary, minDF=float(least_docs if n_words >= 20 * least_docs else 1), binary=True).fit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(folds))
+    sample = texts.select(*(f"y{i}" for i in range(len(categories))), words(F.col("text")).alias(WORDS), fold.alias(FOLD))
+    frequent = sample.select(F.explode(F.array_distinct(WORDS)).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    if frequent.isEmpty():
+        none = tuple(() for _ in categories)
+        return Chain(tuple(categories), (), none, none, tuple(-math.inf for _ in categories), tuple(0.5 for _ in categories))
+    terms = CountVectorizer(inputCol=WORDS, outputCol=TERMS, vocabSize=vocabulary, minDF=float(least_docs), binary=True).fit(sample)
     # The vectors are small beside the words, so only they are kept for the fits.
-    rows = checkpointed(terms.transform(sample).drop(WORDS).coalesce(FIT_PARTITIONS))
-    in_fold = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
+    rows = checkpointed(terms.transform(sample).drop(WORDS))
+    in_fold = {r[FOLD]: r["count"] for r in rows.groupBy(FOLD).count().collect()}
     n = sum(in_fold.values())
+    parts = -(-n // FIT_ROWS)
+    rows = rows.coalesce(parts)
     models: list[LogisticRegressionModel] = []
-    for i, category in enumerate(categories):
-        learner = LogisticRegression(featuresCol=FEATURES, labelCol=category, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_predicted", family="binomial", regParam=penalty, elasticNetParam=1.0, maxIter=iterations)
-        ready = _assembled(rows, categories[:i])
-        models.append(learner.fit(ready))
-        if i + 1 < len(categories):
-            held = []
-            for k in range(folds):
-                # A fold that holds all rows leaves none to learn from; its rows then get the full model's values.
-                own = learner.fit(ready.where(F.col("_fold") != k)) if in_fold.get(k, 0) < n else models[-1]
-                held.append(_probability(own, ready.where(F.col("_fold") == k), category))
-            rows = held[0]
-            for other in held[1:]:
-                rows = rows.unionByName(other)
-            rows = checkpointed(rows.coalesce(FIT_PARTITIONS))
-    return Chain(tuple(categories), terms, tuple(models))
-
-
-def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.02, **options) -> DataFrame:
-    """docs with p_low_quality, p_toxic and toxic (p_toxic of ``threshold`` or more, and a letter in the text), learnt from labels (doc_id, quality 0/1, toxic 0/1).
-
-    The penalty shrinks all weights, so a text with a single toxic term scores low: on held-out labels clean texts stay under 0.004 and toxic ones
-    over 0.03, and the threshold lies between.
+    thresholds: list[float] = []
+    for i in range(len(categories)):
+        learner = LogisticRegression(featuresCol=FEATURES, labelCol=f"y{i}", probabilityCol="p", rawPredictionCol="raw", predictionCol="predicted", family="binomial", regParam=penalty, elasticNetParam=1.0, maxIter=iterations)
+        ready = VectorAssembler(inputCols=[TERMS, *(f"p{j}" for j in range(i))], outputCol=FEATURES).transform(rows)
+        # A fold that holds all rows leaves none to learn from; its rows then get the full model's values.
+        apart = [k for k in range(folds) if 0 < in_fold.get(k, 0) < n]
+        whole, *others = _at_once([lambda d=d: learner.fit(d) for d in (ready, *(ready.where(F.col(FOLD) != k) for k in apart))])
+        models.append(whole)
+        own = dict(zip(apart, others, strict=True))
+        held = [own.get(k, whole).transform(ready.where(F.col(FOLD) == k)) for k in in_fold]
+        held = [h.withColumn(f"p{i}", vector_to_array(F.col("p"))[1]).drop("p", "raw", "predicted", FEATURES) for h in held]
+        rows = checkpointed(reduce(DataFrame.unionByName, held)).coalesce(parts)
+        found = np.array(rows.select(f"p{i}", f"y{i}").collect())  # sample_rows at most
+        thresholds.append(best_threshold(found[:, 0], found[:, 1]))
+    weights = [m.coefficients.toArray() for m in models]
+    size = len(terms.vocabulary)
+    some = [k for k in range(size) if any(w[k] for w in weights)]
+    return Chain(
+        tuple(categories), tuple(terms.vocabulary[k] for k in some), tuple(tuple(float(w[k]) for k in some) for w in weights),
+        tuple(tuple(map(float, w[size:])) for w in weights), tuple(float(m.intercept) for m in models), tuple(thresholds),
+    )
+
+
+def score(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, **options) -> DataFrame:
+    """docs (doc_id, text, ...) with p_low_quality, p_toxic and toxic, learnt from labels (doc_id, quality 0/1, toxic 0/1) by fit() with ``options``.
+
+    toxic: p_toxic is ``threshold`` or more, by default the one that parts the sample's out-of-fold probabilities best, and the text has a letter. The penalty shrinks all
+    weights, so that threshold may be far below one half. Null and empty texts and texts without a letter are never toxic; neither is any text where the labels give no
+    model. Rows are judged one by one, also repeated ones and those with null or repeated ids; columns named p_low_quality, p_toxic or toxic are replaced, all others are kept whatever their names; an empty table stays empty.
     """
     marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic"))
     chain = fit(docs, marks, ["low_quality", "toxic"], **options)
     has_words = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return chain.predict(docs).withColumn("toxic", has_words & (F.col("p_toxic") >= threshold))
+    return chain.predict(docs).withColumn("toxic", has_words & (F.col("p_toxic") >= (chain.thresholds[1] if threshold is None else threshold)))
