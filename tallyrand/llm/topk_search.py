@@ -1,18 +1,19 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
-Vectors are dealt into shards of a bounded number of rows; each shard becomes a KD-tree (median splits on the widest side,
-tight bounding boxes). Queries come in blocks. For a block and a group of shards, every query walks the trees best box first: a box's
+Vectors are dealt into shards of a bounded number of rows, a few shards to a task; each shard becomes a KD-tree (median splits on the widest side,
+tight bounding boxes), and all queries of its length stream past the task's trees. Every query walks them best box first: a box's
 bound is the largest inner product that any of its points could have, and boxes below the query's k-th score so far are skipped. That k-th score is
-carried from shard to shard, and a first pass over one shard per block gives all groups a score to start from.
+carried from tree to tree, and a first pass, in which each query meets one task's trees, gives all others a score to start from.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,65 +86,72 @@ class Tree:
                     heapq.heapreplace(best, (s, -i))
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.concatenate(column.to_list()).astype(np.int64).reshape(len(column), dim) if dim else np.zeros((len(column), 0), np.int64)
-
-
-def _search(k: int, columns: list[str]):
-    def found(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(queries) and len(rows):
-            dim = len(queries["q"].iloc[0])
-            points = _matrix(queries["q"], dim)
-            heaps: list[list] = [[] for _ in points]
-            floors = queries["floor"].to_numpy() if "floor" in columns else [None] * len(points)
-            for _, shard in rows.groupby("shard"):
-                tree = Tree(_matrix(shard["v"], dim), shard["vec_id"].to_numpy(np.int64))
-                for j, (q, i, heap) in enumerate(zip(points, queries["query_id"].tolist(), heaps, strict=True)):
-                    start = floors[j]
-                    if len(heap) < k and start is not None and not pd.isna(start):
-                        # what an earlier pass proved: k rows of at least this score exist, so lower ones cannot be wanted
-                        known = [(int(start) - 1, 0)] * (k - len(heap))
-                        mine = sorted(heap + known)
-                        heapq.heapify(mine)
-                        tree.search(q, i, k, mine)
-                        heaps[j] = [x for x in mine if x[0] >= int(start)]
-                        heapq.heapify(heaps[j])
-                    else:
-                        tree.search(q, i, k, heap)
-            out = [(i, -neg, s) for i, heap in zip(queries["query_id"].tolist(), heaps, strict=True) for s, neg in heap]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    return found
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: int = 4096, block_rows: int = 4096, shards_per_task: int = 4) -> DataFrame:
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
+
+
+def _answers(trees: list[Tree], ids: list[int], points: np.ndarray, floors: list[int | None], k: int) -> pa.RecordBatch:
+    """(query_id, vec_id, score) of the best k of all trees for each query; floors: scores that k rows are known to reach."""
+    out: list[tuple[int, int, int]] = []
+    for i, q, floor in zip(ids, points, floors, strict=True):
+        # A row below the floor can't be wanted; stand-ins just below it end as soon as they are all that is left.
+        heap = [] if floor is None else [(floor - 1, 0)] * k
+        for tree in trees:
+            tree.search(q, i, k, heap)
+        out += [(i, -neg, s) for s, neg in heap if floor is None or s >= floor]
+    columns = zip(*out, strict=True) if out else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def _streamed(k: int):
+    """Rows (task, dim, is_query, shard, id, v, floor) in the order of the first four: a task's vectors become trees, then its queries stream past them, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        trees: list[Tree] = []
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            task, dim, asks, shard = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+            heads = np.flatnonzero(np.append(True, (np.diff(task) != 0) | (np.diff(dim) != 0) | (np.diff(asks) != 0) | (np.diff(shard) != 0)))
+            for lo, hi in itertools.pairwise([*heads.tolist(), len(task)]):
+                if now != (task[lo], dim[lo]):
+                    now, trees, held = (task[lo], dim[lo]), [], []
+                ids, points = batch.column(4).slice(lo, hi - lo), _rows(batch.column(5).slice(lo, hi - lo), int(dim[lo]))
+                if not asks[lo]:
+                    held.append((int(shard[lo]), points, ids.to_numpy()))
+                    continue
+                for _, parts in itertools.groupby(held, lambda h: h[0]):
+                    _, p, i = zip(*parts, strict=True)
+                    trees.append(Tree(np.concatenate(p), np.concatenate(i)))
+                held = []
+                if trees:
+                    yield _answers(trees, ids.to_pylist(), points, batch.column(6).slice(lo, hi - lo).to_pylist(), k)
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, shard_rows: int = 4096, shards_per_task: int = 4) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products among all other rows.
 
     vectors and queries: (vec_id long, v array<long>), as scaled() makes them; null ids or vectors take no part, a query meets only
     vectors of its own length and not rows of its own id. Ties go to the smaller vec_id; repeated rows are candidates each; of repeated queries of one id the
     smallest vector counts. With fewer than k rows all are returned. Scores are exact while they fit a long. Empty tables give an empty result.
+    A task holds the trees of its own shards and some queries at a time. Every query goes to every task once, after one task has given it a score to start from.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v", F.size("v").alias("dim"))
-    asked = queries.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = asked.groupBy("query_id").agg(F.min("q").alias("q")).withColumn("dim", F.size("q"))
-    sizes = rows.select(F.lit(0).alias("what")).union(asked.select(F.lit(1))).groupBy("what").count().collect()
-    n_rows, n_asked = (sum(r["count"] for r in sizes if r["what"] == w) for w in (0, 1))
-    n_shards, n_blocks = -(-n_rows // shard_rows) or 1, -(-n_asked // block_rows) or 1
-    groups = -(-n_shards // shards_per_task)
-    key = F.xxhash64("vec_id")
-    rows = rows.withColumn("shard", F.pmod(key, F.lit(n_shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    # First pass: one shard for each block gives a k-th score that bounds all others from below.
-    first = asked.withColumn("shard", F.pmod(F.col("block"), F.lit(n_shards)).cast("int"))
-    per = -(-n_blocks // n_shards)
-    seen = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(per - 1)))).withColumn("block", (F.col("shard") + F.col("block") * n_shards).cast("int")).where(F.col("block") < n_blocks)
-    begun = first.groupBy("dim", "block").cogroup(seen.groupBy("dim", "block")).applyInPandas(_search(k, []), FOUND)
-    floor = begun.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
-    # Second pass: every block against every group of shards, each group once per block.
-    many = asked.join(floor, "query_id", "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    dealt = rows.withColumn("group", F.floor(F.col("shard") / shards_per_task).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    found = many.groupBy("dim", "block", "group").cogroup(dealt.groupBy("dim", "block", "group")).applyInPandas(_search(k, ["floor"]), FOUND)
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").alias("id"), "v", F.size("v").alias("dim"))
+    asked = queries.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).groupBy(F.col("vec_id").alias("id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    n_tasks = -(-rows.count() // (shard_rows * shards_per_task)) or 1
+    dealt = F.pmod(F.xxhash64("id"), F.lit(n_tasks * shards_per_task))
+    trees = rows.select(F.floor(dealt / shards_per_task).alias("task"), "dim", F.lit(False).alias("is_query"), dealt.alias("shard"), "id", "v", F.lit(None).cast("long").alias("floor"))
+
+    def answered(by_task: DataFrame) -> DataFrame:
+        """by_task: (task, id, v, dim, floor)"""
+        both = trees.unionByName(by_task.select("task", "dim", F.lit(True).alias("is_query"), F.lit(0).cast("long").alias("shard"), "id", "v", "floor"))
+        placed = both.repartition(n_tasks, "task").sortWithinPartitions("task", "dim", "is_query", "shard")
+        return placed.mapInArrow(_streamed(k), FOUND)
+
+    first = answered(asked.withColumns({"task": F.pmod(F.xxhash64("id", F.lit("first")), F.lit(n_tasks)), "floor": F.lit(None).cast("long")}))
+    floor = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
+    found = answered(asked.join(floor, "id", "left").withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tasks - 1).cast("long")))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
