@@ -157,9 +157,13 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(digests(), DIGEST_SCHEMA)
 
 
-def digest(segments: DataFrame) -> DataFrame:
-    """What format_events() wrote, read back: one row per conversation. It takes the rows as format_events() leaves them."""
-    return segments.mapInArrow(read_back, DIGESTS)
+def digest(segments: DataFrame, *, in_order: bool = False) -> DataFrame:
+    """What format_events() wrote, read back: one row per conversation.
+
+    in_order: the rows stand as format_events() leaves them, without a write in between; otherwise they are brought into that order first.
+    """
+    rows = segments if in_order else segments.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+    return rows.mapInArrow(read_back, DIGESTS)
 
 
 def as_log(messages: DataFrame) -> DataFrame:

@@ -29,15 +29,17 @@ def letters() -> np.ndarray:
 
 
 def mark(text: str, row: np.ndarray) -> bool:
-    """Sets row[b] = 1 for the bucket of every n-gram that is present in the text; False if it has no letter. Runs of other characters count as one space."""
-    found = False
+    """Sets row[b] = 1 for the bucket of every n-gram that is present in the text; False if it has no letter. Runs of other characters, and the text's ends, count as one space.
+
+    Long texts are read a slice at a time, each with the last characters of the one before.
+    """
+    found, carried = False, np.full(1, 32, np.uint32)
     for at in range(0, len(text), SLICE):
-        codes = np.frombuffer(text[at : at + SLICE + LONGEST].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letters()[codes]
-        if not is_letter.any():
-            continue
-        found = True
-        padded = np.concatenate(([32], np.where(is_letter, codes, 32), [32])).astype(np.uint32)
+        found |= bool(is_letter.any())
+        end = [np.full(1, 32, np.uint32)] if at + SLICE >= len(text) else []
+        padded = np.concatenate([carried, np.where(is_letter, codes, 32), *end]).astype(np.uint32)
         stays = np.ones(len(padded), bool)
         stays[1:] = (padded[1:] != 32) | (padded[:-1] != 32)
         chars = padded[stays]
@@ -45,6 +47,7 @@ def mark(text: str, row: np.ndarray) -> bool:
         for n in range(min(LONGEST, len(chars))):
             total = total[:-1] + chars[n:] * FACTORS[n]
             row[(total * FACTORS[0] + np.uint32(n) * FACTORS[3]) * FACTORS[1] >> np.uint32(32 - BITS)] = 1
+        carried = chars[-(LONGEST - 1) :]
     return found
 
 
@@ -124,14 +127,14 @@ def fit(docs: DataFrame, *, sample_rows: int = 2000, n_landmarks: int = 192, rid
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(every column of docs but text, lang_pred, score): the language with the highest score of each whole text.
 
-    score: that regression's value, of -1 to 1, carried to 0 to 1. Null texts, texts without a letter and all texts where there is no model
+    score: that regression's value, of -1 to 1, carried to 0 to 1; of equal values the language that sorts first has its way. Columns named lang_pred or score, in any case, are replaced. Null texts, texts without a letter and all texts where there is no model
     get ``und`` and 0. Repeated rows are judged one by one; an empty table stays empty.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     names_in = docs.columns
     held = docs.sparkSession.sparkContext.broadcast(model)  # landmarks: bounded by their number
-    others = [i for i, c in enumerate(docs.columns) if c not in ("text", "lang_pred", "score")]
+    others = [i for i, c in enumerate(docs.columns) if c.lower() not in ("text", "lang_pred", "score")]
     at = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

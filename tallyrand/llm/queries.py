@@ -40,7 +40,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TURN).alias("text"))
-    return chat_format.digest(chat_format.format_events(chat_format.as_log(turns.unionByName(control))))
+    return chat_format.digest(chat_format.format_events(chat_format.as_log(turns.unionByName(control))), in_order=True)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
