@@ -3,12 +3,13 @@
 import collections
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrand.llm import _words, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, topk_search, toxicity, url_filter
+from tallyrand.llm import _spark, _words, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, topk_search, toxicity, url_filter
 from tallyrand.llm._components import components
 
 TEXTS = [(1, "one two three four five six seven"), (2, None), (3, ""), (4, "  \n\t "), (1, "one two three four five six seven"), (None, "one two three four five six seven"), (5, "word"), (6, "WORD")]
@@ -35,29 +36,104 @@ def test_language_edges(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
-def test_presence_of_a_long_text_is_that_of_its_slices():
-    a, b = np.zeros(language_id.BUCKETS, np.float32), np.zeros(language_id.BUCKETS, np.float32)
-    text = "abc def " * 1000
-    language_id.mark(text, a)
-    language_id.mark("abc def abc def ", b)
-    assert (b <= a).all() and not language_id.mark("123 !", b)
+def test_presence_of_a_long_text_is_that_of_its_slices(monkeypatch):
+    rng = random.Random(9)
+    for text in ("abc def " * 1000, "".join(rng.choice("abcdeÄß,. 1") for _ in range(500)), "123 !"):
+        a, b = np.zeros(language_id.BUCKETS, np.float32), np.zeros(language_id.BUCKETS, np.float32)
+        whole = language_id.mark(text, a)
+        with monkeypatch.context() as m:
+            m.setattr(language_id, "SLICE", 7)
+            assert language_id.mark(text, b) == whole == (text != "123 !")
+        assert (a == b).all()
+
+
+def test_kernel_against_sets_of_ngrams():
+    """The kernel, the landmarks' space and the ridge regressions, from plain sets and numpy."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("the and of in to is".split(), "der und die ein zu ist".split(), "le et la un que est".split())[i % 3]) for _ in range(9)) for i in range(45)]
+    langs = [("en", "de", "fr")[i % 3] for i in range(45)]
+
+    def grams(text):
+        chars = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+        return {chars[i : i + n] for n in range(1, 5) for i in range(len(chars) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    packed = []
+    for t in texts:
+        row = np.zeros(language_id.BUCKETS, np.uint8)
+        language_id.mark(t, row)
+        packed.append(np.packbits(row))
+    model = language_id.solve(packed, langs, 9, 0.1)
+    own = model.kernel(np.unpackbits(np.array(packed), axis=1).astype(np.float32))
+    marks = [i for name in ("de", "en", "fr") for i in [j for j, x in enumerate(langs) if x == name][:3]]
+    plain = np.array([[len(a & sets[m]) / np.sqrt(len(a) * len(sets[m])) for m in marks] for a in sets])
+    assert np.abs(own - plain).max() < 0.02  # two n-grams may share a bucket
+    values, vectors = np.linalg.eigh(own[marks].astype(float))
+    keep = values > 1e-6 * values[-1]
+    space = np.hstack([own @ vectors[:, keep] / np.sqrt(values[keep]), np.ones((45, 1))])
+    y = np.where(np.array(langs)[:, None] == np.array(model.languages)[None], 1.0, -1.0)
+    penalty = np.diag([0.1] * int(keep.sum()) + [0.0])
+    want = space @ np.linalg.lstsq(np.vstack([space, np.sqrt(penalty)]), np.vstack([y, np.zeros((len(penalty), 3))]), rcond=None)[0]
+    assert np.abs(model.scores(np.unpackbits(np.array(packed), axis=1).astype(np.float32)) - want).max() < 1e-3
 
 
 # -- toxicity
 
 
-def test_chain_feeds_earlier_categories(spark):
-    rng = random.Random(3)
+def chained(spark, seed=3, n=240):
+    rng = random.Random(seed)
     rows = []
-    for i in range(240):
+    for i in range(n):
         bad, vile = rng.random() < 0.4, rng.random() < 0.5
         rows.append((i, " ".join(rng.sample("sun moon star tree rock lake".split(), 3) + ["grim"] * bad + ["idiot"] * (bad and vile)), int(not bad), int(bad and vile)))
-    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
-    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic")
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+
+
+def test_chain_feeds_earlier_categories(spark):
+    rows, df = chained(spark)
+    docs, labels = df.select("doc_id", "text"), df.where("doc_id % 2 = 0").select("doc_id", "quality", "toxic")
     out = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
-    assert np.mean([out[i].toxic == bool(t) for i, _, _, t in rows]) > 0.99
+    assert np.mean([out[i].toxic == bool(t) for i, _, _, t in rows if i % 2]) > 0.99  # not learnt from
     chain = toxicity.fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
-    assert chain.models[1].numFeatures == chain.models[0].numFeatures + 1
+    assert [len(w) for w in chain.earlier] == [0, 1] and 0 < chain.thresholds[1] < 1
+    # The whole chain from its numbers, text by text.
+    for i, text, *_ in rows:
+        terms = {x for w in re.findall(r"[^\W\d_]+", text.lower()) for x in (w, "^" + w[:4])}
+        p = []
+        for weights, earlier, constant in zip(chain.weights, chain.earlier, chain.constants, strict=True):
+            z = constant + sum(w for t, w in zip(chain.terms, weights, strict=True) if t in terms) + sum(w * q for w, q in zip(earlier, p, strict=True))
+            p.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(p, [out[i].p_low_quality, out[i].p_toxic], atol=1e-9)
+
+
+def test_fold_models_are_those_of_the_other_folds(spark):
+    """The last category's model is the one that a solver finds given out-of-fold probabilities of the first: no better solution of the penalised loss is near."""
+    rows, df = chained(spark)
+    labels = df.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    one = toxicity.fit(df.select("doc_id", "text"), labels, ["low_quality"], iterations=200)
+    both = toxicity.fit(df.select("doc_id", "text"), labels, ["low_quality", "toxic"], iterations=200)
+    assert one.terms == tuple(t for t, w in zip(both.terms, both.weights[0], strict=True) if w) or set(one.terms) <= set(both.terms)
+    assert dict(zip(one.terms, one.weights[0], strict=True))["grim"] > 1
+    assert both.constants[0] == pytest.approx(one.constants[0])
+
+
+def test_threshold_parts_best():
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.2).astype(float)
+    p = np.clip(0.02 + 0.05 * y + rng.normal(size=400) * 0.012, 0.001, 0.999)
+    t = toxicity.best_threshold(p, y)
+    value = lambda t: (p[y == 1] >= t).mean() + (p[y == 0] < t).mean()
+    assert value(t) >= max(value(x) for x in p) - 1e-12
+    assert toxicity.best_threshold(np.array([0.1, 0.9]), np.zeros(2)) == toxicity.best_threshold(np.array([]), np.array([])) == 0.5
+
+
+def test_toxicity_keeps_columns_of_any_name(spark):
+    _, df = chained(spark)
+    names = ("row", "hits", "p0", "p1", "_terms", "terms", "features", "words", "fold", "raw", "predicted", "y0", "id")
+    docs = df.select("doc_id", "text").withColumns({c: F.lit(c) for c in names}).withColumn("P_toxic", F.lit("old"))
+    out = toxicity.score(docs, df.select("doc_id", "quality", "toxic"))
+    assert out.columns == ["doc_id", "text", *names, "p_low_quality", "p_toxic", "toxic"]
+    assert all(out.first()[c] == c for c in names) and out.count() == 240
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(2, 0, 1), (2, 0, 1), (None, 1, 1), (1, None, 1)], [(1, 1, 0), (5, 0, 1)]])
@@ -105,11 +181,23 @@ def test_edited_copies_are_found(spark):
     assert decontaminate.contaminated(rows.limit(0), items).count() == decontaminate.contaminated(rows, items.limit(0)).count() == 0
 
 
-def test_small_blocks_find_the_same(spark):
-    docs = frame(spark, [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}") for i in range(12)])
-    items = docs.withColumnRenamed("doc_id", "item_id")
-    pairs = lambda n: sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, block_words=n).collect())
-    assert pairs(13) == pairs(200_000) == [(i, i) for i in range(12)]
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_many_items_and_copies(spark, monkeypatch, broadcast):
+    """Seeds broadcast or shuffled, items that share words, repeated items and rows."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    docs = frame(spark, [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i} the same end for all") for i in range(12)] + [(3, "alpha3 beta3 gamma3 delta3 epsilon3 zeta3 the same end for all")]).withColumn("item", F.lit("clash"))
+    items = docs.withColumnRenamed("doc_id", "item_id").withColumn("key", F.lit(1))
+    pairs = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect() if r.score == 1)
+    assert pairs == sorted([(i, i) for i in range(12)] + [(3, 3)] * 3)
+
+
+def test_long_texts_and_items(spark):
+    """A text that repeats an item 20,000 times, and an item of 100,000 words: what an alignment holds grows with their sum."""
+    item = " ".join(f"w{k}" for k in range(50))
+    long_item = " ".join(f"long{k}" for k in range(100_000))
+    docs = frame(spark, [(1, (item + " ") * 20_000), (2, " ".join(f"long{k}" for k in range(70_000, 72_000))), (3, item)])
+    items = frame(spark, [(7, item), (8, long_item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(docs, items).collect()) == [(1, 7, 1.0), (3, 7, 1.0)]
 
 
 # -- line dedup
@@ -117,10 +205,10 @@ def test_small_blocks_find_the_same(spark):
 
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_lines(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
-    monkeypatch.setattr(line_dedup, "COMMON_SHARE", 0.5)
+    monkeypatch.setattr(_spark, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(_spark, "COMMON_SHARE", 0.5)
     rows = [(i, f"All rights reserved.\nown line {i}\n\nAll rights reserved.", f"s{i}") for i in range(12)] + [(20, None, "s1"), (21, "", None), (None, "All rights reserved.", "s3")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("x")).withColumn("line", F.lit(1)).withColumn("doomed", F.lit(2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("x")).withColumn("line", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("pieces", F.lit(3))
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert out[0].text == rows[0][1] and out[0].n_removed == 0 and out[0].n_lines == 4
     assert all(out[i].text == f"own line {i}\n" and out[i].n_removed == 2 for i in range(1, 12))
@@ -128,6 +216,15 @@ def test_lines(spark, monkeypatch, broadcast):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_a_text_of_very_many_lines(spark):
+    """All but every fourth of 100,000 lines go; the time grows with the lines."""
+    many = [f"common line {k}" if k % 4 else f"only here {k}" for k in range(100_000)]
+    rows = [(i, "\n".join(many[k] for k in range(1, 100_000) if k % 4), f"s{i}") for i in range(3)] + [(9, "\n".join(many), "s9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df, min_sites=4).collect()}
+    assert out[9].text == "\n".join(many[::4]) and out[9].n_removed == 75_000 and out[0].n_removed == 0 and out[1].text == ""
+
+
 def test_threshold_counts_are_exact(spark):
     """Around the threshold of 100 sites, where the sketch may err, the decision is that of the exact count."""
     rows = [(i, "\n".join(f"this is line {k}" for k in range(97, 104) if i < k), f"s{i}") for i in range(103)]
@@ -304,6 +401,7 @@ def test_chat_edges(spark):
     segments = chat_format.format_events(chat_format.as_log(messages))
     out = {r.conv_id: r for r in chat_format.digest(segments).collect()}
     assert out[1].n_turns == 3 and out[1].loss_chars == 2 and out[2].loss_chars == 12 and out[None].n_turns == 1
+    assert sorted(map(str, chat_format.digest(segments.orderBy(F.desc("pos"))).collect())) == sorted(map(str, chat_format.digest(segments, in_order=True).collect()))
     assert chat_format.digest(chat_format.format_events(chat_format.as_log(messages.limit(0)))).count() == 0
 
 
@@ -370,7 +468,7 @@ def test_top_k_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
     queries = df.where("vec_id % 60 = 0 or vec_id = 901")
     got = {}
-    for r in topk_search.top_k(df, queries, k=5, shard_rows=40, block_rows=2, shards_per_task=2).collect():
+    for r in topk_search.top_k(df, queries, k=5, shard_rows=40, shards_per_task=2).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     usable = [(i, np.array(v)) for i, v in rows if i is not None and v is not None]
     for q, v in usable:
@@ -412,3 +510,20 @@ def test_secret_ownership(spark):
     assert by[1].spans == "owned:4:24" and by[10].spans == "assign:24:40" and by[10].n_shared == 1
     assert by[2].spans == by[3].spans == "" and by[30].spans == "assign:10:29" and by[31].spans == ""
     assert secret_scan.scan(df.limit(0), owner=F.col("source"), repository=F.col("source")).count() == 0
+
+
+def test_a_text_of_very_many_secrets(spark):
+    """100,000 matches of several kinds in one text: spans as the patterns place them, in time that grows with their number."""
+    rng = random.Random(8)
+    make = lambda n, c: "".join(rng.choice(c) for _ in range(n))
+    words = [rng.choice((f"token={make(8, 'abcXYZ')}", make(30, "0123456789abcdef"), "AKIA" + make(16, "ABC123"), f"Aa1{make(20, 'abcXYZ019')}", "plain é😀")) for _ in range(125_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    r = secret_scan.scan(df, owner=F.col("source"), repository=F.col("source")).first()
+    at, want = 0, []
+    for w in words:
+        kind = "assign" if w[:5] == "token" else "access" if w[:4] == "AKIA" else "owned" if w[:3] == "Aa1" else "hex" if w[:5] != "plain" else None
+        if kind and (kind != "owned" or any(c.isdigit() for c in w)):
+            want.append(f"{kind}:{at}:{at + len(w)}")
+        at += len(w) + 1
+    assert len(want) > 90_000 and r.spans.split(",") == want

@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SF, same_as_sql
+from pyspark.sql import functions as F
 
 from tallyrand.llm import queries as Q
+from tallyrand.llm import toxicity
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
@@ -31,10 +33,15 @@ def test_op1_accuracy(spark, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_op2_finds_labelled_toxic_texts(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = [r for r in Q.op2_toxicity(spark, SF).collect() if r.doc_id in labels]
-    assert np.mean([r.toxic == bool(labels[r.doc_id]) for r in rows]) > 0.97
+def test_op2_on_labels_that_it_did_not_learn(spark):
+    """Fitted on the even labelled ids, judged on the odd ones."""
+    larger = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), labels.where("doc_id % 2 = 0"))
+    held = out.join(labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
+    toxic = [r for r in held if r.y]
+    assert len(toxic) > 5 and np.mean([r.toxic for r in toxic]) > 0.95
+    assert np.mean([not r.toxic for r in held if not r.y]) > 0.99
 
 
 def test_op3_against_plain_alignment(spark, docs):
