@@ -8,17 +8,19 @@ The penalty leaves few terms with a weight, so a text is scored from the terms t
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import regex
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import checkpointed
@@ -28,12 +30,13 @@ WORDS, TERMS, FEATURES, FOLD = "words", "terms", "features", "fold"
 FIT_ROWS = 2000
 #: A word's beginning stands for its inflected and compounded forms.
 STEM = 4
+WORD = regex.compile(r"\p{L}+")
 
 
-def words(text: Column) -> Column:
-    """The words of a text and, marked by ^, their beginnings; none for null."""
-    found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", -1), lambda w: w != "")
-    return F.concat(found, F.transform(found, lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM))))
+def terms_of(text: str | None) -> set[str]:
+    """The words of a text, lower-cased, and, marked by ^, their beginnings; none for null."""
+    found = set(WORD.findall((text or "").lower()))
+    return found | {"^" + w[:STEM] for w in found}
 
 
 @dataclass(frozen=True)
@@ -47,34 +50,38 @@ class Chain:
     constants: tuple[float, ...]
     thresholds: tuple[float, ...]
 
+    def probabilities(self, texts: Iterable[str | None]) -> np.ndarray:
+        """One row for each text, one column for each category."""
+        place = {t: i for i, t in enumerate(self.terms)}
+        weights = np.array(self.weights).reshape(len(self.categories), -1).T
+        score = np.array([weights[[place[t] for t in terms_of(x) if t in place]].sum(0) for x in texts]).reshape(-1, len(self.categories)) + self.constants
+        out = np.empty(score.shape)
+        for i, earlier in enumerate(self.earlier):
+            z = score[:, i] + (out[:, :i] @ np.array(earlier) if earlier else 0.0)
+            out[:, i] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        return out if self.terms else np.zeros(score.shape)
+
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """docs with a double column p_<category> for each category.
 
         Null and empty texts have no words and get the models' constants. Rows stay as they are, repeated ones too; columns of the names p_<category>, in any case, are replaced;
         other columns may have any name.
         """
+        held = docs.sparkSession.sparkContext.broadcast(self)  # at most ``vocabulary`` terms
+
+        @F.pandas_udf(", ".join(f"p{i} double" for i in range(len(self.categories))))
+        def judged(text: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(held.value.probabilities(text), columns=[f"p{i}" for i in range(len(held.value.categories))])
+
         names = [f"p_{c}" for c in self.categories]
         # The row goes along as one column, so no working column can clash with its names.
-        out = docs.select(F.struct(*docs.columns).alias("row"), (F.array_intersect(words(F.col(text_col)), F.lit(list(self.terms))) if self.terms else F.lit(None)).alias("hits"))
-        for i, name in enumerate(names):
-            score = F.lit(self.constants[i])
-            if any(self.weights[i]):
-                score = score + _summed("hits", {t: w for t, w in zip(self.terms, self.weights[i], strict=True) if w})
-            for j, w in enumerate(self.earlier[i]):
-                score = score + w * F.col(f"p{j}")
-            out = out.withColumn(f"p{i}", 1 / (1 + F.exp(-score)))
+        out = docs.select(F.struct(*docs.columns).alias("row"), judged(F.col(text_col).cast("string")).alias("p"))
         kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-        return out.select(*kept, *(F.col(f"p{i}").alias(n) for i, n in enumerate(names)))
-
-
-def _summed(hits: str, weights: dict[str, float]) -> Column:
-    """The sum of the weights of an array's terms."""
-    held = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    return F.aggregate(hits, F.lit(0.0), lambda total, term: total + F.coalesce(F.try_element_at(held, term), F.lit(0.0)))
+        return out.select(*kept, *(F.col(f"p.p{i}").alias(n) for i, n in enumerate(names)))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where the shares of ones and of zeros that lie on their side add up to most, midway on the logit scale between two of the values; of several such places the widest. 0.5 with one class only."""
+    """Where fewest ones lie below and zeros above, midway on the logit scale between two of the values; of several such places the widest. 0.5 with one class only."""
     if not 0 < y.sum() < len(y):
         return 0.5
     order = np.argsort(p, kind="stable")
@@ -83,25 +90,29 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     gaps = np.flatnonzero(np.diff(logit) > 0)  # a cut between places i and i + 1
     if not len(gaps):
         return 0.5
-    right = np.cumsum(1 - y)[gaps] / (len(y) - y.sum()) + (y.sum() - np.cumsum(y)[gaps]) / y.sum()
-    best = gaps[right > right.max() - 1e-12]
+    wrong = np.cumsum(y)[gaps] + (len(y) - y.sum()) - np.cumsum(1 - y)[gaps]
+    best = gaps[wrong == wrong.min()]
     at = best[np.argmax(logit[best + 1] - logit[best])]
     return 1 / (1 + math.exp(-(logit[at] + logit[at + 1]) / 2))
 
 
+def _words(text: pd.Series) -> pd.Series:
+    return pd.Series([list(terms_of(x)) for x in text], dtype=object)
+
+
 def _at_once(jobs: Sequence[Callable[[], object]]) -> list:
     """The results of jobs that run side by side, as each step of a solver keeps few cores busy."""
     with ThreadPoolExecutor(len(jobs)) as pool:
         return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, folds: int = 3, vocabulary: int = 20_000, least_docs: int = 3, penalty: float = 3e-4, iterations: int = 30) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, folds: int = 3, vocabulary: int = 20_000, least_docs: int = 3, penalty: float = 3.6, iterations: int = 30) -> Chain:
     """A chain over ``categories``, 0/1 columns of labels (id, categories), for the texts of docs.
 
     It is fitted on a bounded sample: the ``sample_rows`` labelled ids lowest by a hash, whole texts. Its terms are those of the sample that ``least_docs`` of its texts have,
     the ``vocabulary`` most frequent ones at most. Labels with a null id or a null category are left out;
     of repeated labels of an id one counts, the highest value of each category. A category that has one value only is predicted as that value; without any term all
-    probabilities are 0. The penalty is on absolute weights: terms that don't matter get none, so the many rare terms of a long text add nothing up.
+    probabilities are 0. The penalty, ``penalty`` over the number of sampled texts, is on absolute weights: terms that don't matter get none, so the many rare terms of a long text add nothing up.
     """
     labelled = labels.where(F.col(id_col).isNotNull() & F.greatest(*(F.col(c).isNull().cast("int") for c in [*categories, categories[0]])).eqNullSafe(0))
     labelled = labelled.groupBy(F.col(id_col).alias("id")).agg(*(F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)))
@@ -109,8 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
     # At most sample_rows ids, which bounds what is broadcast.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(folds))
-    sample = texts.select(*(f"y{i}" for i in range(len(categories))), words(F.col("text")).alias(WORDS), fold.alias(FOLD))
-    frequent = sample.select(F.explode(F.array_distinct(WORDS)).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    sample = texts.select(*(f"y{i}" for i in range(len(categories))), F.pandas_udf(_words, "array<string>")(F.col("text")).alias(WORDS), fold.alias(FOLD))
+    sample = checkpointed(sample)  # read several times
+    frequent = sample.select(F.explode(WORDS).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     if frequent.isEmpty():
         none = tuple(() for _ in categories)
         return Chain(tuple(categories), (), none, none, tuple(-math.inf for _ in categories), tuple(0.5 for _ in categories))
@@ -124,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
     models: list[LogisticRegressionModel] = []
     thresholds: list[float] = []
     for i in range(len(categories)):
-        learner = LogisticRegression(featuresCol=FEATURES, labelCol=f"y{i}", probabilityCol="p", rawPredictionCol="raw", predictionCol="predicted", family="binomial", regParam=penalty, elasticNetParam=1.0, maxIter=iterations)
+        learner = LogisticRegression(featuresCol=FEATURES, labelCol=f"y{i}", probabilityCol="p", rawPredictionCol="raw", predictionCol="predicted", family="binomial", regParam=penalty / n, elasticNetParam=1.0, maxIter=iterations)
         ready = VectorAssembler(inputCols=[TERMS, *(f"p{j}" for j in range(i))], outputCol=FEATURES).transform(rows)
         # A fold that holds all rows leaves none to learn from; its rows then get the full model's values.
         apart = [k for k in range(folds) if 0 < in_fold.get(k, 0) < n]
@@ -134,13 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
         held = [own.get(k, whole).transform(ready.where(F.col(FOLD) == k)) for k in in_fold]
         held = [h.withColumn(f"p{i}", vector_to_array(F.col("p"))[1]).drop("p", "raw", "predicted", FEATURES) for h in held]
         rows = checkpointed(reduce(DataFrame.unionByName, held)).coalesce(parts)
-        found = np.array(rows.select(f"p{i}", f"y{i}").collect())  # sample_rows at most
-        thresholds.append(best_threshold(found[:, 0], found[:, 1]))
+        scored = np.array(rows.select(f"p{i}", f"y{i}").collect())  # sample_rows at most
+        thresholds.append(best_threshold(scored[:, 0], scored[:, 1]))
     weights = [m.coefficients.toArray() for m in models]
-    size = len(terms.vocabulary)
+    found = terms.vocabulary
+    size = len(found)
     some = [k for k in range(size) if any(w[k] for w in weights)]
     return Chain(
-        tuple(categories), tuple(terms.vocabulary[k] for k in some), tuple(tuple(float(w[k]) for k in some) for w in weights),
+        tuple(categories), tuple(found[k] for k in some), tuple(tuple(float(w[k]) for k in some) for w in weights),
         tuple(tuple(map(float, w[size:])) for w in weights), tuple(float(m.intercept) for m in models), tuple(thresholds),
     )
 
