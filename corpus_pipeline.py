@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrand.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
-from tallyrand.llm._spark import checkpointed, clean_name, shared_dir, table
+from tallyrand.llm._spark import checkpointed, clean_name, removed, shared_dir, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,11 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all of ``documents``."""
+    """The rows of the last stage over all of ``documents``. Only the last stage's files stay; each other stage's go once the next one's are written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
