@@ -45,9 +45,15 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number's digits with zeros before them up to ``width``; longer numbers keep all their digits."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))
+
+
 def entity_id(prefix: str, number: Column) -> Column:
-    """prefix_000001 and so on."""
-    return F.concat(F.lit(prefix + "_"), F.lpad(number.cast("string"), 6, "0"))
+    """prefix_000001 and so on, with more digits from a million on."""
+    return F.concat(F.lit(prefix + "_"), padded(number, 6))
 
 
 def band(x: Column, edges: Sequence[tuple[float, str]], above: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.random import choice, fast_uniform, geometric, normal, poisson
-from ..functions.scalars import clipped, entity_id, mapped, sigmoid
+from ..functions.scalars import clipped, entity_id, mapped, padded, sigmoid
 from ..sources.tables import materialised
 from . import motifs as V
 
@@ -161,10 +161,10 @@ def simulate(spark: SparkSession, world: LeadWorld) -> dict[str, DataFrame]:
     # Leads and their histories are read by six tables; their expressions are deep, so they are computed once.
     history = materialised(histories(materialised(made["leads"]), world))
     active = days(history, world)
-    event_id = lambda prefix, *parts: F.concat_ws("_", F.lit(prefix), F.lpad(F.col("lead_no").cast("string"), 9, "0"), F.lpad(F.col("day").cast("string"), 3, "0"), *parts)
+    event_id = lambda prefix, *parts: F.concat_ws("_", F.lit(prefix), padded(F.col("lead_no"), 9), padded(F.col("day"), 3), *parts)
     touch = active.where("n_touches > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_touches"))))
     touches = touch.select(
-        event_id("touch", F.lpad(F.col("k").cast("string"), 2, "0")).alias("touch_id"), "lead_id", F.col("at").alias("touch_timestamp"), pick(_draw(world, "touch_type", F.col("k")), V.TOUCH_TYPES).alias("touch_type"),
+        event_id("touch", padded(F.col("k"), 2)).alias("touch_id"), "lead_id", F.col("at").alias("touch_timestamp"), pick(_draw(world, "touch_type", F.col("k")), V.TOUCH_TYPES).alias("touch_type"),
         F.col("first_touch_channel").alias("touch_channel"), F.when(F.col("first_touch_channel") == "inbound_marketing", "inbound").otherwise("outbound").alias("touch_direction"), F.lit(None).cast("string").alias("campaign_id"),
     )
     late = F.col("stage").isin(*SALES_STAGES)

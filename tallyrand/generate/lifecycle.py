@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.random import choice, fast_uniform, normal
-from ..functions.scalars import clipped, entity_id
+from ..functions.scalars import clipped, entity_id, padded
 from ..sources.tables import materialised
 from . import motifs as V
 
@@ -32,7 +32,7 @@ class LifecycleWorld:
     n_accounts: int = 1500
     start: str = "2022-01-03"
     start_weeks: int = 52
-    weeks: int = 156
+    weeks: int = 182  # 52 weeks of starts, the default cutoff and 730 days behind it
 
     def __post_init__(self) -> None:
         if self.motif not in V.LIFECYCLE:
@@ -59,6 +59,7 @@ def gauss(seed: int, purpose: int, customer: np.ndarray, week: int) -> np.ndarra
 
 
 def _poisson(u: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """By inverting the distribution function; counts above 15, of which rates under 2 give fewer than one in a billion, count as 15."""
     p = np.exp(-rate)
     total, k = p.copy(), np.zeros(len(u), np.int64)
     for i in range(1, 16):
@@ -184,7 +185,7 @@ def simulate(spark: SparkSession, world: LifecycleWorld) -> dict[str, DataFrame]
 
     log = materialised(who.mapInArrow(run, EVENTS)).join(who.select("customer_no", "customer_id", "customer_start_at"), "customer_no")
     log = log.withColumn("at", F.date_format(F.date_add(F.col("customer_start_at").cast("date"), F.col("week") * 7), "yyyy-MM-dd"))
-    numbered = lambda prefix: F.concat_ws("_", F.lit(prefix), F.lpad(F.col("customer_no").cast("string"), 9, "0"), F.lpad(F.col("week").cast("string"), 3, "0"))
+    numbered = lambda prefix: F.concat_ws("_", F.lit(prefix), padded(F.col("customer_no"), 9), padded(F.col("week"), 3))
     sub = F.concat(F.lit("sub_"), F.substring("customer_id", 6, 20))
     events = log.where("kind = 'event'").select(F.concat_ws("_", numbered("evt"), "event_type").alias("event_id"), sub.alias("subscription_id"), "customer_id", F.col("at").alias("event_timestamp"), "event_type", F.col("before").alias("mrr_before"), F.col("after").alias("mrr_after"), F.when(F.col("event_type") == "churn", F.col("status")).alias("churn_reason"))
     health = log.where("kind = 'health'").select(numbered("sig").alias("signal_id"), "customer_id", F.col("at").alias("period_start"), F.col("users").alias("active_users"), F.col("depth").alias("feature_depth_score"), F.col("tickets").alias("support_tickets"), F.col("nps").alias("nps_score"))

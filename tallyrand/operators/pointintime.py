@@ -28,16 +28,14 @@ def with_day(events: DataFrame, anchors: DataFrame, key: str, ts: str) -> DataFr
     return events.join(anchors.select(key, "anchor"), key).withColumn("day", at).where(F.col("day").isNotNull())
 
 
-def touch_features(events: DataFrame, key: str, window: int | None, kinds: Mapping[str, Column]) -> DataFrame:
+def touch_features(events: DataFrame, key: str, window: int | None, kinds: Mapping[str, Column], horizon: int = 90) -> DataFrame:
     """Counts and recencies of events(key, day, ...) up to day ``window``; total_all counts the whole history, as a trap.
 
     first_week: days 0 to 7, last_week: the seven days up to the window's end; both within the window. Without a window, all events count
-    and last_week ends at the last day of each entity's events.
+    and last_week is that up to day ``horizon``.
     """
     inside = F.lit(True) if window is None else F.col("day") <= window
-    end = F.lit(window) if window is not None else F.col("day_end")
-    if window is None:
-        events = events.join(events.groupBy(key).agg(F.max("day").alias("day_end")), key)
+    end = F.lit(horizon if window is None else window)
     count = lambda c: F.count_if(c)
     return events.groupBy(key).agg(
         count(inside).alias("n_events"),
@@ -55,11 +53,11 @@ def onto_spine(spine: DataFrame, features: DataFrame, key: str, counts: Sequence
     return spine.join(features, key, "left").fillna(0, list(counts))
 
 
-def windowed_snapshot(spine: DataFrame, events: DataFrame, *, key: str, ts: str, window: int | None, kinds: Mapping[str, Column], anchors: DataFrame | None = None) -> DataFrame:
-    """One row per entity of the spine: touch_features() with days_since_first and days_since_last as of the window's end."""
+def windowed_snapshot(spine: DataFrame, events: DataFrame, *, key: str, ts: str, window: int | None, kinds: Mapping[str, Column], anchors: DataFrame | None = None, horizon: int = 90) -> DataFrame:
+    """One row per entity of the spine: touch_features() with days_since_first and days_since_last as of the window's end, or of day ``horizon`` without one."""
     anchors = first_days(events, key, ts) if anchors is None else anchors
-    found = touch_features(with_day(events, anchors, key, ts), key, window, kinds)
-    end = F.lit(window) if window is not None else F.col("last_day")
+    found = touch_features(with_day(events, anchors, key, ts), key, window, kinds, horizon)
+    end = F.lit(horizon if window is None else window)
     found = found.withColumns({"days_since_first": end - F.col("first_day"), "days_since_last": end - F.col("last_day")}).drop("first_day", "last_day")
     return onto_spine(spine, found, key, [c for c in found.columns if c.startswith("n_") or c in ("first_week", "last_week", "total_all")])
 

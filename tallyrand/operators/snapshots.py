@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..generate.motifs import REVENUE_MIDPOINT
 from .pointintime import SnapshotError, open_at
+from .sampling import distorted
 
 
 @dataclass(frozen=True)
@@ -22,82 +23,76 @@ class Feature:
     redacted_in: tuple[str, ...] = ()
 
 
-def _features(text: str) -> tuple[Feature, ...]:
-    """Features from lines of: name dtype [role] [+ for non-negative] [!mode for redacted]."""
-    out = []
-    for line in text.split("\n"):
-        if parts := line.split():
-            name, dtype, *rest = parts
-            out.append(Feature(name, dtype, next((r for r in rest if r[0] not in "+!"), "feature"), "+" in rest, tuple(r[1:] for r in rest if r[0] == "!")))
-    return tuple(out)
-
-
 # The columns of the lead snapshot, in order.
-LEAD_FEATURES = _features("""
-account_id string key
-industry string
-region string
-employee_band string
-estimated_revenue_band string
-process_maturity_band string
-contact_id string key
-role_function string
-seniority string
-buyer_role string
-lead_id string key
-lead_created_at string
-lead_source string
-current_stage string !public
-is_sql boolean !public
-touch_count long +
-inbound_touch_count long +
-outbound_touch_count long +
-session_count long +
-pricing_page_views long +
-demo_page_views long +
-total_session_duration_seconds long +
-touches_days_0_7 long +
-touches_last_7_days long +
-days_since_first_touch double +
-activity_count long +
-days_since_last_touch double +
-opportunity_created boolean
-has_open_opportunity boolean
-opportunity_estimated_acv double +
-expected_acv double +
-total_touches_all long trap +
-converted_within_90_days boolean target
-""")
+LEAD_FEATURES = (
+    Feature("account_id", "string", role="key"),
+    Feature("industry", "string"),
+    Feature("region", "string"),
+    Feature("employee_band", "string"),
+    Feature("estimated_revenue_band", "string"),
+    Feature("process_maturity_band", "string"),
+    Feature("contact_id", "string", role="key"),
+    Feature("role_function", "string"),
+    Feature("seniority", "string"),
+    Feature("buyer_role", "string"),
+    Feature("lead_id", "string", role="key"),
+    Feature("lead_created_at", "string"),
+    Feature("lead_source", "string"),
+    Feature("current_stage", "string", redacted_in=("public",)),
+    Feature("is_sql", "boolean", redacted_in=("public",)),
+    Feature("touch_count", "long", non_negative=True),
+    Feature("inbound_touch_count", "long", non_negative=True),
+    Feature("outbound_touch_count", "long", non_negative=True),
+    Feature("session_count", "long", non_negative=True),
+    Feature("pricing_page_views", "long", non_negative=True),
+    Feature("demo_page_views", "long", non_negative=True),
+    Feature("total_session_duration_seconds", "long", non_negative=True),
+    Feature("touches_days_0_7", "long", non_negative=True),
+    Feature("touches_last_7_days", "long", non_negative=True),
+    Feature("days_since_first_touch", "double", non_negative=True),
+    Feature("activity_count", "long", non_negative=True),
+    Feature("days_since_last_touch", "double", non_negative=True),
+    Feature("opportunity_created", "boolean"),
+    Feature("has_open_opportunity", "boolean"),
+    Feature("opportunity_estimated_acv", "double", non_negative=True),
+    Feature("expected_acv", "double", non_negative=True),
+    Feature("total_touches_all", "long", role="trap", non_negative=True),
+    Feature("converted_within_90_days", "boolean", role="target"),
+)
 # The columns of the customer snapshot, in order.
-CUSTOMER_FEATURES = _features("""
-customer_id string key
-account_id string key
-industry string
-region string
-employee_band string
-estimated_revenue_band string
-tenure_weeks long +
-initial_plan string
-initial_mrr long +
-current_mrr long +
-mrr_change_at_snapshot long
-renewal_count long +
-expansion_count long +
-contract_term_months long +
-weeks_to_next_renewal long +
-avg_active_users_l12w double +
-active_user_trend_l12w double
-avg_feature_depth_l12w double +
-support_ticket_count_l12w long +
-last_nps_score long +
-payment_failure_count long +
-weeks_since_last_payment_failure long +
-mrr_change_full_period long trap
-ltv_revenue_90d double target
-ltv_revenue_365d double target
-ltv_revenue_730d double target
-churned_within_180d boolean target
-""")
+CUSTOMER_FEATURES = (
+    Feature("customer_id", "string", role="key"),
+    Feature("account_id", "string", role="key"),
+    Feature("industry", "string"),
+    Feature("region", "string"),
+    Feature("employee_band", "string"),
+    Feature("estimated_revenue_band", "string"),
+    Feature("tenure_weeks", "long", non_negative=True),
+    Feature("initial_plan", "string"),
+    Feature("initial_mrr", "long", non_negative=True),
+    Feature("current_mrr", "long", non_negative=True),
+    Feature("mrr_change_at_snapshot", "long"),
+    Feature("renewal_count", "long", non_negative=True),
+    Feature("expansion_count", "long", non_negative=True),
+    Feature("contract_term_months", "long", non_negative=True),
+    Feature("weeks_to_next_renewal", "long", non_negative=True),
+    Feature("avg_active_users_l12w", "double", non_negative=True),
+    Feature("active_user_trend_l12w", "double"),
+    Feature("avg_feature_depth_l12w", "double", non_negative=True),
+    Feature("support_ticket_count_l12w", "long", non_negative=True),
+    Feature("last_nps_score", "long", non_negative=True),
+    Feature("payment_failure_count", "long", non_negative=True),
+    Feature("weeks_since_last_payment_failure", "long", non_negative=True),
+    Feature("mrr_change_full_period", "long", role="trap"),
+    Feature("ltv_revenue_90d", "double", role="target"),
+    Feature("ltv_revenue_365d", "double", role="target"),
+    Feature("ltv_revenue_730d", "double", role="target"),
+    Feature("churned_within_180d", "boolean", role="target"),
+)
+
+
+#: The longest target window of the customer snapshot.
+TARGET_DAYS = 730
 
 
 def catalogue(df: DataFrame, features: tuple[Feature, ...]) -> DataFrame:
@@ -114,8 +109,26 @@ def single_target(df: DataFrame, features: tuple[Feature, ...], target: str) ->
     return df.drop(*(f.name for f in features if f.role == "target" and f.name != target))
 
 
-def lead_snapshot(t: Mapping[str, DataFrame], *, window: int | None = 30) -> DataFrame:
-    """A lead world at ``window`` days after each lead's creation; None: at the end, over all events.
+@dataclass(frozen=True)
+class Difficulty:
+    """How far a snapshot is distorted: noise in deviations, shares of missing cells and of outliers."""
+
+    noise: float = 0.0
+    missing: float = 0.0
+    outliers: float = 0.0
+
+
+def made_difficult(df: DataFrame, features: tuple[Feature, ...], key: str, difficulty: Difficulty, seed: int) -> DataFrame:
+    """A snapshot of ``features`` with distorted() numbers: noise and outliers in the doubles, missing cells in doubles and counts; keys, traps and targets stay as they are."""
+    own = [f for f in features if f.role == "feature" and f.name in df.columns]
+    doubles, counts = ([f.name for f in own if f.dtype == t] for t in ("double", "long"))
+    if not (difficulty.noise or difficulty.missing or difficulty.outliers):
+        return df
+    return distorted(df, key, doubles, noise=difficulty.noise, missing=difficulty.missing, outliers=difficulty.outliers, seed=seed, non_negative=[f.name for f in own if f.non_negative], counts=counts)
+
+
+def lead_snapshot(t: Mapping[str, DataFrame], *, window: int | None = 30, horizon: int = 90) -> DataFrame:
+    """A lead world at ``window`` days after each lead's creation; None: ``horizon`` days after it, with all events.
 
     All event tables become one narrow table and are aggregated together: one shuffle by lead, whatever the number of tables.
     """
@@ -134,17 +147,16 @@ def lead_snapshot(t: Mapping[str, DataFrame], *, window: int | None = 30) -> Dat
     anchors = t["leads"].select("lead_id", S.day_of(F.col("lead_created_at")).alias("anchor"))
     dated = events.join(anchors, "lead_id").withColumn("day", F.datediff(S.day_of(F.col("ts")), F.col("anchor"))).where(F.col("day").isNotNull())
     inside = F.lit(True) if window is None else F.col("day") <= window
-    end = F.lit(window) if window is not None else F.lit(None).cast("int")
+    end = F.lit(horizon if window is None else window)
     is_ = lambda kind: F.col("kind") == kind
     touch, session, deal = is_("touch") & inside, is_("session") & inside, is_("opportunity") & inside
-    cutoff = F.date_add("anchor", end) if window is not None else F.lit("9999-12-31").cast("date")
+    cutoff = F.date_add("anchor", end)
     open_ = is_("opportunity") & open_at(S.day_of(F.col("ts")), S.day_of(F.col("closed")), cutoff)
     last = F.max(F.when(touch, F.col("day")))
-    ends = end if window is not None else last
     per = dated.groupBy("lead_id").agg(
         F.count_if(touch).alias("touch_count"), F.count_if(touch & F.col("flag")).alias("inbound_touch_count"), F.count_if(touch & ~F.col("flag")).alias("outbound_touch_count"),
         F.count_if(session).alias("session_count"), F.sum(F.when(session, F.col("a"))).alias("pricing_page_views"), F.sum(F.when(session, F.col("b"))).alias("demo_page_views"), F.sum(F.when(session, F.col("c"))).alias("total_session_duration_seconds"),
-        F.count_if(touch & (F.col("day") <= 7)).alias("touches_days_0_7"), (F.count_if(touch & (F.col("day") > end - 7)) if window is not None else F.lit(0)).alias("touches_last_7_days"), (ends - F.min(F.when(touch, F.col("day")))).alias("days_since_first_touch"), F.count_if(is_("activity") & inside).alias("activity_count"), (ends - last).alias("days_since_last_touch"),
+        F.count_if(touch & (F.col("day") <= 7)).alias("touches_days_0_7"), F.count_if(touch & (F.col("day") > end - 7)).alias("touches_last_7_days"), (end - F.min(F.when(touch, F.col("day")))).alias("days_since_first_touch"), F.count_if(is_("activity") & inside).alias("activity_count"), (end - last).alias("days_since_last_touch"),
         F.bool_or(deal).alias("opportunity_created"), F.bool_or(open_).alias("has_open_opportunity"), F.min_by("a", F.when(open_ & F.col("a").isNotNull(), F.struct("ts", "tie"))).alias("opportunity_estimated_acv"), F.count_if(is_("touch")).alias("total_touches_all"),
     )
     counts = [f.name for f in LEAD_FEATURES if f.dtype == "long"]
@@ -154,19 +166,21 @@ def lead_snapshot(t: Mapping[str, DataFrame], *, window: int | None = 30) -> Dat
     return catalogue(out, LEAD_FEATURES)
 
 
-def customer_snapshot(t: Mapping[str, DataFrame], *, cutoff: str | None = None, tenure_weeks: int | None = None, horizon: str | None = None) -> DataFrame:
+def customer_snapshot(t: Mapping[str, DataFrame], *, cutoff: str | None = None, tenure_weeks: int | None = None, weeks: int | None = None) -> DataFrame:
     """A lifecycle world at one date for all, or ``tenure_weeks`` after each customer's start. Customers who hadn't started or had churned by then are left out.
 
-    horizon: the last simulated day; a cutoff whose targets would reach beyond it raises.
+    weeks: how many weeks each customer was simulated for, from its start; a cutoff whose targets, of up to TARGET_DAYS, would reach beyond that for any customer raises, as they would be cut short.
     """
     if (cutoff is None) == (tenure_weeks is None):
         raise SnapshotError("either a cutoff or a tenure is needed")
     who = t["customers"].join(t["subscriptions"].select("customer_id", "churn_at"), "customer_id")
     start = S.day_of(F.col("customer_start_at"))
     who = who.withColumns({"start": start, "cutoff": F.lit(cutoff).cast("date") if cutoff else F.date_add(start, tenure_weeks * 7), "churn": S.day_of(F.col("churn_at"))})
-    if horizon and cutoff and cutoff > horizon:
-        raise SnapshotError("the cutoff lies after the last simulated day")
     who = who.where((F.col("start") <= F.col("cutoff")) & (F.col("churn").isNull() | (F.col("churn") > F.col("cutoff"))))
+    if weeks is not None:
+        short = who.where(F.date_add("cutoff", TARGET_DAYS) > F.date_add("start", weeks * 7)).agg(F.count("*").alias("n"), F.min("start").alias("start")).first()
+        if short["n"]:
+            raise SnapshotError(f"{weeks} weeks from {short['start']} on don't cover {TARGET_DAYS} days behind the cutoff; the targets of {short['n']} customers would be cut short")
     pad = {"kind": "string", "ts": "string", "what": "string", "a": "long", "b": "double", "c": "long"}
 
     def rows(name: str, kind: str, ts: str, **values: Column) -> DataFrame:

@@ -43,9 +43,9 @@ def _as_longs(df: DataFrame, *rest: str) -> DataFrame:
 _ANCHORED = "WITH a AS (SELECT user_id, CAST(min(ts) AS DATE) AS anchor FROM events GROUP BY user_id), e AS (SELECT e.user_id, event_type, CAST(ts AS DATE) - anchor AS day, event_id, value, ts FROM events e JOIN a USING (user_id))"
 _SNAPSHOT = (
     _ANCHORED
-    + """, m AS (SELECT user_id, max(day) AS day_end FROM e GROUP BY user_id), f AS (SELECT user_id, count(*) FILTER (WHERE {inside}) AS n_events, count(*) FILTER (WHERE {inside} AND event_type = 'view') AS n_views,
+    + """, f AS (SELECT user_id, count(*) FILTER (WHERE {inside}) AS n_events, count(*) FILTER (WHERE {inside} AND event_type = 'view') AS n_views,
  count(*) FILTER (WHERE {inside} AND event_type = 'click') AS n_clicks, count(*) FILTER (WHERE {inside} AND day <= 7) AS first_week, count(*) FILTER (WHERE {inside} AND day > {end} - 7) AS last_week,
- {endagg} - min(day) FILTER (WHERE {inside}) AS days_since_first, {endagg} - max(day) FILTER (WHERE {inside}) AS days_since_last, count(*) AS total_all FROM e JOIN m USING (user_id) GROUP BY user_id)
+ {endagg} - min(day) FILTER (WHERE {inside}) AS days_since_first, {endagg} - max(day) FILTER (WHERE {inside}) AS days_since_last, count(*) AS total_all FROM e GROUP BY user_id)
 SELECT c_custkey, coalesce(n_events, 0) AS n_events, coalesce(n_views, 0) AS n_views, coalesce(n_clicks, 0) AS n_clicks, coalesce(first_week, 0) AS first_week, coalesce(last_week, 0) AS last_week,
  coalesce(total_all, 0) AS total_all, days_since_first, days_since_last FROM customer LEFT JOIN f ON user_id = c_custkey"""
 )
@@ -58,9 +58,10 @@ def snapshot_windowed(spark: SparkSession, d: str) -> DataFrame:
     return _as_longs(out)
 
 
-@query(_SNAPSHOT.format(inside="true", end="day_end", endagg="max(day_end)"))
+@query(_SNAPSHOT.format(inside="true", end="20", endagg="20"))
 def snapshot_full_horizon(spark: SparkSession, d: str) -> DataFrame:
-    out = P.windowed_snapshot(read_table(spark, d, "customer", ["c_custkey"]), _touches(spark, d), key="c_custkey", ts="ts", window=None, kinds=_kinds())
+    """Features over all events, as of the horizon: twenty days after the first event."""
+    out = P.windowed_snapshot(read_table(spark, d, "customer", ["c_custkey"]), _touches(spark, d), key="c_custkey", ts="ts", window=None, kinds=_kinds(), horizon=20)
     return _as_longs(out)
 
 

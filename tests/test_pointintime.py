@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrand import api
 from tallyrand.generate import leads, lifecycle
 from tallyrand.operators import pointintime as P
 from tallyrand.operators import snapshots as N
@@ -114,6 +115,35 @@ def test_lead_snapshot_catalogue_and_monotone(lead_tables):
     assert both.count() == 60 and both.where("x > y or y <> t").count() == 0
 
 
+def test_whole_history_is_as_of_the_horizon(lead_tables):
+    """Without a window recencies and the last week end at the horizon, not at the last touch."""
+    touches, leads_ = ([r.asDict() for r in lead_tables[t].collect()] for t in ("touches", "leads"))
+    made = {r["lead_id"]: dt.date.fromisoformat(r["lead_created_at"][:10]) for r in leads_}
+    days = {}
+    for r in touches:
+        days.setdefault(r["lead_id"], []).append((dt.date.fromisoformat(r["touch_timestamp"][:10]) - made[r["lead_id"]]).days)
+    for r in N.lead_snapshot(lead_tables, window=None, horizon=90).collect():
+        own = days.get(r.lead_id, [])
+        assert r.touches_last_7_days == sum(d > 83 for d in own)
+        assert (r.days_since_first_touch, r.days_since_last_touch) == ((90 - min(own), 90 - max(own)) if own else (None, None))
+
+
+def test_tiers_distort_their_snapshots(spark, lead_tables):
+    plain = N.lead_snapshot(lead_tables, window=30).cache()
+    out = {t: {r.lead_id: r for r in N.made_difficult(plain, N.LEAD_FEATURES, "lead_id", d, 42).collect()} for t, d in api.DIFFICULTIES.items()}
+    was = {r.lead_id: r for r in plain.collect()}
+    gone = lambda rows: sum(r[f.name] is None and was[i][f.name] is not None for i, r in rows.items() for f in N.LEAD_FEATURES)
+    assert 0 < gone(out["intro"]) < gone(out["intermediate"]) < gone(out["advanced"])
+    for rows in out.values():
+        assert rows.keys() == was.keys()
+        for f in N.LEAD_FEATURES:
+            for i, r in rows.items():
+                if f.role != "feature" or f.dtype not in ("double", "long"):
+                    assert r[f.name] == was[i][f.name]
+                elif f.dtype == "long":
+                    assert r[f.name] in (None, was[i][f.name])
+
+
 def test_world_rules(lead_tables):
     t = lead_tables
     assert t["customers"].count() == t["leads"].where("current_stage = 'closed_won'").count()
@@ -154,7 +184,10 @@ def test_customer_snapshot_guards(customer_tables):
     with pytest.raises(P.SnapshotError):
         N.customer_snapshot(customer_tables)
     with pytest.raises(P.SnapshotError):
-        N.customer_snapshot(customer_tables, cutoff="2030-01-01", horizon="2025-01-01")
+        N.customer_snapshot(customer_tables, cutoff="2024-06-03", weeks=182)
+    with pytest.raises(P.SnapshotError):
+        N.customer_snapshot(customer_tables, tenure_weeks=80, weeks=182)
+    assert N.customer_snapshot(customer_tables, cutoff="2023-06-05", weeks=182).count() > 0
     early = N.customer_snapshot(customer_tables, tenure_weeks=4)
     assert {r.tenure_weeks for r in early.select("tenure_weeks").distinct().collect()} == {4}
 
