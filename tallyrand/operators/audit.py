@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Distinct non-null keys of child that parent lacks, with the number of rows of each."""
@@ -56,21 +58,16 @@ def split_overlap(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     return per.select(F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("n_shared"))
 
 
-def signature(columns: Sequence[str], decimals: Mapping[str, int] | None = None) -> Column:
-    """One text for a row's values: doubles rounded half to even, nulls as <null>."""
-    decimals = decimals or {}
-    parts = [F.bround(F.col(c), decimals[c]) if c in decimals else F.col(c) for c in columns]
-    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("<null>")) for p in parts))
-
-
-def near_duplicate_rows(rows: DataFrame, columns: Sequence[str], decimals: Mapping[str, int], split: str = "split") -> DataFrame:
-    """split_overlap() of whole rows, rounded; rows without any value are left out."""
-    some = F.coalesce(*(F.col(c).cast("string") for c in columns)).isNotNull()
-    return split_overlap(rows.where(some).withColumn("_sig", F.sha2(signature(columns, decimals), 256)), "_sig", split)
+def near_duplicate_rows(rows: DataFrame, columns: Sequence[str], decimals: int = 4, split: str = "split") -> DataFrame:
+    """split_overlap() of rows by their numbers, rounded half to even: what isn't a number is missing, and rows with none are left out."""
+    number = [F.bround(F.col(c).try_cast("double"), decimals) for c in columns]
+    # Zero has one sign here, and what is missing is told from what isn't.
+    signature = F.concat_ws("|", *(F.coalesce((x + 0.0).cast("string"), F.lit("<null>")) for x in number))
+    return split_overlap(rows.where(F.coalesce(*number).isNotNull()).withColumn("_sig", F.sha2(signature, 256)), "_sig", split)
 
 
 def label_drift(rows: DataFrame, label: str, split: str = "split") -> DataFrame:
-    """(left, right, drift): differences of the label's rate between splits; null labels count as false."""
+    """(left, right, drift): differences of the label's rate between splits; null labels count as false. Those above a tolerance are the caller's to filter."""
     rates = rows.groupBy(split).agg(F.avg(F.coalesce(F.col(label).cast("int"), F.lit(0))).alias("rate"))
     a, b = rates.select(F.col(split).alias("left"), F.col("rate").alias("a")), rates.select(F.col(split).alias("right"), F.col("rate").alias("b"))
     # One row per split on either side.
@@ -84,6 +81,32 @@ def differing(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str
     return counts.unpivot([], list(columns), "column", "n_differing")
 
 
+def label_profile(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
+    """(label, n, mean_<c>, median_<c>, ...): what each value of a label goes with. Counts per value come first, so no task gets all values of a label."""
+    out = df.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
+    for c in columns:
+        per = df.where(F.col(c).isNotNull()).groupBy(label, F.col(c).alias("_v")).agg(F.count("*").alias("_f"))
+        medians = per.groupBy(label).agg(F.percentile("_v", 0.5, F.col("_f")).alias(f"median_{c}"))
+        out = out.join(F.broadcast(medians), out[label].eqNullSafe(medians[label]), "left").drop(medians[label])
+    return out
+
+
+def identical_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(signature, columns): the names of the columns that hold the same values in the same rows, sorted and joined by commas; one pass, by sums of the rows' hashes of each column."""
+    row = F.xxhash64(*df.columns)
+    one = df.agg(*(F.sum(F.xxhash64(row, F.coalesce(F.col(c).cast("string"), F.lit("<null>"))).cast("decimal(38,0)")).cast("string").alias(c) for c in columns))
+    return one.unpivot([], list(columns), "column", "signature").groupBy("signature").agg(F.array_join(F.sort_array(F.collect_list("column")), ",").alias("columns"))
+
+
+def relational_features(leads: DataFrame, opportunities: DataFrame, customers: DataFrame, subscriptions: DataFrame, *, key: str = "lead_id", value: str = "estimated_acv") -> DataFrame:
+    """(key, n_opps, max_acv, mean_acv, n_customers, n_subscriptions) of every lead, 0 where it has none: what the tables tell about a lead by joins alone."""
+    per = opportunities.groupBy(key).agg(F.count("opportunity_id").alias("n_opps"), F.max(value).alias("max_acv"), F.avg(value).alias("mean_acv"))
+    bought = customers.select("customer_id", "opportunity_id").join(opportunities.select("opportunity_id", key), "opportunity_id")
+    out = leads.select(key).join(per, key, "left").join(bought.groupBy(key).agg(F.count("*").alias("n_customers")), key, "left")
+    out = out.join(subscriptions.select("customer_id").join(bought, "customer_id").groupBy(key).agg(F.count("*").alias("n_subscriptions")), key, "left")
+    return out.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("n_opps", "max_acv", "mean_acv", "n_customers", "n_subscriptions")))
+
+
 def null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, null_rate), from one pass."""
     return df.agg(*(F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns)).unpivot([], list(columns), "column", "null_rate")
@@ -95,11 +118,12 @@ def repeated_rows(df: DataFrame) -> DataFrame:
 
 
 def value_stats(df: DataFrame, column: str) -> DataFrame:
+    """(min, mean, median, p95, p99, max, share_at_max), one row; quantiles are exact."""
     c = F.col(column)
     top = df.agg(F.max(c).alias("top"))
     at_top = df.crossJoin(F.broadcast(top)).agg(F.avg((c == F.col("top")).cast("int")).alias("share_at_max"))  # top: one row
-    stats = df.agg(F.min(c).alias("min"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.95).alias("p95"), F.percentile(c, 0.99).alias("p99"), F.max(c).alias("max"))
-    return stats.crossJoin(at_top)
+    stats = df.agg(F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"))
+    return stats.crossJoin(quantiles(df, column, {"median": 0.5, "p95": 0.95, "p99": 0.99})).crossJoin(at_top).select("min", "mean", "median", "p95", "p99", "max", "share_at_max")
 
 
 def group_rates(df: DataFrame, group: str, label: Column, least: int = 0) -> DataFrame:

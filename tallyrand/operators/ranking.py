@@ -1,31 +1,50 @@
 """Ranks over whole tables, and metrics of scored rows.
 
-A global order is made without a single task: rows are dealt into ranges of the first key by quantiles, ranked within each range, and each range gets the
+A global order is made without a single task: rows are dealt into ranges of the keys by quantiles, ranked within each range, and each range gets the
 number of rows before it. The ranges and their sizes are a few hundred rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranges(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
-    """df with _range, which grows with the double column ``key``; rows of equal keys share a range. Null keys come last."""
+#: Rows that are looked at for each range to choose where ranges end.
+LOOKED_AT = 32
+
+
+def _ranges(df: DataFrame, key: str, ties: Sequence[Column | str] = (), parts: int | None = None) -> DataFrame:
+    """df with _range, which grows with the double column ``key``. Null keys come last.
+
+    Ranges end at quantiles of a bounded sample, the rows of the lowest hashes; rows of equal keys share a range, unless the sample shows that one key has several ranges' worth of rows: it is then
+    cut into ranges by ``ties``. Another sample gives other ranges, never another order.
+    """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.approxQuantile(key, [i / n for i in range(1, n)], 0.5 / n) if n > 1 else []
-    splits = [-math.inf, *sorted({x for x in found if math.isfinite(x)}), math.inf]
-    keyed = df.withColumn("_nan", F.coalesce(F.col(key), F.lit(math.nan)))  # what is not a number has a range of its own, the last
-    return Bucketizer(splits=splits, inputCol="_nan", outputCol="_range", handleInvalid="keep").transform(keyed).drop("_nan")
+    if n <= 1:
+        return df.withColumn("_range", F.lit(0.0))
+    keyed = df.withColumns({"_nan": F.coalesce(F.col(key), F.lit(math.nan)), "_tie": F.struct(F.col(key).isNull().alias("last"), *ties)})  # what is not a number has a range of its own, the last
+    looked = keyed.select("_nan", "_tie").orderBy(F.xxhash64("_nan", "_tie")).limit(n * LOOKED_AT)
+    at = F.row_number().over(Window.orderBy("_nan", "_tie"))  # of at most n * LOOKED_AT rows
+    cuts = looked.withColumns({"_at": at, "_of": F.count("*").over(Window.partitionBy())}).where(F.col("_at") % F.ceil(F.col("_of") / n) == 0).groupBy("_nan").agg(F.sort_array(F.collect_list("_tie")).alias("_inner"))
+    found = sorted(r["_nan"] for r in cuts.select("_nan").collect() if math.isfinite(r["_nan"]))
+    splits = [-math.inf, *(found or [0.0]), math.inf]
+    out = Bucketizer(splits=splits, inputCol="_nan", outputCol="_bucket", handleInvalid="keep").transform(keyed)
+    # A bucket begins at one of the cuts; its rows of that very key come first.
+    inside = F.lit(n + 1)
+    if ties:
+        out = out.join(F.broadcast(cuts.where(F.size("_inner") > 1)), "_nan", "left")
+        inside = F.when(F.col("_inner").isNull(), inside).otherwise(F.size(F.filter("_inner", lambda x: x <= F.col("_tie"))))
+    return out.withColumn("_range", F.col("_bucket") * (n + 2) + inside).drop("_nan", "_tie", "_bucket", "_inner")
 
 
 def ranked(df: DataFrame, key: Column, ties: Sequence[Column | str], *, descending: bool = False, rank: str = "rn", total: str | None = None) -> DataFrame:
     """df with ``rank``: 1, 2, ... in the order of the numeric ``key`` and then ``ties``; null keys last. ``total``: also the number of rows."""
-    keyed = _ranges(df.withColumn("_key", (-key if descending else key).cast("double")), "_key")
+    keyed = _ranges(df.withColumn("_key", (-key if descending else key).cast("double")), "_key", ties)
     sizes = keyed.groupBy("_range").agg(F.count("*").alias("_size"))
     # One row per range, so the window below is over a few hundred rows.
     before = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_size").over(Window.partitionBy())}).drop("_size")
@@ -47,6 +66,16 @@ def running(df: DataFrame, key: str, sums: Sequence[str], *, descending: bool =
     return out.drop("_range", "_key", *(f"_b_{c}" for c in sums))
 
 
+def quantiles(df: DataFrame, column: str, at: Mapping[str, float]) -> DataFrame:
+    """One row: exact quantiles of a numeric column under the names of ``at``, linear between neighbours; null without values. Values are counted first, and no task gets all of them."""
+    per = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    cum = running(per, "_v", ["n"])
+    place = {name: q * (F.col("all_n") - 1) for name, q in at.items()}
+    ends = [F.min(F.when(F.col("cum_n") > f(x), F.col("_v"))).alias(f"_{side}_{name}") for name, x in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    one = cum.agg(*ends, F.max("all_n").alias("all_n"))
+    return one.select(*((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (x - F.floor(x))).alias(name) for name, x in place.items()))
+
+
 def at_k(scored: DataFrame, ks: Sequence[int], label: str = "y") -> DataFrame:
     """(k, precision, recall) of rows with rn and n; null where k is not within 1 to n."""
     top = scored.agg(*(F.sum(F.when(F.col("rn") <= k, F.col(label))).alias(f"h{k}") for k in ks), F.sum(label).alias("all"), F.count("*").alias("n"))
@@ -78,6 +107,20 @@ def at_percent(scored: DataFrame, percents: Sequence[float], label: str = "y", v
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def capture_curve(scored: DataFrame, orders: Mapping[str, Column], ties: Sequence[str], *, points: int = 100, label: str = "y", value: str = "value") -> DataFrame:
+    """(percent, capture_<name>, ...): the share of all positives' value that the first ``percent`` of the rows in each falling order hold, at ``points`` steps."""
+    out = None
+    for name, by in orders.items():
+        rows = ranked(scored, by, ties, descending=True, total="_n")
+        # A row counts from the first step that reaches its rank.
+        step = F.ceil(F.col("rn") * points / F.col("_n")).cast("long")
+        gained = rows.groupBy(step.alias("_step")).agg(F.sum(F.col(label) * F.col(value)).alias("_gain"))
+        until = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)  # of ``points`` rows
+        curve = gained.select((F.col("_step") * 100.0 / points).alias("percent"), F.try_divide(F.sum("_gain").over(until), F.sum("_gain").over(Window.partitionBy())).alias(f"capture_{name}"))
+        out = curve if out is None else out.join(curve, "percent", "full")
+    return out
+
+
 def calibration(scored: DataFrame, bins: int, score: str = "p", label: str = "y") -> DataFrame:
     """(bin, n, mean_score, rate, error) of equal-width bins over 0 to 1, the last one closed; empty bins are left out."""
     at = F.least(F.lit(bins - 1), F.floor(F.col(score) * bins)).cast("int")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import fast_uniform, normal, poisson, uniform
-from .ranking import ranked
+from ..functions.scalars import band, clipped, mapped
+from .ranking import quantiles, ranked
 
 
 def exact_splits(df: DataFrame, key: str, *, seed: int, shares: Sequence[tuple[str, float]] = (("train", 0.7), ("valid", 0.15)), rest: str = "test") -> DataFrame:
@@ -42,7 +45,7 @@ def stratified(df: DataFrame, key: str, label: str, n: int, rate: float, *, seed
     Each class is a top-n, which keeps n rows per task at most.
     """
     positives = int(n * rate + 0.5)
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    counts = {r[label]: r["count"] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     wanted = {1: positives, 0: n - positives}
     short = {k: (counts.get(k, 0), v) for k, v in wanted.items() if counts.get(k, 0) < v}
     if short:
@@ -60,6 +63,34 @@ def missing_at_random(df: DataFrame, key: str, column: str, rates: Mapping[str,
     return df.withColumn(column, F.when(uniform(seed, f"missing:{column}", F.col(key)) >= rate, F.col(column)))
 
 
+def with_gaps(df: DataFrame, key: str, gaps: Mapping[str, tuple[Mapping[str, float], float]], by: str, *, seed: int) -> DataFrame:
+    """missing_at_random() for several columns: column -> (rates by the value of ``by``, other rate). What was missing before stays so."""
+    for column, (rates, other) in gaps.items():
+        df = missing_at_random(df, key, column, rates, by, other, seed=seed)
+    return df
+
+
+def boosted(trait: Column, category: Column, boosts: Mapping[str, float]) -> Column:
+    """A trait within 0 to 1, moved by its category's boost; null and other categories move nothing."""
+    return clipped(trait + mapped(category, boosts, 0.0), 0.0, 1.0)
+
+
+def noisy_proxy(truth: Column, sensitivity: float, u: Column) -> Column:
+    """A flag that shows a true one with a probability of ``sensitivity`` and never a false one."""
+    return truth & (u < sensitivity)
+
+
+def noisy_category(value: Column, categories: Sequence[str], reliability: float, u: Column, other: Column) -> Column:
+    """A category that is right with a probability of ``reliability`` and else drawn by ``other`` from all."""
+    drawn = F.element_at(F.array(*map(F.lit, categories)), (F.floor(other * len(categories)) + 1).cast("int"))
+    return F.when(u < reliability, value).otherwise(drawn)
+
+
+def compressed(value: Column, edges: Sequence[tuple[float, str]], above: str) -> Column:
+    """The band of a value, in place of it."""
+    return band(value, edges, above)
+
+
 def soft_cap(x: Column, floor: float, cap: float, width: float, u: Column) -> Column:
     """At least ``floor``; what is above ``cap`` falls to somewhere within ``width`` under it, in whole numbers."""
     return F.when(x > cap, F.bround(F.lit(cap) - width * u)).when(x < floor, F.lit(floor)).otherwise(x)
@@ -70,12 +101,14 @@ def trap(count: Column, label: Column, u: Column, rate_if: float = 3.0, rate_els
     return count + F.when(label == 1, poisson(F.lit(rate_if), u)).otherwise(poisson(F.lit(rate_else), u))
 
 
-def distorted(df: DataFrame, key: str, columns: Sequence[str], *, noise: float, missing: float, outliers: float, seed: int, non_negative: Sequence[str] = ()) -> DataFrame:
-    """Noise, then missing cells, then outliers, in this order; only ``columns`` change.
+def distorted(df: DataFrame, key: str, columns: Sequence[str], *, noise: float, missing: float, outliers: float, seed: int, non_negative: Sequence[str] = (), counts: Sequence[str] = ()) -> DataFrame:
+    """Noise, then missing cells, then outliers, in this order; only ``columns`` change, and ``counts``, of which cells go missing and no more.
 
     Noise is normal with ``noise`` times a column's sample deviation, and non-negative columns are clamped. Outliers are put at the median plus or minus five
     deviations, both taken after the first two steps. Columns without spread stay as they are.
     """
+    if not columns and not counts:
+        return df
     k = F.col(key)
     first = df.agg(*(F.stddev_samp(c).alias(f"s_{c}") for c in columns))  # one row
     out = df.crossJoin(F.broadcast(first))
@@ -83,8 +116,12 @@ def distorted(df: DataFrame, key: str, columns: Sequence[str], *, noise: float,
         noisy = F.when(F.col(f"s_{c}") > 0, F.col(c) + noise * F.col(f"s_{c}") * normal(seed, f"noise:{c}", k)).otherwise(F.col(c))
         noisy = F.when(noisy < 0, F.lit(0.0)).otherwise(noisy) if c in non_negative else noisy
         out = out.withColumn(c, F.when(fast_uniform(seed, f"mask:{c}", k) >= missing, noisy))
-    out = out.drop(*(f"s_{c}" for c in columns))
-    second = out.agg(*(F.stddev_samp(c).alias(f"s_{c}") for c in columns), *(F.percentile(c, 0.5).alias(f"m_{c}") for c in columns))
+    out = out.drop(*(f"s_{c}" for c in columns)).withColumns({c: F.when(fast_uniform(seed, f"mask:{c}", k) >= missing, F.col(c)) for c in counts})
+    if not outliers:
+        return out.select(df.columns)
+    second = out.agg(*(F.stddev_samp(c).alias(f"s_{c}") for c in columns))
+    for c in columns:
+        second = second.crossJoin(quantiles(out, c, {f"m_{c}": 0.5}))  # one row each
     out = out.crossJoin(F.broadcast(second))
     for c in columns:
         side = F.when(fast_uniform(seed, f"side:{c}", k) < 0.5, -5.0).otherwise(5.0)
@@ -93,12 +130,28 @@ def distorted(df: DataFrame, key: str, columns: Sequence[str], *, noise: float,
     return out.select(df.columns)
 
 
+def _poisson_table(most: int) -> tuple[str, ...]:
+    """The distribution function of Poisson(1) at 0, 1, ..., most - 1, as eight hexadecimal digits."""
+    total = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(most)))
+    return tuple(f"{min(int(x * (1 << 32)), (1 << 32) - 1):08x}" for x in total)
+
+
+POISSON_1 = _poisson_table(12)
+
+
 def bootstrap(df: DataFrame, key: str, value: Column, *, replicates: int = 200, seed: int) -> DataFrame:
     """(low, median, high): 2.5, 50 and 97.5 % quantiles of the mean of ``value`` over resamples with replacement.
 
-    Each row's weight in a replicate is a Poisson(1) draw, so no resample is materialised; one partial sum per task and replicate is shuffled.
+    Each row's weight in a replicate is a Poisson(1) draw, so no resample is materialised; one partial sum per task and replicate is shuffled. A draw is read off a table of the distribution
+    function by eight hexadecimal digits of a hash, of which one serves four replicates; counts above 12, one in six billion, count as 12.
     """
-    rows = df.select(F.col(key).alias("k"), value.cast("double").alias("x")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weight = poisson(F.lit(1.0), fast_uniform(seed, "bootstrap", F.col("k"), F.col("replicate")), 12)
-    means = rows.withColumn("w", weight).groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("bootstrap"), F.col("k").cast("string"), F.col("block").cast("string")))
+    rows = df.select(F.col(key).alias("k"), value.cast("double").alias("x")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))))
+    rows = rows.select("x", "block", digest.alias("digest")).select("x", "block", "digest", F.explode(F.array(*map(F.lit, range(4)))).alias("part"))
+    u = F.substring(F.col("digest"), 8 * F.col("part") + 1, F.lit(8))
+    weight = F.lit(len(POISSON_1))
+    for count, until in reversed(list(enumerate(POISSON_1))):
+        weight = F.when(u < until, count).otherwise(weight)
+    rows = rows.select("x", (4 * F.col("block") + F.col("part")).alias("replicate"), weight.alias("w")).where(F.col("replicate") < replicates)
+    means = rows.groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
     return means.agg(*(F.percentile("m", q).alias(name) for name, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))))

@@ -26,6 +26,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def orders_by() -> dict:
+    """The score, and the expected value."""
+    return {"by_score": F.col("p"), "by_value": F.col("p") * F.col("value")}
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, p, y, value)"""
     orders = read_table(spark, d, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus"])
@@ -75,14 +80,24 @@ def value_capture(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _S
-    + "r AS (SELECT y, value, row_number() OVER (ORDER BY p DESC, o_orderkey) AS a, row_number() OVER (ORDER BY (1 - p) * value DESC, o_orderkey) AS b, count(*) OVER () AS n FROM s), q AS (SELECT percent, y * value AS v, a <= k AS ia, b <= k AS ib FROM (SELECT *, greatest(1, CAST(round_even(n * percent / 100, 0) AS BIGINT)) AS k FROM r, (VALUES (5.0::DOUBLE), (10.0), (20.0)) t(percent))) SELECT percent, round(sum(v) FILTER (WHERE ia) / sum(v), 6) AS by_score, round(sum(v) FILTER (WHERE ib) / sum(v), 6) AS by_value FROM q GROUP BY percent"
+    + "r AS (SELECT y, value, row_number() OVER (ORDER BY p DESC, o_orderkey) AS a, row_number() OVER (ORDER BY p * value DESC, o_orderkey) AS b, count(*) OVER () AS n FROM s), q AS (SELECT percent, y * value AS v, a <= k AS ia, b <= k AS ib FROM (SELECT *, greatest(1, CAST(round_even(n * percent / 100, 0) AS BIGINT)) AS k FROM r, (VALUES (5.0::DOUBLE), (10.0), (20.0)) t(percent))) SELECT percent, round(sum(v) FILTER (WHERE ia) / sum(v), 6) AS by_score, round(sum(v) FILTER (WHERE ib) / sum(v), 6) AS by_value, round(100 * (sum(v) FILTER (WHERE ib) - sum(v) FILTER (WHERE ia)) / sum(v) FILTER (WHERE ia), 6) AS uplift FROM q GROUP BY percent"
 )
 def value_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """The value captured by two orders: the score, and expected value under the opposite score."""
+    """The value captured by two orders, the score and the expected value, and what the second adds in per cent."""
     rows = scored(spark, d)
-    one = R.at_percent(R.ranked(rows, F.col("p"), ["o_orderkey"], descending=True, total="n"), (5, 10, 20), value="value").select("percent", F.round("capture", 6).alias("by_score"))
-    two = R.at_percent(R.ranked(rows, (1 - F.col("p")) * F.col("value"), ["o_orderkey"], descending=True, total="n"), (5, 10, 20), value="value").select("percent", F.round("capture", 6).alias("by_value"))
-    return one.join(two, "percent")
+    one, two = (R.at_percent(R.ranked(rows, by, ["o_orderkey"], descending=True, total="n"), (5, 10, 20), value="value").select("percent", F.col("capture").alias(name)) for name, by in orders_by().items())
+    uplift = F.round(100 * F.try_divide(F.col("by_value") - F.col("by_score"), F.col("by_score")), 6)
+    return rounded(one.join(two, "percent").withColumn("uplift", uplift), "by_score", "by_value")
+
+
+@query(
+    _S
+    + "r AS (SELECT y * value AS v, row_number() OVER (ORDER BY p DESC, o_orderkey) AS a, row_number() OVER (ORDER BY p * value DESC, o_orderkey) AS b, count(*) OVER () AS n FROM s), "
+    + "q AS (SELECT k, sum(v) FILTER (WHERE a * 20 <= k * n) AS x, sum(v) FILTER (WHERE b * 20 <= k * n) AS z, sum(v) AS t FROM r, range(1, 21) g(k) GROUP BY k) SELECT k * 5.0::DOUBLE AS percent, round(x / t, 6) AS capture_by_score, round(z / t, 6) AS capture_by_value FROM q"
+)
+def capture_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The whole curves of both orders, in twenty steps."""
+    return rounded(R.capture_curve(scored(spark, d), orders_by(), ["o_orderkey"], points=20), "capture_by_score", "capture_by_value")
 
 
 @query(_S + f"t AS (SELECT * FROM (VALUES {', '.join(f'({t}::DOUBLE)' for t in THRESHOLDS)}) t(threshold)) SELECT threshold, count(*) FILTER (WHERE p >= threshold) AS n, round(sum(y) FILTER (WHERE p >= threshold) / nullif(count(*) FILTER (WHERE p >= threshold), 0), 6) AS precision, round(coalesce(sum(y) FILTER (WHERE p >= threshold), 0) / sum(y), 6) AS recall FROM s, t GROUP BY threshold")
@@ -95,6 +110,11 @@ def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.calibration(scored(spark, d), 10), "mean_score", "rate", "error")
 
 
+@query(_S + "b AS (SELECT abs(avg(p) - avg(y)) AS error FROM s GROUP BY least(9, CAST(floor(p * 10) AS INTEGER))) SELECT round(max(error), 6) AS max_error FROM b")
+def calibration_max_error(spark: SparkSession, d: str) -> DataFrame:
+    return R.calibration(scored(spark, d), 10).agg(F.round(F.max("error"), 6).alias("max_error"))
+
+
 @query(_D + "SELECT round(sum(neg * (cp - pos / 2)) / (max(ap) * max(an)), 6) AS auc FROM c")
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.roc_auc(scored(spark, d)), "auc")
