@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .generate import graph, leads, lifecycle
 from .operators import pointintime, snapshots
 from .sources import bundle
+from .sources.tables import materialised
 
 #: Recipes: a kind of world and what differs from its defaults. Later settings win: package, recipe, overrides.
 RECIPES: dict[str, dict] = {
@@ -26,6 +27,10 @@ RECIPES: dict[str, dict] = {
     "customers_growth": {"kind": "customers", "motif": "expansion_led_growth"},
     "customers_fragile": {"kind": "customers", "motif": "payment_fragile"},
 }
+#: How far each tier's snapshots are distorted, and the tier of each recipe. Fixed values.
+DIFFICULTIES = {"intro": snapshots.Difficulty(0.10, 0.02, 0.01), "intermediate": snapshots.Difficulty(0.30, 0.08, 0.04), "advanced": snapshots.Difficulty(0.55, 0.18, 0.08)}
+TIER = {"leads_intro": "intro", "leads_intermediate": "intermediate", "leads_advanced": "advanced", "customers_growth": "intermediate", "customers_fragile": "intermediate"}
+# Which keys lead to which tables.
 LEAD_KEYS = (("contacts", "account_id", "accounts", "account_id"), ("leads", "contact_id", "contacts", "contact_id"), ("leads", "account_id", "accounts", "account_id"), *((t, "lead_id", "leads", "lead_id") for t in ("touches", "sessions", "sales_activities", "opportunities")), ("customers", "opportunity_id", "opportunities", "opportunity_id"), ("subscriptions", "customer_id", "customers", "customer_id"))
 CUSTOMER_KEYS = tuple((t, "customer_id", "customers", "customer_id") for t in ("subscriptions", "subscription_events", "health_signals", "invoices"))
 
@@ -48,19 +53,24 @@ class World:
     recipe: str
     config: leads.LeadWorld | lifecycle.LifecycleWorld
     tables: dict[str, DataFrame]
+    tier: str = "intermediate"
 
     @property
     def is_leads(self) -> bool:
         return isinstance(self.config, leads.LeadWorld)
 
+    def distorted(self, snapshot: DataFrame) -> DataFrame:
+        features, key = (snapshots.LEAD_FEATURES, "lead_id") if self.is_leads else (snapshots.CUSTOMER_FEATURES, "customer_id")
+        return snapshots.made_difficult(materialised(snapshot), features, key, DIFFICULTIES[self.tier], self.config.seed)
+
     def save(self, folder: str, *, mode: str = "public", window: int = 30, cutoff: str | None = None, files: int | None = None) -> dict:
-        """Writes a bundle as ``mode`` may show it; returns the manifest."""
+        """Writes a bundle as ``mode`` may show it, its snapshots distorted as the world's tier asks; returns the manifest."""
         safe = bundle.MODES[mode].snapshot_safe
         if self.is_leads:
             shown = self.tables
             if safe:
                 shown = pointintime.safe_tables(self.tables, window=window, times=bundle.TIMES, banned=bundle.BANNED, omitted=bundle.OMITTED)
-            shots = {"conversion": snapshots.lead_snapshot(self.tables, window=window)}
+            shots = {"conversion": self.distorted(snapshots.lead_snapshot(self.tables, window=window))}
             key, features = "lead_id", snapshots.LEAD_FEATURES
             hidden = {"graph.json": graph.sample(self.config.motif, self.config.seed).to_json(), "graph.graphml": graph.sample(self.config.motif, self.config.seed).to_graphml()}
         else:
@@ -70,18 +80,22 @@ class World:
             if safe:
                 shown["subscriptions"] = pointintime.until(shown["subscriptions"], "subscription_start_at", cutoff).drop("subscription_status", "current_mrr", "renewal_count", "expansion_count", "subscription_end_at", "churn_at", "churn_reason")
                 shown["subscription_events"] = shown["subscription_events"].drop("churn_reason")
-            whole = snapshots.customer_snapshot(self.tables, cutoff=cutoff)
+            whole = self.distorted(snapshots.customer_snapshot(self.tables, cutoff=cutoff, weeks=self.config.weeks))
             targets = [f.name for f in snapshots.CUSTOMER_FEATURES if f.role == "target"]
             shots = {t: snapshots.single_target(whole, snapshots.CUSTOMER_FEATURES, t) for t in targets}
             key, features, hidden = "customer_id", snapshots.CUSTOMER_FEATURES, {}
         hidden["config.json"] = json.dumps(asdict(self.config), sort_keys=True)
-        return bundle.write_bundle(self.spark, folder, name=self.recipe, tables=shown, snapshots=shots, key=key, features=features, mode=mode, config=asdict(self.config), hidden=hidden, extra={"recipe": self.recipe, "kind": "leads" if self.is_leads else "customers"}, files=files)
+        return bundle.write_bundle(self.spark, folder, name=self.recipe, tables=shown, snapshots=shots, key=key, features=features, mode=mode, config=asdict(self.config), hidden=hidden, extra={"recipe": self.recipe, "difficulty": self.tier, "kind": "leads" if self.is_leads else "customers"}, files=files)
 
 
-def generate(spark: SparkSession, recipe: str, **overrides) -> World:
+def generate(spark: SparkSession, recipe: str, *, difficulty: str | None = None, **overrides) -> World:
+    """A world of a recipe; difficulty: the tier of its snapshots, by default the recipe's."""
     config = configured(recipe, overrides)
+    tier = difficulty or TIER[recipe]
+    if tier not in DIFFICULTIES:
+        raise ValueError(f"no difficulty {tier!r}; there are {sorted(DIFFICULTIES)}")
     tables = leads.simulate(spark, config) if isinstance(config, leads.LeadWorld) else lifecycle.simulate(spark, config)
-    return World(spark, recipe, config, tables)
+    return World(spark, recipe, config, tables, tier)
 
 
 def validate(spark: SparkSession, folder: str) -> list[str]:

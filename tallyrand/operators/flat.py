@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.random import uniform
 from ..functions.scalars import day_of
 from .ranking import ranked
-from .sampling import missing_at_random, soft_cap, stratified
+from .sampling import soft_cap, stratified, with_gaps
 
 LEAKAGE = "__leakage__"
 # Names of the flat columns, by the snapshot's.
@@ -23,6 +23,11 @@ NAMES = {
 }
 
 
+# Gaps by version, each column's rates by lead source and its rate for all others. What the snapshot has no value for stays missing.
+_V5 = {"web_sessions": ({"sdr_outbound": 0.15, "inbound_marketing": 0.02, "partner_referral": 0.05}, 0.0), "seniority": ({"partner_referral": 0.08}, 0.01), "days_since_last_touch": ({}, 0.03), "days_since_first_touch": ({}, 0.02)}
+GAPS: dict[str, dict[str, tuple[Mapping[str, float], float]]] = {"v5": _V5, "v6": _V5 | {"expected_acv": ({}, 0.02)}}
+
+
 @dataclass(frozen=True)
 class Flat:
     """seed, rows and their rate of conversions; cap: (floor, cap, width) of the expected value; gaps: column -> (rates by lead source, other rate)."""
@@ -31,7 +36,7 @@ class Flat:
     n: int = 1000
     rate: float = 0.25
     cap: tuple[float, float, float] = (10_000.0, 120_000.0, 5_000.0)
-    gaps: Mapping[str, tuple[Mapping[str, float], float]] = field(default_factory=lambda: {"web_sessions": ({"sdr_outbound": 0.12}, 0.03), "days_since_last_touch": ({}, 0.02)})
+    gaps: Mapping[str, tuple[Mapping[str, float], float]] = field(default_factory=lambda: GAPS["v6"])
     instructor: bool = False
 
 
@@ -62,7 +67,6 @@ def flat_dataset(snapshot: DataFrame, config: Flat) -> DataFrame:
     })
     rows = waves(stratified(rows, "lead_id", "converted", config.n, config.rate, seed=config.seed), "lead_created_at", "lead_id", noise=0.05, seed=config.seed)
     out = renamed(rows, {"lead_id": "lead_id", **NAMES})
-    for column, (rates, other) in config.gaps.items():
-        out = missing_at_random(out, "lead_id", column, rates, "lead_source", other, seed=config.seed)
+    out = with_gaps(out, "lead_id", config.gaps, "lead_source", seed=config.seed)
     out = out.drop("lead_id")
     return out if config.instructor else out.drop(*(c for c in out.columns if c.startswith(LEAKAGE)))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from ..functions.random import fast_uniform
+from ..functions.random import fast_uniform, uniform
+from ..sources.tables import materialised
 from . import ranking as R
 
 
@@ -54,15 +55,27 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     return out.select(*keep, F.col("y").cast("int").alias("y"), vector_to_array(F.col("_pv" if kind == "lr" else "probability"))[1].alias("p"))
 
 
-def held_out(df: DataFrame, key: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    u = fast_uniform(seed, "hold-out", F.col(key))
-    return df.where(u >= share), df.where(u < share)
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int, seed: int, name: str = "fold") -> DataFrame:
+    """df with a fold from 0 on: the rows of each label are dealt out in turn, in hashed order, so all folds have its share of each label, give or take a row."""
+    rows = None
+    for value in (0, 1):
+        own = R.ranked(df.where(F.col(label).cast("int") == value), uniform(seed, "folds", F.col(key)), [key])
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.withColumn(name, F.pmod(F.col("rn") - 1, F.lit(folds)).cast("int")).drop("rn")
 
 
-def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str, kind: str, *, folds: int = 3, seed: int = 42) -> DataFrame:
-    """(key, fold, y, p) of every row, each scored by a model that didn't see its fold."""
-    fold = F.floor(fast_uniform(seed, "folds", F.col(key)) * folds).cast("int")
-    rows = df.withColumn("_fold", fold)
+def held_out(df: DataFrame, key: str, share: float, seed: int, label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a draw for each key, or, given a 0/1 label, with a share of hundredths of each label's rows."""
+    if label is None:
+        u = fast_uniform(seed, "hold-out", F.col(key))
+        return df.where(u >= share), df.where(u < share)
+    rows = materialised(stratified_folds(df, key, label, 100, seed, "_fold"))
+    return tuple(rows.where(c).drop("_fold") for c in (F.col("_fold") >= round(100 * share), F.col("_fold") < round(100 * share)))
+
+
+def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str, kind: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(key, fold, y, p) of every row, each scored by a model that didn't see its fold; folds are stratified by the 0/1 label."""
+    rows = materialised(stratified_folds(df, key, label, folds, seed, "_fold"))  # read by every fold
     parts = [fit_predict(rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k), features, label, kind, [key]).withColumn("fold", F.lit(k)) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -76,11 +89,11 @@ def hashed_id(key: Column, buckets: int = 16) -> list[Column]:
     return [(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(i)), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias(f"h{i}") for i in range(buckets // 4)]
 
 
-def trap_delta(df: DataFrame, key: str, features: Sequence[str], trap: str, label: str, kind: str = "lr", seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def trap_delta(df: DataFrame, key: str, features: Sequence[str], trap: str, label: str, kind: str = "lr", seeds: Sequence[int] = tuple(range(1, 11))) -> DataFrame:
     """(seed, auc_with, auc_without, delta): what a leaking column adds."""
     rows = []
     for seed in seeds:
-        train, test = held_out(df, key, 0.3, seed)
+        train, test = held_out(df, key, 0.3, seed, label)
         a, b = (auc_of(fit_predict(train, test, f, label, kind)) for f in ([*features, trap], list(features)))
         rows.append((seed, a, b, None if a is None or b is None else a - b))
     return df.sparkSession.createDataFrame(rows, "seed int, auc_with double, auc_without double, delta double")

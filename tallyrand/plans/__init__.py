@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("snapshots", "metrics", "audits", "worlds")
+MODULES = ("snapshots", "metrics", "audits", "quality", "worlds")
 
 
 def queries() -> dict[str, Callable]:

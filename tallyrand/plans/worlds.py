@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..generate import graph, leads, lifecycle, motifs
 from ..operators import models as M
-from ..operators import flat, sampling, snapshots
+from ..operators import flat, quality, sampling, snapshots
+from ..operators import ranking as R
 from ..sources.tables import read_table
+from .audits import u_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -50,7 +52,7 @@ def band_map(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "customer", ["c_custkey", "c_acctbal"]).select("c_custkey", S.band(F.col("c_acctbal"), [(0, "debt"), (2500, "low"), (7500, "middle")], "high").alias("band"))
 
 
-@query("SELECT c_custkey, 'cust_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS id FROM customer")
+@query("SELECT c_custkey, 'cust_' || CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 6 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END AS id FROM customer")
 def make_ids(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "customer", ["c_custkey"]).select("c_custkey", S.entity_id("cust", F.col("c_custkey")).alias("id"))
 
@@ -94,12 +96,12 @@ def lifecycle_simulation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def customer_world_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.customer_snapshot(lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=_n(spark, d))), cutoff="2023-06-05")
+    return snapshots.customer_snapshot(lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=_n(spark, d))), cutoff="2023-06-05", weeks=lifecycle.LifecycleWorld.weeks)
 
 
 @query()
 def customer_early_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.customer_snapshot(lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=_n(spark, d))), tenure_weeks=4)
+    return snapshots.customer_snapshot(lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=_n(spark, d))), tenure_weeks=4, weeks=lifecycle.LifecycleWorld.weeks)
 
 
 @query()
@@ -107,9 +109,9 @@ def hidden_graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.sample("fit_dominant", 42).frames(spark)[1]
 
 
-def _orders(spark: SparkSession, d: str) -> DataFrame:
+def _orders(spark: SparkSession, d: str, *more: str) -> DataFrame:
     o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate", "o_orderstatus"])
-    return o.select("o_orderkey", "o_totalprice", "o_orderpriority", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("group"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return o.select("o_orderkey", "o_totalprice", "o_orderpriority", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("group"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), *more)
 
 
 @query()
@@ -118,6 +120,32 @@ def lr_probe(spark: SparkSession, d: str) -> DataFrame:
     return M.cross_validated(_orders(spark, d), "o_orderkey", ["o_totalprice", "o_orderpriority", "month", "group"], "y", "lr")
 
 
+@query(f"WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders) SELECT o_orderkey, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {u_sql('folds', 'o_orderkey', seed=42)}, o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM r")
+def fold_assign(spark: SparkSession, d: str) -> DataFrame:
+    """The folds of the cross-validation."""
+    return M.stratified_folds(_orders(spark, d).select("o_orderkey", "y"), "o_orderkey", "y", 5, 42)
+
+
+@query()
+def subset_probe(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of a model that sees the order's month and group only."""
+    train, test = M.held_out(_orders(spark, d), "o_orderkey", 0.3, 42, "y")
+    return R.roc_auc(M.fit_predict(train, test, ["month", "group"], "y", "gbt"))
+
+
+@query()
+def tier_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Both models' metrics on a stratified hold-out."""
+    train, test = M.held_out(_orders(spark, d), "o_orderkey", 0.3, 42, "y")
+    return quality.panel(train, test, ["o_totalprice", "o_orderpriority", "month", "group"], "y", "o_orderkey")
+
+
+@query()
+def cohort_shift(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d, "o_orderdate")
+    return quality.cohort_shift(rows, "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")), ["o_totalprice", "o_orderpriority", "month", "group"], "y")
+
+
 @query()
 def gbt_probe(spark: SparkSession, d: str) -> DataFrame:
     train, test = M.held_out(_orders(spark, d), "o_orderkey", 0.3, 42)
@@ -135,9 +163,13 @@ def id_only_probe(spark: SparkSession, d: str) -> DataFrame:
 def trap_delta(spark: SparkSession, d: str) -> DataFrame:
     rows = _orders(spark, d)
     rows = rows.withColumn("leak", sampling.trap(F.lit(0), F.col("y"), sampling.fast_uniform(7, "trap", F.col("o_orderkey"))).cast("double"))
-    return M.trap_delta(rows, "o_orderkey", ["o_totalprice", "month"], "leak", "y", seeds=(1, 2))
+    return M.trap_delta(rows, "o_orderkey", ["o_totalprice", "month"], "leak", "y")
 
 
-@query()
+_P1 = "CASE " + " ".join(f"WHEN u < '{x}' THEN {k}" for k, x in enumerate(sampling.POISSON_1)) + f" ELSE {len(sampling.POISSON_1)} END"
+
+
+@query("WITH d AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, b, md5('7:bootstrap:' || o_orderkey || ':' || b) AS h FROM orders, range(0, 50) g(b)), w AS (SELECT 4 * b + k AS replicate, y, substr(h, CAST(8 * k + 1 AS BIGINT), 8) AS u FROM d, range(0, 4) r(k)), m AS (SELECT sum(" + _P1 + " * y) / sum(" + _P1 + ") AS m FROM w GROUP BY replicate) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.975), 6) AS high FROM m")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.bootstrap(_orders(spark, d), "o_orderkey", F.col("y"), replicates=200, seed=7)
+    out = sampling.bootstrap(_orders(spark, d), "o_orderkey", F.col("y"), replicates=200, seed=7)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import audit
 from ..operators.sampling import exact_splits
 from ..operators.snapshots import Feature, redacted_for
-from .tables import write_table
+from .tables import materialised, write_table
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class Exposure:
 
 
 MODES = {"public": Exposure("public", True, False), "instructor": Exposure("instructor", False, True)}
-#: Columns that tell an outcome, and tables that exist for converted leads only.
+# Columns that tell an outcome, tables that exist for converted leads only, and each event table's time.
 BANNED = {"leads": ("converted_within_90_days", "conversion_timestamp", "current_stage", "is_sql"), "opportunities": ("close_outcome", "closed_at", "stage")}
 OMITTED = ("customers", "subscriptions")
 TIMES = {"touches": "touch_timestamp", "sessions": "session_timestamp", "sales_activities": "activity_timestamp", "opportunities": "created_at"}
@@ -84,7 +84,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, redacted: Mapping
 
 def write_splits(snapshot: DataFrame, folder: str, task: str, key: str, seed: int, files: int | None = None) -> dict[str, dict]:
     """Train, valid and test as tables of their own, rows in hashed order being cut at 70 and 85 %."""
-    rows = exact_splits(snapshot, key, seed=seed)
+    rows = materialised(exact_splits(snapshot, key, seed=seed))  # ranked once for the three tables
     out = {}
     for split in ("train", "valid", "test"):
         path = f"{folder}/tasks/{task}/{split}.parquet"
@@ -100,6 +100,35 @@ def flat(spark: SparkSession, folder: str, task: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def load_bands(text: str) -> list[tuple[str, str, float | None, float | None]]:
+    """(tier, metric, low, high) from YAML or JSON of tiers: {tier: {metric: {min, max}}}; unknown bounds raise."""
+    try:
+        import yaml
+    except ImportError:
+        held = json.loads(text)
+    else:
+        held = yaml.safe_load(text)
+    out = []
+    for tier, metrics in (held or {}).items():
+        for metric, bounds in metrics.items():
+            if unknown := set(bounds) - {"min", "max"}:
+                raise ValueError(f"{tier}.{metric}: no bounds {sorted(unknown)}")
+            out.append((tier, metric, *(None if bounds.get(b) is None else float(bounds[b]) for b in ("min", "max"))))
+    return out
+
+
+def with_dictionary_row(dictionary: DataFrame, values: Mapping[str, str]) -> DataFrame:
+    """A feature dictionary, as read from CSV, with one more row before its others: column -> text, empty where not given. The row is a one-row frame, the dictionary is small by nature."""
+    row = dictionary.sparkSession.createDataFrame([tuple(values.get(c, "") for c in dictionary.columns)], dictionary.schema)
+    return row.unionByName(dictionary)
+
+
+def exposure_errors(public: Mapping, instructor: Mapping) -> list[str]:
+    """What a public manifest shows and the instructor's doesn't: tables, tasks or splits; none if exposure only grows."""
+    parts = lambda m: {f"table {t}" for t in m["tables"]} | {f"task {t}/{s}" for t, splits in m["tasks"].items() for s in splits}
+    return [f"{p} is public only" for p in sorted(parts(public) - parts(instructor))]
+
+
 def card(name: str, manifest: Mapping) -> str:
     lines = [f"# {name}", "", f"Mode: {manifest['mode']}. Seed: {manifest['seed']}.", "", "| table | rows |", "|-|-|"]
     lines += [f"| {t} | {x['rows']} |" for t, x in manifest["tables"].items()]
@@ -128,6 +157,7 @@ def validate_bundle(spark: SparkSession, folder: str, *, keys: Sequence[tuple[st
     """What is wrong with a bundle: rows or digests that differ from the manifest, orphaned keys (child, key, parent, key), and in public mode columns and tables that must not be there."""
     manifest = read_json(spark, f"{folder}/manifest.json")
     errors, tables = [], {}
+    listed = {line.split(",")[0] for line in read_text(spark, f"{folder}/feature_dictionary.csv").splitlines()[1:]}
     parts = {f"tables/{t}": x for t, x in manifest["tables"].items()} | {f"tasks/{t}/{s}": x for t, splits in manifest["tasks"].items() for s, x in splits.items()}
     for name, wanted in parts.items():
         df = spark.read.parquet(f"{folder}/{name}.parquet")
@@ -137,6 +167,8 @@ def validate_bundle(spark: SparkSession, folder: str, *, keys: Sequence[tuple[st
             errors.append(f"{name}: its content differs from the manifest's digest")
         if name.startswith("tables/"):
             tables[name[7:]] = df
+        elif unexpected := sorted(set(df.columns) - listed):
+            errors.append(f"{name}: columns {unexpected} that the dictionary lacks")
     for child, key, parent, parent_key in keys:
         if child in tables and parent in tables and (n := audit.orphans(tables[child], key, tables[parent], parent_key).count()):
             errors.append(f"{child}.{key}: {n} keys that {parent} lacks")

@@ -39,9 +39,12 @@ def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
 def materialised(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share and read back: later steps start from the files, also after an executor is lost.
 
-    The folder is spark.checkpoint.dir; where it is unset, as in tests, one of our own.
+    The folder is spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, one of our own. Raises on a cluster.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tallyrand.functions import scalars as S
 from tallyrand.generate import graph
 from tallyrand.operators import audit as A
 from tallyrand.operators import models as M
+from tallyrand.operators import quality as Q
 from tallyrand.operators import ranking as R
 from tallyrand.operators import sampling as G
 from tallyrand.sources import bundle
@@ -65,7 +67,7 @@ def test_audits(spark):
     assert [tuple(r) for r in A.orphans(a, "k", spark.createDataFrame([("a",)], "p string"), "p").collect()] == [("z", 2)]
     rows = spark.createDataFrame([("train", 1, 1.00001), ("test", 1, 1.00002), ("test", 2, None)], "split string, k int, x double")
     assert [tuple(r) for r in A.split_overlap(rows, "k").collect()] == [("test", "train", 1)]
-    assert A.near_duplicate_rows(rows, ["x"], {"x": 4}).first().n_shared == 1
+    assert A.near_duplicate_rows(rows, ["x"]).first().n_shared == 1
     assert A.repeated_rows(a.select("k")).first().n_repeats == 1
     assert {r.column: r.n_differing for r in A.differing(a, a.withColumn("k", F.lit("a")), "i", ["k"]).collect()} == {"k": 3}
 
@@ -144,3 +146,47 @@ def test_flat_dataset(spark):
     assert {r.acquisition_wave for r in out.select("acquisition_wave").collect()} == set("ABC")
     with pytest.raises(ValueError):
         flat.renamed(out, {"nothing": "x"})
+
+
+def test_ids_of_any_length(spark):
+    rows = spark.createDataFrame([(n,) for n in (1, 999_999, 1_000_000, 1_000_001, 100_000, 12_345_678_901)], "n long")
+    got = {r.n: r.id for r in rows.select("n", S.entity_id("cust", F.col("n")).alias("id")).collect()}
+    assert len(set(got.values())) == 6
+    assert got[1] == "cust_000001" and got[999_999] == "cust_999999" and got[1_000_001] == "cust_1000001"
+
+
+def test_one_key_for_all_rows_is_ranked_in_several_tasks(spark):
+    """Ranges of one key are cut by the ties, also where the key is missing, and the order stays exact."""
+    for key in (F.lit(7.0), F.lit(None).cast("double"), F.when(F.col("i") % 3 > 0, 1.0).when(F.col("i") % 2 > 0, F.col("i").cast("double"))):
+        df = spark.range(4000).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(100_000)).alias("t")).withColumn("x", key)
+        rows = df.collect()
+        want = {r.i: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r.x is None, r.x or 0, r.t, r.i)))}
+        assert {r.i: r.rn for r in R.ranked(df, F.col("x"), ["t", "i"]).collect()} == want
+        ranges = R._ranges(df.withColumn("_k", F.col("x")), "_k", ["t", "i"]).groupBy("_range").count().collect()
+        assert len(ranges) >= 3 and max(r["count"] for r in ranges) < 2600
+
+
+def test_exact_quantiles(spark):
+    data = [0.0, 1.0, 1.0, 2.5, 7.0, 7.0, 7.0, 9.0, None]
+    at = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = R.quantiles(spark.createDataFrame([(x,) for x in data], "x double"), "x", at).first()
+    own = np.array([x for x in data if x is not None])
+    assert all(abs(got[n] - np.quantile(own, q)) < 1e-12 for n, q in at.items())
+
+
+def test_bands_and_exposure(spark):
+    text = "intro:\n  lr_auc: {min: 0.6}\n  rate: {min: 0.1, max: 0.5}\n"
+    assert bundle.load_bands(text) == [("intro", "lr_auc", 0.6, None), ("intro", "rate", 0.1, 0.5)]
+    with pytest.raises(ValueError):
+        bundle.load_bands("intro: {rate: {least: 1}}")
+    small, large = ({"tables": dict.fromkeys(t), "tasks": {"c": {"train": 1}}} for t in (("leads",), ("leads", "customers")))
+    assert bundle.exposure_errors(small, large) == [] and bundle.exposure_errors(large, small) == ["table customers is public only"]
+    names = spark.createDataFrame([("a", "long")], "name string, dtype string")
+    assert [tuple(r) for r in bundle.with_dictionary_row(names, {"name": "split"}).collect()] == [("split", ""), ("a", "long")]
+
+
+def test_unknown_probes_raise(spark):
+    one = lambda: spark.createDataFrame([("x", "y", 1)], "probe string, detail string, n long")
+    assert Q.findings({"x": one, "z": one}, ["x"]).count() == 1
+    with pytest.raises(ValueError):
+        Q.findings({"x": one}, ["w"])
