@@ -8,13 +8,13 @@ The penalty leaves few terms with a weight, so a text is scored from the terms t
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -22,12 +22,15 @@ from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._spark import checkpointed
 
 WORDS, TERMS, FEATURES, FOLD = "words", "terms", "features", "fold"
 #: Rows of the sample to a partition: a step of the solver sends one gradient for each partition.
-FIT_ROWS = 2000
+FIT_ROWS = 3000
+#: Fits that run side by side, and texts that are scored at once.
+AT_ONCE, BATCH = 2, 512
 #: A word's beginning stands for its inflected and compounded forms.
 STEM = 4
 WORD = regex.compile(r"\p{L}+")
@@ -68,16 +71,21 @@ class Chain:
         other columns may have any name.
         """
         held = docs.sparkSession.sparkContext.broadcast(self)  # at most ``vocabulary`` terms
+        names = [f"p_{c}" for c in self.categories]
+        kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
+        at, own = docs.columns.index(text_col), [i for i, f in enumerate(docs.schema.fields) if f in kept]
+        # Working names by place, so none can clash with those of docs.
+        rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))) if docs.columns else docs
+        schema = StructType([*(StructField(f"c{i}", docs.schema.fields[i].dataType) for i in own), *(StructField(f"p{i}", DoubleType()) for i in range(len(names)))])
 
-        @F.pandas_udf(", ".join(f"p{i} double" for i in range(len(self.categories))))
-        def judged(text: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame(held.value.probabilities(text), columns=[f"p{i}" for i in range(len(held.value.categories))])
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, BATCH):
+                    batch = whole.slice(start, BATCH)
+                    p = held.value.probabilities(batch.column(at).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=schema.names)
 
-        names = [f"p_{c}" for c in self.categories]
-        # The row goes along as one column, so no working column can clash with its names.
-        out = docs.select(F.struct(*docs.columns).alias("row"), judged(F.col(text_col).cast("string")).alias("p"))
-        kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-        return out.select(*kept, *(F.col(f"p.p{i}").alias(n) for i, n in enumerate(names)))
+        return rows.mapInArrow(judged, schema).toDF(*(f.name for f in kept), *names)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -96,13 +104,16 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return 1 / (1 + math.exp(-(logit[at] + logit[at + 1]) / 2))
 
 
-def _words(text: pd.Series) -> pd.Series:
-    return pd.Series([list(terms_of(x)) for x in text], dtype=object)
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as its terms."""
+    for batch in batches:
+        found = pa.array([sorted(terms_of(x)) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], WORDS])
 
 
 def _at_once(jobs: Sequence[Callable[[], object]]) -> list:
     """The results of jobs that run side by side, as each step of a solver keeps few cores busy."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
+    with ThreadPoolExecutor(AT_ONCE) as pool:
         return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
 
 
@@ -120,8 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
     # At most sample_rows ids, which bounds what is broadcast.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(folds))
-    sample = texts.select(*(f"y{i}" for i in range(len(categories))), F.pandas_udf(_words, "array<string>")(F.col("text")).alias(WORDS), fold.alias(FOLD))
+    ys = [f"y{i}" for i in range(len(categories))]
+    sample = texts.select(*ys, fold.cast("long").alias(FOLD), "text").mapInArrow(_sampled, f"{''.join(f'{y} double, ' for y in ys)}{FOLD} long, {WORDS} array<string>")
     sample = checkpointed(sample)  # read several times
+    in_fold = {r[FOLD]: r["count"] for r in sample.groupBy(FOLD).count().collect()}
+    n = sum(in_fold.values())
+    parts = -(-n // FIT_ROWS) or 1
+    sample = sample.coalesce(parts)
     frequent = sample.select(F.explode(WORDS).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     if frequent.isEmpty():
         none = tuple(() for _ in categories)
@@ -129,10 +145,6 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col
     terms = CountVectorizer(inputCol=WORDS, outputCol=TERMS, vocabSize=vocabulary, minDF=float(least_docs), binary=True).fit(sample)
     # The vectors are small beside the words, so only they are kept for the fits.
     rows = checkpointed(terms.transform(sample).drop(WORDS))
-    in_fold = {r[FOLD]: r["count"] for r in rows.groupBy(FOLD).count().collect()}
-    n = sum(in_fold.values())
-    parts = -(-n // FIT_ROWS)
-    rows = rows.coalesce(parts)
     models: list[LogisticRegressionModel] = []
     thresholds: list[float] = []
     for i in range(len(categories)):
