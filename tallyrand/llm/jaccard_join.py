@@ -47,7 +47,7 @@ CENTER_OF, CENTER_BYTES, CENTER_ROWS = 48, 1 << 24, 2048
 #: Tokens in so large a share of those members' deltas are frequent ones. Of the others' postings, about so many are brought together at once.
 FREQUENT, DEALT_ROWS = 0.2, 500_000
 #: A posting of a token in a delta.
-DEALT = np.dtype([(c, np.int64) for c in ("token", "node", "component", "d", "f", "place")])
+DEALT = np.dtype([("token", np.int64), ("node", np.int64), ("component", np.int64), ("place", np.int32)])
 
 
 def _least_overlap(n, num: int, den: int):
@@ -254,18 +254,18 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(parts: int):
-    """Postings (DEALT) of (node, pivot, component, d, f, rare, prefix) in blocks: a token of a group in the part of its hash; those behind the rare ones, which surely are several nodes', anywhere in parts of their own."""
+    """Postings (DEALT) of (node, pivot, component, rare, prefix) in blocks: a token of a group in the part of its hash; those behind the rare ones, which surely are several nodes', anywhere in parts of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(6)
+            tokens = batch.column(4)
             size = np.diff(tokens.offsets.to_numpy())
             token = tokens.flatten().to_numpy().view(np.uint64)
-            node, pivot, component, d, f, rare = (np.repeat(batch.column(k).to_numpy(), size) for k in range(6))
+            node, pivot, component, rare = (np.repeat(batch.column(k).to_numpy(), size) for k in range(4))
             out = np.empty(len(token), DEALT)
             # A token is one group's: what two share by chance is told apart by the deltas.
             out["token"] = _words.mixed(token + pivot.view(np.uint64) * _words.PLACES[11]).view(np.int64)
-            out["node"], out["component"], out["d"], out["f"] = node, component, d, f
+            out["node"], out["component"] = node, component
             out["place"] = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) + 1
             spread = np.where(out["place"] <= rare, out["token"], _words.mixed(node.view(np.uint64)).view(np.int64))
             part = (spread.view(np.uint64) % np.uint64(parts)).astype(np.int64) + parts * (out["place"] > rare)
@@ -435,15 +435,17 @@ class _Join:
         asked = lambda f, g: F.greatest(F.lit(1), F.ceil((f + g) / (2 * both)))
         needs = F.greatest(asked(F.col("f"), F.col("other")), F.ceil((F.col("f") * self.num - F.col("n") * less * self.den) / (self.num * both)))
         length = (F.col("d") - needs + 1).cast("int")
-        prefixes = kept(placed.where(length > 0).select("node", "pivot", "component", "d", "f", "rare", F.slice("delta", F.lit(1), length).alias("prefix")), parts)
-        n_tokens = prefixes.agg(F.sum(F.size("prefix"))).first()[0]
+        able = placed.where(length > 0)
+        prefixes = able.select("node", "pivot", "component", "rare", F.slice("delta", F.lit(1), length).alias("prefix"))
+        n_tokens = able.agg(F.sum(F.least(length, F.col("d")))).first()[0]
         if not n_tokens:
             return labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         deals = max(parts, -(-n_tokens // DEALT_ROWS))
         blocks = gathered(prefixes.mapInArrow(_dealt(deals), "part long, block binary"), 1 if deals == 1 else None)
         blocks = blocks.sortWithinPartitions("part") if deals == 1 else blocks.repartition("part").sortWithinPartitions("part")
-        tokens = kept(blocks.mapInArrow(_met(deals), ", ".join(f"{c} long" for c in DEALT.names)), parts)
-        sides = [tokens.select("token", *(F.col(c).alias(e if c == "node" else f"{e}_{c}") for c in DEALT.names[1:])) for e in "uv"]
+        found = blocks.mapInArrow(_met(deals), "token long, node long, component long, place int")
+        tokens = kept(found.join(rows.select("node", "d", "f"), "node"), parts)
+        sides = [tokens.select("token", *(F.col(c).alias(e if c == "node" else f"{e}_{c}") for c in ("node", "component", "place", "d", "f"))) for e in "uv"]
         share = asked(F.col("u_f"), F.col("v_f"))
         met = sides[0].join(sides[1], "token").where((F.col("u") > F.col("v")) & (F.col("u_component") != F.col("v_component")) & (F.col("u_place") <= F.col("u_d") - share + 1) & (F.col("v_place") <= F.col("v_d") - share + 1))
         pairs = met.select("u", "v", "u_component", "v_component").distinct()
