@@ -1,11 +1,19 @@
 """The pipeline's stages: each against a plain version over the smallest tables, and all of them over awkward rows."""
 
+import base64
+import math
+
 import corpus_pipeline as P
+import numpy as np
+import public_tokenizers
 import pytest
+import regex
+import tiktoken
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tallyrand.llm import queries as Q
+from tallyrand.llm import toxicity
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +38,29 @@ def test_stages_take_effect(spark, docs):
             assert ids(out) == sorted(kept), name
 
 
+def test_toxic_stage_against_the_plain_chain(spark, docs):
+    """The stage's rows are those that a chain of numbers, applied text by text, leaves."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    chain = toxicity.fit(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
+    left = []
+    for r in docs.collect():
+        terms, p = {x for w in regex.findall(r"\p{L}+", (r.text or "").lower()) for x in (w, "^" + w[:4])}, []
+        for weights, earlier, constant in zip(chain.weights, chain.earlier, chain.constants, strict=True):
+            z = constant + sum(w for t, w in zip(chain.terms, weights, strict=True) if t in terms) + sum(w * q for w, q in zip(earlier, p, strict=True))
+            p.append(1 / (1 + math.exp(-z)))
+        if not terms or p[1] < chain.thresholds[1]:
+            left.append(r.doc_id)
+    assert 0 < len(left) < docs.count() and ids(P.toxic(spark, docs, SF)) == sorted(left)
+
+
+def test_token_stage_against_tiktoken(spark, docs):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in P.tokens(spark, docs, SF).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == own.encode_ordinary(texts[r.doc_id] or "") and r.whole
+
+
 def test_line_stage(spark):
     rows = [(i, f"Shared by all sites.\nown {i}", "en", f"s{i}", 30) for i in range(11)] + [(11, "Shared by all sites.", "en", "s11", 20), (12, "", "en", "s1", 0)]
     out = {r.doc_id: r for r in P.repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
