@@ -29,8 +29,8 @@ from ._spark import checkpointed
 WORDS, TERMS, FEATURES, FOLD = "words", "terms", "features", "fold"
 #: Rows of the sample to a partition: a step of the solver sends one gradient for each partition.
 FIT_ROWS = 3000
-#: Fits that run side by side, and texts that are scored at once.
-AT_ONCE, BATCH = 2, 512
+#: Fits that run side by side, each of which takes some of the driver's memory, and texts that are scored at once.
+AT_ONCE, BATCH = 1, 512
 #: A word's beginning stands for its inflected and compounded forms.
 STEM = 4
 WORD = regex.compile(r"\p{L}+")
