@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, topk_search, toxicity, url_filter
-from ._spark import table
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, token_store, topk_search, toxicity, url_filter
+from ._spark import shared_dir, table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -74,6 +76,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), "spans", F.size("added").cast("long").alias("n_owned"), "n_shared")
 
 
+def op13_token_store(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The written folder stays in the shared one: the rows are read from it."""
+    import public_tokenizers
+
+    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), out, path=path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -85,6 +96,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_topk_search": op9_topk_search,
     "op10_secret_scan": op10_secret_scan,
+    "op13_token_store": op13_token_store,
 }
 
 ORACLE: dict[str, str] = {}
