@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, token_store, topk_search, toxicity, url_filter
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, spelling_variants, token_store, topk_search, toxicity, url_filter
 from ._spark import shared_dir, table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -76,6 +76,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), "spans", F.size("added").cast("long").alias("n_owned"), "n_shared")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def change(doc_id: Column, run: Column) -> Column:
+        """One run of 31, told by a hash, without one of its code points."""
+        h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), run))
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 31 == 0, F.concat(F.left(run, at), F.substring(run, at + 2, F.length(run))))
+
+    words = spelling_variants.vocabulary(table(spark, sf_dir, "documents"), change=change)
+    return spelling_variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_token_store(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """The written folder stays in the shared one: the rows are read from it."""
     import public_tokenizers
@@ -96,6 +107,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_topk_search": op9_topk_search,
     "op10_secret_scan": op10_secret_scan,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_store": op13_token_store,
 }
 
@@ -177,3 +189,21 @@ m AS (SELECT node, min(root) AS root FROM c GROUP BY node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id
 FROM s LEFT JOIN r ON list_sort(s.s) = r.s LEFT JOIN m ON m.node = r.doc_id
 """
+
+# The checksum is worked out byte by byte: DuckDB has none of that name.
+ORACLE["op12_spelling_variants"] = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)) AS bytes FROM u),
+h AS (SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295)) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+q AS (SELECT a, b, v.n, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM p JOIN v ON v.word = b),
+f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN q.n >= 10 * v.n THEN b END AS form, CASE WHEN q.n >= 10 * v.n THEN q.n END AS form_n FROM v LEFT JOIN q ON a = word AND k = 1),
+c(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, c.root FROM f JOIN c ON f.form = c.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN c USING (word)
+"""
