@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, spelling_variants, token_store, topk_search, toxicity, url_filter
+from . import byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, ranked_search, secret_scan, spelling_variants, token_store, topk_search, toxicity, url_filter
 from ._spark import shared_dir, table
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -76,6 +76,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), "spans", F.size("added").cast("long").alias("n_owned"), "n_shared")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     def change(doc_id: Column, run: Column) -> Column:
         """One run of 31, told by a hash, without one of its code points."""
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_topk_search": op9_topk_search,
     "op10_secret_scan": op10_secret_scan,
+    "op11_ranked_search": op11_ranked_search,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_token_store": op13_token_store,
 }
@@ -207,3 +212,15 @@ f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN q.n >= 10 * v.n
 c(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, c.root FROM f JOIN c ON f.form = c.word)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN c USING (word)
 """
+
+ORACLE["op11_ranked_search"] = """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+s AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM d),
+m AS (SELECT doc_id, 50 + (50 * n * nn) // ll AS m FROM d, s),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term, nn),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+"""
