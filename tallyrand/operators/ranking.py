@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
 
 #: Rows that are looked at for each range to choose where ranges end.
 LOOKED_AT = 32
@@ -158,6 +159,25 @@ def average_precision(scored: DataFrame, score: str = "p", label: str = "y") ->
     return rows.agg(F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))).alias("average_precision"))
 
 
+def metrics_by_group(scored: DataFrame, group: str, score: str = "p", label: str = "y") -> DataFrame:
+    """(group, n_pos, n_neg, auc, average_precision) of scored rows (group, score, label), all groups in one order; null with one class only.
+
+    Distinct scores are counted first. They are dealt by ranges of (group, score), and each range gets its group's sums above it, so neither a group nor the groups together are ordered in one task.
+    """
+    per = scored.groupBy(F.col(group).alias("_g"), F.col(score).alias("_s")).agg(F.sum(label).cast("double").alias("_pos"), F.sum(1 - F.col(label)).cast("double").alias("_neg"))
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialised(materialised(per).repartitionByRange(parts, "_g", F.desc("_s")).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_g", "_part").agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))  # a row for each range and group that meet
+    until = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
+    sums = sums.select("_g", "_part", *(F.coalesce(F.sum(c).over(until), F.lit(0.0)).alias(f"{c}_above") for c in ("_p", "_n")), *(F.sum(c).over(whole).alias(f"{c}_all") for c in ("_p", "_n")))
+    inside = Window.partitionBy("_g", "_part").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.join(sums, ["_g", "_part"]).withColumns({"_cp": F.sum("_pos").over(inside) + F.col("_p_above"), "_cn": F.sum("_neg").over(inside) + F.col("_n_above")})
+    right = F.sum(F.col("_neg") * (F.col("_cp") - F.col("_pos") / 2))
+    precision = F.sum(F.try_divide(F.col("_pos"), F.col("_p_all")) * F.try_divide(F.col("_cp"), F.col("_cp") + F.col("_cn")))
+    return rows.groupBy(F.col("_g").alias(group)).agg(F.max("_p_all").cast("long").alias("n_pos"), F.max("_n_all").cast("long").alias("n_neg"), F.try_divide(right, F.max("_p_all") * F.max("_n_all")).alias("auc"), precision.alias("average_precision"))
+
+
 def losses(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """(brier, log_loss); probabilities are kept 1e-15 off 0 and 1."""
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(score)))

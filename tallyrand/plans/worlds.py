@@ -166,6 +166,21 @@ def trap_delta(spark: SparkSession, d: str) -> DataFrame:
     return M.trap_delta(rows, "o_orderkey", ["o_totalprice", "month"], "leak", "y")
 
 
+@query()
+def hist_gbt_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out scores of boosted trees over orders with gaps in three columns, without anything put in for them."""
+    gap = lambda c, share: F.when(sampling.fast_uniform(11, f"gap:{c}", F.col("o_orderkey")) >= share, F.col(c)).alias(c)
+    rows = _orders(spark, d).select("o_orderkey", "y", gap("o_totalprice", 0.2), gap("o_orderpriority", 0.1), gap("month", 0.3), "group")
+    train, test = M.held_out(rows, "o_orderkey", 0.3, 42)
+    return M.hist_gbt(train, test, ["o_totalprice", "o_orderpriority", "month", "group"], "y", ["o_orderkey"])
+
+
+@query()
+def trap_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a column that is raised with the label adds enough, with every seed."""
+    return M.trap_verdicts(trap_delta(spark, d), 0.02, 0.0)
+
+
 _P1 = "CASE " + " ".join(f"WHEN u < '{x}' THEN {k}" for k, x in enumerate(sampling.POISSON_1)) + f" ELSE {len(sampling.POISSON_1)} END"
 
 
