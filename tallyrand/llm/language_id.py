@@ -106,19 +106,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, *, sample_rows: int = 2000, n_landmarks: int = 192, ridge: float = 0.1) -> Model | None:
     """A model from docs (doc_id, text, lang): rows with a null language or id or without a letter teach nothing; None if none is left.
 
-    It is fitted on a bounded sample: ``sample_rows`` rows in all, the same number of each language, those lowest by a hash of their id. What the
-    driver gets is their packed features, 4 KB a row.
+    It is fitted on a bounded sample: ``sample_rows`` rows in all (or two a language, if that is more), the same number of each language: of the (id, text) pairs, each counted once, those lowest by a hash. What the
+    driver gets is their packed features, 4 KB a row, however often an id recurs.
     """
-    able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).withColumn("_h", F.xxhash64("text"))
     langs = able.select("lang").distinct().count()
     if not langs:
         return None
     most = max(2, sample_rows // langs)
-    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # First within parts of each language, so that a language's task gets a bounded number of rows.
-    ids = able.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).alias("part"))
-    ids = ids.withColumn("at", rank("lang", "part")).where(F.col("at") <= most).withColumn("at", rank("lang")).where(F.col("at") <= most).drop("part")
-    sample = able.join(F.broadcast(ids), ["doc_id", "lang"])  # at most sample_rows ids, or two per language
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", "_h"), "doc_id", "_h"))
+    # Repeats go in each task first. Then ranks within parts of each language, so that a language's task gets a bounded number of rows.
+    pairs = able.select("doc_id", "lang", "_h").distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", "_h", F.lit("part")), F.lit(PARTS)))
+    pairs = pairs.withColumn("at", rank("lang", "part")).where(F.col("at") <= most).withColumn("at", rank("lang")).where(F.col("at") <= most).drop("part")
+    sample = able.join(F.broadcast(pairs), ["doc_id", "lang", "_h"])  # at most sample_rows pairs, or two per language
+    sample = sample.groupBy("lang", "at").agg(F.max("text").alias("text"))
     rows = sample.select("text", "lang", F.col("at").cast("long")).mapInArrow(_packed, "lang string, at long, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["at"], bytes(r["bits"])))
     return solve([np.frombuffer(r["bits"], np.uint8) for r in rows], [r["lang"] for r in rows], n_landmarks, ridge)
