@@ -8,29 +8,22 @@ The penalty leaves few terms with a weight, so a text is scored from the terms t
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..operators import joint
 from ._spark import checkpointed
 
-WORDS, TERMS, FEATURES, FOLD = "words", "terms", "features", "fold"
-#: Rows of the sample to a partition: a step of the solver sends one gradient for each partition.
-FIT_ROWS = 3000
-#: Fits that run side by side, each of which takes some of the driver's memory, and texts that are scored at once.
-AT_ONCE, BATCH = 1, 512
+WORDS, FOLD = "words", "fold"
+#: Rows of the sample to a partition: a step of the solver sends one vector for each partition. Texts that are scored at once; the relative gain below which the solver stops.
+FIT_ROWS, BATCH, TOLERANCE = 2000, 512, 1e-6
 #: A word's beginning stands for its inflected and compounded forms.
 STEM = 4
 WORD = regex.compile(r"\p{L}+")
@@ -104,69 +97,91 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return 1 / (1 + math.exp(-(logit[at] + logit[at + 1]) / 2))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample_rows: int) -> DataFrame:
+    """(id, h, y0, y1, ..., text) of at most ``sample_rows`` rows of docs, whatever their ids: of the labelled (id, text) pairs, each counted once, those lowest by a hash. h: a hash of the text."""
+    labelled = labels.where(F.col(id_col).isNotNull() & F.greatest(*(F.col(c).isNull().cast("int") for c in [*categories, categories[0]])).eqNullSafe(0))
+    ys = [f"y{i}" for i in range(len(categories))]
+    labelled = labelled.groupBy(F.col(id_col).alias("id")).agg(*(F.max(c).cast("double").alias(y) for y, c in zip(ys, categories, strict=True)))
+    picked = labelled.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    # Both broadcasts have sample_rows rows at most; repeats are dropped before and after the texts are fetched, in each task first.
+    pairs = rows.select("id", "h").join(F.broadcast(picked), "id").distinct().orderBy(F.xxhash64("id", "h"), "id", "h").limit(sample_rows)
+    return rows.join(F.broadcast(pairs), ["id", "h"]).groupBy("id", "h", *ys).agg(F.max("text").alias("text"))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, as its terms."""
     for batch in batches:
         found = pa.array([sorted(terms_of(x)) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], WORDS])
 
 
-def _at_once(jobs: Sequence[Callable[[], object]]) -> list:
-    """The results of jobs that run side by side, as each step of a solver keeps few cores busy."""
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        return list(pool.map(lambda job: job(), [inheritable_thread_target(job) for job in jobs]))
+def _numbered(sample: DataFrame, vocabulary: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(columns, terms): the words of each row that the vocabulary has, as their places in it."""
+    held = sample.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = held.value.get
+        for batch in batches:
+            terms = [sorted(i for i in map(place, words) if i is not None) for words in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(terms, pa.list_(pa.int32()))], names=[*columns, "terms"])
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, folds: int = 3, vocabulary: int = 20_000, least_docs: int = 3, penalty: float = 3.6, iterations: int = 30) -> Chain:
+    schema = sample.select(*columns).withColumn("terms", F.array(F.lit(0))).schema
+    return sample.select(*columns, WORDS).mapInArrow(placed, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 12_000, folds: int = 3, vocabulary: int = 20_000, least_docs: int = 3, penalty: float = 3.6, iterations: int = 40) -> Chain:
     """A chain over ``categories``, 0/1 columns of labels (id, categories), for the texts of docs.
 
-    It is fitted on a bounded sample: the ``sample_rows`` labelled ids lowest by a hash, whole texts. Its terms are those of the sample that ``least_docs`` of its texts have,
+    It is fitted on a bounded sample: ``sample_rows`` rows at most, whole texts, see sampled(). Its terms are those of the sample that ``least_docs`` of its texts have,
     the ``vocabulary`` most frequent ones at most. Labels with a null id or a null category are left out;
     of repeated labels of an id one counts, the highest value of each category. A category that has one value only is predicted as that value; without any term all
-    probabilities are 0. The penalty, ``penalty`` over the number of sampled texts, is on absolute weights: terms that don't matter get none, so the many rare terms of a long text add nothing up.
+    probabilities are 0. The penalty, ``penalty`` over the number of sampled texts, is on absolute weights of features of unit deviation: terms that don't matter get none, so the many rare terms of a long text add nothing up.
+
+    A category's models, of all rows and without each fold, are fitted together: a step is one pass over the sample. The driver gets sums for each term, and a probability of each sampled row.
     """
-    labelled = labels.where(F.col(id_col).isNotNull() & F.greatest(*(F.col(c).isNull().cast("int") for c in [*categories, categories[0]])).eqNullSafe(0))
-    labelled = labelled.groupBy(F.col(id_col).alias("id")).agg(*(F.max(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)))
-    picked = labelled.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    # At most sample_rows ids, which bounds what is broadcast.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    fold = F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(folds))
     ys = [f"y{i}" for i in range(len(categories))]
-    sample = texts.select(*ys, fold.cast("long").alias(FOLD), "text").mapInArrow(_sampled, f"{''.join(f'{y} double, ' for y in ys)}{FOLD} long, {WORDS} array<string>")
-    sample = checkpointed(sample)  # read several times
+    rows = sampled(docs, labels, categories, id_col, text_col, sample_rows)
+    rows = rows.select(*ys, F.pmod(F.xxhash64(F.lit("fold"), "id", "h"), F.lit(folds)).cast("long").alias(FOLD), "text")
+    sample = checkpointed(rows.mapInArrow(_listed, f"{''.join(f'{y} double, ' for y in ys)}{FOLD} long, {WORDS} array<string>"))  # read several times
     in_fold = {r[FOLD]: r["count"] for r in sample.groupBy(FOLD).count().collect()}
     n = sum(in_fold.values())
-    parts = -(-n // FIT_ROWS) or 1
-    sample = sample.coalesce(parts)
-    frequent = sample.select(F.explode(WORDS).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    if frequent.isEmpty():
+    counts = sample.select(F.explode(WORDS).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    frequent = counts.orderBy(F.desc("n"), "t").limit(vocabulary).collect()
+    if not frequent:
         none = tuple(() for _ in categories)
         return Chain(tuple(categories), (), none, none, tuple(-math.inf for _ in categories), tuple(0.5 for _ in categories))
-    terms = CountVectorizer(inputCol=WORDS, outputCol=TERMS, vocabSize=vocabulary, minDF=float(least_docs), binary=True).fit(sample)
-    # The vectors are small beside the words, so only they are kept for the fits.
-    rows = checkpointed(terms.transform(sample).drop(WORDS))
-    models: list[LogisticRegressionModel] = []
-    thresholds: list[float] = []
+    terms, share = [r["t"] for r in frequent], np.array([r["n"] for r in frequent]) / n
+    deviation = np.sqrt(share * (1 - share) * n / max(1, n - 1))
+    scale = np.divide(1.0, deviation, out=np.zeros(len(terms)), where=deviation > 0)
+    # A fold that holds all rows leaves none to learn from; its rows then get the full model's values.
+    apart = [k for k in range(folds) if 0 < in_fold.get(k, 0) < n]
+    flags = F.array(F.lit(True), *(F.col(FOLD) != k for k in apart))
+    parts = -(-n // FIT_ROWS)
+    rows = checkpointed(_numbered(sample.coalesce(parts), terms, [*ys, FOLD]).withColumns({"flags": flags, "x": F.array().cast("array<double>")}))
+    model_of = F.lit(0)
+    for place, k in enumerate(apart):
+        model_of = F.when(F.col(FOLD) == k, place + 1).otherwise(model_of)
+    weights, earlier, constants, thresholds = [], [], [], []
     for i in range(len(categories)):
-        learner = LogisticRegression(featuresCol=FEATURES, labelCol=f"y{i}", probabilityCol="p", rawPredictionCol="raw", predictionCol="predicted", family="binomial", regParam=penalty / n, elasticNetParam=1.0, maxIter=iterations)
-        ready = VectorAssembler(inputCols=[TERMS, *(f"p{j}" for j in range(i))], outputCol=FEATURES).transform(rows)
-        # A fold that holds all rows leaves none to learn from; its rows then get the full model's values.
-        apart = [k for k in range(folds) if 0 < in_fold.get(k, 0) < n]
-        whole, *others = _at_once([lambda d=d: learner.fit(d) for d in (ready, *(ready.where(F.col(FOLD) != k) for k in apart))])
-        models.append(whole)
-        own = dict(zip(apart, others, strict=True))
-        held = [own.get(k, whole).transform(ready.where(F.col(FOLD) == k)) for k in in_fold]
-        held = [h.withColumn(f"p{i}", vector_to_array(F.col("p"))[1]).drop("p", "raw", "predicted", FEATURES) for h in held]
-        rows = checkpointed(reduce(DataFrame.unionByName, held)).coalesce(parts)
-        scored = np.array(rows.select(f"p{i}", f"y{i}").collect())  # sample_rows at most
-        thresholds.append(best_threshold(scored[:, 0], scored[:, 1]))
-    weights = [m.coefficients.toArray() for m in models]
-    found = terms.vocabulary
-    size = len(found)
-    some = [k for k in range(size) if any(w[k] for w in weights)]
+        if i:
+            spread = rows.agg(*(F.coalesce(F.stddev_samp(F.col("x")[j]), F.lit(0.0)) for j in range(i))).first()
+            scale = np.append(scale[: len(terms)], [1 / x if x > 0 else 0.0 for x in spread])
+        shape = joint.Shape(len(terms), i, scale)
+        found = joint.fit(rows.withColumn("y", F.col(ys[i])), shape, [joint.Problem(k) for k in range(1 + len(apart))], l1=penalty / n, steps=iterations, tolerance=TOLERANCE)
+        whole = found[0, :-1] * scale
+        weights.append(whole[: len(terms)])
+        earlier.append(whole[len(terms) :])
+        constants.append(float(found[0, -1]))
+        kept = [*ys, FOLD, "flags", "terms", "x"]
+        scored = joint.predicted(rows, shape, found, kept).withColumn("p", F.col("p")[model_of])
+        rows = checkpointed(scored.select(*(c for c in kept if c != "x"), F.concat("x", F.array("p")).alias("x"), "p"))
+        pairs = np.array(rows.select("p", ys[i]).collect())  # sample_rows at most
+        thresholds.append(best_threshold(pairs[:, 0], pairs[:, 1]))
+    some = [k for k in range(len(terms)) if any(w[k] for w in weights)]
     return Chain(
-        tuple(categories), tuple(found[k] for k in some), tuple(tuple(float(w[k]) for k in some) for w in weights),
-        tuple(tuple(map(float, w[size:])) for w in weights), tuple(float(m.intercept) for m in models), tuple(thresholds),
+        tuple(categories), tuple(terms[k] for k in some), tuple(tuple(float(w[k]) for k in some) for w in weights),
+        tuple(tuple(map(float, w)) for w in earlier), tuple(constants), tuple(thresholds),
     )
 
 
