@@ -10,7 +10,8 @@ import pyarrow as pa
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_POWER = np.cumprod(np.full(1 << 12, 0x5851F42D4C957F2D, np.uint64))
+#: Odd factors for the places of a word's bytes. They are drawn, not powers of one number: such sums agree for some texts by construction. Behind the last of them each begins anew with a factor of its round.
+_PLACE = _RNG.integers(1, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Odd factors for the places of an n-gram.
 PLACES = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The bytes that part words: the blanks of ASCII; and all of ASCII but letters and digits.
@@ -71,7 +72,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, parting: np.ndarray) -> np
         end = starts[to] if to < len(starts) else len(data)
         own = starts[at:to] - starts[at]
         place = np.arange(end - starts[at]) - np.repeat(own, np.diff(np.append(own, end - starts[at])))
-        out[at:to] = np.add.reduceat(table[data[starts[at] : end]] * _POWER[place & (len(_POWER) - 1)], own)
+        terms = table[data[starts[at] : end]] * _PLACE[place & (len(_PLACE) - 1)]
+        far = np.flatnonzero(place >= len(_PLACE))
+        if len(far):
+            terms[far] *= mixed((place[far] // len(_PLACE)).astype(np.uint64)) | np.uint64(1)
+        out[at:to] = np.add.reduceat(terms, own)
         at = to
     return mixed(out)
 

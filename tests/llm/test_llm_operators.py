@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyrand.llm import _spark, _words, byte_bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, topk_search, toxicity, url_filter
 from tallyrand.llm._components import components
+from tallyrand.operators import joint
 
 TEXTS = [(1, "one two three four five six seven"), (2, None), (3, ""), (4, "  \n\t "), (1, "one two three four five six seven"), (None, "one two three four five six seven"), (5, "word"), (6, "WORD")]
 
@@ -19,6 +20,25 @@ def frame(spark, rows, schema="doc_id long, text string"):
     return spark.createDataFrame(rows, schema)
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize(("a", "b"), [("x" + "q" * 8191, "q" * 4096 + "x" + "q" * 4095), *((thue_morse(1 << k), thue_morse(1 << k, 1)) for k in (10, 11, 12, 13, 14))])
+def test_word_hashes_of_long_words(spark, a, b):
+    """Words whose bytes' sums agree by construction where places have powers of one factor."""
+    data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    starts, _ = _words.word_bounds(data, np.array([0, len(data)]), _words.BLANKS)
+    x, y, z = _words.word_hashes(data, starts, _words.BLANKS)
+    assert x != y and x == z
+
+
+def test_near_duplicates_of_long_words(spark):
+    texts = [t for k in (11, 12) for t in (thue_morse(1 << k), thue_morse(1 << k, 1))]
+    out = jaccard_join.near_duplicates(frame(spark, list(enumerate(texts)))).collect()
+    assert [r.component_id for r in sorted(out)] == [0, 1, 2, 3]
+
+
 # -- language ID
 
 
@@ -117,6 +137,60 @@ def test_fold_models_are_those_of_the_other_folds(spark):
     assert both.constants[0] == pytest.approx(one.constants[0])
 
 
+def test_chain_against_a_numpy_refit(spark):
+    """The whole fit once more over one matrix: standardised terms, models without each fold, their probabilities as the later category's feature."""
+    rows, df = chained(spark)
+    labels = df.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.fit(df.select("doc_id", "text"), labels, ["low_quality", "toxic"])
+    fold = {r.doc_id: r.f for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id", F.xxhash64("text")), F.lit(3)).alias("f")).collect()}
+    texts = {r.doc_id: toxicity.terms_of(r.text) for r in df.collect()}
+    ids, n = sorted(texts), len(texts)
+    counts = collections.Counter(t for x in texts.values() for t in x)
+    terms = [t for t, k in sorted(counts.items(), key=lambda c: (-c[1], c[0])) if k >= 3]
+    x = np.array([[t in texts[i] for t in terms] for i in ids], float)
+    spread = x.std(0, ddof=1)
+    x = x * np.divide(1, spread, out=np.zeros(len(terms)), where=spread > 0)
+    scale = np.divide(1, spread, out=np.zeros(len(terms)), where=spread > 0)
+    marks = {r.doc_id: r for r in labels.collect()}
+    folds, found = np.array([fold[i] for i in ids]), []
+    for k, name in enumerate(["low_quality", "toxic"]):
+        y = np.array([marks[i][name] for i in ids], float)
+        wide, used = np.hstack([x, np.ones((n, 1))]), [np.ones(n, bool), *(folds != f for f in range(3))]
+
+        def evaluate(weights, which, wide=wide, used=used, y=y):
+            out = []
+            for w, p in zip(weights, which, strict=True):
+                z, u = wide @ w, used[p]
+                out.append([(np.logaddexp(0, z) - y * z)[u].sum(), u.sum(), *(((1 / (1 + np.exp(-z)) - y) * u) @ wide)])
+            return np.array(out)
+
+        w = joint.minimised(evaluate, [joint.Problem(p) for p in range(4)], wide.shape[1], l1=3.6 / n, steps=40, tolerance=toxicity.TOLERANCE)
+        found.append(w[0][:-1] * scale)
+        own = dict(zip(chain.terms, chain.weights[k], strict=True))
+        assert max(abs(own.get(t, 0) - v) for t, v in zip(terms, found[k], strict=False)) < 1e-6
+        assert np.allclose(chain.earlier[k], found[k][len(terms) :], atol=1e-6) and abs(chain.constants[k] - w[0][-1]) < 1e-6
+        p = 1 / (1 + np.exp(-(wide @ w.T)))
+        held = p[np.arange(n), folds + 1]
+        assert chain.thresholds[k] == pytest.approx(toxicity.best_threshold(held, y), abs=1e-6)
+        x, scale = np.hstack([x, (held / held.std(ddof=1))[:, None]]), np.append(scale, 1 / held.std(ddof=1))
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """2,000 rows of one id, some of them alike, send no more rows to the driver than the sample has."""
+    docs = spark.range(2000).selectExpr("7L as doc_id", "concat('word text number ', id % 1500) as text", "'en' as lang")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.sampled(docs, labels, ["quality", "toxic"], "doc_id", "text", 40).count() == 40
+    whole = toxicity.sampled(docs, labels, ["quality", "toxic"], "doc_id", "text", 5000).collect()
+    assert len(whole) == len({r.text for r in whole}) == 1500
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_id, "solve", lambda present, langs, *_: seen.append(len(langs)))
+        language_id.fit(docs, sample_rows=300)
+        language_id.fit(docs.unionByName(docs.withColumn("lang", F.lit("de"))), sample_rows=300)
+        language_id.fit(docs, sample_rows=5000)
+    assert seen == [300, 300, 1500]
+
+
 def test_threshold_parts_best():
     rng = np.random.default_rng(1)
     y = (rng.random(400) < 0.2).astype(float)
