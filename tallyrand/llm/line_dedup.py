@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ._spark import checkpointed, met
 
 
-def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 8, lg_k: int = 12) -> DataFrame:
+def boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 1, lg_k: int = 12) -> DataFrame:
     """(line, keeper, n): the hash of every line of ``min_chars`` or more on ``min_sites`` distinct sites or more, the smallest id that has it and the number of documents.
 
-    Null sites are none; a line that recurs in a document counts once for it. Lines are compared by 64-bit hashes.
+    ``min_chars``: 1 leaves out blank lines only. Null sites are none; a line that recurs in a document counts once for it. Lines are compared by 64-bit hashes.
     """
     rows = lines(docs, id_col, text_col, site_col, min_chars)
     sketched = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("id").alias("keeper"), F.count("*").alias("n"))
@@ -35,7 +35,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars:
     return docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(hashes).alias("line"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 8, lg_k: int = 12) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 1, lg_k: int = 12) -> DataFrame:
     """docs with boilerplate lines taken out of ``text_col`` and with n_lines and n_removed (long).
 
     The other lines stay as they are. Null texts stay null with no lines, empty texts have one empty line; rows with a

@@ -174,7 +174,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 ORACLE["op4_line_dedup"] = """
 WITH t AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS piece, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
-b AS (SELECT trim(piece, ' ') AS line, min(doc_id) AS keeper FROM t WHERE length(trim(piece, ' ')) >= 8 GROUP BY 1 HAVING count(DISTINCT source) >= 10)
+b AS (SELECT trim(piece, ' ') AS line, min(doc_id) AS keeper FROM t WHERE length(trim(piece, ' ')) >= 1 GROUP BY 1 HAVING count(DISTINCT source) >= 10)
 SELECT doc_id, count(k) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
   sha256(coalesce(string_agg(CASE WHEN NOT gone THEN piece END, chr(10) ORDER BY k), '')) AS text_sha256
 FROM (SELECT d.doc_id, k, piece, coalesce(keeper <> d.doc_id, false) AS gone FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN b ON line = trim(piece, ' '))
