@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import quantiles
@@ -133,6 +133,31 @@ def group_rates(df: DataFrame, group: str, label: Column, least: int = 0) -> Dat
     return per.crossJoin(F.broadcast(total)).where(F.col("n") >= least).select(group, "n", (F.col("n") / F.col("all")).alias("share"), "rate")
 
 
+def channel_audits(df: DataFrame, columns: Sequence[str], label: str, train: Column, tier: str) -> DataFrame:
+    """(tier, column, n_values, n_train, n_test, train_rate, test_rate, spread, auc_train, auc_test) of every category column in every tier, from one scan and one aggregation by value.
+
+    A value's score is its label's rate in training; values that only the test has get the tier's training rate. spread: the highest rate less the lowest. AUCs are one half with fewer than two values in training or with one class only.
+    Null is a value; null labels count as 0. The values of a column, not its rows, are ordered in one task.
+    """
+    y, taught = F.coalesce(F.col(label).cast("int"), F.lit(0)), F.coalesce(train, F.lit(False))
+    long = df.select(F.col(tier).alias("tier"), y.alias("_y"), taught.alias("_t"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("_v"))
+    per = long.groupBy("tier", F.col("_v.column").alias("column"), F.col("_v.value").alias("value")).agg(*(F.sum(F.when(s, c).otherwise(0)).alias(n) for n, s, c in (("a", F.col("_t"), F.lit(1)), ("p", F.col("_t"), F.col("_y")), ("b", ~F.col("_t"), F.lit(1)), ("q", ~F.col("_t"), F.col("_y")))))
+    whole = Window.partitionBy("tier", "column")
+    base = F.try_divide(F.sum("p").over(whole), F.sum("a").over(whole))
+    rated = per.withColumn("rate", F.try_divide(F.col("p"), F.col("a"))).withColumn("score", F.coalesce("rate", base))
+    # Values of one score are one step of the curve.
+    steps = rated.groupBy("tier", "column", "score").agg(*(F.sum(c).alias(c) for c in "apbq"), F.count_if(F.col("a") > 0).alias("k"), F.min("rate").alias("low"), F.max("rate").alias("high"))
+    above = Window.partitionBy("tier", "column").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumns({f"{c}_above": F.coalesce(F.sum(c).over(above), F.lit(0)) for c in "pq"})
+    out = steps.groupBy("tier", "column").agg(
+        F.sum("k").alias("n_values"), *(F.sum(c).alias(c) for c in "apbq"), (F.max("high") - F.min("low")).alias("spread"),
+        F.sum((F.col("a") - F.col("p")) * (F.col("p_above") + F.col("p") / 2)).alias("won_train"), F.sum((F.col("b") - F.col("q")) * (F.col("q_above") + F.col("q") / 2)).alias("won_test"),
+    )
+    auc = lambda won, n, p: F.when(F.col("n_values") < 2, 0.5).otherwise(F.coalesce(F.try_divide(F.col(won), F.col(p) * (F.col(n) - F.col(p))), F.lit(0.5)))
+    rate = lambda p, n: F.coalesce(F.try_divide(F.col(p), F.col(n)), F.lit(0.0))
+    return out.select("tier", "column", "n_values", F.col("a").alias("n_train"), F.col("b").alias("n_test"), rate("p", "a").alias("train_rate"), rate("q", "b").alias("test_rate"), F.coalesce("spread", F.lit(0.0)).alias("spread"), auc("won_train", "a", "p").alias("auc_train"), auc("won_test", "b", "q").alias("auc_test"))
+
+
 def spread(rates: DataFrame) -> DataFrame:
     return rates.agg(F.count("*").alias("n_groups"), F.min("rate").alias("lowest"), F.max("rate").alias("highest"), (F.max("rate") - F.min("rate")).alias("spread"))
 

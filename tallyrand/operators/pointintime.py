@@ -22,10 +22,21 @@ def first_days(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).agg(F.to_date(F.min(ts)).alias("anchor"))
 
 
-def with_day(events: DataFrame, anchors: DataFrame, key: str, ts: str) -> DataFrame:
-    """Events of anchored entities with ``day``, the days since the anchor. Rows without a readable time are dropped, as are orphans."""
+def asserted(condition: Column, message: Column, value: Column) -> Column:
+    """value where the condition holds; elsewhere the job fails with the message, in the very task that meets the row. It costs no job of its own."""
+    return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(F.raise_error(message).cast("int"))
+
+
+def with_day(events: DataFrame, anchors: DataFrame, key: str, ts: str, orphans: str = "drop") -> DataFrame:
+    """Events of anchored entities with ``day``, the days since the anchor. Rows without a readable time are dropped; ``orphans``: events without an anchor are dropped ("drop") or fail the job that reads ``day`` ("raise"), which names one of them."""
     at = F.datediff(day_of(F.col(ts)), F.col("anchor"))
-    return events.join(anchors.select(key, "anchor"), key).withColumn("day", at).where(F.col("day").isNotNull())
+    if orphans == "drop":
+        return events.join(anchors.select(key, "anchor"), key).withColumn("day", at).where(F.col("day").isNotNull())
+    if orphans != "raise":
+        raise SnapshotError(f"orphans: drop or raise, not {orphans!r}")
+    known = anchors.select(key, "anchor", F.lit(True).alias("_known"))
+    at = asserted(F.col("_known"), F.concat(F.lit(f"event without an anchor: {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))), at)
+    return events.join(known, key, "left").withColumn("day", at).drop("_known").where(F.col("day").isNotNull())
 
 
 def touch_features(events: DataFrame, key: str, window: int | None, kinds: Mapping[str, Column], horizon: int = 90) -> DataFrame:
@@ -62,13 +73,13 @@ def windowed_snapshot(spine: DataFrame, events: DataFrame, *, key: str, ts: str,
     return onto_spine(spine, found, key, [c for c in found.columns if c.startswith("n_") or c in ("first_week", "last_week", "total_all")])
 
 
-def safe_events(events: DataFrame, anchors: DataFrame, *, key: str, ts: str, window: int) -> DataFrame:
-    """Events up to ``window`` days after their entity's anchor; later ones, orphans and rows without a readable time are dropped.
+def safe_events(events: DataFrame, anchors: DataFrame, *, key: str, ts: str, window: int, orphans: str = "drop") -> DataFrame:
+    """Events up to ``window`` days after their entity's anchor; later ones and rows without a readable time are dropped. Events without an anchor are dropped too, or fail the job ("raise").
 
     The latest possible day also bounds the scan, so files that begin after it are skipped.
     """
     checked_anchors(anchors, key, window)
-    return with_day(events, anchors, key, ts).where(F.col("day") <= window).select(events.columns)
+    return with_day(events, anchors, key, ts, orphans).where(F.col("day") <= window).select(events.columns)
 
 
 def checked_anchors(anchors: DataFrame, key: str, window: int) -> None:
@@ -88,8 +99,8 @@ def until(events: DataFrame, ts: str, cutoff: str) -> DataFrame:
     return events.where(F.col(ts) <= F.lit(cutoff).cast(kind))
 
 
-def safe_tables(tables: Mapping[str, DataFrame], *, window: int, leads: str = "leads", key: str = "lead_id", anchor: str = "lead_created_at", times: Mapping[str, str], banned: Mapping[str, Sequence[str]], omitted: Sequence[str]) -> dict[str, DataFrame]:
-    """The tables of a bundle as they may be published: without banned columns and omitted tables, event tables cut at each lead's anchor plus ``window`` days."""
+def safe_tables(tables: Mapping[str, DataFrame], *, window: int, leads: str = "leads", key: str = "lead_id", anchor: str = "lead_created_at", times: Mapping[str, str], banned: Mapping[str, Sequence[str]], omitted: Sequence[str], orphans: str = "drop") -> dict[str, DataFrame]:
+    """The tables of a bundle as they may be published: without banned columns and omitted tables, event tables cut at each lead's anchor plus ``window`` days. Events without a lead are dropped, or fail the job that writes them ("raise")."""
     if leads not in tables or not {key, anchor} <= set(tables[leads].columns):
         raise SnapshotError(f"{leads} with {key} and {anchor} is needed")
     anchors = tables[leads].select(key, day_of(F.col(anchor)).alias("anchor"))
@@ -99,7 +110,7 @@ def safe_tables(tables: Mapping[str, DataFrame], *, window: int, leads: str = "l
         if name in omitted:
             continue
         if name in times:
-            df = with_day(df, anchors, key, times[name]).where(F.col("day") <= window).select(df.columns)
+            df = with_day(df, anchors, key, times[name], orphans).where(F.col("day") <= window).select(df.columns)
         out[name] = df.drop(*banned.get(name, ()))
     return out
 
