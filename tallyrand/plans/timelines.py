@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import fused
 from ..operators import timelines as T
 from ..sources.tables import read_table
 
@@ -111,3 +112,15 @@ def channel_audit_all(spark: SparkSession, d: str) -> DataFrame:
     rows = o.select((F.col("o_orderkey") % 3).cast("string").alias("tier"), (F.col("o_orderkey") % 10 < 7).alias("t"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), F.when(F.col("o_totalprice") > 20000, F.col("o_orderpriority")).alias("priority"), F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 50).alias("grp"))
     out = A.channel_audits(rows, ["priority", "month", "grp"], "y", F.col("t"), "tier")
     return out.withColumns({c: F.round(c, 6) for c in ("train_rate", "test_rate", "spread", "auc_train", "auc_test")})
+
+
+@query("""WITH r AS (SELECT CAST(o_orderkey % 3 AS VARCHAR) AS tier, CASE WHEN o_totalprice > 20000 THEN o_orderpriority END AS priority, o_totalprice, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders),
+a AS (SELECT tier, avg(CASE WHEN priority IS NULL THEN 1.0 ELSE 0.0 END) AS nulls, count(*) FILTER (WHERE o_totalprice < 1000 OR o_totalprice > 400000) AS far, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS odd, avg(y) AS rate, avg(o_totalprice) AS mean FROM r GROUP BY 1)
+SELECT tier, 'null_share:priority' AS check, round(nulls, 6)::DOUBLE AS value, nulls <= 0.05 AS ok FROM a UNION ALL SELECT tier, 'violations:o_totalprice_range', far, far = 0 FROM a UNION ALL SELECT tier, 'violations:o_orderstatus_values', odd, odd = 0 FROM a
+UNION ALL SELECT tier, 'rate:y', round(rate, 6), rate >= 0.3 AND rate <= 0.4 FROM a UNION ALL SELECT tier, 'mean_price', round(mean, 2), true FROM a""")
+def fused_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Realism, difficulty and value checks of three tiers from one scan."""
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"])
+    rows = o.select((F.col("o_orderkey") % 3).cast("string").alias("tier"), F.when(F.col("o_totalprice") > 20000, F.col("o_orderpriority")).alias("priority"), "o_totalprice", "o_orderstatus", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    checks = [fused.null_share("priority", 0.05), fused.within("o_totalprice", 1000, 400_000), fused.known_values("o_orderstatus", ["F", "O"]), fused.rate("y", 0.3, 0.4), fused.Check("mean_price", F.avg("o_totalprice"))]
+    return fused.checked(rows, checks, ["tier"]).withColumn("value", F.when(F.col("check") == "mean_price", F.round("value", 2)).otherwise(F.round("value", 6)))

@@ -13,13 +13,14 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators.sampling import exact_splits
 from ..operators.snapshots import Feature, redacted_for
-from .tables import materialised, write_table
+from ..operators.fused import Check, broken, columns_of, null_share, observed_write, rate, within
+from .tables import materialised
 
 
 @dataclass(frozen=True)
@@ -38,13 +39,37 @@ OMITTED = ("customers", "subscriptions")
 TIMES = {"touches": "touch_timestamp", "sessions": "session_timestamp", "sales_activities": "activity_timestamp", "opportunities": "created_at"}
 
 
+def digest_columns(columns: Sequence[str]) -> list[Column]:
+    """n, a and b: the number of rows and the sums of two hashes of each row, whatever their order and files."""
+    row = F.concat_ws("\x1f", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(columns)))
+    return [F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")).alias(name) for k, name in ((1, "a"), (2, "b")))]
+
+
+def digest_of(columns: Sequence[str], seen: Mapping) -> str:
+    """A digest of a table's rows from its digest_columns()."""
+    return hashlib.sha256(f"{sorted(columns)}:{seen['n']}:{seen['a']}:{seen['b']}".encode()).hexdigest()
+
+
 def content_digest(df: DataFrame) -> str:
-    """A digest of a table's rows whatever their order and files: the sums of two hashes of each row, its count and its columns."""
-    names = sorted(df.columns)
-    row = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in names))
-    sums = [F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")) for k in (1, 2)]
-    n, a, b = df.agg(F.count("*"), *sums).first()
-    return hashlib.sha256(f"{names}:{n}:{a}:{b}".encode()).hexdigest()
+    return digest_of(df.columns, df.agg(*digest_columns(df.columns)).first().asDict())
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, sha256) of every file under a folder, by its path there; each task reads one file at a time. Files that Spark ignores, such as _SUCCESS, aren't listed."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    inner = F.expr(f"substring(path, locate({json.dumps(root)}, path) + {len(root) + 1})")
+    return files.select(inner.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def compare_trees(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """(path, problem) of files that are under one of two folders only, or differ byte for byte. Names of Parquet files hold a random part, so those of a table are compared as a set of digests under the table's path."""
+    part = F.regexp_replace("path", r"/part-[^/]*$", "")
+    sets = lambda folder, name: file_digests(spark, folder).groupBy(part.alias("path")).agg(F.sort_array(F.collect_list("sha256")).alias(name))
+    both = sets(left, "l").join(sets(right, "r"), "path", "full")
+    problem = F.when(F.col("r").isNull(), "only left").when(F.col("l").isNull(), "only right").when(F.col("l") != F.col("r"), "differs")
+    return both.select("path", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def config_hash(config: Mapping) -> str:
@@ -71,14 +96,18 @@ def feature_dictionary(features: Sequence[Feature]) -> str:
     return out.getvalue()
 
 
+def written(df: DataFrame, path: str, files: int | None = None) -> dict:
+    """Writes a table and gives its rows and content digest, in one pass."""
+    seen = observed_write(df, path, digest_columns(df.columns), files)
+    return {"rows": seen["n"], "sha256": digest_of(df.columns, seen)}
+
+
 def write_tables(tables: Mapping[str, DataFrame], folder: str, redacted: Mapping[str, Sequence[str]] | None = None, files: int | None = None) -> dict[str, dict]:
-    """Writes each table without its redacted columns; (rows, sha256) of each, from what was written."""
+    """Writes each table without its redacted columns; (rows, sha256) of each, taken while it is written."""
     out = {}
     for name, df in tables.items():
         path = f"{folder}/tables/{name}.parquet"
-        write_table(df.drop(*(redacted or {}).get(name, ())), path, files)
-        back = df.sparkSession.read.parquet(path)
-        out[name] = {"rows": back.count(), "sha256": content_digest(back)}
+        out[name] = written(df.drop(*(redacted or {}).get(name, ())), path, files)
     return out
 
 
@@ -88,9 +117,7 @@ def write_splits(snapshot: DataFrame, folder: str, task: str, key: str, seed: in
     out = {}
     for split in ("train", "valid", "test"):
         path = f"{folder}/tasks/{task}/{split}.parquet"
-        write_table(rows.where(F.col("split") == split).drop("split"), path, files)
-        back = snapshot.sparkSession.read.parquet(path)
-        out[split] = {"rows": back.count(), "sha256": content_digest(back)}
+        out[split] = written(rows.where(F.col("split") == split).drop("split"), path, files)
     return out
 
 
@@ -129,6 +156,28 @@ def exposure_errors(public: Mapping, instructor: Mapping) -> list[str]:
     return [f"{p} is public only" for p in sorted(parts(public) - parts(instructor))]
 
 
+def exposure_tree_errors(spark: SparkSession, public: str, instructor: str) -> list[str]:
+    """Where a public bundle isn't a part of the instructor's: what its manifest shows more, hidden parts in it or none in the other's, tables of the same columns and rows whose content differs, rows of the feature dictionary that the other lacks or has with other values."""
+    a, b = (read_json(spark, f"{f}/manifest.json") for f in (public, instructor))
+    errors = exposure_errors(a, b)
+    hidden = lambda f: exists(spark, f"{f}/metadata")
+    errors += ["the public bundle has metadata"] * hidden(public) + ["the instructor's bundle has no metadata"] * (not hidden(instructor))
+    for t in sorted(a["tables"].keys() & b["tables"].keys()):
+        x, y = (spark.read.parquet(f"{f}/tables/{t}.parquet").columns for f in (public, instructor))
+        if extra := sorted(set(x) - set(y)):
+            errors.append(f"table {t}: columns {extra} are public only")
+        elif sorted(x) == sorted(y) and a["tables"][t]["rows"] == b["tables"][t]["rows"] and a["tables"][t]["sha256"] != b["tables"][t]["sha256"]:
+            errors.append(f"table {t}: its content differs")
+    rows = [{r["name"]: r for r in csv.DictReader(io.StringIO(read_text(spark, f"{f}/feature_dictionary.csv")))} for f in (public, instructor)]
+    errors += [f"feature {name} is public only" for name in sorted(rows[0].keys() - rows[1].keys())]
+    return errors + [f"feature {name} is described differently" for name in sorted(rows[0].keys() & rows[1].keys()) if rows[0][name] != rows[1][name]]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def card(name: str, manifest: Mapping) -> str:
     lines = [f"# {name}", "", f"Mode: {manifest['mode']}. Seed: {manifest['seed']}.", "", "| table | rows |", "|-|-|"]
     lines += [f"| {t} | {x['rows']} |" for t, x in manifest["tables"].items()]
@@ -153,21 +202,54 @@ def write_bundle(spark: SparkSession, folder: str, *, name: str, tables: Mapping
     return manifest
 
 
-def validate_bundle(spark: SparkSession, folder: str, *, keys: Sequence[tuple[str, str, str, str]] = (), banned: Mapping[str, Sequence[str]] = BANNED, omitted: Sequence[str] = OMITTED) -> list[str]:
-    """What is wrong with a bundle: rows or digests that differ from the manifest, orphaned keys (child, key, parent, key), and in public mode columns and tables that must not be there."""
+#: Shares of missing values above which a feature tells nothing, and rates of the label that no tier has.
+MOST_MISSING, LABEL_RATES = 0.999, (0.005, 0.995)
+
+
+def _checks(dictionary: Mapping[str, Mapping], columns: Sequence[str], difficulty: tuple[float, float] | None) -> list[Check]:
+    """What a split's one scan also tells: features that are all missing, counts below 0 where none may be (other numbers may have outliers on purpose), and the rate of a 0/1 target."""
+    out = []
+    for c in columns:
+        row = dictionary.get(c)
+        if row is None:
+            continue
+        if row["role"] == "feature":
+            out.append(null_share(c, MOST_MISSING))
+        if row["non_negative"] == "True" and row["dtype"] == "long":
+            out.append(within(c, 0.0, None))
+        if row["role"] == "target" and row["dtype"] == "boolean":
+            out.append(rate(c, *(difficulty or LABEL_RATES)))
+    return out
+
+
+def validate_bundle(
+    spark: SparkSession, folder: str, *, keys: Sequence[tuple[str, str, str, str]] = (), banned: Mapping[str, Sequence[str]] = BANNED, omitted: Sequence[str] = OMITTED, realism: bool = True, rates: Mapping[str, tuple[float, float]] | None = None, least_rows: int = 200
+) -> list[str]:
+    """What is wrong with a bundle: files that are missing, rows or digests that differ from the manifest, orphaned keys (child, key, parent, key), and in public mode columns and tables that must not be there.
+
+    realism: also features without values, negative counts, and targets whose rate is outside the range of the manifest's difficulty in ``rates``, or of any; splits of fewer than ``least_rows`` rows are too small to tell these.
+    Each table and split is scanned once for all of this; keys are joined beside.
+    """
     manifest = read_json(spark, f"{folder}/manifest.json")
-    errors, tables = [], {}
-    listed = {line.split(",")[0] for line in read_text(spark, f"{folder}/feature_dictionary.csv").splitlines()[1:]}
+    errors, tables = [f"{name} is missing" for name in ("card.md", "feature_dictionary.csv") if not exists(spark, f"{folder}/{name}")], {}
+    listed = {r["name"]: r for r in csv.DictReader(io.StringIO(read_text(spark, f"{folder}/feature_dictionary.csv")))} if exists(spark, f"{folder}/feature_dictionary.csv") else {}
     parts = {f"tables/{t}": x for t, x in manifest["tables"].items()} | {f"tasks/{t}/{s}": x for t, splits in manifest["tasks"].items() for s, x in splits.items()}
     for name, wanted in parts.items():
+        if not exists(spark, f"{folder}/{name}.parquet"):
+            errors.append(f"{name} is missing")
+            continue
         df = spark.read.parquet(f"{folder}/{name}.parquet")
-        if (n := df.count()) != wanted["rows"]:
-            errors.append(f"{name}: {n} rows, the manifest has {wanted['rows']}")
-        elif content_digest(df) != wanted["sha256"]:
+        checks = [] if name.startswith("tables/") or not realism else _checks(listed, df.columns, (rates or {}).get(manifest.get("difficulty")))
+        seen = df.agg(*digest_columns(df.columns), *columns_of(checks)).first().asDict()
+        if seen["n"] != wanted["rows"]:
+            errors.append(f"{name}: {seen['n']} rows, the manifest has {wanted['rows']}")
+        elif digest_of(df.columns, seen) != wanted["sha256"]:
             errors.append(f"{name}: its content differs from the manifest's digest")
+        if seen["n"] >= least_rows:
+            errors += [f"{name}: {e}" for e in broken(seen, checks)]
         if name.startswith("tables/"):
             tables[name[7:]] = df
-        elif unexpected := sorted(set(df.columns) - listed):
+        elif listed and (unexpected := sorted(set(df.columns) - set(listed))):
             errors.append(f"{name}: columns {unexpected} that the dictionary lacks")
     for child, key, parent, parent_key in keys:
         if child in tables and parent in tables and (n := audit.orphans(tables[child], key, tables[parent], parent_key).count()):
