@@ -14,36 +14,94 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bits to a block, ids after which a segment ends with the document, chunks of text that an encoder remembers, bytes of text to a shard, and shards at most.
-BLOCK, SEGMENT, REMEMBERED, SHARD_BYTES, SHARDS = 512, 1 << 20, 1 << 19, 1 << 24, 100_000
+#: Bits to a block, ids after which a segment ends with the document, pieces of text that an encoder remembers twice, bytes that are encoded together, bytes of text to a shard, and shards at most.
+BLOCK, SEGMENT, REMEMBERED, GROUP, SHARD_BYTES, SHARDS = 512, 1 << 20, 300_000, 1 << 23, 1 << 24, 100_000
 SCHEMA = "shard int, segment int, start long, n int, bits int, zeros array<int>, planes binary, ranks binary, doc_ids array<long>, doc_starts array<int>"
 
 
+def ragged(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the lists ``index`` of those that lie in ``flat`` one behind the other."""
+    begins, own = np.cumsum(sizes) - sizes, sizes[index]
+    return flat[np.arange(own.sum()) + np.repeat(begins[index] - (np.cumsum(own) - own), own)], own
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library. What stands between two blanks or line feeds is encoded once and remembered, as no token of the given file spans them."""
+    """Ids of whole texts by the tokenizers library. No token of the given file spans a blank or line feed, or a letter or digit of ASCII and a sign behind it, so the pieces between these are encoded once and remembered while they recur.
+
+    Pieces of letters only are encoded many at a time and told apart by the tokens that end a word.
+    """
+
+    #: Signs that may end a chunk; apostrophes begin tokens with letters, and special tokens are made of <, | and >.
+    SIGNS = ",.;:!?$#%&*()-_=+[]{}/\\@^~\"`"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        new = list(set(chunks).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(chunks))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, self.wide).tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.wide)
+        self.before: dict[str, bytes] = {}
+
+    def _separate(self, pieces: Sequence[str]) -> list[bytes]:
+        return [np.array(x.ids, self.wide).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: Sequence[str]) -> list[bytes]:
+        if len(words) == 1:
+            return self._separate(words)
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.wide)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):  # some letters become others and signs
+            return self._words(words[: len(words) // 2]) + self._words(words[len(words) // 2 :])
+        data, size = ids.tobytes(), self.wide.itemsize
+        ends = (ends * size).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _pieces(self, chunks: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(different pieces, two of them for every chunk): what stands before a chunk's last signs, and these, which may be empty."""
+        piece = pc.utf8_rtrim(chunks, self.SIGNS)
+        letters = pc.utf8_is_alpha(piece)
+        piece = pc.if_else(pc.or_(letters, pc.match_substring_regex(piece, "[0-9A-Za-z]$")), piece, chunks)
+        piece = pc.if_else(letters, pc.ascii_lower(piece), piece).dictionary_encode()
+        own = piece.dictionary.to_pylist()
+        rest = pc.subtract(pc.binary_length(chunks), pc.binary_length(piece.cast(chunks.type))).to_numpy(zero_copy_only=False)  # signs are of one byte
+        some = np.flatnonzero(rest)
+        tails: dict[str, int] = {"": len(own)}
+        second = np.full(len(chunks), len(own))
+        second[some] = [tails.setdefault(chunk[-size:], len(own) + len(tails)) for chunk, size in zip(chunks.take(pa.array(some)).to_pylist(), rest[some].tolist(), strict=True)]
+        return [*own, *tails], np.column_stack([piece.indices.to_numpy(zero_copy_only=False).astype(np.int64), second])
+
+    def _learn(self, pieces: Sequence[str]) -> None:
+        own, before = self.known, self.before
+        new = set(pieces).difference(own)
+        own.update((p, before[p]) for p in new if p in before)
+        new = [p for p in new if p not in own]
+        for some, encode, most in (([p for p in new if p.isalpha()], self._words, 256), ([p for p in new if not p.isalpha()], self._separate, 4096)):
+            for at in range(0, len(some), most):
+                own.update(zip(some[at : at + most], encode(some[at : at + most]), strict=True))
+
+    def __call__(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, how many each text has)."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        pieces, pairs = self._pieces(chunks.dictionary)
+        self._learn(pieces)
+        found = [self.known[p] for p in pieces]
+        own = np.frombuffer(b"".join(found), self.wide), np.fromiter(map(len, found), np.int64, len(found)) // self.wide.itemsize
+        own, sizes = ragged(*own, pairs.ravel())
+        ids, sizes = ragged(own, sizes.reshape(-1, 2).sum(1), chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]
+        return ids, np.diff(ends)
 
 
 @functools.cache
@@ -147,6 +205,16 @@ class WaveletMatrix:
         return at
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows (shard, id, text), about GROUP bytes of text at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        to = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + GROUP, "right")))
+        yield batch.slice(start, to - start)
+        start = to
+
+
 def write(docs: DataFrame, out: str, *, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> None:
     """Writes the token ids of every whole text, each document's followed by ``end_id``, to the folder ``out``, in ascending order of id_col (long), in wavelet matrices.
 
@@ -173,17 +241,17 @@ def write(docs: DataFrame, out: str, *, path: str, id_col: str = "doc_id", text_
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            shards, keys, texts = batch.columns
-            for k in range(batch.num_rows):
-                shard = shards[k].as_py()
-                found = np.concatenate([encode(texts[k].as_py()), end])
-                ids.append(keys[k].as_py())
-                starts.append(n)
-                parts.append(found)
-                n += len(found)
-                if n >= SEGMENT:
-                    yield ended()
-                    parts, ids, starts, start, segment, n = [], [], [], start + n, segment + 1, 0
+            for rows in _groups(batch):
+                shard = rows.column(0)[0].as_py()
+                flat, sizes = encode(rows.column(2))
+                for key, found in zip(rows.column(1).to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+                    ids.append(key)
+                    starts.append(n)
+                    parts += [found, end]
+                    n += len(found) + len(end)
+                    if n >= SEGMENT:
+                        yield ended()
+                        parts, ids, starts, start, segment, n = [], [], [], start + n, segment + 1, 0
         if ids:
             yield ended()
 
