@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..generate import graph, leads, lifecycle, motifs
 from ..operators import models as M
-from ..operators import flat, quality, sampling, snapshots
+from ..operators import flat, quality, resampling, sampling, snapshots
 from ..operators import ranking as R
 from ..sources.tables import read_table
 from .audits import u_sql
@@ -188,3 +188,25 @@ _P1 = "CASE " + " ".join(f"WHEN u < '{x}' THEN {k}" for k, x in enumerate(sampli
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     out = sampling.bootstrap(_orders(spark, d), "o_orderkey", F.col("y"), replicates=200, seed=7)
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+_BOOT = (
+    "WITH d AS (SELECT o_totalprice, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS urgency, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, b, md5('7:bootstrap:' || o_orderkey || ':' || b) AS h FROM orders, range(0, 50) g(b)), "
+    "u AS (SELECT 4 * b + k AS replicate, o_totalprice, urgency, y, substr(h, CAST(8 * k + 1 AS BIGINT), 8) AS u FROM d, range(0, 4) r(k)), "
+    "w AS (SELECT replicate, s.score, s.p, y, " + _P1 + " AS w FROM u, unnest([{'score': 'price', 'p': o_totalprice}, {'score': 'urgency', 'p': urgency}]) t(s)), "
+    "g AS (SELECT score, replicate, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM w GROUP BY ALL), "
+    "c AS (SELECT *, sum(pos) OVER o AS cp, sum(neg) OVER o AS cn, sum(pos) OVER a AS ap, sum(neg) OVER a AS an FROM g WINDOW o AS (PARTITION BY score, replicate ORDER BY p DESC), a AS (PARTITION BY score, replicate)), "
+    "m AS (SELECT score, replicate, sum(neg * (cp - pos / 2)) / nullif(max(ap) * max(an), 0) AS auc, CASE WHEN max(ap) * max(an) > 0 THEN sum(CASE WHEN pos > 0 THEN pos / ap * (cp / (cp + cn)) ELSE 0 END) END AS average_precision FROM c GROUP BY ALL), "
+    "f AS (SELECT * FROM m UNION ALL SELECT 'urgency - price', replicate, b.auc - a.auc, b.average_precision - a.average_precision FROM m a JOIN m b USING (replicate) WHERE a.score = 'price' AND b.score = 'urgency'), "
+    "l AS (UNPIVOT f ON auc, average_precision INTO NAME metric VALUE v) "
+    "SELECT score, metric, count(v) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.975), 6) AS high FROM l GROUP BY ALL"
+)
+
+
+@query(_BOOT)
+def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
+    """Bands of the AUC and average precision of two scores of all orders, one almost without ties and one of five values, and of their differences over the same resamples."""
+    rows = read_table(spark, d, "orders", ["o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"])
+    rows = rows.select("o_orderkey", F.col("o_totalprice").alias("price"), F.substring("o_orderpriority", 1, 1).cast("double").alias("urgency"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    out = resampling.bootstrap_ranked(rows, "o_orderkey", ["price", "urgency"], "y", replicates=200, seed=7)
+    return out.select("score", "metric", "replicates", *(F.round(c, 6).alias(c) for c in resampling.SUMMARY))
