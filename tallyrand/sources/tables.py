@@ -36,15 +36,18 @@ def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read back: later steps start from the files, also after an executor is lost.
-
-    The folder is spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, one of our own. Raises on a cluster.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the session's checkpoint folder, which is set from spark.checkpoint.dir if need be. Where that is unset too and all runs on this machine, as in tests, one of our own; raises on a cluster."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: later steps start from the files, also after an executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -106,3 +106,25 @@ def test_exposure_of_whole_bundles(spark, both, tmp_path):
     first = text[1].split(",")
     bundle.write_text(spark, "\n".join([text[0], ",".join([first[0], "other", *first[2:]]), *text[2:], "made_up,long,feature,False,"]), f"{changed}/feature_dictionary.csv")
     assert bundle.exposure_tree_errors(spark, changed, instructor) == ["feature made_up is public only", f"feature {first[0]} is described differently"]
+
+
+def test_rows_in_which_bundles_differ(spark, both, tmp_path):
+    import json
+
+    left = both[0]
+    assert bundle.bundle_diff(spark, left, copied(left, tmp_path / "same"), {}).collect() == []
+    right = copied(left, tmp_path / "right")
+    leads = spark.read.parquet(f"{left}/tables/leads.parquet")
+    ids = [r.lead_id for r in leads.select("lead_id").orderBy("lead_id").limit(3).collect()]
+    source = F.when(F.col("lead_id") == ids[0], "elsewhere").otherwise(F.col("lead_source")).alias("lead_source")
+    changed = leads.where(F.col("lead_id") != ids[1]).select(*(source if c == "lead_source" else c for c in leads.columns))
+    changed = changed.unionByName(leads.where(F.col("lead_id") == ids[2]).withColumn("lead_id", F.lit("lead_new")))
+    manifest = bundle.read_json(spark, f"{right}/manifest.json")
+    manifest["tables"]["leads"] = bundle.written(changed, f"{right}/tables/leads.parquet")
+    gone = sorted(set(manifest["tables"]) - {"leads"})[0]
+    del manifest["tables"][gone]
+    bundle.write_text(spark, json.dumps(manifest), f"{right}/manifest.json")
+    got = {(r.part, r.key and json.loads(r.key)["lead_id"], r.change, *r.columns) for r in bundle.bundle_diff(spark, left, right, {"leads": ["lead_id"]}).collect()}
+    assert got == {(f"tables/{gone}", None, "removed"), ("tables/leads", ids[0], "changed", "lead_source"), ("tables/leads", ids[1], "removed"), ("tables/leads", "lead_new", "added")}
+    with pytest.raises(ValueError):
+        bundle.bundle_diff(spark, left, right, {})
