@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.random import uniform
-from ..functions.scalars import day_of
+from ..functions.random import poisson, uniform
+from ..functions.scalars import clipped, day_of
 from .ranking import ranked
 from .sampling import soft_cap, stratified, with_gaps
 
@@ -25,7 +25,8 @@ NAMES = {
 
 # Gaps by version, each column's rates by lead source and its rate for all others. What the snapshot has no value for stays missing.
 _V5 = {"web_sessions": ({"sdr_outbound": 0.15, "inbound_marketing": 0.02, "partner_referral": 0.05}, 0.0), "seniority": ({"partner_referral": 0.08}, 0.01), "days_since_last_touch": ({}, 0.03), "days_since_first_touch": ({}, 0.02)}
-GAPS: dict[str, dict[str, tuple[Mapping[str, float], float]]] = {"v5": _V5, "v6": _V5 | {"expected_acv": ({}, 0.02)}}
+_V4 = {c: x for c, x in _V5.items() if c != "days_since_first_touch"}
+GAPS: dict[str, dict[str, tuple[Mapping[str, float], float]]] = {"v4": _V4, "v5": _V5, "v6": _V5 | {"expected_acv": ({}, 0.02)}}
 
 
 @dataclass(frozen=True)
@@ -70,3 +71,82 @@ def flat_dataset(snapshot: DataFrame, config: Flat) -> DataFrame:
     out = with_gaps(out, "lead_id", config.gaps, "lead_source", seed=config.seed)
     out = out.drop("lead_id")
     return out if config.instructor else out.drop(*(c for c in out.columns if c.startswith(LEAKAGE)))
+
+
+@dataclass(frozen=True)
+class Version:
+    """A flat dataset as a list of steps over a lead snapshot of day ``day``.
+
+    cap: "hard", "soft" or None, of the expected value, to (floor, cap); waves: acquisition waves over the whole snapshot; trap: the column that the leak comes from, "all" touches or those "after" the snapshot's day, under ``leak``;
+    boost: the rate of a Poisson count that converted leads get on top of it; instructor_only: students don't get the leak; without: columns of NAMES that the version lacks; refill: negatives stand in for missing positives.
+    """
+
+    day: int = 20
+    seed: int = 42
+    n: int = 1000
+    rate: float = 0.30
+    cap: str | None = "soft"
+    bounds: tuple[float, float] = (18_000.0, 120_000.0)
+    width: float = 5_000.0
+    waves: bool = True
+    gaps: str = "v6"
+    trap: str | None = "after"
+    leak: str = f"{LEAKAGE}touches_post_snapshot_21_90"
+    boost: float | None = None
+    instructor_only: bool = True
+    without: tuple[str, ...] = ()
+    refill: bool = False
+
+
+# The published versions.
+VERSIONS = {
+    "v4": Version(day=10, cap=None, waves=False, gaps="v4", trap="all", leak="total_touches_all", instructor_only=False, without=("touches_last_7_days", "days_since_first_touch", "acquisition_wave"), refill=True),
+    "v5": Version(day=10, cap="hard", waves=False, gaps="v5", trap="all", leak=f"{LEAKAGE}total_touches_90d", boost=1.0, instructor_only=False, without=("touches_last_7_days", "acquisition_wave")),
+    "v6": Version(boost=3.0),
+    "v7": Version(),
+    "midproject": Version(seed=100, n=1200, trap=None),
+}
+
+
+def touches_after(touches: DataFrame, leads: DataFrame, day: int, horizon: int = 90) -> DataFrame:
+    """(lead_id, touches_after): each lead's touches later than ``day`` and up to ``horizon`` days after its creation, for leads that have one."""
+    dated = touches.select("lead_id", day_of(F.col("touch_timestamp")).alias("_at")).join(leads.select("lead_id", day_of(F.col("lead_created_at")).alias("_from")), "lead_id")
+    later = F.datediff("_at", "_from")
+    return dated.where((later > day) & (later <= horizon)).groupBy("lead_id").agg(F.count("*").alias("touches_after"))
+
+
+def build(snapshot: DataFrame, version: Version, *, touches: DataFrame | None = None, instructor: bool = False, label: str = "converted_within_90_days") -> DataFrame:
+    """A version's rows from a lead snapshot of its day; ``touches``: (lead_id, touch_timestamp), needed where the leak is what comes after the snapshot and is asked for.
+
+    What looks at one row is columns over the snapshot; waves rank the whole snapshot before the sample, as in all versions, and the sample is a top-n of each class, after which n rows are left for the boost and the gaps.
+    Raises where a class has too few rows (unless the version refills), a column is missing, or a version without a leak is asked for as an instructor's. Null labels are in no class.
+    """
+    v, key = version, F.col("lead_id")
+    leaks = v.trap is not None and (instructor or not v.instructor_only)
+    if instructor and v.trap is None:
+        raise ValueError("this version has no instructor's part")
+    if leaks and v.trap == "after" and touches is None:
+        raise ValueError("touches are needed for the leak")
+    floor, cap = v.bounds
+    value = F.col("expected_acv")
+    if v.cap == "hard":
+        value = clipped(value, floor, cap)
+    elif v.cap == "soft":
+        value = F.bround(soft_cap(value, floor, cap, v.width, uniform(v.seed, "softcap", key)))
+    rows = snapshot.withColumns({"demo_completed": (F.col("demo_page_views") > 0).cast("int"), "opportunity_created": F.col("opportunity_created").cast("int"), "expected_acv": value, "converted": F.col(label).cast("int")})
+    if v.waves:
+        rows = waves(rows, "lead_created_at", "lead_id", noise=0.05, seed=v.seed)
+    rows = stratified(rows, "lead_id", "converted", v.n, v.rate, seed=v.seed, refill=v.refill)
+    if leaks and v.trap == "after":
+        after = touches_after(touches, snapshot.select("lead_id", "lead_created_at"), v.day)
+        rows = rows.join(after, "lead_id", "left").fillna(0, ["touches_after"])
+    leak = "total_touches_all" if v.trap == "all" else "touches_after"
+    if leaks and v.boost is not None:
+        extra = F.when(F.col("converted") == 1, poisson(F.lit(v.boost), uniform(v.seed, "boost", key))).otherwise(0)
+        rows = rows.withColumn(leak, F.col(leak) + extra)
+    names = {a: b for a, b in NAMES.items() if a not in (*v.without, "total_touches_all", "converted")}
+    if leaks and not v.instructor_only:
+        names |= {leak: v.leak}
+    names |= {"converted": "converted"} | ({leak: v.leak} if leaks and v.instructor_only else {})
+    out = renamed(rows, {"lead_id": "lead_id", **names})
+    return with_gaps(out, "lead_id", GAPS[v.gaps], "lead_source", seed=v.seed).drop("lead_id")

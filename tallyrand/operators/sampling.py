@@ -39,14 +39,16 @@ def hashed_splits(df: DataFrame, key: str, *, seed: int, shares: Sequence[tuple[
     return df.withColumn("split", out)
 
 
-def stratified(df: DataFrame, key: str, label: str, n: int, rate: float, *, seed: int) -> DataFrame:
-    """n rows, of which round(n * rate) have label 1: those with the lowest draws. Raises if a class has too few.
+def stratified(df: DataFrame, key: str, label: str, n: int, rate: float, *, seed: int, refill: bool = False) -> DataFrame:
+    """n rows, of which round(n * rate) have label 1: those with the lowest draws. Raises if a class has too few; with ``refill`` negatives stand in for missing positives, and where these too are short there are fewer rows.
 
     Each class is a top-n, which keeps n rows per task at most.
     """
     positives = int(n * rate + 0.5)
     counts = {r[label]: r["count"] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    wanted = {1: positives, 0: n - positives}
+    if refill:
+        positives = min(positives, counts.get(1, 0))
+    wanted = {1: positives, 0: min(n - positives, counts.get(0, 0)) if refill else n - positives}
     short = {k: (counts.get(k, 0), v) for k, v in wanted.items() if counts.get(k, 0) < v}
     if short:
         raise ValueError(f"too few rows (there are, wanted) by class: {short}")
