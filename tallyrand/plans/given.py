@@ -56,6 +56,57 @@ def given_world(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
+#: One date for all customers.
+CUTOFF = "1998-06-30"
+
+
+def given_customers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables of a lifecycle world, of given rows: a customer starts with the first order and, one in five, ends with the last; orders are events and invoices, line items weekly signals. Customers without orders have none."""
+    text = lambda c: F.col(c).cast("string")
+    orders = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice"])
+    spans = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    customer = read_table(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"]).join(spans, F.col("c_custkey") == F.col("o_custkey"))
+    items = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_linenumber", "l_returnflag"]).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    at = F.date_add(day_of(F.col("o_orderdate")), (F.col("l_partkey") % SPAN).cast("int"))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    key, status = text("o_custkey").alias("customer_id"), F.col("o_orderstatus")
+    return {
+        "accounts": given_world(spark, d)["accounts"],
+        "customers": customer.select(
+            text("c_custkey").alias("customer_id"), text("c_custkey").alias("account_id"), iso("first").alias("customer_start_at"), F.col("c_mktsegment").alias("initial_plan"), (1000 + 10 * F.col("c_nationkey")).cast("long").alias("initial_mrr"),
+            F.element_at(F.array(F.lit(3), F.lit(6), F.lit(12)), (F.col("c_custkey") % 3 + 1).cast("int")).alias("contract_term_months"),
+        ),
+        "subscriptions": customer.select(text("c_custkey").alias("customer_id"), F.when(F.col("c_custkey") % 5 == 0, iso("last")).alias("churn_at")),
+        "subscription_events": orders.select(key, iso("o_orderdate").alias("event_timestamp"), F.when(status == "P", "renewal").when(status == "O", "expansion").otherwise("payment_failure").alias("event_type"), F.lit(0).cast("long").alias("mrr_before"), (F.col("o_orderkey") % 500).alias("mrr_after")),
+        # A score is that of its day, so that those of one day agree.
+        "health_signals": items.select(key, iso(at).alias("period_start"), F.col("l_quantity").cast("long").alias("active_users"), F.col("l_discount").alias("feature_depth_score"), F.col("l_linenumber").cast("long").alias("support_tickets"), F.when(F.col("l_returnflag") != "A", F.dayofmonth(at)).alias("nps_score")),
+        "invoices": orders.select(key, iso("o_orderdate").alias("invoice_date"), F.when(status == "F", "paid").when(status == "O", "recovered").otherwise("failed").alias("payment_status"), F.col("o_totalprice").cast("long").alias("amount_usd")),
+    }
+
+
+def _customers_sql(cut: str) -> str:
+    """The customer snapshot at an SQL date that may use ``start``."""
+    lately = "p AND hday > -84"
+    return f"""WITH w AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, start, CASE WHEN c_custkey % 5 = 0 THEN ended END AS churn, {cut} AS cutoff FROM (SELECT c.*, CAST(min(o_orderdate) AS DATE) AS start, CAST(max(o_orderdate) AS DATE) AS ended FROM customer c JOIN orders ON o_custkey = c_custkey GROUP BY ALL)),
+who AS (SELECT *, (cutoff - start) // 7 AS tenure, CASE c_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 6 ELSE 12 END AS term FROM w WHERE start <= cutoff AND (churn IS NULL OR churn > cutoff)),
+o AS (SELECT c_custkey, CAST(o_orderdate AS DATE) - cutoff AS day, o_orderstatus AS s, o_orderkey % 500 AS up, CAST(trunc(o_totalprice) AS BIGINT) AS usd FROM orders JOIN who ON o_custkey = c_custkey),
+op AS (SELECT c_custkey, coalesce(sum(up) FILTER (WHERE s = 'O' AND day <= 0), 0) AS grown, coalesce(sum(up) FILTER (WHERE s = 'O'), 0) AS grown_all, count(*) FILTER (WHERE s = 'P' AND day <= 0) AS renewals, count(*) FILTER (WHERE s = 'O' AND day <= 0) AS expansions, count(*) FILTER (WHERE s = 'F' AND day <= 0) AS failures, max(day) FILTER (WHERE s = 'F' AND day <= 0) AS failed,
+{', '.join(f"coalesce(sum(usd) FILTER (WHERE s <> 'P' AND day > 0 AND day <= {n}), 0) AS r{n}" for n in (90, 365, 730))} FROM o GROUP BY c_custkey),
+h AS (SELECT c_custkey, seen - cutoff AS hday, seen <= cutoff AS p, CAST(l_quantity AS BIGINT) AS users, l_discount AS depth, l_linenumber AS tickets, CASE WHEN l_returnflag <> 'A' THEN day(seen) END AS nps FROM (SELECT l.*, who.c_custkey, cutoff, CAST(o_orderdate AS DATE) + CAST(l_partkey % {SPAN} AS INTEGER) AS seen FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN who ON o_custkey = c_custkey)),
+hp AS (SELECT c_custkey, round(avg(users) FILTER (WHERE {lately}), 6) AS avg_users, CASE WHEN count(DISTINCT hday) FILTER (WHERE {lately}) > 1 THEN round(regr_slope(users::DOUBLE, hday / 7.0::DOUBLE) FILTER (WHERE {lately}), 6) END AS trend, round(avg(depth) FILTER (WHERE {lately}), 6) AS depth, coalesce(sum(tickets) FILTER (WHERE {lately}), 0) AS tickets, arg_max(nps, hday) FILTER (WHERE p AND nps IS NOT NULL) AS nps FROM h GROUP BY c_custkey),
+n AS (SELECT c_custkey, min(CASE WHEN round_even(k * term * 13 / 3.0, 0) > tenure THEN round_even(k * term * 13 / 3.0, 0) END) - any_value(tenure) AS left_weeks FROM who, range(0, 200) r(k) GROUP BY c_custkey)
+SELECT c_custkey::VARCHAR AS customer_id, c_custkey::VARCHAR AS account_id, c_mktsegment AS industry, c_nationkey::VARCHAR AS region, CASE WHEN c_acctbal < 0 THEN '200-499' WHEN c_acctbal < 5000 THEN '500-999' ELSE '1000-1999' END AS employee_band, ({list(BANDS)})[CAST(c_custkey % {len(BANDS)} + 1 AS BIGINT)] AS estimated_revenue_band, CAST(tenure AS BIGINT) AS tenure_weeks, c_mktsegment AS initial_plan,
+CAST(1000 + 10 * c_nationkey AS BIGINT) AS initial_mrr, CAST(1000 + 10 * c_nationkey + grown AS BIGINT) AS current_mrr, CAST(grown AS BIGINT) AS mrr_change_at_snapshot, renewals AS renewal_count, expansions AS expansion_count, CAST(term AS BIGINT) AS contract_term_months, CAST(left_weeks AS BIGINT) AS weeks_to_next_renewal, avg_users AS avg_active_users_l12w, trend AS active_user_trend_l12w, depth AS avg_feature_depth_l12w,
+CAST(coalesce(tickets, 0) AS BIGINT) AS support_ticket_count_l12w, CAST(nps AS BIGINT) AS last_nps_score, failures AS payment_failure_count, CAST(floor(-failed / 7.0) AS BIGINT) AS weeks_since_last_payment_failure, CAST(grown_all AS BIGINT) AS mrr_change_full_period, {', '.join(f'r{n}::DOUBLE AS ltv_revenue_{n}d' for n in (90, 365, 730))}, coalesce(churn <= cutoff + 180, false) AS churned_within_180d
+FROM who JOIN op USING (c_custkey) LEFT JOIN hp USING (c_custkey) JOIN n USING (c_custkey)"""
+
+
+def customer_snapshot_at(when: dict, spark: SparkSession, d: str) -> DataFrame:
+    """The library's customer snapshot of the given rows."""
+    out = snapshots.customer_snapshot(given_customers(spark, d), **when)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_active_users_l12w", "active_user_trend_l12w", "avg_feature_depth_l12w")})
+
+
 _U = "(('0x' || substr(md5('{seed}:{stream}:' || lead_id || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
@@ -137,3 +188,6 @@ for _name, _instructor in (("v4", False), ("v5", False), ("v6", False), ("v6", T
     _key = f"flat_{_name}" + "_instructor" * _instructor
     QUERIES[_key] = partial(flat_version, _name, _instructor)
     ORACLE[_key] = _flat_sql(_name, _instructor)
+for _key, _when, _cut in (("customer_snapshot_calendar", {"cutoff": CUTOFF}, f"DATE '{CUTOFF}'"), ("customer_snapshot_tenure", {"tenure_weeks": 60}, "start + 420")):
+    QUERIES[_key] = partial(customer_snapshot_at, _when)
+    ORACLE[_key] = _customers_sql(_cut)
