@@ -22,6 +22,8 @@ from ._spark import checkpointed
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of a filter for each n-gram in it, up to so many in all (16 MB), and how many of them an n-gram sets. A fuller filter lets more through to the joins, which are exact.
 FILTER_EACH, FILTER_MOST, FILTER_HASHES = 128, 1 << 27, 3
+#: Bytes of one of Spark's bitmaps, of which a filter is made.
+BLOCK = 4096
 #: Up to so many rows of seeds, runs or keys are broadcast; more are shuffled.
 BROADCAST_ROWS = 200_000
 FOUND = "doc_id long, item_id long, score double, start_word long, end_word long"
@@ -71,9 +73,12 @@ def _filter(grams: DataFrame) -> Broadcast:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits(batch.column(0).to_numpy().view(np.uint64), size)))], names=["place"])
 
-    bits = grams.mapInArrow(places, "place long").groupBy(F.shiftright("place", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(place & 7 as int))")).alias("bits")).toPandas()
-    held = np.zeros(size // 8, np.uint8)
-    held[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    # Numbered from 1, as bitmap buckets are; each is BLOCK bytes.
+    at = F.col("place") + 1
+    blocks = grams.mapInArrow(places, "place long").groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    held = np.zeros(max(size // 8, BLOCK), np.uint8)
+    for row in blocks.collect():
+        held[(row["block"] - 1) * BLOCK : row["block"] * BLOCK] = np.frombuffer(row["bits"], np.uint8)
     return grams.sparkSession.sparkContext.broadcast(held)
 
 
@@ -225,8 +230,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 3, least: float
     own = runs.groupBy("run").agg(F.first("grams").alias("grams")).mapInArrow(_unpacked, "run long, gram long, at long")
     led = own.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_ROWS else seeds, "gram").groupBy("run", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("begins"))
     led = checkpointed(led)
-    hits = runs.select("key", "run", "at").join(F.broadcast(led) if (led.agg(F.sum(F.size("begins"))).first()[0] or 0) <= BROADCAST_ROWS else led, "run").select("key", "item", F.transform("begins", lambda b: b + F.col("at")).alias("begins"))
-    hits = hits.groupBy("key", "item").agg(F.array_distinct(F.flatten(F.collect_list("begins"))).alias("begins"))
+    hits = runs.select("key", "run", "at").join(F.broadcast(led) if (led.agg(F.sum(F.size("begins"))).first()[0] or 0) <= BROADCAST_ROWS else led, "run").select("key", "item", F.explode(F.transform("begins", lambda b: b + F.col("at"))).alias("begin"))
+    # A set, so that repeats of a row add nothing.
+    hits = hits.groupBy("key", "item").agg(F.collect_set("begin").alias("begins"))
     hits = checkpointed(hits.join(distinct, "item").groupBy("key").agg(F.collect_list(F.struct("item", "begins", "words")).alias("hits")))
     # Few texts have a seed, so the others leave before any shuffle.
     some = rows.join(F.broadcast(hits.select("key")), "key", "left_semi") if hits.count() <= BROADCAST_ROWS else rows

@@ -255,6 +255,50 @@ def test_edited_copies_are_found(spark):
     assert decontaminate.contaminated(rows.limit(0), items).count() == decontaminate.contaminated(rows, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 5000])
+def test_filter_has_the_bits_of_its_grams(spark, size):
+    """The filter that Spark's bitmaps merge is the one set bit by bit."""
+    grams = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, size)
+    held = decontaminate._filter(spark.createDataFrame([(int(g),) for g in grams] * 2, "gram long").repartition(3)).value
+    want = np.zeros(len(held) * 8, bool)
+    want[decontaminate._bits(grams.view(np.uint64), len(held) * 8).ravel()] = True
+    assert (np.unpackbits(held, bitorder="little").astype(bool) == want).all()
+    assert decontaminate._passes(held, grams.view(np.uint64)).all()
+
+
+def test_many_repeats_of_a_row(spark):
+    """Each repeat is told; they add nothing to what is aligned."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(30)]
+    text = " ".join([word() for _ in range(20)] + item + [word() for _ in range(20)] + item[:28])
+    rows = frame(spark, [(1, text)] * 700 + [(2, " ".join(word() for _ in range(50)))] * 50)
+    got = decontaminate.contaminated(rows, frame(spark, [(4, " ".join(item))], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 4, 1.0, 20, 50)] * 700
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.2, 0.3, 0.4])
+def test_recall_at_edit_rates(spark, rate):
+    """Items of which words are replaced, left out or put in: of the copies whose whole alignment reaches the bound, nine in ten are found, and no others."""
+    rng = random.Random(int(rate * 100))
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    items = {i: [word() for _ in range(rng.randint(15, 59))] for i in range(40)}
+    copies = {}
+    for i, words in items.items():
+        out = []
+        for w in words:
+            kind = rng.random()
+            out += [w] if kind >= rate else [word()] if kind < rate / 3 else [] if kind < 2 * rate / 3 else [w, word()]
+        copies[i] = [word() for _ in range(10)] + out + [word() for _ in range(10)]
+    found = decontaminate.contaminated(frame(spark, [(i, " ".join(w)) for i, w in copies.items()]), frame(spark, [(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    number = {w: n for n, w in enumerate(sorted({w for ws in (*items.values(), *copies.values()) for w in ws}), 1)}
+    as_numbers = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    due = {i for i in items if decontaminate.align(as_numbers(copies[i]), as_numbers(items[i]))[0] >= 0.45 * 2 * len(items[i])}
+    got = {r.doc_id for r in found}
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in got}
+    assert got <= due and len(got) >= 0.9 * len(due) and len(due) >= 20, (rate, len(got), len(due))
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_many_items_and_copies(spark, monkeypatch, broadcast):
     """Seeds broadcast or shuffled, items that share words, repeated items and rows."""
