@@ -146,7 +146,7 @@ def binned(df: DataFrame, of: DataFrame, numeric: Sequence[str], categorical: Se
     for c, cuts in zip(numeric, edges, strict=True):
         x = F.col(c).cast("double")
         cuts = sorted(set(cuts))
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda e, x=x: e < x)) if cuts else F.lit(0)
+        at = reduce(lambda a, b: a + b, ((F.lit(e) < x).cast("int") for e in cuts), F.lit(0))
         places.append(F.when(x.isNull() | F.isnan(x), bins).otherwise(at))
     for c in categorical:
         most = [r[0] for r in of.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(bins - 1).collect()]

@@ -181,3 +181,19 @@ def test_missing_values_find_their_side(spark):
     assert M.auc_of(out) == 1.0 and out.count() == test.count()
     batch = pa.RecordBatch.from_arrays([pa.array([[1, 2], None, []], pa.list_(pa.int32()))], names=["terms"])
     assert J._lists(batch.column(0), int)[1].tolist() == [0, 2, 2, 2]
+
+
+def test_bins_are_places_among_the_edges(spark):
+    """Every number's bin is how many of its column's quantiles lie below it; categories stand by falling frequency."""
+    df = spark.range(400).select("id", F.when(F.col("id") % 10 > 0, F.pmod(F.xxhash64("id"), F.lit(50)).cast("double")).alias("x"), (F.col("id") % 2).alias("b"), F.when(F.col("id") % 9 > 0, F.when(F.col("id") % 4 == 0, "rare").otherwise("often")).alias("c"))
+    cuts = [sorted(set(e)) for e in df.approxQuantile(["x", "b"], [i / 8 for i in range(1, 8)], 1e-3)]
+    seen = {r.id: r for r in df.collect()}
+    for r in M.binned(df, df, ["x", "b"], ["c"], ["id"], bins=8).collect():
+        own = seen[r.id]
+        assert r.bins == [8 if own.x is None else sum(e < own.x for e in cuts[0]), sum(e < own.b for e in cuts[1]), {"often": 0, "rare": 1, None: 8}[own.c]]
+
+
+def test_boosted_trees_learn_from_numbers(spark):
+    df = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("x")).withColumn("y", (F.col("x") > 60).cast("int"))
+    train, test = M.held_out(df, "id", 0.3, 1)
+    assert M.auc_of(M.hist_gbt(train, test, ["x"], "y", ["id"], trees=5)) > 0.99
