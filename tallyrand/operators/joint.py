@@ -7,7 +7,7 @@ before the driver gets them. A problem is a set of rows, given by a flag of each
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -334,15 +334,16 @@ def best_splits(g: np.ndarray, h: np.ndarray, ridge: float, least: float) -> tup
     return np.where(good, f, -1), np.where(good, c, 0), np.where(good, s == 1, True), children
 
 
-def boost(evaluate: Callable[[Boosted, Tree, int], np.ndarray], n_features: int, bins: int, rate: float, *, trees: int = 20, depth: int = 3, learning: float = 0.1, ridge: float = 1.0, least: float = 1.0) -> Boosted:
-    """Trees on the log loss's gradients; evaluate gives histograms() over all rows. rate: the share of ones; bins: values from 0 to bins - 1, and ``bins`` for missing ones."""
+def boosting(n_features: int, bins: int, rate: float, *, trees: int = 20, depth: int = 3, learning: float = 0.1, ridge: float = 1.0, least: float = 1.0) -> Generator[tuple[Boosted, Tree, int], np.ndarray, Boosted]:
+    """Trees on the log loss's gradients: yields (model, tree, level), is sent their histograms() over all rows and returns the model. rate: the share of ones; bins: values from 0 to bins - 1, and ``bins`` for missing ones."""
     model = Boosted(math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), (), bins)
     for _ in range(trees):
         nodes = 2**depth - 1
         feature, cut, left = np.full(nodes, -1), np.zeros(nodes, np.int64), np.ones(nodes, bool)
         for level in range(depth):
             own = slice(2**level - 1, 2 ** (level + 1) - 1)
-            g, h = evaluate(model, Tree(depth, feature, cut, left, np.zeros(2**depth)), level).reshape(2, 2**level, n_features, bins + 1)
+            sums = yield model, Tree(depth, feature, cut, left, np.zeros(2**depth)), level
+            g, h = sums.reshape(2, 2**level, n_features, bins + 1)
             feature[own], cut[own], left[own], children = best_splits(g, h, ridge, least)
         sums = children.reshape(-1, 2)
         values = np.where(sums[:, 1] > 0, -learning * sums[:, 0] / (sums[:, 1] + ridge), 0.0)
@@ -350,6 +351,32 @@ def boost(evaluate: Callable[[Boosted, Tree, int], np.ndarray], n_features: int,
     return model
 
 
+def in_step(evaluate: Callable[[list[tuple[int, Boosted, Tree, int]]], Sequence[np.ndarray]], runs: Sequence[Generator]) -> list[Boosted]:
+    """The models of several boosting() runs: what all of them ask next, with the run's number, is evaluated together."""
+    models: dict[int, Boosted] = {}
+    asked: dict[int, tuple] = {}
+
+    def go(i: int, sums: np.ndarray | None) -> None:
+        try:
+            asked[i] = runs[i].send(sums)
+        except StopIteration as end:
+            models[i] = end.value
+            asked.pop(i, None)
+
+    for i in range(len(runs)):
+        go(i, None)
+    while asked:
+        which = sorted(asked)
+        for i, sums in zip(which, evaluate([(i, *asked[i]) for i in which]), strict=True):
+            go(i, sums)
+    return [models[i] for i in range(len(runs))]
+
+
+def boost(evaluate: Callable[[Boosted, Tree, int], np.ndarray], n_features: int, bins: int, rate: float, **options) -> Boosted:
+    """One boosting() run; evaluate gives histograms() over all rows."""
+    return in_step(lambda asked: [evaluate(*asked[0][1:])], [boosting(n_features, bins, rate, **options)])[0]
+
+
 def _bins_of(batch: pa.RecordBatch) -> np.ndarray:
     values = _lists(batch.column(batch.schema.names.index("bins")), np.int64)[0]
     return values.reshape(batch.num_rows, -1)
@@ -381,3 +408,43 @@ def predict_boosted(rows: DataFrame, model: Boosted, keep: Sequence[str]) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], names=[*keep, "p"])
 
     return rows.select(*keep, *(["bins"] if "bins" not in keep else [])).mapInArrow(judged, schema)
+
+
+def fit_boosted_sets(rows: DataFrame, n_features: int, bins: int, sets: int, **options) -> list[Boosted]:
+    """fit_boosted() for each of the ``sets`` of rows (y, flags, bins), one job a level for all of them. A task sends the tables of all sets: sets x 2^level x features x bins entries. A set without rows has a model without trees."""
+    counts = rows.agg(*(f(F.col("flags")[k]) for k in range(sets) for f in (F.count_if, lambda u: F.sum(F.when(u, F.col("y")))))).first()
+    sizes = [(counts[2 * k], counts[2 * k + 1]) for k in range(sets)]
+    taught = [k for k in range(sets) if sizes[k][0]]
+
+    def of(held: list[tuple[int, Boosted, Tree, int]]) -> Vector:
+        makers = [(taught[i], histograms(*asked)) for i, *asked in held]
+
+        def vector(batch: pa.RecordBatch) -> np.ndarray:
+            names = batch.schema.names
+            y, all_bins = batch.column(names.index("y")).to_numpy(zero_copy_only=False), _bins_of(batch)
+            used = _lists(batch.column(names.index("flags")), bool)[0].reshape(batch.num_rows, -1)
+            return np.concatenate([make(all_bins[used[:, k]], y[used[:, k]]) for k, make in makers])
+
+        return vector
+
+    own = rows.select("y", "flags", "bins")
+    parts = own.rdd.getNumPartitions()
+    runs = [boosting(n_features, bins, sizes[k][1] / sizes[k][0], **options) for k in taught]
+    made = in_step(lambda asked: np.split(summed(own, of, asked, parts), len(asked)), runs)  # all runs are at the same level
+    return [made[taught.index(k)] if k in taught else Boosted(0.0, (), bins) for k in range(sets)]
+
+
+def predict_boosted_sets(rows: DataFrame, models: Sequence[Boosted], own: str, keep: Sequence[str]) -> DataFrame:
+    """rows' (keep, p double), each by the model whose number stands in the integer column ``own``."""
+    held = rows.sparkSession.sparkContext.broadcast(list(models))  # models x trees x nodes
+    schema = rows.select(*keep).withColumn("p", F.lit(0.0)).schema
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, z = batch.column(len(keep)).to_numpy(zero_copy_only=False), np.zeros(batch.num_rows)
+            bins = _bins_of(batch) if batch.num_rows else None
+            for k in np.unique(which):
+                z[which == k] = held.value[k].margin(bins[which == k])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=[*keep, "p"])
+
+    return rows.select(*keep, F.col(own).alias("_own"), "bins").mapInArrow(judged, schema)

@@ -178,6 +178,48 @@ def metrics_by_group(scored: DataFrame, group: str, score: str = "p", label: str
     return rows.groupBy(F.col("_g").alias(group)).agg(F.max("_p_all").cast("long").alias("n_pos"), F.max("_n_all").cast("long").alias("n_neg"), F.try_divide(right, F.max("_p_all") * F.max("_n_all")).alias("auc"), precision.alias("average_precision"))
 
 
+def ranked_in_groups(df: DataFrame, group: str, score: str, ties: Sequence[str]) -> DataFrame:
+    """df, written, with rn (1, 2, ... by falling score and then ``ties`` within each group, null scores last) and n, the group's rows. Rows are dealt by ranges of (group, score, ties), so no group is ordered in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    falling = F.col(score).desc_nulls_last()
+    dealt = materialised(df.repartitionByRange(parts, group, falling, *ties).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(group, "_part").agg(F.count("*").alias("_size"))  # a row for each range and group that meet
+    whole = Window.partitionBy(group)
+    sizes = sizes.select(F.col(group).alias("_of_group"), F.col("_part").alias("_of_part"), (F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_before"), F.sum("_size").over(whole).alias("n"))
+    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(falling, *ties))
+    out = dealt.withColumn("_own", own).join(sizes, F.col(group).eqNullSafe(F.col("_of_group")) & (F.col("_part") == F.col("_of_part")))
+    return out.withColumn("rn", (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_of_group", "_of_part", "_before")
+
+
+def panel_by_group(scored: DataFrame, group: str, ties: Sequence[str], *, ks: Sequence[int] = (50, 100), percents: Sequence[float] = (1, 5, 10), bins: int = 10, score: str = "p", label: str = "y") -> DataFrame:
+    """(group, metric, value) of scored rows: n, rate, auc, average_precision, brier, log_loss, calibration_max_error, precision_at_<k>, recall_at_<k>, lift_at_<percent> and top_decile_rate of every group.
+
+    All groups are ordered together and summed in one aggregation. Values that are undefined (one class only, k beyond the group's rows) are null. Scores and labels must not be null.
+    """
+    rows = ranked_in_groups(scored.select(F.col(group).alias("_g"), *(F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)), F.col(score).alias("_s"), F.col(label).alias("_y")), "_g", "_s", [f"_t{i}" for i in range(len(ties))])
+    kept = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("_s")))
+    y = F.col("_y")
+    tops = sorted({*percents, 10})
+    sums = {"_square": (F.col("_s") - y) * (F.col("_s") - y), "_log": -(y * F.log(kept) + (1 - y) * F.log(1 - kept))}
+    sums |= {f"_k{k}": F.when(F.col("rn") <= k, y) for k in ks} | {f"_c{i}": F.when(F.col("rn") <= cutoff_rank(F.col("n"), p), y) for i, p in enumerate(tops)}
+    at = F.least(F.lit(bins - 1), F.floor(F.col("_s") * bins))
+    per = rows.groupBy("_g", at.alias("_bin")).agg(F.count("*").alias("_n"), F.sum(y).alias("_pos"), F.sum("_s").alias("_p"), *(F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()))
+    one = per.groupBy("_g").agg(F.sum("_n").alias("n"), F.sum("_pos").alias("pos"), F.max(F.abs(F.col("_p") - F.col("_pos")) / F.col("_n")).alias("calibration_max_error"), *(F.sum(name).alias(name) for name in sums))
+    rate = F.col("pos") / F.col("n")
+    values = {"n": F.col("n"), "rate": rate, "brier": F.col("_square") / F.col("n"), "log_loss": F.col("_log") / F.col("n"), "calibration_max_error": F.col("calibration_max_error")}
+    for k in ks:
+        inside = F.lit(k > 0) & (F.lit(k) <= F.col("n"))
+        values |= {f"precision_at_{k}": F.when(inside, F.col(f"_k{k}") / k), f"recall_at_{k}": F.when(inside, F.try_divide(F.col(f"_k{k}"), F.col("pos")))}
+    for i, p in enumerate(tops):
+        top = F.col(f"_c{i}") / cutoff_rank(F.col("n"), p)
+        values |= {f"lift_at_{p:g}": F.try_divide(top, rate)} if p in percents else {}
+        values |= {"top_decile_rate": top} if p == 10 else {}
+    ordered = metrics_by_group(rows.select("_g", "_s", "_y"), "_g", "_s", "_y").select(F.col("_g").alias("_h"), "auc", "average_precision")
+    both = one.join(ordered, F.col("_g").eqNullSafe(F.col("_h")), "left")  # a row a group on either side
+    wide = both.select("_g", *(c.cast("double").alias(name) for name, c in values.items()), "auc", "average_precision")
+    return wide.unpivot(["_g"], [c for c in wide.columns if c != "_g"], "metric", "value").withColumnRenamed("_g", group)
+
+
 def losses(scored: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """(brier, log_loss); probabilities are kept 1e-15 off 0 and 1."""
     p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(score)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("snapshots", "metrics", "audits", "quality", "timelines", "worlds", "records", "given")
+MODULES = ("snapshots", "metrics", "audits", "quality", "timelines", "worlds", "records", "given", "release")
 
 
 def queries() -> dict[str, Callable]:

@@ -128,21 +128,30 @@ def flat(spark: SparkSession, folder: str, task: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def load_bands(text: str) -> list[tuple[str, str, float | None, float | None]]:
-    """(tier, metric, low, high) from YAML or JSON of tiers: {tier: {metric: {min, max}}}; unknown bounds raise."""
+def load_yaml(text: str):
+    """What YAML says, or JSON where no YAML reader is installed."""
     try:
         import yaml
     except ImportError:
-        held = json.loads(text)
-    else:
-        held = yaml.safe_load(text)
-    out = []
-    for tier, metrics in (held or {}).items():
-        for metric, bounds in metrics.items():
-            if unknown := set(bounds) - {"min", "max"}:
-                raise ValueError(f"{tier}.{metric}: no bounds {sorted(unknown)}")
-            out.append((tier, metric, *(None if bounds.get(b) is None else float(bounds[b]) for b in ("min", "max"))))
-    return out
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def bounds_of(name: str, bounds: Mapping) -> tuple[float | None, float | None]:
+    """(low, high) of {min, max}, either of which may be missing; unknown bounds raise."""
+    if not isinstance(bounds, Mapping) or (unknown := set(bounds) - {"min", "max"}):
+        raise ValueError(f"{name}: no bounds {sorted(unknown) if isinstance(bounds, Mapping) else bounds!r}")
+    low, high = (None if bounds.get(b) is None else float(bounds[b]) for b in ("min", "max"))
+    return low, high
+
+
+def load_bands(text: str) -> list[tuple[str, str, float | None, float | None]]:
+    """(tier, metric, low, high) from YAML or JSON of tiers: {tier: {metric: {min, max}}}; unknown bounds raise."""
+    return bands_of(load_yaml(text))
+
+
+def bands_of(held: Mapping | None) -> list[tuple[str, str, float | None, float | None]]:
+    return [(tier, metric, *bounds_of(f"{tier}.{metric}", bounds)) for tier, metrics in (held or {}).items() for metric, bounds in metrics.items()]
 
 
 def with_dictionary_row(dictionary: DataFrame, values: Mapping[str, str]) -> DataFrame:
