@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import quantiles
+from .ranking import quantiles, quantiles_by_group
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -82,12 +82,11 @@ def differing(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str
 
 
 def label_profile(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
-    """(label, n, mean_<c>, median_<c>, ...): what each value of a label goes with. Counts per value come first, so no task gets all values of a label."""
+    """(label, n, mean_<c>, median_<c>, ...): what each value of a label goes with. Medians come from counts per value and ranges of them, so no task gets all values of a label."""
     out = df.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
     for c in columns:
-        per = df.where(F.col(c).isNotNull()).groupBy(label, F.col(c).alias("_v")).agg(F.count("*").alias("_f"))
-        medians = per.groupBy(label).agg(F.percentile("_v", 0.5, F.col("_f")).alias(f"median_{c}"))
-        out = out.join(F.broadcast(medians), out[label].eqNullSafe(medians[label]), "left").drop(medians[label])
+        medians = quantiles_by_group(df, label, c, {f"median_{c}": 0.5})
+        out = out.join(F.broadcast(medians), out[label].eqNullSafe(medians[label]), "left").drop(medians[label])  # a row a label
     return out
 
 

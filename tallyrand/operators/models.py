@@ -174,25 +174,33 @@ def hashed_id(key: Column, buckets: int = 16) -> list[Column]:
     return [(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(i)), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)).alias(f"h{i}") for i in range(buckets // 4)]
 
 
-def trap_delta(df: DataFrame, key: str, features: Sequence[str], trap: str, label: str, seeds: Sequence[int] = tuple(range(1, 11)), share: float = 0.3) -> DataFrame:
-    """(seed, auc_with, auc_without, delta, average_precision_delta): what a leaking column adds to a linear model on a stratified hold-out of each seed.
+def trap_panel(df: DataFrame, key: str, features: Sequence[str], traps: Sequence[str], label: str, seeds: Sequence[int], share: float = 0.3) -> DataFrame:
+    """(seed, trap, auc, average_precision) of linear models on a stratified hold-out of each seed: of the features (trap null), and of them with each of the leaking columns.
 
-    All seeds' models, with and without the column, are fitted together: a step is one pass over the rows, whatever the number of seeds. The scores of all are ordered together too.
+    All seeds' models are fitted together: a step is one pass over the rows, whatever the number of seeds and columns. The scores of all are ordered together too.
     """
-    rows, shape, places = prepared(hold_outs(df.where(F.col(label).cast("int").isin(0, 1)), key, label, seeds, share), [*features, trap], label, [key, "test"])
+    rows, shape, places = prepared(hold_outs(df.where(F.col(label).cast("int").isin(0, 1)), key, label, seeds, share), [*features, *traps], label, [key, "test"])
     rows = materialised(rows.withColumn("flags", F.transform("test", lambda t: ~t)))
     without = tuple(i for c in features for i in places[c])
-    problems = [joint.Problem(s, seen) for s in range(len(seeds)) for seen in (None, without)]
-    weights = joint.fit(rows, shape, problems, l2=RIDGE)
+    sets = [without, *(tuple(sorted((*without, *places[t]))) for t in traps)]
+    weights = joint.fit(rows, shape, [joint.Problem(s, seen) for s in range(len(seeds)) for seen in sets], l2=RIDGE)
     scored = joint.predicted(rows, shape, weights, ["y", "test"]).select("y", "test", F.posexplode("p").alias("problem", "p"))
-    scored = scored.where(F.expr("test[cast(problem div 2 as int)]")).select("problem", F.col("y").cast("int").alias("y"), F.round("p", 9).alias("p"))
+    scored = scored.where(F.expr(f"test[cast(problem div {len(sets)} as int)]")).select("problem", F.col("y").cast("int").alias("y"), F.round("p", 9).alias("p"))
     found = {r["problem"]: r for r in R.metrics_by_group(scored, "problem").collect()}  # a row a problem
-    out = []
-    for s, seed in enumerate(seeds):
-        a, b = (found.get(2 * s + k) for k in (0, 1))
-        less = lambda c, a=a, b=b: None if a is None or b is None or a[c] is None or b[c] is None else a[c] - b[c]
-        out.append((int(seed), a and a["auc"], b and b["auc"], less("auc"), less("average_precision")))
-    return df.sparkSession.createDataFrame(out, "seed int, auc_with double, auc_without double, delta double, average_precision_delta double")
+    out = [(int(seed), trap, *((r["auc"], r["average_precision"]) if (r := found.get(s * len(sets) + j)) else (None, None))) for s, seed in enumerate(seeds) for j, trap in enumerate([None, *traps])]
+    return df.sparkSession.createDataFrame(out, "seed int, trap string, auc double, average_precision double")
+
+
+def trap_deltas(panel: DataFrame) -> DataFrame:
+    """(trap, seed, auc_with, auc_without, delta, average_precision_delta) of trap_panel(): what each leaking column adds with each seed."""
+    base = panel.where(F.col("trap").isNull()).select("seed", F.col("auc").alias("auc_without"), F.col("average_precision").alias("_b"))
+    both = panel.where(F.col("trap").isNotNull()).join(F.broadcast(base), "seed")  # a row a seed
+    return both.select("trap", "seed", F.col("auc").alias("auc_with"), "auc_without", (F.col("auc") - F.col("auc_without")).alias("delta"), (F.col("average_precision") - F.col("_b")).alias("average_precision_delta"))
+
+
+def trap_delta(df: DataFrame, key: str, features: Sequence[str], trap: str, label: str, seeds: Sequence[int] = tuple(range(1, 11)), share: float = 0.3) -> DataFrame:
+    """(seed, auc_with, auc_without, delta, average_precision_delta): trap_deltas() of one column."""
+    return trap_deltas(trap_panel(df, key, features, [trap], label, seeds, share)).drop("trap")
 
 
 def trap_verdicts(deltas: DataFrame, least_mean: float, least_each: float) -> DataFrame:

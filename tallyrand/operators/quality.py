@@ -142,3 +142,21 @@ def flat_checks(df: DataFrame, *, columns: Sequence[str], label: str, value: str
         pure = audit.group_rates(df, g, y, least).agg(F.count_if(F.col("rate").isin(0.0, 1.0)).alias("n"))
         out.append(exploded(pure, [check(f"group_{g}", F.col("n") == 0, F.col("n"))]))
     return reduce(DataFrame.unionByName, out)
+
+
+def flat_validation(df: DataFrame, *, key: str, columns: Sequence[str], label: str, value: str, groups: Sequence[str], auc: tuple[float, float] = (0.62, 0.90), traps: Sequence[str] | str = "leakage_", trap_mean: float = 0.03, trap_least: float = 0.015, seeds: Sequence[int] = tuple(range(42, 52)), share: float = 0.3, **options) -> DataFrame:
+    """flat_checks() and, where each label is 0 or 1 and both occur, baseline_auc (the linear model's mean over the seeds' hold-outs lies within ``auc``) and leakage_trap:<column> (found: the mean gain).
+
+    traps: columns that leak, or what their names begin with. A trap must add ``trap_mean`` on average and ``trap_least`` with every seed; none of them is a feature of the baseline. Features are ``columns`` without label, key and traps.
+    All models are fitted in the passes of one. options: of flat_checks().
+    """
+    first = materialised(flat_checks(df, columns=columns, label=label, value=value, groups=groups, **options))  # a row a check
+    leaks = [c for c in df.columns if c.startswith(traps)] if isinstance(traps, str) else list(traps)
+    features = [c for c in columns if c in df.columns and c not in (label, key, *leaks)]
+    if not features or first.where(F.col("check").isin("label_complete", "label_binary", "label_both_classes") & ~F.col("passed")).count():
+        return first
+    panel = materialised(M.trap_panel(df, key, features, leaks, label, seeds, share))
+    base = panel.where(F.col("trap").isNull()).agg(F.avg("auc").alias("found")).select(F.lit("baseline_auc").alias("check"), F.coalesce(F.col("found").between(*auc), F.lit(False)).alias("passed"), "found")
+    gains = M.trap_deltas(panel).groupBy("trap").agg(F.avg("delta").alias("found"), F.min("delta").alias("_least"), F.count("delta").alias("_n"))
+    enough = (F.col("found") >= trap_mean) & (F.col("_least") >= trap_least) & (F.col("_n") == len(seeds))
+    return first.unionByName(base).unionByName(gains.select(F.concat(F.lit("leakage_trap:"), "trap").alias("check"), F.coalesce(enough, F.lit(False)).alias("passed"), "found"))

@@ -77,6 +77,22 @@ def quantiles(df: DataFrame, column: str, at: Mapping[str, float]) -> DataFrame:
     return one.select(*((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (x - F.floor(x))).alias(name) for name, x in place.items()))
 
 
+def quantiles_by_group(df: DataFrame, group: str, column: str, at: Mapping[str, float]) -> DataFrame:
+    """(group, the names of ``at``): quantiles() of every group that has values, all groups in one order. Values are counted first, and ranges of (group, value) are dealt, so no task gets a group's values; a null group is a group."""
+    per = df.where(F.col(column).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialised(materialised(per).repartitionByRange(parts, "_g", "_v").withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_g", "_part").agg(F.sum("_n").alias("_size"))  # a row for each range and group that meet
+    whole = Window.partitionBy("_g")
+    sizes = sizes.select(F.col("_g").alias("_of_group"), F.col("_part").alias("_of_part"), (F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_before"), F.sum("_size").over(whole).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.withColumn("_inside", inside).join(sizes, F.col("_g").eqNullSafe(F.col("_of_group")) & (F.col("_part") == F.col("_of_part"))).withColumn("_until", F.col("_inside") + F.col("_before"))
+    place = {name: q * (F.col("_all") - 1) for name, q in at.items()}
+    ends = [F.min(F.when(F.col("_until") > f(x), F.col("_v"))).alias(f"_{side}_{name}") for name, x in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    one = rows.groupBy("_g").agg(*ends, F.max("_all").alias("_all"))
+    return one.select(F.col("_g").alias(group), *((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (x - F.floor(x))).alias(name) for name, x in place.items()))
+
+
 def at_k(scored: DataFrame, ks: Sequence[int], label: str = "y") -> DataFrame:
     """(k, precision, recall) of rows with rn and n; null where k is not within 1 to n."""
     top = scored.agg(*(F.sum(F.when(F.col("rn") <= k, F.col(label))).alias(f"h{k}") for k in ks), F.sum(label).alias("all"), F.count("*").alias("n"))

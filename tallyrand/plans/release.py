@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import fast_uniform, uniform
 from ..operators import models as M
+from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import release as L
 from ..sources.tables import read_table
@@ -135,3 +136,12 @@ def release_report(spark: SparkSession, d: str) -> DataFrame:
     scored = L.scores(rows, "tier", "seed", "o_orderkey", FEATURES, "y", F.col("train"), subsets={"month": ["month"], "id_only": ["h0", "h1", "h2", "h3"]})
     shifts = L.cohort_shifts(rows, "tier", "seed", "o_orderkey", _day("o_orderdate"), FEATURES, "y", draw=fast_uniform(6, "cohort", F.col("o_orderkey")))
     return L.report(L.metrics(scored), shifts.groupBy("tier").agg(F.min_by("degradation", "seed").alias("degradation")))
+
+
+@query()
+def flat_validation(spark: SparkSession, d: str) -> DataFrame:
+    """All checks of a flat dataset of orders with two columns that leak, one more than the other, its baseline and what the leaks add among them."""
+    leak = lambda name, share: ((F.col("y") == 1) & (fast_uniform(7, name, F.col("o_orderkey")) < share)).cast("int").alias(name)
+    rows = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    rows = rows.select("o_orderkey", "o_totalprice", "o_orderpriority", (F.col("o_custkey") % 50).alias("grp"), "y", leak("leakage_open", 0.6), leak("leakage_faint", 0.01))
+    return Q.flat_validation(rows, key="o_orderkey", columns=rows.columns, label="y", value="o_totalprice", groups=["grp"], auc=(0.4, 0.7), rate=(0.15, 0.6), trap_mean=0.05)

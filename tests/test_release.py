@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrand.operators import joint as J
 from tallyrand.operators import models as M
+from tallyrand.operators import quality as Q
 from tallyrand.operators import ranking as R
 from tallyrand.operators import release as L
 from tallyrand.plans import release as plans
@@ -127,3 +128,23 @@ def test_no_gates_no_failures(spark):
     assert L.failures(found, L.Gates()).collect() == []
     got = L.failures(found, L.Gates(tiers=(("intro", "rate_test", 0.1, None),), required=L.Q.TIERS)).collect()
     assert {(r.gate, r.tier, r.reason) for r in got if r.metric == "rate_test"} == {("tier", "intro", "missing"), ("order", "intro", "undefined against intermediate"), ("order", "intermediate", "undefined against advanced")}
+
+
+def test_flat_validation(spark):
+    got = {r.check: r for r in plans.flat_validation(spark, SF).collect()}
+    assert got["baseline_auc"].passed and 0.4 < got["baseline_auc"].found < 0.7
+    assert got["leakage_trap:leakage_open"].passed and got["leakage_trap:leakage_open"].found > 0.15
+    assert not got["leakage_trap:leakage_faint"].passed and got["columns"].passed
+    bad = spark.createDataFrame([(1, 1.0, 2, 0.5), (2, 2.0, 0, 0.1)], "k int, v double, y int, leakage_x double")
+    checks = {r.check: r.passed for r in Q.flat_validation(bad, key="k", columns=bad.columns, label="y", value="v", groups=[], auc=(0, 1)).collect()}
+    assert not checks["label_binary"] and "baseline_auc" not in checks  # no model of labels that aren't 0 and 1
+
+
+def test_quantiles_by_group(spark):
+    rng = np.random.default_rng(8)
+    values = {g: [float(v) for v in rng.integers(0, 6, n)] for g, n in (("a", 31), ("b", 8), (None, 1))}
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in [*own, None]] + [("none", None)], "g string, v double")
+    got = {r.g: r for r in R.quantiles_by_group(df, "g", "v", {"low": 0.1, "median": 0.5}).collect()}
+    assert set(got) == set(values)
+    for g, own in values.items():
+        assert (got[g].low, got[g].median) == pytest.approx((np.quantile(own, 0.1), np.median(own)))
