@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import SF, same_as_sql
 from pyspark.sql import functions as F
 
+from tallyrand.llm import language_id, toxicity
 from tallyrand.llm import queries as Q
-from tallyrand.llm import toxicity
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
@@ -33,6 +34,44 @@ def test_op1_accuracy(spark, docs):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_op1_against_plain_fit(spark, docs, bucketed):
+    """Kernel from sets of n-grams, landmarks, ridge regressions and predictions by numpy; the sample holds every row that it may. The languages are the same with n-grams told apart fully, and the scores with those of one bucket taken as one."""
+
+    def bucket(gram):
+        total = sum(ord(c) * int(f) for c, f in zip(gram, language_id.FACTORS, strict=False))
+        return ((total * int(language_id.FACTORS[0]) + (len(gram) - 1) * int(language_id.FACTORS[3])) * int(language_id.FACTORS[1])) % (1 << 32) >> (32 - language_id.BITS)
+
+    def grams(text):
+        chars = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + " "
+        found = {chars[i : i + n] for n in range(1, 5) for i in range(len(chars) - n + 1)}
+        return {bucket(g) for g in found} if bucketed else found
+
+    def order(r):
+        """The hashes by which rows are sampled, as signed numbers: of the text, and of the id and that."""
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        text = xxhash.xxh64_intdigest(r.text.encode(), 42)
+        both = xxhash.xxh64_intdigest(text.to_bytes(8, "little"), xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42))
+        return signed(both), r.doc_id, signed(text)
+
+    able = [r for r in docs.values() if r.text and any(c.isalpha() for c in r.text)]
+    taught = sorted((r for r in able if r.lang and zlib.crc32(str(r.doc_id).encode()) % 3 != 1), key=lambda r: (r.lang, *order(r)))
+    names = sorted({r.lang for r in taught})
+    marks = [grams(r.text) for name in names for r in [t for t in taught if t.lang == name][: 192 // len(names)]]
+    kernel = lambda rows: np.array([[len(g & m) / np.sqrt(len(g) * len(m)) for m in marks] for g in (grams(r.text) for r in rows)])
+    values, vectors = np.linalg.eigh(np.array([[len(g & m) / np.sqrt(len(g) * len(m)) for m in marks] for g in marks]))
+    keep = values > 1e-6 * values[-1]
+    space = lambda rows: np.hstack([kernel(rows) @ vectors[:, keep] / np.sqrt(values[keep]), np.ones((len(rows), 1))])
+    x, y = space(taught), np.where(np.array([r.lang for r in taught])[:, None] == np.array(names)[None], 1.0, -1.0)
+    penalty = np.diag([0.1] * int(keep.sum()) + [0.0])
+    scores = space(able) @ np.linalg.solve(x.T @ x + penalty, x.T @ y)
+    want = {r.doc_id: (names[k], (1 + z[k]) / 2) for r, z in zip(able, scores, strict=True) for k in [int(z.argmax())]}
+    for r in Q.op1_language_id(spark, SF).collect():
+        name, score = want.get(r.doc_id, ("und", 0.0))
+        assert r.lang_pred == name
+        assert not bucketed or abs(r.score - min(max(score, 0), 1)) < 1e-3
+
+
 def test_op2_on_labels_that_it_did_not_learn(spark):
     """Fitted on the even labelled ids, judged on the odd ones."""
     larger = SF.replace("0.001", "0.1")
@@ -122,5 +161,34 @@ def test_op10_base_spans(spark):
     assert found
 
 
+def test_op10_added_spans(spark):
+    """All spans of every whole text, the added ones by counting each value's owners and repositories in plain Python."""
+    larger = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet").collect()
+    base = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+        ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+    )
+    token = re.compile(r"[A-Za-z0-9+/_-]+")
+    found, owners, repositories = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for r in docs:
+        text = r.text or ""
+        own = [(m.start(), k, m.end(), m[g]) for k, (_, p, g, n) in enumerate(base) for m in p.finditer(text) if len(m[g]) >= n]
+        runs = [(m.start(), 3, m.end(), m[0]) for m in token.finditer(text) if len(m[0]) >= 20 and all(any(a <= c <= b for c in m[0]) for a, b in ("09", "az", "AZ"))]
+        found[r.doc_id] = own + [t for t in runs if not any(a < t[2] and b > t[0] for a, _, b, _ in own)]
+        for *_, value in found[r.doc_id]:
+            owners[value] |= {r.source} - {None}
+            repositories[value].add("/".join(x for x in (r.source, r.lang) if x is not None))
+    wide = {v for v in owners if len(owners[v]) > 2 or len(repositories[v]) > 2}
+    names = [name for name, *_ in base] + ["owned"]
+    rows = Q.op10_secret_scan(spark, larger).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        told = sorted(t[:3] for t in found[r.doc_id] if t[1] < 3 or t[3] not in wide)
+        assert r.spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in told)
+        assert r.n_owned == sum(k == 3 for _, k, _ in told) and r.n_shared == sum(t[1] < 3 and t[3] in wide for t in found[r.doc_id])
+
+
 def test_every_query_is_registered():
     assert [int(k[2:].split("_")[0]) for k in Q.QUERIES] == list(range(1, 14))
