@@ -2,6 +2,7 @@
 
     python -m tallyrand.api generate RECIPE FOLDER [--mode public] [--seed 42] [--set key=value ...]
     python -m tallyrand.api inspect FOLDER | validate FOLDER | list-recipes
+    python -m tallyrand.api release GATES TIER:SEED=FOLDER ...
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import asdict, dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 
 from .generate import graph, leads, lifecycle
-from .operators import pointintime, snapshots
+from .operators import pointintime, release, snapshots
 from .sources import bundle
 from .sources.tables import materialised
 
@@ -103,6 +104,13 @@ def validate(spark: SparkSession, folder: str) -> list[str]:
     return bundle.validate_bundle(spark, folder, keys=LEAD_KEYS, banned=bundle.BANNED, omitted=bundle.OMITTED) if is_leads else bundle.validate_bundle(spark, folder, keys=CUSTOMER_KEYS, banned={"subscriptions": ("churn_at", "current_mrr")}, omitted=())
 
 
+def release_report(spark: SparkSession, bundles: Mapping[str, Mapping[int, str]], gates: release.Gates) -> tuple[DataFrame, DataFrame]:
+    """The report on lead bundles (tier -> seed -> folder) and the gates that they fail."""
+    target = next(f.name for f in snapshots.LEAD_FEATURES if f.role == "target")
+    ids = [f.name for f in snapshots.LEAD_FEATURES if f.name.endswith("_id")]
+    return release.judged(spark, bundles, gates, task="conversion", key="lead_id", label=target, time="lead_created_at", without=ids)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tallyrand")
     sub = p.add_subparsers(dest="command", required=True)
@@ -112,6 +120,9 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--mode", choices=sorted(bundle.MODES), default="public")
     g.add_argument("--seed", type=int, default=42)
     g.add_argument("--set", action="append", default=[], metavar="KEY=VALUE")
+    r = sub.add_parser("release")
+    r.add_argument("gates", help="YAML or JSON")
+    r.add_argument("bundles", nargs="+", metavar="TIER:SEED=FOLDER")
     for name in ("inspect", "validate"):
         sub.add_parser(name).add_argument("folder")
     sub.add_parser("list-recipes")
@@ -123,6 +134,15 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "generate":
         given = {k: json.loads(v) for k, _, v in (x.partition("=") for x in a.set)}
         print(json.dumps(generate(spark, a.recipe, seed=a.seed, **given).save(a.folder, mode=a.mode)["tables"]))
+    elif a.command == "release":
+        bundles: dict[str, dict[int, str]] = {}
+        for name, _, folder in (x.partition("=") for x in a.bundles):
+            tier, _, seed = name.partition(":")
+            bundles.setdefault(tier, {})[int(seed)] = folder
+        told, failed = release_report(spark, bundles, release.load_gates(bundle.read_text(spark, a.gates)))
+        lines = [row.asDict() for row in failed.collect()]  # a row a gate
+        print(json.dumps({"report": [row.asDict() for row in told.collect()], "failures": lines}, indent=1))
+        return int(bool(lines))
     elif a.command == "inspect":
         print(json.dumps(bundle.read_json(spark, f"{a.folder}/manifest.json"), indent=1))
     else:

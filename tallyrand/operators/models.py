@@ -141,7 +141,7 @@ def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str
 
 def binned(df: DataFrame, of: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str], bins: int = 32, error: float = 1e-3) -> DataFrame:
     """df's (keep, bins array<int>): each number's place among quantiles of its column in ``of``, each category's by falling frequency there; ``bins`` for what is missing. Rarer and new categories share the last bin."""
-    edges = of.approxQuantile(list(numeric), [i / bins for i in range(1, bins)], error) if numeric else []
+    edges = of.select(*(F.col(c).cast("double").alias(c) for c in numeric)).approxQuantile(list(numeric), [i / bins for i in range(1, bins)], error) if numeric else []
     places = []
     for c, cuts in zip(numeric, edges, strict=True):
         x = F.col(c).cast("double")

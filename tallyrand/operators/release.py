@@ -9,9 +9,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
+from ..functions.random import fast_uniform
+from ..sources import bundle
 from ..sources.bundle import bands_of, bounds_of, load_yaml
 from ..sources.tables import materialised
 from . import joint
@@ -185,3 +188,43 @@ def cohort_shifts(rows: DataFrame, tier: str, seed: str, key: str, time: Column,
     aucs = R.metrics_by_group(scored.withColumns({"_g": F.struct("tier", "seed"), "p": F.round("p", 12)}), "_g").select(F.get_json_object("_g.tier", "$.t").alias("tier"), "_g.seed", F.get_json_object("_g.tier", "$.k").alias("_k"), "auc")
     out = aucs.groupBy("tier", "seed").agg(*(F.max(F.when(F.col("_k") == k, F.col("auc"))).alias(f"{k}_auc") for k in ("random", "cohort")))
     return out.withColumn("degradation", F.col("random_auc") - F.col("cohort_auc"))
+
+
+# -- by bundle
+
+
+def from_bundles(spark: SparkSession, bundles: Mapping[str, Mapping[int, str]], task: str) -> DataFrame:
+    """All splits of a task of bundles (tier -> seed -> folder) as one table: the columns that every bundle has, split, bundle_tier and bundle_seed."""
+    parts = [bundle.flat(spark, folder, task).withColumns({"bundle_tier": F.lit(tier), "bundle_seed": F.lit(int(seed)).cast("long")}) for tier, own in bundles.items() for seed, folder in own.items()]
+    if not parts:
+        raise ValueError("no bundles")
+    shared = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+    return reduce(DataFrame.unionByName, (p.select(*shared) for p in parts))
+
+
+def judged(spark: SparkSession, bundles: Mapping[str, Mapping[int, str]], gates: Gates, *, task: str, key: str, label: str, time: str | None = None, without: Sequence[str] = (), **options) -> tuple[DataFrame, DataFrame]:
+    """(report(), failures()) of published bundles, each learnt on its own train split and tested on its test split.
+
+    Features are all shared columns of numbers, booleans and texts but the key, the label, the time and those of ``without``. Shifts of cohorts are those of each tier's lowest seed, by the timestamp ``time``; without one, a gate on them fails as missing.
+    Label drifts are told between all three splits. Subsets must name shared columns.
+    """
+    rows = from_bundles(spark, bundles, task)
+    numbers = [f"_h{i}" for i in range(len(M.hashed_id(F.col(key))))]
+    rows = materialised(rows.withColumns({n: h for n, h in zip(numbers, M.hashed_id(F.col(key)), strict=True)}))
+    kinds = (NumericType, BooleanType, StringType)
+    features = [f.name for f in rows.schema.fields if isinstance(f.dataType, kinds) and f.name not in (key, label, "split", "bundle_tier", "bundle_seed", time, *numbers, *without)]
+    subsets = {name: own for name, (_, own) in gates.subsets.items()} | ({} if gates.id_only is None else {"id_only": numbers})
+    if unknown := {c for own in subsets.values() for c in own} - set(rows.columns):
+        raise ValueError(f"not in all bundles: {sorted(unknown)}")
+    tests = rows.where(F.col("split").isin("train", "test"))
+    found = materialised(metrics(scores(tests, "bundle_tier", "bundle_seed", key, features, label, F.col("split") == "train", subsets=subsets, **options)))
+    shifts = drifts = None
+    if gates.cohort and time:
+        at = F.unix_micros(F.col(time).cast("timestamp"))
+        one = rows.join(F.broadcast(rows.groupBy("bundle_tier").agg(F.min("bundle_seed").alias("bundle_seed"))), ["bundle_tier", "bundle_seed"])  # a row a tier
+        shifts = materialised(cohort_shifts(one, "bundle_tier", "bundle_seed", key, at, features, label, draw=fast_uniform(42, "cohort", F.col(key)), **options).select("tier", "degradation"))
+    elif gates.cohort:
+        shifts = found.select("tier").distinct().withColumn("degradation", F.lit(None).cast("double"))
+    if gates.drift is not None:
+        drifts = label_drifts(rows, "bundle_tier", "bundle_seed", "split", label)
+    return report(found, shifts), failures(found, gates, shifts=shifts, drifts=drifts)

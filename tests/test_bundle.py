@@ -1,5 +1,7 @@
 """Bundles: one pass a table to write and one to check, file digests, and what may be shown."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +130,11 @@ def test_rows_in_which_bundles_differ(spark, both, tmp_path):
     assert got == {(f"tables/{gone}", None, "removed"), ("tables/leads", ids[0], "changed", "lead_source"), ("tables/leads", ids[1], "removed"), ("tables/leads", "lead_new", "added")}
     with pytest.raises(ValueError):
         bundle.bundle_diff(spark, left, right, {})
+
+
+def test_released_from_the_command_line(both, tmp_path, capsys):
+    gates = tmp_path / "gates.json"
+    gates.write_text('{"per_tier": {"intro": {"rate_test": {"min": 0.99}}}, "cross_tier_required": ["intro", "advanced"]}')
+    assert api.main(["release", str(gates), f"intro:1={both[0]}"]) == 1
+    told = json.loads(capsys.readouterr().out)
+    assert {(f["gate"], f["reason"]) for f in told["failures"]} >= {("tier", "below")} and {r["section"] for r in told["report"]} == {"seed", "median", "spread", "place"}

@@ -11,6 +11,7 @@ from tallyrand.operators import quality as Q
 from tallyrand.operators import ranking as R
 from tallyrand.operators import release as L
 from tallyrand.plans import release as plans
+from tallyrand.sources import bundle
 
 TREES = {"trees": 3, "depth": 2}
 
@@ -148,3 +149,25 @@ def test_quantiles_by_group(spark):
     assert set(got) == set(values)
     for g, own in values.items():
         assert (got[g].low, got[g].median) == pytest.approx((np.quantile(own, 0.1), np.median(own)))
+
+
+def test_bundles_are_judged(spark, tmp_path):
+    """Two tiers of two seeds as bundles write them; one tier has a column of its own."""
+    folders = {}
+    for tier, noise in (("intro", 10), ("advanced", 60)):
+        for seed in (1, 2):
+            u = lambda name, seed=seed, tier=tier: F.pmod(F.xxhash64(F.lit(tier), F.lit(seed), F.lit(name), "k"), F.lit(100))
+            df = spark.range(300).withColumnRenamed("id", "k").withColumn("x", u("x").cast("double")).withColumn("y", F.when(u("flip") < noise, u("coin") < 50).otherwise(F.col("x") > 60).cast("boolean"))
+            df = df.withColumn("at", F.timestamp_seconds(F.col("k") * 3600)).withColumn("own", F.lit("a")) if tier == "intro" else df.withColumn("at", F.timestamp_seconds(F.col("k") * 3600))
+            folders.setdefault(tier, {})[seed] = f"{tmp_path}/{tier}{seed}"
+            bundle.write_splits(df, folders[tier][seed], "t", "k", 42, 1)
+    gates = L.load_gates(json.dumps({"per_tier": {"intro": {"lr_auc": {"min": 0.8}, "gbt_auc": {"min": 0.8}}, "advanced": {"lr_auc": {"min": 0.99}}}, "cross_seed_spread": {"lr_auc": {"max": 0.5}}, "cohort_shift": {"auc_degradation": {"max": 0.5}}, "leakage_probes": {"id_only_max_auc": 0.9, "label_drift_max": 0.0001, "feature_subsets": {"x": {"max_auc": 0.7, "columns": ["x"]}}}}))
+    told, failed = L.judged(spark, folders, gates, task="t", key="k", label="y", time="at", **TREES)
+    assert {r.section for r in told.collect()} == {"seed", "median", "spread", "place", "cohort"}
+    got = {(r.gate, r.tier, r.metric, r.reason) for r in failed.collect()}
+    assert ("tier", "advanced", "lr_auc", "below") in got and ("leakage", "intro", "lr:x_auc", "above") in got and ("leakage", "intro", "label_drift", "above") in got
+    assert not any(g in ("spread", "cohort") or (g, t) == ("tier", "intro") or m == "lr:id_only_auc" for g, t, m, _ in got)
+    late = L.judged(spark, {"intro": {1: folders["intro"][1]}}, L.Gates(cohort=(None, 0.5)), task="t", key="k", label="y", **TREES)[1].collect()
+    assert [(r.gate, r.reason) for r in late] == [("cohort", "missing")]  # no time, no shift
+    with pytest.raises(ValueError, match="not in all bundles"):
+        L.judged(spark, folders, L.Gates(subsets={"o": (0.7, ("own",))}), task="t", key="k", label="y")
