@@ -13,6 +13,8 @@ from ..sources.tables import read_table
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 FIRST, LAST = "1995-06-01", "2000-12-01"
+#: Customers to a task, each of which has 67 months.
+CUSTOMERS = 15_000
 
 
 def query(sql: str | None = None):
@@ -30,9 +32,11 @@ def _days(column: str):
 
 
 def _months(spark: SparkSession, d: str) -> DataFrame:
-    """(c_custkey, cutoff): every customer at the beginning of every month."""
+    """(c_custkey, cutoff): every customer at the beginning of every month. Customers are dealt first: their file is small, and one task would make all months of all."""
     months = F.sequence(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date"), F.expr("interval 1 month"))
-    return read_table(spark, d, "customer", ["c_custkey"]).select("c_custkey", F.explode(months).alias("date")).select("c_custkey", _days("date").alias("cutoff"))
+    customers = read_table(spark, d, "customer", ["c_custkey"])
+    tasks = -(-customers.count() // CUSTOMERS) or 1  # from the footers
+    return customers.repartition(tasks, "c_custkey").select("c_custkey", F.explode(months).alias("date")).select("c_custkey", _days("date").alias("cutoff"))
 
 
 _ASKED = f"m AS (SELECT c_custkey, CAST(u AS DATE) - DATE '1970-01-01' AS cutoff FROM customer, unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 MONTH)) t(u)), o AS (SELECT o_custkey, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS day, CAST(o_totalprice AS DECIMAL(18, 2)) AS v FROM orders)"

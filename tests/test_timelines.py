@@ -54,6 +54,19 @@ def test_intervals_and_states(spark, bucket):
         assert got[k, d] == (own[0] if own else (None, None))
 
 
+def test_asked_rows_of_states_are_dealt_and_not_sorted(spark, monkeypatch):
+    """A customer file is one split: its months were made, sorted and aggregated in one task."""
+    from conftest import SF
+    from tallyrand.plans import timelines as plans
+
+    monkeypatch.setattr(plans, "CUSTOMERS", 10)
+    sizes = plans._months(spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 10 and sum(r["count"] for r in sizes) == 150 * 67
+    timeline, asked = (spark.range(9).select("id", *more) for more in ([F.lit("a").alias("s"), F.lit(3).alias("valid_from")], [F.lit(5).alias("day"), F.lit("x").alias("more")]))
+    plan = T.state_asof(timeline, asked, "id", "s")._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Window" not in plan and "Sort" not in plan
+
+
 LEADS = [(1, "2024-01-01", True, 10.0), (2, "2024-01-01", False, None), (3, "2024-01-01", None, 5.0), (4, "2024-01-01", True, None), (5, "2024-01-01", True, 7.0)]
 OPEN = [(1, 1, "2024-01-05", None, 10.0), (1, 2, "2024-01-02", "2024-01-20", 20.0), (2, 3, "2024-01-05", "2024-03-01", 8.0), (4, 4, "2024-01-05", None, None), (5, 5, "2024-02-05", None, 7.0), (9, 6, "2024-01-01", None, 1.0)]
 
