@@ -39,7 +39,7 @@ def numbered(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     if name in rows.columns:
         raise ValueError(f"the table has a column {name}")
     starts = file_starts(spark, path).select(F.col("file").alias("_file"), F.col("start").alias("_start"))
-    out = rows.join(starts, F.col("_at.file") == F.col("_file"))
+    out = rows.join(F.broadcast(starts), F.col("_at.file") == F.col("_file"))  # a row a file; by a shuffle all rows of a file would meet in one task
     return out.select(*(F.col(f"`{c}`") for c in rows.columns if c != "_at"), (F.col("_start") + F.col("_at.row")).alias(name))
 
 

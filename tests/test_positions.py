@@ -59,6 +59,11 @@ def test_stable_ranks(spark, table):
     assert {r.n for r in got} == {300}
 
 
+def test_no_shuffle_by_file(spark, table):
+    plan = P.numbered(spark, table)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_clashes_and_empty_tables(spark, tmp_path):
     spark.range(3).select(F.col("id").alias("position"), F.col("id").alias("ordinal")).write.parquet(f"{tmp_path}/a")
     with pytest.raises(ValueError):
