@@ -43,9 +43,14 @@ def _ranges(df: DataFrame, key: str, ties: Sequence[Column | str] = (), parts: i
     return out.withColumn("_range", F.col("_bucket") * (n + 2) + inside).drop("_nan", "_tie", "_bucket", "_inner")
 
 
+def _ordered(key: Column, descending: bool) -> Column:
+    """The key as a double that grows in the wanted order. Adding zero makes negative zeros positive, which bins keep apart and sorts don't."""
+    return (-key if descending else key).cast("double") + F.lit(0.0)
+
+
 def ranked(df: DataFrame, key: Column, ties: Sequence[Column | str], *, descending: bool = False, rank: str = "rn", total: str | None = None) -> DataFrame:
     """df with ``rank``: 1, 2, ... in the order of the numeric ``key`` and then ``ties``; null keys last. ``total``: also the number of rows."""
-    keyed = _ranges(df.withColumn("_key", (-key if descending else key).cast("double")), "_key", ties)
+    keyed = _ranges(df.withColumn("_key", _ordered(key, descending)), "_key", ties)
     sizes = keyed.groupBy("_range").agg(F.count("*").alias("_size"))
     # One row per range, so the window below is over a few hundred rows.
     before = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_size").over(Window.partitionBy())}).drop("_size")
@@ -58,7 +63,7 @@ def ranked(df: DataFrame, key: Column, ties: Sequence[Column | str], *, descendi
 
 def running(df: DataFrame, key: str, sums: Sequence[str], *, descending: bool = False) -> DataFrame:
     """df with cum_<name> and all_<name> for each of ``sums``: totals up to and with each row in the order of a numeric column of distinct values, and over all."""
-    keyed = _ranges(df.withColumn("_key", (-F.col(key) if descending else F.col(key)).cast("double")), "_key")
+    keyed = _ranges(df.withColumn("_key", _ordered(F.col(key), descending)), "_key")
     parts = keyed.groupBy("_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     until = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_range", *(F.coalesce(F.sum(f"_{c}").over(until), F.lit(0)).alias(f"_b_{c}") for c in sums), *(F.sum(f"_{c}").over(Window.partitionBy()).alias(f"all_{c}") for c in sums))

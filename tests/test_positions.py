@@ -59,6 +59,14 @@ def test_stable_ranks(spark, table):
     assert {r.n for r in got} == {300}
 
 
+def test_zeros_in_falling_order(spark):
+    """Zeros become negative when keys are turned; in ranges they then stood before larger keys."""
+    rows = spark.range(300).select("id", (F.col("id") * 31 % 4 / 4.0).alias("s"))
+    for shift in range(4):
+        got = P.stable_ranked(rows.withColumn("at", F.concat(F.lit(str(shift)), F.lpad(F.col("id").cast("string"), 4, "0"))), F.col("s"), descending=True, position="at").collect()
+        assert [r.id for r in sorted(got, key=lambda r: r.rn)] == sorted(range(300), key=lambda i: (-(i * 31 % 4), i))
+
+
 def test_no_shuffle_by_file(spark, table):
     plan = P.numbered(spark, table)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
