@@ -130,38 +130,39 @@ def made_difficult(df: DataFrame, features: tuple[Feature, ...], key: str, diffi
 def lead_snapshot(t: Mapping[str, DataFrame], *, window: int | None = 30, horizon: int = 90) -> DataFrame:
     """A lead world at ``window`` days after each lead's creation; None: ``horizon`` days after it, with all events.
 
-    All event tables become one narrow table and are aggregated together: one shuffle by lead, whatever the number of tables.
+    Touches, sessions and activities become one narrow table, whose days are read before it is shuffled by lead, and are counted together by hashing. Opportunities, of which the earliest is looked for by sorting,
+    are aggregated apart. Accounts and contacts are joined before the counts, so wide rows aren't shuffled.
     """
-    pad = {"kind": "string", "ts": "string", "flag": "boolean", "a": "long", "b": "long", "c": "long", "closed": "string", "tie": "string"}
+    pad = {"kind": "string", "at": "date", "flag": "boolean", "a": "long", "b": "long", "c": "long"}
 
     def rows(name: str, kind: str, ts: str, **values: Column) -> DataFrame:
-        values |= {"kind": F.lit(kind), "ts": F.col(ts)}
-        return t[name].select("lead_id", *(values.get(c, F.lit(None)).cast(d).alias(c) for c, d in pad.items()))
+        values |= {"kind": F.lit(kind), "at": S.day_of(F.col(ts))}
+        return t[name].select("lead_id", *(values.get(c, F.lit(None)).cast(d).alias(c) for c, d in pad.items())).where(F.col("at").isNotNull())
 
     events = (
         rows("touches", "touch", "touch_timestamp", flag=F.col("touch_direction") == "inbound")
         .unionByName(rows("sessions", "session", "session_timestamp", a=F.col("pricing_page_views"), b=F.col("demo_page_views"), c=F.col("session_duration_seconds")))
         .unionByName(rows("sales_activities", "activity", "activity_timestamp"))
-        .unionByName(rows("opportunities", "opportunity", "created_at", a=F.col("estimated_acv"), closed=F.col("closed_at"), tie=F.col("opportunity_id")))
     )
+    deals = t["opportunities"].select("lead_id", F.col("created_at").cast("string").alias("ts"), S.day_of(F.col("created_at")).alias("at"), F.col("estimated_acv").cast("long").alias("a"), S.day_of(F.col("closed_at")).alias("closed"), F.col("opportunity_id").cast("string").alias("tie")).where(F.col("at").isNotNull())
     anchors = t["leads"].select("lead_id", S.day_of(F.col("lead_created_at")).alias("anchor"))
-    dated = events.join(anchors, "lead_id").withColumn("day", F.datediff(S.day_of(F.col("ts")), F.col("anchor"))).where(F.col("day").isNotNull())
+    dated, deals = (x.join(anchors, "lead_id").withColumn("day", F.datediff("at", "anchor")).where(F.col("day").isNotNull()) for x in (events, deals))
     inside = F.lit(True) if window is None else F.col("day") <= window
     end = F.lit(horizon if window is None else window)
     is_ = lambda kind: F.col("kind") == kind
-    touch, session, deal = is_("touch") & inside, is_("session") & inside, is_("opportunity") & inside
-    cutoff = F.date_add("anchor", end)
-    open_ = is_("opportunity") & open_at(S.day_of(F.col("ts")), S.day_of(F.col("closed")), cutoff)
+    touch, session = is_("touch") & inside, is_("session") & inside
     last = F.max(F.when(touch, F.col("day")))
     per = dated.groupBy("lead_id").agg(
         F.count_if(touch).alias("touch_count"), F.count_if(touch & F.col("flag")).alias("inbound_touch_count"), F.count_if(touch & ~F.col("flag")).alias("outbound_touch_count"),
         F.count_if(session).alias("session_count"), F.sum(F.when(session, F.col("a"))).alias("pricing_page_views"), F.sum(F.when(session, F.col("b"))).alias("demo_page_views"), F.sum(F.when(session, F.col("c"))).alias("total_session_duration_seconds"),
         F.count_if(touch & (F.col("day") <= 7)).alias("touches_days_0_7"), F.count_if(touch & (F.col("day") > end - 7)).alias("touches_last_7_days"), (end - F.min(F.when(touch, F.col("day")))).alias("days_since_first_touch"), F.count_if(is_("activity") & inside).alias("activity_count"), (end - last).alias("days_since_last_touch"),
-        F.bool_or(deal).alias("opportunity_created"), F.bool_or(open_).alias("has_open_opportunity"), F.min_by("a", F.when(open_ & F.col("a").isNotNull(), F.struct("ts", "tie"))).alias("opportunity_estimated_acv"), F.count_if(is_("touch")).alias("total_touches_all"),
+        F.count_if(is_("touch")).alias("total_touches_all"),
     )
+    open_ = open_at(F.col("at"), F.col("closed"), F.date_add("anchor", end))
+    deals = deals.groupBy("lead_id").agg(F.bool_or(inside).alias("opportunity_created"), F.bool_or(open_).alias("has_open_opportunity"), F.min_by("a", F.when(open_ & F.col("a").isNotNull(), F.struct("ts", "tie"))).alias("opportunity_estimated_acv"))
     counts = [f.name for f in LEAD_FEATURES if f.dtype == "long"]
-    out = t["leads"].join(per, "lead_id", "left").fillna(0, counts).fillna(False, ["opportunity_created", "has_open_opportunity"])
-    out = out.join(t["accounts"].drop("created_at"), "account_id", "left").join(t["contacts"].select("contact_id", "role_function", "seniority", "buyer_role"), "contact_id", "left")
+    out = t["leads"].join(t["accounts"].drop("created_at"), "account_id", "left").join(t["contacts"].select("contact_id", "role_function", "seniority", "buyer_role"), "contact_id", "left")
+    out = out.join(per, "lead_id", "left").join(deals, "lead_id", "left").fillna(0, counts).fillna(False, ["opportunity_created", "has_open_opportunity"])
     out = out.withColumn("expected_acv", F.coalesce(F.col("opportunity_estimated_acv").cast("double"), S.mapped(F.col("estimated_revenue_band"), REVENUE_MIDPOINT)))
     return catalogue(out, LEAD_FEATURES)
 

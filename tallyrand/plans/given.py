@@ -38,11 +38,11 @@ def given_world(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         text("o_orderkey").alias("lead_id"), text("o_custkey").alias("account_id"), (F.col("o_orderkey") % 10).cast("string").alias("contact_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("lead_created_at"), source.alias("lead_source"), F.col("o_orderstatus").alias("current_stage"),
         (F.col("o_orderstatus") != "P").alias("is_sql"), (F.col("o_orderstatus") == "F").alias("converted_within_90_days"),
     )
-    # An order's day is its line items' too; those without an order have none, and no lead.
-    dated = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), day_of(F.col("o_orderdate")).alias("made")), "l_orderkey")
+    # An order's day is its line items' too; those without an order have none, and no lead. They meet by the lead's id, by which the snapshot joins them again, so they are shuffled once.
+    dated = items.withColumn("lead_id", text("l_orderkey")).join(leads.select("lead_id", day_of(F.col("lead_created_at")).alias("made")), "lead_id")
     on = lambda days: F.date_format(F.date_add("made", days), "yyyy-MM-dd")
     day = (F.col("l_partkey") % SPAN).cast("int")
-    lead = text("l_orderkey").alias("lead_id")
+    lead = "lead_id"
     return {
         "accounts": accounts,
         "contacts": contacts,

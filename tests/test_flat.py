@@ -88,3 +88,20 @@ def test_what_is_refused_and_refilled(world, shots):
     with pytest.raises(ValueError):
         flat.build(shots[20].limit(0), v7)
     assert flat.build(shots[10].limit(0), v4).count() == 0
+
+
+def test_events_of_given_leads_are_shuffled_once_and_counted_by_hashing(spark):
+    """They were shuffled by order and again by lead, and sorted for the earliest opportunity."""
+    from conftest import SF
+    from tallyrand.plans import given
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shot = given.lead_snapshot_at(10, spark, SF)
+        assert shot.count() == 1500
+        plan = shot._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "l_orderkey" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+    assert "HashAggregate" in plan
