@@ -34,15 +34,28 @@ def geometric(p: Column, u: Column) -> Column:
     return F.when(p >= 1, F.lit(1)).when(p > 0, F.greatest(F.lit(1), F.ceil(F.log1p(-u) / F.log1p(-p))).cast("int"))
 
 
+#: Counts that poisson() finds by plain comparisons.
+SMALL = 3
+
+
 def poisson(rate: Column, u: Column, most: int = 64) -> Column:
-    """By inverting the distribution function; counts above ``most`` count as ``most``."""
+    """By inverting the distribution function; counts above ``most`` count as ``most``.
+
+    Small counts, which are most at low rates, are compared one by one; only what lies above them walks on, by a loop that Spark interprets.
+    """
     step = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
     walk = F.aggregate(
         F.sequence(F.lit(1), F.lit(most)),
         step,
         lambda s, i: F.when(u < s["c"], s).otherwise(F.struct((s["p"] * rate / i).alias("p"), (s["c"] + s["p"] * rate / i).alias("c"), i.alias("k"))),
     )
-    return F.coalesce(walk["k"], F.lit(0))
+    p = c = F.exp(-rate)
+    small = F.when(u < c, 0)
+    for k in range(1, min(SMALL, most - 1) + 1):
+        p = p * rate / k
+        c = c + p
+        small = small.when(u < c, k)
+    return small.otherwise(F.coalesce(walk["k"], F.lit(0)))
 
 
 def choice(u: Column, weighted: dict[str, float]) -> Column:

@@ -159,7 +159,7 @@ def simulate(spark: SparkSession, world: LeadWorld) -> dict[str, DataFrame]:
     """All tables of a lead world. Event ids are built from the lead, the day and the place on that day."""
     made = population(spark, world)
     # Leads and their histories are read by six tables; their expressions are deep, so they are computed once.
-    history = materialised(histories(materialised(made["leads"]), world))
+    history = materialised(histories(materialised(made["leads"], wide=True), world), wide=True)
     active = days(history, world)
     event_id = lambda prefix, *parts: F.concat_ws("_", F.lit(prefix), padded(F.col("lead_no"), 9), padded(F.col("day"), 3), *parts)
     touch = active.where("n_touches > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_touches"))))

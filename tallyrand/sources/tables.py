@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, schema: StructType | None = None) -> DataFrame:
     """A Parquet table of a folder; with ``columns`` only those are read."""
@@ -47,7 +50,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: later steps start from the files, also after an executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def materialised(df: DataFrame, *, wide: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: later steps start from the files, also after an executor is lost.
+
+    wide: for columns of many deep expressions. In one generated method they pass the 8,000 bytes beyond which the JVM interprets it; with the limit set while the rows are written, Spark splits them.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not wide:
+        return df.checkpoint()
+    before = spark.conf.get(HUGE_METHOD)
+    spark.conf.set(HUGE_METHOD, "8000")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(HUGE_METHOD, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As materialised(), but as Parquet, of which later steps read the columns that they need; for long tables that several steps read."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,34 @@ def test_ltv_against_plain_sums(customer_tables):
             want[r.customer_id] = want.get(r.customer_id, 0) + r.amount_usd
     got = {r.customer_id: r.ltv_revenue_365d for r in N.customer_snapshot(t, cutoff=cut.isoformat()).collect()}
     assert got and all(v == want.get(k, 0) for k, v in got.items())
+
+
+def test_small_poisson_counts_are_compared_before_the_loop(spark):
+    from tallyrand.functions.random import poisson
+
+    def walked(rate, u, most):
+        p = c = math.exp(-rate)
+        k = 0
+        for i in range(1, most + 1):
+            if u < c:
+                break
+            p, k = p * rate / i, i
+            c += p
+        return k
+
+    cases = [(r, u, m) for m in (1, 2, 12) for r in (0.02, 0.5, 3.0, 9.0) for u in (0.0, 0.3, 0.6, 0.9, 0.99, 0.9999, 1 - 2**-53)]
+    for m in (1, 2, 12):
+        rows = spark.createDataFrame([(r, u) for r, u, k in cases if k == m], "r double, u double").withColumn("k", poisson(F.col("r"), F.col("u"), m)).collect()
+        assert [x.k for x in rows] == [walked(x.r, x.u, m) for x in rows]
+    made = str(poisson(F.col("r"), F.col("u"), 12))
+    assert made.index("CASE WHEN") < made.index("aggregate(")
+
+
+def test_wide_rows_are_written_by_split_code(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    name, seen, whole = "spark.sql.codegen.hugeMethodLimit", [], DataFrame.checkpoint
+    before = spark.conf.get(name)
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: (seen.append(spark.conf.get(name)), whole(df, *a))[1])
+    leads.simulate(spark, leads.LeadWorld(n_accounts=5, n_contacts=5, n_leads=5))
+    assert seen == ["8000", "8000"] and spark.conf.get(name) == before
