@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.random import choice, fast_uniform, normal
 from ..functions.scalars import clipped, entity_id, padded
-from ..sources.tables import materialised
+from ..sources.tables import materialised, stored
 from . import motifs as V
 
-EVENTS = "kind string, customer_no long, week int, event_type string, before long, after long, users long, depth double, tickets long, nps long, status string"
+EVENTS = "kind string, customer_no long, week int, at date, event_type string, before long, after long, users long, depth double, tickets long, nps long, status string"
 USAGE_RAMP, TICKETS, NPS_WEEKS = 6.0, (0.2, 0.8), 13
 
 
@@ -93,7 +93,7 @@ def _factor(rows: pd.DataFrame, weights: Mapping[str, float]) -> np.ndarray:
     return np.exp(sum(w * (rows[f"latent_{t}"].fillna(0.5).to_numpy() - 0.5) for t, w in weights.items()))
 
 
-def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
     m = V.LIFECYCLE[world.motif]
     (churn_base, churn_w), (spike, renewal_w), (grow_base, grow_w, (lo, hi)), (fail_base, fail_w, dunning, recovery) = m["churn"], m["renewal"], m["expansion"], m["payment"]
     who = rows["customer_no"].to_numpy()
@@ -103,12 +103,14 @@ def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     adoption, fit, champion = (rows[f"latent_{t}"].fillna(0.5).to_numpy() for t in ("adoption_velocity", "product_fit", "champion_strength"))
     base_users = rows["initial_plan"].map({p: v[2] for p, v in V.PLANS.items()}).to_numpy()
     mrr = rows["initial_mrr"].to_numpy().copy()
-    alive, pending = np.ones(len(rows), bool), np.full(len(rows), -1)
-    out: list[pd.DataFrame] = []
+    begun = rows["customer_start_at"].to_numpy().astype("datetime64[D]")
+    alive, pending, owed = np.ones(len(rows), bool), np.full(len(rows), -1), mrr.copy()
+    out: list[pa.RecordBatch] = []
 
-    def emit(kind: str, week: int, at: np.ndarray, **values) -> None:
+    def emit(kind: str, week: int | np.ndarray, at: np.ndarray, **values) -> None:
         if at.any():
-            out.append(pd.DataFrame({"kind": kind, "customer_no": who[at], "week": week} | {k: v[at] if isinstance(v, np.ndarray) else v for k, v in values.items()}))
+            values |= {"kind": kind, "customer_no": who, "week": week, "at": begun + 7 * np.asarray(week)}
+            out.append(_arrow(int(at.sum()), {k: v[at] if isinstance(v, np.ndarray) and v.ndim else v for k, v in values.items()}))
 
     for week in range(world.weeks):
         if not alive.any():
@@ -124,17 +126,17 @@ def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         due = alive & (pending >= 0) & (week - pending >= dunning)
         saved = due & (u(0) < recovery)
         emit("event", week, saved, event_type="payment_recovered", before=mrr, after=mrr)
-        emit("settled", week, saved, status="recovered", before=pending)
         gone = due & ~saved
-        emit("settled", week, gone, status="written_off", before=pending)
+        # A failed invoice that waits for its settlement is told with it.
+        emit("invoice", pending, due, after=owed, status=np.where(saved, "recovered", "written_off"))
         emit("event", week, gone, event_type="churn", before=mrr, after=0, status="payment_failure")
         alive &= ~gone
         pending[due] = -1
         if int(week * 12 / 52) > int((week - 1) * 12 / 52) or week == 0:
             failed = alive & (u(1) < fail)
-            emit("invoice", week, alive, after=mrr, status=np.where(failed, "failed", "paid"))
             new = failed & (pending < 0)
-            pending[new] = week
+            emit("invoice", week, alive & ~new, after=mrr, status=np.where(failed, "failed", "paid"))
+            pending[new], owed[new] = week, mrr[new]
             emit("event", week, new, event_type="payment_failure", before=mrr, after=mrr)
         k = np.round(week / term)
         renewal = (k >= 1) & (np.round(k * term) == week)
@@ -149,48 +151,54 @@ def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         emit("event", week, more, event_type="expansion", before=mrr, after=mrr + added)
         mrr = np.where(more, mrr + added, mrr)
         if len(out) > 200:
-            yield pd.concat(out, ignore_index=True)
+            yield _joined(out)
             out.clear()
+    emit("invoice", pending, pending >= 0, after=owed, status="failed")
     if out:
-        yield pd.concat(out, ignore_index=True)
+        yield _joined(out)
 
 
-TYPES = {"kind": pa.string(), "customer_no": pa.int64(), "week": pa.int32(), "event_type": pa.string(), "before": pa.int64(), "after": pa.int64(), "users": pa.int64(), "depth": pa.float64(), "tickets": pa.int64(), "nps": pa.int64(), "status": pa.string()}
+TYPES = {"kind": pa.string(), "customer_no": pa.int64(), "week": pa.int32(), "at": pa.date32(), "event_type": pa.string(), "before": pa.int64(), "after": pa.int64(), "users": pa.int64(), "depth": pa.float64(), "tickets": pa.int64(), "nps": pa.int64(), "status": pa.string()}
 
 
-def _arrow(made: pd.DataFrame) -> pa.RecordBatch:
+def _arrow(n: int, values: Mapping[str, object]) -> pa.RecordBatch:
+    """n rows: arrays, of which NaN is missing, values that all rows share, and nulls for the rest."""
     arrays = []
     for name, kind in TYPES.items():
-        if name not in made:
-            arrays.append(pa.nulls(len(made), kind))
-            continue
-        missing = made[name].isna().to_numpy()
-        if pa.types.is_string(kind):
-            arrays.append(pa.array(made[name].tolist(), kind, mask=missing))
+        x = values.get(name)
+        if x is None:
+            arrays.append(pa.nulls(n, kind))
+        elif not isinstance(x, np.ndarray) or not x.ndim:
+            arrays.append(pa.repeat(pa.scalar(x if isinstance(x, str) else x.item() if isinstance(x, np.generic) else x, kind), n))
+        elif x.dtype.kind == "f" and pa.types.is_integer(kind):
+            gap = np.isnan(x)
+            arrays.append(pa.array(np.where(gap, 0, x).astype(kind.to_pandas_dtype()), kind, mask=gap))
         else:
-            arrays.append(pa.array(made[name].fillna(0).to_numpy().astype(kind.to_pandas_dtype()), kind, mask=missing))
+            arrays.append(pa.array(x, kind) if x.dtype.kind in "UM" else pa.array(x.astype(kind.to_pandas_dtype(), copy=False), kind))
     return pa.RecordBatch.from_arrays(arrays, names=list(TYPES))
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def simulate(spark: SparkSession, world: LifecycleWorld) -> dict[str, DataFrame]:
     """customers, subscriptions, subscription_events, health_signals and invoices of a world, over ``weeks`` weeks from each customer's start."""
-    who = materialised(customers(spark, world))
+    who = materialised(customers(spark, world), wide=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pandas()
             for at in range(0, len(rows), 2000):
-                for made in _weeks(world, rows.iloc[at : at + 2000].reset_index(drop=True)):
-                    yield _arrow(made)
+                yield from _weeks(world, rows.iloc[at : at + 2000].reset_index(drop=True))
 
-    log = materialised(who.mapInArrow(run, EVENTS)).join(who.select("customer_no", "customer_id", "customer_start_at"), "customer_no")
-    log = log.withColumn("at", F.date_format(F.date_add(F.col("customer_start_at").cast("date"), F.col("week") * 7), "yyyy-MM-dd"))
+    # The log has all that its tables need, so none of them is a join of it.
+    log = stored(who.mapInArrow(run, EVENTS)).withColumns({"customer_id": entity_id("cust", F.col("customer_no")), "at": F.date_format("at", "yyyy-MM-dd")})
     numbered = lambda prefix: F.concat_ws("_", F.lit(prefix), padded(F.col("customer_no"), 9), padded(F.col("week"), 3))
     sub = F.concat(F.lit("sub_"), F.substring("customer_id", 6, 20))
     events = log.where("kind = 'event'").select(F.concat_ws("_", numbered("evt"), "event_type").alias("event_id"), sub.alias("subscription_id"), "customer_id", F.col("at").alias("event_timestamp"), "event_type", F.col("before").alias("mrr_before"), F.col("after").alias("mrr_after"), F.when(F.col("event_type") == "churn", F.col("status")).alias("churn_reason"))
     health = log.where("kind = 'health'").select(numbered("sig").alias("signal_id"), "customer_id", F.col("at").alias("period_start"), F.col("users").alias("active_users"), F.col("depth").alias("feature_depth_score"), F.col("tickets").alias("support_tickets"), F.col("nps").alias("nps_score"))
-    settled = log.where("kind = 'settled'").select("customer_no", F.col("before").cast("int").alias("week"), F.col("status").alias("later"))
-    invoices = log.where("kind = 'invoice'").join(settled, ["customer_no", "week"], "left").select(numbered("inv").alias("invoice_id"), "customer_id", F.col("at").alias("invoice_date"), F.col("after").alias("amount_usd"), F.coalesce("later", "status").alias("payment_status"))
+    invoices = log.where("kind = 'invoice'").select(numbered("inv").alias("invoice_id"), "customer_id", F.col("at").alias("invoice_date"), F.col("after").alias("amount_usd"), F.col("status").alias("payment_status"))
     last = events.groupBy("customer_id").agg(F.max(F.when(F.col("event_type") == "churn", F.col("event_timestamp"))).alias("churn_at"), F.max("churn_reason").alias("churn_reason"), F.count_if(F.col("event_type") == "renewal").alias("renewal_count"), F.count_if(F.col("event_type") == "expansion").alias("expansion_count"), F.max(F.when(F.col("event_type") == "expansion", F.col("mrr_after"))).alias("mrr"))
     subscriptions = who.join(last, "customer_id", "left").select(
         sub.alias("subscription_id"), "customer_id", F.col("initial_plan").alias("plan_name"), F.when(F.col("churn_at").isNull(), "active").otherwise("churned").alias("subscription_status"), F.col("customer_start_at").alias("subscription_start_at"),

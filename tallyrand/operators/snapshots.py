@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..generate.motifs import REVENUE_MIDPOINT
+from ..sources.tables import materialised
 from .pointintime import SnapshotError, open_at
 from .sampling import distorted
 
@@ -91,8 +92,8 @@ CUSTOMER_FEATURES = (
 )
 
 
-#: The longest target window of the customer snapshot.
-TARGET_DAYS = 730
+#: The longest target window of the customer snapshot, its window of recent usage, and the states of invoices that count as revenue.
+TARGET_DAYS, RECENT_DAYS, PAID = 730, 84, ("paid", "recovered")
 
 
 def catalogue(df: DataFrame, features: tuple[Feature, ...]) -> DataFrame:
@@ -178,26 +179,34 @@ def customer_snapshot(t: Mapping[str, DataFrame], *, cutoff: str | None = None,
     start = S.day_of(F.col("customer_start_at"))
     who = who.withColumns({"start": start, "cutoff": F.lit(cutoff).cast("date") if cutoff else F.date_add(start, tenure_weeks * 7), "churn": S.day_of(F.col("churn_at"))})
     who = who.where((F.col("start") <= F.col("cutoff")) & (F.col("churn").isNull() | (F.col("churn") > F.col("cutoff"))))
-    if weeks is not None:
-        short = who.where(F.date_add("cutoff", TARGET_DAYS) > F.date_add("start", weeks * 7)).agg(F.count("*").alias("n"), F.min("start").alias("start")).first()
-        if short["n"]:
-            raise SnapshotError(f"{weeks} weeks from {short['start']} on don't cover {TARGET_DAYS} days behind the cutoff; the targets of {short['n']} customers would be cut short")
+    low = high = F.lit(cutoff).cast("date")
+    if weeks is not None or not cutoff:
+        who = materialised(who)
+        short = F.lit(False) if weeks is None else F.date_add("cutoff", TARGET_DAYS) > F.date_add("start", weeks * 7)
+        found = who.agg(F.count_if(short).alias("n"), F.min(F.when(short, F.col("start"))).alias("start"), F.min("cutoff").alias("low"), F.max("cutoff").alias("high")).first()
+        if found["n"]:
+            raise SnapshotError(f"{weeks} weeks from {found['start']} on don't cover {TARGET_DAYS} days behind the cutoff; the targets of {found['n']} customers would be cut short")
+        low, high = F.lit(found["low"]).cast("date"), F.lit(found["high"]).cast("date")
     pad = {"kind": "string", "ts": "string", "what": "string", "a": "long", "b": "double", "c": "long"}
 
     def rows(name: str, kind: str, ts: str, **values: Column) -> DataFrame:
         values |= {"kind": F.lit(kind), "ts": F.col(ts)}
         return t[name].select("customer_id", *(values.get(c, F.lit(None)).cast(d).alias(c) for c, d in pad.items()))
 
+    # What no customer's cutoff can reach isn't shuffled.
+    at = S.day_of(F.col("ts"))
+    health = (at <= high) & ((at > F.date_sub(low, RECENT_DAYS)) | F.col("what").isNotNull())
+    invoices = F.col("what").isin(*PAID) & (at > low) & (at <= F.date_add(high, TARGET_DAYS))
     events = (
         rows("subscription_events", "event", "event_timestamp", what=F.col("event_type"), a=F.col("mrr_after") - F.col("mrr_before"))
-        .unionByName(rows("health_signals", "health", "period_start", a=F.col("active_users"), b=F.col("feature_depth_score"), c=F.col("support_tickets"), what=F.col("nps_score").cast("string")))
-        .unionByName(rows("invoices", "invoice", "invoice_date", what=F.col("payment_status"), a=F.col("amount_usd")))
+        .unionByName(rows("health_signals", "health", "period_start", a=F.col("active_users"), b=F.col("feature_depth_score"), c=F.col("support_tickets"), what=F.col("nps_score").cast("string")).where(health))
+        .unionByName(rows("invoices", "invoice", "invoice_date", what=F.col("payment_status"), a=F.col("amount_usd")).where(invoices))
     )
     dated = events.join(who.select("customer_id", "cutoff"), "customer_id").withColumn("day", F.datediff(S.day_of(F.col("ts")), F.col("cutoff")))
     is_ = lambda kind, what=None: (F.col("kind") == kind) & (F.lit(True) if what is None else F.col("what") == what)
     past, grown = F.col("day") <= 0, F.when(is_("event", "expansion"), F.col("a"))
-    lately = is_("health") & past & (F.col("day") > -84)
-    paid = is_("invoice") & F.col("what").isin("paid", "recovered")
+    lately = is_("health") & past & (F.col("day") > -RECENT_DAYS)
+    paid = is_("invoice") & F.col("what").isin(*PAID)
     users = F.when(lately, F.col("a").cast("double"))
     per = dated.groupBy("customer_id").agg(
         F.coalesce(F.sum(F.when(past, grown)), F.lit(0)).alias("mrr_change_at_snapshot"), F.count_if(past & is_("event", "renewal")).alias("renewal_count"), F.count_if(past & is_("event", "expansion")).alias("expansion_count"),

@@ -233,3 +233,15 @@ def test_wide_rows_are_written_by_split_code(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: (seen.append(spark.conf.get(name)), whole(df, *a))[1])
     leads.simulate(spark, leads.LeadWorld(n_accounts=5, n_contacts=5, n_leads=5))
     assert seen == ["8000", "8000"] and spark.conf.get(name) == before
+
+
+def test_settled_invoices_and_usage_out_of_reach_need_no_shuffle(spark):
+    made = lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=300))
+    states = {r.payment_status: r["count"] for r in made["invoices"].groupBy("payment_status").count().collect()}
+    assert {"paid", "recovered", "written_off"} <= set(states)
+    assert made["invoices"].count() == made["invoices"].select("invoice_id").distinct().count()
+    for name in ("invoices", "health_signals", "subscription_events"):
+        assert "Join" not in made[name]._jdf.queryExecution().optimizedPlan().toString()
+    whole = N.customer_snapshot(made, tenure_weeks=20, weeks=182)
+    near = made | {"health_signals": made["health_signals"].where("period_start < '2023-06-13'"), "invoices": made["invoices"].where("invoice_date > '2022-05-22'")}
+    assert sorted(map(str, N.customer_snapshot(near, tenure_weeks=20).collect())) == sorted(map(str, whole.collect()))
