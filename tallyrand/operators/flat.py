@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import poisson, uniform
 from ..functions.scalars import clipped, day_of
+from ..sources.tables import materialised, stored
 from .ranking import ranked
 from .sampling import soft_cap, stratified, with_gaps
 
@@ -66,7 +67,10 @@ def flat_dataset(snapshot: DataFrame, config: Flat) -> DataFrame:
         "converted": F.col("converted_within_90_days").cast("int"),
         "expected_acv": soft_cap(F.col("expected_acv"), floor, cap, width, uniform(config.seed, "softcap", F.col("lead_id"))),
     })
-    rows = waves(stratified(rows, "lead_id", "converted", config.n, config.rate, seed=config.seed), "lead_created_at", "lead_id", noise=0.05, seed=config.seed)
+    # The snapshot is made once, and its sample is taken once: both are read several times.
+    rows = stored(rows.select("lead_id", "lead_created_at", *(c for c in NAMES if c in rows.columns)))
+    rows = materialised(stratified(rows, "lead_id", "converted", config.n, config.rate, seed=config.seed))
+    rows = waves(rows, "lead_created_at", "lead_id", noise=0.05, seed=config.seed)
     out = renamed(rows, {"lead_id": "lead_id", **NAMES})
     out = with_gaps(out, "lead_id", config.gaps, "lead_source", seed=config.seed)
     out = out.drop("lead_id")

@@ -6,13 +6,16 @@ import itertools
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import fast_uniform, normal, poisson, uniform
 from ..functions.scalars import band, clipped, mapped
 from .ranking import quantiles, ranked
 
+#: Rows of a class that stratified() takes by sorting.
+TOP_ROWS = 10_000
+
 
 def exact_splits(df: DataFrame, key: str, *, seed: int, shares: Sequence[tuple[str, float]] = (("train", 0.7), ("valid", 0.15)), rest: str = "test") -> DataFrame:
     """df with ``split``: rows in hashed order, the first int(n * share) to the first split and so on, the remainder to ``rest``."""
@@ -42,7 +45,8 @@ def hashed_splits(df: DataFrame, key: str, *, seed: int, shares: Sequence[tuple[
 def stratified(df: DataFrame, key: str, label: str, n: int, rate: float, *, seed: int, refill: bool = False) -> DataFrame:
     """n rows, of which round(n * rate) have label 1: those with the lowest draws. Raises if a class has too few; with ``refill`` negatives stand in for missing positives, and where these too are short there are fewer rows.
 
-    Each class is a top-n, which keeps n rows per task at most.
+    Each class is a top-n, which keeps n rows per task at most; of more than TOP_ROWS rows, which would meet in one task, it is what lies up to a bound that counts of the draws give.
+    df is read several times.
     """
     positives = int(n * rate + 0.5)
     counts = {r[label]: r["count"] for r in df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
@@ -53,10 +57,29 @@ def stratified(df: DataFrame, key: str, label: str, n: int, rate: float, *, seed
     if short:
         raise ValueError(f"too few rows (there are, wanted) by class: {short}")
     rows = df.withColumn("_u", uniform(seed, "subsample", F.col(key)))
-    picked = [rows.where(F.col(label) == k).orderBy("_u", key).limit(v) for k, v in wanted.items()]
+    picked = [rows.where(F.col(label) == k).orderBy("_u", key).limit(v) if v <= TOP_ROWS else lowest(rows.where(F.col(label) == k), "_u", key, v, counts[k]) for k, v in wanted.items()]
     return picked[0].unionByName(picked[1]).drop("_u")
 
 
+def lowest(df: DataFrame, u: str, key: str, n: int, size: int) -> DataFrame:
+    """The n rows of df, which has ``size``, that come first by ``u``, in [0, 1), and then by key. Nothing but counts is shuffled: of bins of u, then of the pairs (u, key) in the one bin in which the last row lies."""
+    bits = min(20, max(4, size.bit_length() - 10))
+    own = df.select(u, key, F.floor(F.col(u) * (1 << bits)).alias("_bin"))
+
+    def reached(counts: DataFrame, by: Sequence[str], n: int):
+        until = F.sum("n").over(Window.orderBy(*by))  # of 2^bits bins, or the pairs of one
+        return counts.withColumn("until", until).where(F.col("until") >= n).orderBy("until").first()
+
+    b = reached(own.groupBy("_bin").agg(F.count("*").alias("n")), ["_bin"], n)
+    inside = n - b["until"] + b["n"]
+    last = reached(own.where(F.col("_bin") == b["_bin"]).groupBy(u, key).agg(F.count("*").alias("n")), [u, key], inside)
+    pair, end = F.struct(F.col(u).alias("u"), F.col(key).alias("k")), F.struct(F.lit(last[u]).alias("u"), F.lit(last[key]).cast(df.schema[key].dataType).alias("k"))
+    ties = inside - last["until"] + last["n"]
+    if ties == last["n"]:
+        return df.where(pair <= end)
+    return df.where(pair < end).unionByName(df.where(pair == end).limit(ties))
+
+
 def missing_at_random(df: DataFrame, key: str, column: str, rates: Mapping[str, float], by: str, default: float, *, seed: int) -> DataFrame:
     """Nulls in ``column`` with a probability that depends on another column."""
     rate = F.lit(default)

@@ -105,3 +105,18 @@ def test_events_of_given_leads_are_shuffled_once_and_counted_by_hashing(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "l_orderkey" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
     assert "HashAggregate" in plan
+
+
+def test_large_samples_are_taken_by_a_bound(spark, monkeypatch):
+    """Samples of more than TOP_ROWS rows were sorted in one task; the bound gives the same rows, also where keys repeat."""
+    from tallyrand.operators import sampling
+
+    rows = spark.range(4000).select((F.col("id") % 1500).alias("k"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    for n in (7, 300, 3999 - 1333):
+        small = sampling.stratified(rows, "k", "y", n, 0.4, seed=3).groupBy("k", "y").count()
+        monkeypatch.setattr(sampling, "TOP_ROWS", 0)
+        made = sampling.stratified(rows, "k", "y", n, 0.4, seed=3)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort" not in plan
+        assert sorted(map(tuple, made.groupBy("k", "y").count().collect())) == sorted(map(tuple, small.collect()))
+        monkeypatch.undo()
