@@ -7,6 +7,7 @@ Runs of equal scores may reach over several parts, so that one score with most o
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,18 +25,64 @@ _LIMITS = np.array([int(x, 16) for x in POISSON_1], np.uint32)
 SUMMARY = {"low": 0.025, "q25": 0.25, "median": 0.5, "q75": 0.75, "high": 0.975}
 
 
+#: MD5's constants; blocks that are digested at a time, so that they stay in the cache.
+_SINES = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+BLOCKS = 16_384
+
+
+def _digests(blocks: np.ndarray) -> np.ndarray:
+    """(n, 4): the MD5 of n padded blocks of 64 bytes, as its four words, all blocks in step."""
+    words = np.ascontiguousarray(blocks.view("<u4").T)
+    a, b, c, d = (np.full(len(blocks), x, np.uint32) for x in _START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += words[g]
+        f += np.uint32(_SINES[i])
+        a, d, c, b = d, c, b, b + ((f << np.uint32(_TURNS[i])) | (f >> np.uint32(32 - _TURNS[i])))
+    return np.stack([x + np.uint32(x0) for x, x0 in zip((a, b, c, d), _START, strict=True)], 1)
+
+
+def _draws(seed: int, keys: Sequence[bytes], tails: Sequence[bytes]) -> np.ndarray:
+    """(keys, tails, 4): the MD5 of ``<seed>:bootstrap:<key>:<tail>`` as numbers of 32 bits, for keys of one length and tails of one length."""
+    head, n, m = f"{seed}:bootstrap:".encode(), len(keys[0]), len(tails[0])
+    size = len(head) + n + 1 + m
+    if size > 55:  # of more than one block
+        return np.frombuffer(b"".join(hashlib.md5(head + k + b":" + t).digest() for k in keys for t in tails), ">u4").reshape(len(keys), len(tails), 4)
+    blocks = np.zeros((len(keys), len(tails), 64), np.uint8)
+    blocks[..., : len(head)] = np.frombuffer(head, np.uint8)
+    blocks[..., len(head) : len(head) + n] = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), 1, n)
+    blocks[..., size - m - 1] = ord(":")
+    blocks[..., size - m : size] = np.frombuffer(b"".join(tails), np.uint8).reshape(len(tails), m)
+    blocks[..., size] = 0x80
+    blocks[..., 56:58] = (8 * size & 255, 8 * size >> 8)
+    flat = blocks.reshape(-1, 64)
+    out = np.concatenate([_digests(flat[at : at + BLOCKS]) for at in range(0, len(flat), BLOCKS)])
+    return out.byteswap().reshape(len(keys), len(tails), 4)
+
+
 def weights(seed: int, keys: Sequence[str], replicates: int) -> np.ndarray:
     """(keys, replicates): Poisson(1) counts, the same as those of sampling.bootstrap()."""
-    tails = [str(b).encode() for b in range(-(-replicates // 4))]
-    out = bytearray()
-    for key in keys:
-        head = hashlib.md5(f"{seed}:bootstrap:{key}:".encode())
-        for tail in tails:
-            whole = head.copy()
-            whole.update(tail)
-            out += whole.digest()
-    draws = np.frombuffer(out, ">u4").reshape(len(keys), 4 * len(tails))[:, :replicates]
-    return np.searchsorted(_LIMITS, draws, "right")
+    coded, tails = [k.encode() for k in keys], [str(b).encode() for b in range(-(-replicates // 4))]
+    draws = np.empty((len(keys), len(tails), 4), np.uint32)
+    sizes = np.array([len(k) for k in coded])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        some, at = [coded[i] for i in own], 0
+        for m in range(1, len(tails[-1]) + 1) if tails else ():
+            of = [t for t in tails if len(t) == m]
+            draws[own, at : at + len(of)] = _draws(seed, some, of)
+            at += len(of)
+    return np.searchsorted(_LIMITS, draws.reshape(len(keys), -1)[:, :replicates], "right")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], seed: int, replicates: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:

@@ -69,3 +69,16 @@ def test_differences_are_paired(spark):
     per = {s: {r.replicate: r.auc for r in resampling.rank_replicates(df, "id", F.col(s), F.col("y"), replicates=24, seed=4).collect()} for s in "ab"}
     assert out["b - a", "auc"].median == pytest.approx(np.median([per["b"][r] - per["a"][r] for r in per["a"]]))
     assert out["a", "auc"].low <= out["a", "auc"].q25 <= out["a", "auc"].median <= out["a", "auc"].q75 <= out["a", "auc"].high
+
+
+def test_draws_are_digested_together():
+    """All keys of one length share the steps of MD5; long keys, of more than one block, are digested one by one."""
+    import hashlib
+
+    keys = ["", "7", "é", "12", "34", "a" * 43, "b" * 36, "x" * 60]
+    got = resampling.weights(-3, keys, 403)
+    plain = np.array([[int(hashlib.md5(f"-3:bootstrap:{k}:{r // 4}".encode()).hexdigest()[8 * (r % 4) :][:8], 16) for r in range(403)] for k in keys])
+    assert (got == np.searchsorted(resampling._LIMITS, plain.astype(np.uint32), "right")).all()
+    blocks = np.zeros((1, 64), np.uint8)
+    blocks[0, 0] = 0x80
+    assert resampling._digests(blocks).tobytes() == hashlib.md5(b"").digest()
