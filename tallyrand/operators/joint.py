@@ -83,7 +83,7 @@ class Problem:
 
 def _lists(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     """(values, where each row's begin and end) of an array column; null arrays are empty."""
-    sizes = np.array([0 if s is None else s for s in column.value_lengths().to_pylist()], np.int64)
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.concatenate([[0], np.cumsum(sizes)])
 
 

@@ -130,8 +130,7 @@ def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str
     """(key, fold, y, p) of every row whose label is 0 or 1, each scored by a model that didn't see its fold; folds are stratified by the label. Linear models ("lr") of all folds are fitted together."""
     rows = materialised(stratified_folds(df, key, label, folds, seed, "_fold"))  # read by every fold
     if kind == "lr":
-        ready, shape, _ = prepared(rows, features, label, [key, "_fold"])
-        ready = materialised(ready.withColumn("flags", F.array(*(F.col("_fold") != k for k in range(folds)))))
+        ready, shape, _ = prepared(rows.withColumn("flags", F.array(*(F.col("_fold") != k for k in range(folds)))), features, label, [key, "_fold", "flags"])
         weights = joint.fit(ready, shape, [joint.Problem(k) for k in range(folds)], l2=RIDGE)
         out = joint.predicted(ready, shape, weights, [key, "_fold", "y"])
         return out.select(key, F.col("y").cast("int").alias("y"), F.col("p")[F.col("_fold")].alias("p"), F.col("_fold").alias("fold"))
@@ -179,8 +178,8 @@ def trap_panel(df: DataFrame, key: str, features: Sequence[str], traps: Sequence
 
     All seeds' models are fitted together: a step is one pass over the rows, whatever the number of seeds and columns. The scores of all are ordered together too.
     """
-    rows, shape, places = prepared(hold_outs(df.where(F.col(label).cast("int").isin(0, 1)), key, label, seeds, share), [*features, *traps], label, [key, "test"])
-    rows = materialised(rows.withColumn("flags", F.transform("test", lambda t: ~t)))
+    split = hold_outs(df.where(F.col(label).cast("int").isin(0, 1)), key, label, seeds, share).withColumn("flags", F.transform("test", lambda t: ~t))
+    rows, shape, places = prepared(split, [*features, *traps], label, [key, "test", "flags"])
     without = tuple(i for c in features for i in places[c])
     sets = [without, *(tuple(sorted((*without, *places[t]))) for t in traps)]
     weights = joint.fit(rows, shape, [joint.Problem(s, seen) for s in range(len(seeds)) for seen in sets], l2=RIDGE)

@@ -197,3 +197,19 @@ def test_boosted_trees_learn_from_numbers(spark):
     df = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("x")).withColumn("y", (F.col("x") > 60).cast("int"))
     train, test = M.held_out(df, "id", 0.3, 1)
     assert M.auc_of(M.hist_gbt(train, test, ["x"], "y", ["id"], trees=5)) > 0.99
+
+
+def test_rows_of_joint_models_are_written_once_with_their_flags(spark, monkeypatch):
+    from tallyrand.operators import models
+
+    seen, whole = [], models.materialised
+    monkeypatch.setattr(models, "materialised", lambda df, **k: (seen.append(df.columns), whole(df, **k))[1])
+    rows = spark.range(200).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    models.cross_validated(rows, "id", ["a"], "y", "lr", folds=2)
+    assert len(seen) == 2 and "flags" in seen[1] and "x" in seen[1]
+
+
+def test_null_lists_are_empty():
+    values, ends = J._lists(pa.array([[1.0, 2.0], None, [], [3.0]]).slice(0, 4), np.float64)
+    assert values.tolist() == [1.0, 2.0, 3.0] and ends.tolist() == [0, 2, 2, 2, 3]
+    assert J._lists(pa.array([], pa.list_(pa.float64())), np.float64)[1].tolist() == [0]
