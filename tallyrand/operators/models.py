@@ -22,6 +22,8 @@ from . import ranking as R
 
 #: The penalty of the linear models, over two, on squared weights of features of unit deviation.
 RIDGE = 1e-3
+#: Rows of a task of pyspark.ml's trees, which keep all rows of a part in memory several times.
+TREE_ROWS = 200_000
 
 
 def partitioned(df: DataFrame, without: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -56,7 +58,10 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     """test's (keep, y, p): a model of ``features`` learnt on train."""
     numeric, categorical = partitioned(train.select(*features), [])
     ready = lambda df: df.select(*keep, *(F.col(c).cast("double").alias(c) for c in numeric), *(F.col(c).cast("string").alias(c) for c in categorical), F.col(label).cast("double").alias("y"))
-    model = Pipeline(stages=[*preparation(numeric, categorical), learner(kind)]).fit(ready(train))
+    rows = ready(train)
+    if kind == "gbt" and (parts := -(-rows.count() // TREE_ROWS)) > rows.rdd.getNumPartitions():
+        rows = materialised(rows.repartition(parts))
+    model = Pipeline(stages=[*preparation(numeric, categorical), learner(kind)]).fit(rows)
     out = model.transform(ready(test))
     return out.select(*keep, F.col("y").cast("int").alias("y"), vector_to_array(F.col("_pv" if kind == "lr" else "probability"))[1].alias("p"))
 

@@ -213,3 +213,14 @@ def test_null_lists_are_empty():
     values, ends = J._lists(pa.array([[1.0, 2.0], None, [], [3.0]]).slice(0, 4), np.float64)
     assert values.tolist() == [1.0, 2.0, 3.0] and ends.tolist() == [0, 2, 2, 2, 3]
     assert J._lists(pa.array([], pa.list_(pa.float64())), np.float64)[1].tolist() == [0]
+
+
+def test_trees_learn_from_bounded_parts(spark, monkeypatch):
+    """Parts grew with the table, as their number did not."""
+    rows = spark.range(0, 1000, 1, 2).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    seen, whole = [], M.materialised
+    monkeypatch.setattr(M, "materialised", lambda df, **k: (seen.append(whole(df, **k)), seen[-1])[1])
+    monkeypatch.setattr(M, "TREE_ROWS", 150)
+    assert M.fit_predict(rows, rows, ["a"], "y", "gbt", ["id"]).count() == 1000
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 7 and max(sizes) <= 150
