@@ -15,8 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+
 #: Tasks whose vectors go straight to the driver; those of more are added in groups first. Rows of a matrix at a time.
 DIRECT, ROWS = 32, 512
+#: Scores are whole numbers of 1 / SCORES. They are counted in BINS bins, dealt to slots of about SLOT scores, and sent in blocks for which a task holds HELD of them.
+SCORES, BINS, SLOT, HELD = 10**9, 4096, 500_000, 2_000_000
+BIN = SCORES // BINS + 1
 Vector = Callable[[pa.RecordBatch], np.ndarray]
 
 
@@ -259,6 +264,124 @@ def predicted(rows: DataFrame, shape: Shape, weights: np.ndarray, keep: Sequence
     return rows.select(*keep, *(F.col(c) for c in inputs if c not in keep)).mapInArrow(judged, schema)
 
 
+def _tested(shape: Shape, weights: np.ndarray, sets: Sequence[int], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(problem, scores, labels) of the rows of a batch that the problem's set has."""
+    names = batch.schema.names
+    y = batch.column(names.index("y")).to_numpy(zero_copy_only=False).astype(np.int64)
+    test = _lists(batch.column(names.index("test")), bool)[0].reshape(batch.num_rows, -1)
+    for rows, z, *_ in margins(shape, batch, weights):
+        scores = np.floor(SCORES / (1 + np.exp(-np.clip(z, -700, 700))) + 0.5).astype(np.int64)
+        for j, k in enumerate(sets):
+            own = test[rows, k]
+            yield j, scores[own, j], y[rows][own]
+
+
+def _merged(slots: np.ndarray, keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (slot, key), in order, and how often each occurs."""
+    order = np.argsort(code := slots << 32 | keys)
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    n = np.diff(np.append(first, len(code))) if counts is None else np.add.reduceat(counts[order], first)
+    return code[first] >> 32, code[first] & 0xFFFFFFFF, n
+
+
+def held_out_metrics(rows: DataFrame, shape: Shape, weights: np.ndarray, sets: Sequence[int]) -> list[tuple[float | None, float | None]]:
+    """Each problem's (AUC, average precision) over the rows (y 0 or 1, test array<boolean>, x and/or terms) whose test[sets[problem]] holds, by scores rounded to 9 digits; None with one class only.
+
+    The scores of all problems are counted in bins first, one vector a task. Bins make slots of about SLOT scores, and each task sends a slot's distinct scores with their counts as arrays; so no problem's scores meet in one task,
+    a slot's task holds distinct scores only, of which a bin has no more than BIN, and no row is shuffled for each problem.
+    """
+    inputs = ["y", "test", *(["terms"] if shape.n_terms else []), *(["x"] if shape.n_dense else [])]
+    own, held = rows.select(*inputs), (shape, weights, tuple(sets))
+
+    def counts(sent: tuple) -> Vector:
+        def vector(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((len(sent[2]), BINS))
+            for j, k, _ in _tested(*sent, batch):
+                out[j] += np.bincount(k // BIN, minlength=BINS)
+            return out.ravel()
+
+        return vector
+
+    in_bins = summed(own, counts, held)
+    if in_bins is None:
+        return [(None, None)] * len(sets)
+    in_bins = in_bins.reshape(len(sets), BINS)
+    slots = ((np.cumsum(in_bins, 1) - in_bins) // SLOT).astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum(slots[:, -1] + 1)])
+    slots += begins[:-1, None]  # higher scores have higher slots
+    sent = rows.sparkSession.sparkContext.broadcast((held, slots))  # problems x BINS
+
+    def block(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        at, keys, n = _merged(*(np.concatenate(x) for x in zip(*parts, strict=True)), None)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        ends, ones = np.append(first[1:], len(at)), keys & 1
+        blocks = [np.concatenate([keys[a:b], n[a:b]]).astype(np.uint32).tobytes() for a, b in zip(first, ends, strict=True)]
+        columns = [pa.array(at[first]), pa.array(blocks, pa.binary()), pa.array(np.add.reduceat(n * ones, first)), pa.array(np.add.reduceat(n * (1 - ones), first))]
+        return pa.RecordBatch.from_arrays(columns, names=["slot", "block", "pos", "neg"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (held, slots), parts, n = sent.value, [], 0
+        for batch in batches:
+            for j, k, y in _tested(*held, batch):
+                if len(k):
+                    parts.append((slots[j][k // BIN], 2 * k + y))
+                    n += len(k)
+                if n >= HELD:
+                    yield block(parts)
+                    parts, n = [], 0
+        if parts:
+            yield block(parts)
+
+    dealt = materialised(own.mapInArrow(deal, "slot long, block binary, pos long, neg long").repartition("slot").sortWithinPartitions("slot"))
+    sizes = {r["slot"]: (r["pos"], r["neg"]) for r in dealt.groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()}  # a row a slot
+    above, all_ = {}, []
+    for j in range(len(sets)):
+        p = n = 0
+        for slot in range(begins[j + 1] - 1, begins[j] - 1, -1):
+            above[slot] = (j, p, n)
+            p, n = p + sizes.get(slot, (0, 0))[0], n + sizes.get(slot, (0, 0))[1]
+        all_.append((p, n))
+    told = rows.sparkSession.sparkContext.broadcast((above, all_))
+
+    def part(slot: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        j, p, n = told.value[0][slot]
+        k, ones = keys[::-1] >> 1, keys[::-1] & 1  # falling
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        pos, neg = (np.add.reduceat(counts[::-1] * x, first).astype(float) for x in (ones, 1 - ones))
+        cp, cn = p + np.cumsum(pos), n + np.cumsum(neg)
+        right, precise = float((neg * (cp - pos / 2)).sum()), float((pos / max(1, told.value[1][j][0]) * (cp / (cp + cn))).sum())
+        return pa.RecordBatch.from_pydict({"slot": [slot], "won": [right], "precise": [precise]})
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys, counts, n = None, [], [], 0
+
+        def whole() -> tuple[np.ndarray, np.ndarray]:
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            return _merged(np.zeros(len(k), np.int64), k, c)[1:]
+
+        for batch in batches:
+            for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if slot != last and last is not None:
+                    yield part(last, *whole())
+                    keys, counts, n = [], [], 0
+                both = np.frombuffer(data.as_buffer(), np.uint32).astype(np.int64).reshape(2, -1)
+                last, n = slot, n + both.shape[1]
+                keys.append(both[0])
+                counts.append(both[1])
+                if n >= HELD:
+                    k, c = whole()
+                    keys, counts, n = [k], [c], 0
+        if last is not None:
+            yield part(last, *whole())
+
+    won, precise = np.zeros(len(sets)), np.zeros(len(sets))
+    for r in sorted(dealt.select("slot", "block").mapInArrow(measured, "slot long, won double, precise double").collect()):  # a row a slot
+        won[above[r["slot"]][0]] += r["won"]
+        precise[above[r["slot"]][0]] += r["precise"]
+    return [(float(won[j]) / (p * n) if p and n else None, float(precise[j]) if p else None) for j, (p, n) in enumerate(all_)]
+
+
 @dataclass(frozen=True)
 class Tree:
     """A complete tree by levels: for node k, its children are 2 k + 1 and 2 k + 2. Rows whose bin is ``cut`` or less go left; those without a value, bin ``missing``, go left where ``left`` says so. Where feature is -1 all go left."""

@@ -113,7 +113,7 @@ def hold_outs(df: DataFrame, key: str, label: str, seeds: Sequence[int], share:
     rows = materialised(df.withColumn("_u", draws))
     each = rows.where(y.isin(0, 1)).select(y.alias("_y"), F.col(key).alias("_k"), F.posexplode("_u").alias("_s", "_v"))
     sizes = {r["_y"]: r["n"] for r in rows.where(y.isin(0, 1)).groupBy(y.alias("_y")).agg(F.count("*").alias("n")).collect()}
-    bits = min(20, max(4, max(sizes.values(), default=1).bit_length() - 10))
+    bits = min(20, max(4, max(sizes.values(), default=1).bit_length() - 14))  # a task counts 2^bits bins of each seed and label; up to 2^14 rows of a bin are ranked
     wanted = F.lit(0)
     for value, n in sizes.items():
         wanted = F.when(F.col("_y") == value, round(share * n)).otherwise(wanted)
@@ -181,17 +181,15 @@ def hashed_id(key: Column, buckets: int = 16) -> list[Column]:
 def trap_panel(df: DataFrame, key: str, features: Sequence[str], traps: Sequence[str], label: str, seeds: Sequence[int], share: float = 0.3) -> DataFrame:
     """(seed, trap, auc, average_precision) of linear models on a stratified hold-out of each seed: of the features (trap null), and of them with each of the leaking columns.
 
-    All seeds' models are fitted together: a step is one pass over the rows, whatever the number of seeds and columns. The scores of all are ordered together too.
+    All seeds' models are fitted together: a step is one pass over the rows, whatever the number of seeds and columns. The scores of all are counted together too, and none of them is a row.
     """
     split = hold_outs(df.where(F.col(label).cast("int").isin(0, 1)), key, label, seeds, share).withColumn("flags", F.transform("test", lambda t: ~t))
     rows, shape, places = prepared(split, [*features, *traps], label, [key, "test", "flags"])
     without = tuple(i for c in features for i in places[c])
     sets = [without, *(tuple(sorted((*without, *places[t]))) for t in traps)]
     weights = joint.fit(rows, shape, [joint.Problem(s, seen) for s in range(len(seeds)) for seen in sets], l2=RIDGE)
-    scored = joint.predicted(rows, shape, weights, ["y", "test"]).select("y", "test", F.posexplode("p").alias("problem", "p"))
-    scored = scored.where(F.expr(f"test[cast(problem div {len(sets)} as int)]")).select("problem", F.col("y").cast("int").alias("y"), F.round("p", 9).alias("p"))
-    found = {r["problem"]: r for r in R.metrics_by_group(scored, "problem").collect()}  # a row a problem
-    out = [(int(seed), trap, *((r["auc"], r["average_precision"]) if (r := found.get(s * len(sets) + j)) else (None, None))) for s, seed in enumerate(seeds) for j, trap in enumerate([None, *traps])]
+    found = joint.held_out_metrics(rows, shape, weights, [s for s in range(len(seeds)) for _ in sets])
+    out = [(int(seed), trap, *found[s * len(sets) + j]) for s, seed in enumerate(seeds) for j, trap in enumerate([None, *traps])]
     return df.sparkSession.createDataFrame(out, "seed int, trap string, auc double, average_precision double")
 
 

@@ -224,3 +224,28 @@ def test_trees_learn_from_bounded_parts(spark, monkeypatch):
     assert M.fit_predict(rows, rows, ["a"], "y", "gbt", ["id"]).count() == 1000
     sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id().alias("part")).count().collect()]
     assert sum(sizes) == 1000 and len(sizes) == 7 and max(sizes) <= 150
+
+
+def test_held_out_metrics_over_slots(spark, monkeypatch):
+    """Many slots and blocks, a slot with one score only, ties, a set without rows and one with one class: as by sorting each problem's scores."""
+    monkeypatch.setattr(J, "SLOT", 50)
+    monkeypatch.setattr(J, "HELD", 70)
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.normal(size=(900, 2)), 2), rng.integers(0, 2, 900)
+    test = np.stack([rng.random(900) < 0.4, rng.random(900) < 0.7, np.zeros(900, bool), y == 1], 1)
+    rows = spark.createDataFrame([(float(b), t.tolist(), a.tolist()) for a, b, t in zip(x, y, test, strict=True)], "y double, test array<boolean>, x array<double>").repartition(5)
+    weights = np.array([[1.5, -0.5, 0.1], [0.3, 0.2, -2.0], [0.0, 0.0, 0.4], [1.0, 1.0, 0.0], [1.0, 0.0, 0.0]])
+    sets = [0, 1, 0, 2, 3]
+    found = J.held_out_metrics(rows, J.Shape(0, 2, np.array([1.0, 2.0])), weights, sets)
+    for w, k, (auc, precision) in zip(weights, sets, found, strict=True):
+        p, own = np.round(1 / (1 + np.exp(-(x * [1.0, 2.0] @ w[:2] + w[2]))), 9)[test[:, k]], y[test[:, k]]
+        pos, neg = p[own == 1], p[own == 0]
+        if not len(pos):
+            assert (auc, precision) == (None, None)
+            continue
+        steps = [((pos == v).sum() / len(pos), (pos >= v).sum() / (p >= v).sum()) for v in np.unique(p)]
+        assert precision == pytest.approx(sum(a * b for a, b in steps), abs=1e-12)
+        if len(neg):
+            assert auc == ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg)
+        else:
+            assert auc is None
