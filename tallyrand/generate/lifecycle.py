@@ -93,7 +93,7 @@ def _factor(rows: pd.DataFrame, weights: Mapping[str, float]) -> np.ndarray:
     return np.exp(sum(w * (rows[f"latent_{t}"].fillna(0.5).to_numpy() - 0.5) for t, w in weights.items()))
 
 
-def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+def _weeks(world: LifecycleWorld, rows: pd.DataFrame, health_weeks: int | None = None) -> Iterator[pa.RecordBatch]:
     m = V.LIFECYCLE[world.motif]
     (churn_base, churn_w), (spike, renewal_w), (grow_base, grow_w, (lo, hi)), (fail_base, fail_w, dunning, recovery) = m["churn"], m["renewal"], m["expansion"], m["payment"]
     who = rows["customer_no"].to_numpy()
@@ -117,11 +117,12 @@ def _weeks(world: LifecycleWorld, rows: pd.DataFrame) -> Iterator[pa.RecordBatch
             break
         u = lambda purpose, week=week: draw(world.seed, purpose, who, week)
         ramp = 1 - np.exp(-(week + 1) / USAGE_RAMP)
-        users = np.maximum(0, np.floor(base_users * (0.5 + adoption) * ramp * (1 + 0.1 * gauss(world.seed, 10, who, week)) + 0.5)).astype(np.int64)
         depth = np.round(np.clip(np.clip(0.2 + 0.4 * adoption + 0.3 * fit, 0, 1) * ramp + 0.04 * gauss(world.seed, 12, who, week), 0, 1), 4)
-        tickets = _poisson(u(14), TICKETS[0] + TICKETS[1] * (1 - fit))
-        nps = np.clip(np.round(10 * (0.2 + 0.5 * fit + 0.3 * champion) + gauss(world.seed, 15, who, week)), 0, 10)
-        emit("health", week, alive, users=users, depth=depth, tickets=tickets, nps=nps if week and week % NPS_WEEKS == 0 else np.full(len(who), np.nan))
+        if health_weeks is None or week < health_weeks:
+            users = np.maximum(0, np.floor(base_users * (0.5 + adoption) * ramp * (1 + 0.1 * gauss(world.seed, 10, who, week)) + 0.5)).astype(np.int64)
+            tickets = _poisson(u(14), TICKETS[0] + TICKETS[1] * (1 - fit))
+            nps = np.clip(np.round(10 * (0.2 + 0.5 * fit + 0.3 * champion) + gauss(world.seed, 15, who, week)), 0, 10)
+            emit("health", week, alive, users=users, depth=depth, tickets=tickets, nps=nps if week and week % NPS_WEEKS == 0 else np.full(len(who), np.nan))
         # Failed payments are settled before a new invoice can fail.
         due = alive & (pending >= 0) & (week - pending >= dunning)
         saved = due & (u(0) < recovery)
@@ -182,15 +183,18 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def simulate(spark: SparkSession, world: LifecycleWorld) -> dict[str, DataFrame]:
-    """customers, subscriptions, subscription_events, health_signals and invoices of a world, over ``weeks`` weeks from each customer's start."""
+def simulate(spark: SparkSession, world: LifecycleWorld, *, health_weeks: int | None = None) -> dict[str, DataFrame]:
+    """customers, subscriptions, subscription_events, health_signals and invoices of a world, over ``weeks`` weeks from each customer's start.
+
+    health_weeks: how many weeks' health signals from each start on the caller reads; later ones, most of the log's rows, aren't made then. All else depends on every week and is the same.
+    """
     who = materialised(customers(spark, world), wide=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pandas()
             for at in range(0, len(rows), 2000):
-                yield from _weeks(world, rows.iloc[at : at + 2000].reset_index(drop=True))
+                yield from _weeks(world, rows.iloc[at : at + 2000].reset_index(drop=True), health_weeks)
 
     # The log has all that its tables need, so none of them is a join of it.
     log = stored(who.mapInArrow(run, EVENTS)).withColumns({"customer_id": entity_id("cust", F.col("customer_no")), "at": F.date_format("at", "yyyy-MM-dd")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,12 +98,15 @@ def lifecycle_simulation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def customer_world_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.customer_snapshot(lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=_n(spark, d))), cutoff="2023-06-05", weeks=lifecycle.LifecycleWorld.weeks)
+    cutoff, world = "2023-06-05", lifecycle.LifecycleWorld(n_customers=_n(spark, d))
+    seen = (date.fromisoformat(cutoff) - date.fromisoformat(world.start)).days // 7 + 1  # no one starts before the world does
+    return snapshots.customer_snapshot(lifecycle.simulate(spark, world, health_weeks=seen), cutoff=cutoff, weeks=world.weeks)
 
 
 @query()
 def customer_early_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.customer_snapshot(lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=_n(spark, d))), tenure_weeks=4, weeks=lifecycle.LifecycleWorld.weeks)
+    tenure, world = 4, lifecycle.LifecycleWorld(n_customers=_n(spark, d))
+    return snapshots.customer_snapshot(lifecycle.simulate(spark, world, health_weeks=tenure + 1), tenure_weeks=tenure, weeks=world.weeks)
 
 
 @query()

@@ -181,6 +181,15 @@ def test_customer_snapshot(customer_tables):
     assert rows_of(a.drop(*targets)) == rows_of(N.customer_snapshot(cutoff, cutoff=cut).drop(*targets))
 
 
+def test_snapshots_without_later_health(spark, customer_tables):
+    """Health signals that no row of a snapshot reads aren't made; nothing else changes."""
+    for weeks, options in ((5, {"tenure_weeks": 4}), (75, {"cutoff": "2023-06-05"})):
+        t = lifecycle.simulate(spark, lifecycle.LifecycleWorld(n_customers=60), health_weeks=weeks)
+        assert t["health_signals"].count() < customer_tables["health_signals"].count() * weeks / 100
+        assert all(rows_of(t[name]) == rows_of(customer_tables[name]) for name in ("customers", "subscriptions", "subscription_events", "invoices"))
+        assert rows_of(N.customer_snapshot(t, **options)) == rows_of(N.customer_snapshot(customer_tables, **options))
+
+
 def test_customer_snapshot_guards(customer_tables):
     with pytest.raises(P.SnapshotError):
         N.customer_snapshot(customer_tables)
