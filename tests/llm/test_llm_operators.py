@@ -487,6 +487,23 @@ def test_components(spark):
     assert all(got.get(n, n) == p for n, p in parent.items())
 
 
+def test_components_of_few_edges_are_one_job(spark, monkeypatch):
+    """A chain, loops, repeated and null edges: the same in one task as by rounds, and without the rounds' jobs."""
+    from tallyrand.llm import _components
+
+    edges = [(k + 1, k) for k in range(2000, 0, -2)] + [(k, k + 1) for k in range(2, 1990, 2)] + [(5000, 5000), (7000, -9), (-9, 7000), (None, 3), (9_000_000_000, -9)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7).cache()
+    df.count()
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    few = sorted(map(tuple, _components.components(df).collect()))
+    assert jobs() - before <= 4
+    monkeypatch.setattr(_components, "SMALL", 0)
+    assert few == sorted(map(tuple, _components.components(df).collect()))
+    assert (9_000_000_000, -9) in few and 5000 not in dict(few)
+    assert _components.components(df.limit(0)).collect() == []
+
+
 def test_word_hashes_over_blocks(monkeypatch):
     text = ("Alpha beta  gamma\n" * 50).encode()
     data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
