@@ -22,6 +22,8 @@ DIRECT, ROWS = 32, 512
 #: Scores are whole numbers of 1 / SCORES. They are counted in BINS bins, dealt to slots of about SLOT scores, and sent in blocks for which a task holds HELD of them.
 SCORES, BINS, SLOT, HELD = 10**9, 4096, 500_000, 2_000_000
 BIN = SCORES // BINS + 1
+#: Numbers of a block of packed rows, and those that a task holds to pack them.
+BLOCK, PACKED = 1 << 18, 1 << 22
 Vector = Callable[[pa.RecordBatch], np.ndarray]
 
 
@@ -264,6 +266,99 @@ def predicted(rows: DataFrame, shape: Shape, weights: np.ndarray, keep: Sequence
     return rows.select(*keep, *(F.col(c) for c in inputs if c not in keep)).mapInArrow(judged, schema)
 
 
+def packed(rows: DataFrame, own: str, columns: Sequence[str]) -> DataFrame:
+    """(own int, n int, block binary), written: the rows of each set, whose number is in the column ``own``, as matrices of float64 with ``columns`` (numbers and arrays of one length) beside one another.
+
+    A pass over blocks reads arrays instead of rows, and a set's models see their own blocks only.
+    """
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        found = [_lists(c, np.float64)[0] if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]]
+        return np.hstack([v.reshape(batch.num_rows, len(v) // batch.num_rows) for v in found])
+
+    def blocks(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sets, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(sets, kind="stable")
+        sets, values = sets[order], values[order]
+        most = max(1, BLOCK // max(1, values.shape[1]))
+        bounds = np.append(np.flatnonzero(np.append(True, sets[1:] != sets[:-1])), len(sets))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for i in range(a, b, most):
+                j = min(i + most, b)
+                yield pa.RecordBatch.from_arrays([pa.array([sets[a]], pa.int32()), pa.array([j - i], pa.int32()), pa.array([values[i:j].tobytes()], pa.binary())], names=["own", "n", "block"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts.append((batch.column(0).to_numpy(zero_copy_only=False), matrix(batch)))
+                n += parts[-1][1].size
+            if n >= PACKED:
+                yield from blocks(parts)
+                parts, n = [], 0
+        if parts:
+            yield from blocks(parts)
+
+    return materialised(rows.select(own, *columns).mapInArrow(pack, "own int, n int, block binary"))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for own, n, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        yield own, np.frombuffer(block.as_buffer(), np.float64).reshape(n, -1)
+
+
+def fit_sets(rows: DataFrame, shape: Shape, own: str, sets: int, seen: Sequence[Sequence[int] | None], **options) -> np.ndarray:
+    """(sets, len(seen), size): the weights of fit() where each row (own, y, x) is in one set, whose number is in the column ``own``, and each set has a model of each of the features ``seen``. A row costs the models of its set, whatever the number of sets."""
+    put = packed(rows, own, ["y", "x"])
+    parts = put.rdd.getNumPartitions()
+    problems = [Problem(k, None if features is None else tuple(features)) for k in range(sets) for features in seen]
+
+    def of(held: tuple[Shape, np.ndarray, np.ndarray]) -> Vector:
+        shape, flags, weights = held
+        places = {k: np.flatnonzero(flags == k) for k in np.unique(flags).tolist()}
+
+        def vector(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((len(weights), 2 + shape.size))
+            for k, block in _blocks(batch):
+                if k not in places:
+                    continue
+                y, x, w, mine = block[:, :1], block[:, 1:], weights[places[k]], np.zeros((len(places[k]), 2 + shape.size))
+                z = x @ (w[:, :-1] * shape.scale).T + w[:, -1]
+                small = np.exp(-np.abs(z))
+                rest = np.where(z >= 0, 1, small) / (1 + small) - y
+                mine[:, 0], mine[:, 1] = (np.log1p(small) + np.maximum(z, 0) - y * z).sum(0), len(y)
+                mine[:, 2:-1], mine[:, -1] = rest.T @ x * shape.scale, rest.sum(0)
+                out[places[k]] += mine
+            return out.ravel()
+
+        return vector
+
+    def evaluate(weights: np.ndarray, which: list[int]) -> np.ndarray:
+        got = summed(put, of, (shape, np.array([problems[i].flag for i in which]), weights), parts)
+        return np.zeros((len(which), 2 + shape.size)) if got is None else got
+
+    return minimised(evaluate, problems, shape.size, **options).reshape(sets, len(seen), shape.size)
+
+
+def predicted_sets(rows: DataFrame, shape: Shape, weights: np.ndarray, own: str, keep: Sequence[str]) -> DataFrame:
+    """rows' (keep, p): p array<double>, the probabilities of 1 by the models fit_sets() of the row's set."""
+    held = rows.sparkSession.sparkContext.broadcast((shape, weights))  # sets x models x features
+    schema = rows.select(*keep).withColumn("p", F.array(F.lit(0.0))).schema
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, weights = held.value
+        for batch in batches:
+            which, x = batch.column(len(keep)).to_numpy(zero_copy_only=False), _lists(batch.column(len(keep) + 1), np.float64)[0].reshape(-1, shape.n_dense)
+            z = np.zeros((batch.num_rows, weights.shape[1]))
+            for k in np.unique(which):
+                z[which == k] = x[which == k] @ (weights[k, :, :-1] * shape.scale).T + weights[k, :, -1]
+            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], names=[*keep, "p"])
+
+    return rows.select(*keep, F.col(own).alias("_own"), "x").mapInArrow(judged, schema)
+
+
 def _tested(shape: Shape, weights: np.ndarray, sets: Sequence[int], batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(problem, scores, labels) of the rows of a batch that the problem's set has."""
     names = batch.schema.names
@@ -418,16 +513,16 @@ class Boosted:
         return z
 
 
-def histograms(model: Boosted, tree: Tree, level: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Of rows (bins, y): sums of gradient and hessian for each (node of the level, feature, bin)."""
+def histograms(model: Boosted, tree: Tree, level: int) -> Callable[..., np.ndarray]:
+    """Of rows (bins, y): sums of gradient and hessian for each (node of the level, feature, bin). Where a row stands for several, count says how many and y is their sum."""
 
-    def of(bins: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def of(bins: np.ndarray, y: np.ndarray, count: np.ndarray | float = 1.0) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(model.margin(bins), -700, 700)))
         at = tree.node(bins, model.missing, level) - (2**level - 1)
         wide, n = model.missing + 1, bins.shape[1]
         place = ((at[:, None] * n + np.arange(n)) * wide + bins).ravel()
         size = 2**level * n * wide
-        return np.concatenate([np.bincount(place, np.repeat(v, n), size) for v in (p - y, p * (1 - p))])
+        return np.concatenate([np.bincount(place, np.repeat(v, n), size) for v in (count * p - y, count * p * (1 - p))])
 
     return of
 
@@ -534,26 +629,49 @@ def predict_boosted(rows: DataFrame, model: Boosted, keep: Sequence[str]) -> Dat
 
 
 def fit_boosted_sets(rows: DataFrame, n_features: int, bins: int, sets: int, **options) -> list[Boosted]:
-    """fit_boosted() for each of the ``sets`` of rows (y, flags, bins), one job a level for all of them. A task sends the tables of all sets: sets x 2^level x features x bins entries. A set without rows has a model without trees."""
-    counts = rows.agg(*(f(F.col("flags")[k]) for k in range(sets) for f in (F.count_if, lambda u: F.sum(F.when(u, F.col("y")))))).first()
-    sizes = [(counts[2 * k], counts[2 * k + 1]) for k in range(sets)]
-    taught = [k for k in range(sets) if sizes[k][0]]
+    """fit_boosted() for each of the ``sets`` of rows (y, flags, bins), one job a level for all of them. A set without rows has a model without trees."""
+    each = F.explode(F.filter(F.transform("flags", lambda used, k: F.when(used, k)), lambda k: k.isNotNull()))
+    return fit_boosted_counts(counted(rows.select(each.alias("own"), "bins", "y"), "own"), "own", n_features, bins, sets, **options)
+
+
+def counted(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, bins, n, ones): how many rows (by, y, bins) have the same bins, and the sum of their labels. It is all that boosted trees need to know of them."""
+    return rows.groupBy(*by, "bins").agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("ones"))
+
+
+def fit_boosted_counts(counts: DataFrame, own: str, n_features: int, bins: int, sets: int, **options) -> list[Boosted]:
+    """fit_boosted() for each of the ``sets`` of counted() rows, each in the one whose number is in the column ``own``, one job a level for all of them. A task sends the tables of all sets: sets x 2^level x features x bins entries."""
+    put = packed(counts, own, ["n", "ones", "bins"])
+    parts = put.rdd.getNumPartitions()
+
+    def sums(sets: int) -> Vector:
+        def vector(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros((sets, 2))
+            for k, block in _blocks(batch):
+                out[k] += block[:, :2].sum(0)
+            return out.ravel()
+
+        return vector
+
+    sizes = summed(put, sums, sets, parts)
+    sizes = np.zeros((sets, 2)) if sizes is None else sizes.reshape(sets, 2)
+    taught = np.flatnonzero(sizes[:, 0]).tolist()
 
     def of(held: list[tuple[int, Boosted, Tree, int]]) -> Vector:
-        makers = [(taught[i], histograms(*asked)) for i, *asked in held]
+        makers = {taught[i]: (at, histograms(*asked)) for at, (i, *asked) in enumerate(held)}
+        size = 2 * 2 ** held[0][3] * n_features * (bins + 1)
 
         def vector(batch: pa.RecordBatch) -> np.ndarray:
-            names = batch.schema.names
-            y, all_bins = batch.column(names.index("y")).to_numpy(zero_copy_only=False), _bins_of(batch)
-            used = _lists(batch.column(names.index("flags")), bool)[0].reshape(batch.num_rows, -1)
-            return np.concatenate([make(all_bins[used[:, k]], y[used[:, k]]) for k, make in makers])
+            out = np.zeros((len(makers), size))
+            for k, block in _blocks(batch):
+                at, make = makers[k]
+                out[at] += make(block[:, 2:].astype(np.int64), block[:, 1], block[:, 0])
+            return out.ravel()
 
         return vector
 
-    own = rows.select("y", "flags", "bins")
-    parts = own.rdd.getNumPartitions()
-    runs = [boosting(n_features, bins, sizes[k][1] / sizes[k][0], **options) for k in taught]
-    made = in_step(lambda asked: np.split(summed(own, of, asked, parts), len(asked)), runs)  # all runs are at the same level
+    runs = [boosting(n_features, bins, sizes[k, 1] / sizes[k, 0], **options) for k in taught]
+    made = in_step(lambda asked: np.split(summed(put, of, asked, parts), len(asked)), runs)  # all runs are at the same level
     return [made[taught.index(k)] if k in taught else Boosted(0.0, (), bins) for k in range(sets)]
 
 

@@ -84,12 +84,16 @@ def held_out(df: DataFrame, key: str, share: float, seed: int, label: str | None
     return tuple(rows.where(c).drop("_fold") for c in (F.col("_fold") >= round(100 * share), F.col("_fold") < round(100 * share)))
 
 
-def prepared(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str]) -> tuple[DataFrame, joint.Shape, dict[str, tuple[int, ...]]]:
-    """(rows (keep, y, x) written once, their shape, the places of each feature in x): preparation() fitted on all rows, and every place scaled to unit deviation, as pyspark.ml's linear models do."""
+def prepared(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], *, written: bool = True) -> tuple[DataFrame, joint.Shape, dict[str, tuple[int, ...]]]:
+    """(rows (keep, y, x) written once, their shape, the places of each feature in x): preparation() fitted on all rows, and every place scaled to unit deviation, as pyspark.ml's linear models do.
+
+    written: False for rows that are made again by each step that reads them; df should be written then.
+    """
     numeric, categorical = partitioned(df.select(*features), [])
     ready = df.select(*keep, *(F.col(c).cast("double").alias(f"{c}__n") for c in numeric), *(F.col(c).cast("string").alias(f"{c}__c") for c in categorical), F.col(label).cast("double").alias("y"))
     model = Pipeline(stages=preparation([f"{c}__n" for c in numeric], [f"{c}__c" for c in categorical])).fit(ready)
-    rows = materialised(model.transform(ready).select(*keep, "y", vector_to_array("features").alias("x"), "features"))
+    rows = model.transform(ready).select(*keep, "y", vector_to_array("features").alias("x"), "features")
+    rows = materialised(rows) if written else rows
     found = rows.agg(Summarizer.std(F.col("features")).alias("s")).first()["s"]  # one row
     deviations = found.toArray() if found is not None else np.zeros(0)
     encoder = next((m for m in model.stages if hasattr(m, "categorySizes")), None)

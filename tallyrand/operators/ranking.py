@@ -180,12 +180,12 @@ def average_precision(scored: DataFrame, score: str = "p", label: str = "y") ->
     return rows.agg(F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))).alias("average_precision"))
 
 
-def metrics_by_group(scored: DataFrame, group: str, score: str = "p", label: str = "y") -> DataFrame:
-    """(group, n_pos, n_neg, auc, average_precision) of scored rows (group, score, label), all groups in one order; null with one class only.
+def metrics_by_group(scored: DataFrame, group: str, score: str = "p", label: str = "y", count: str | None = None) -> DataFrame:
+    """(group, n_pos, n_neg, auc, average_precision) of scored rows (group, score, label), all groups in one order; null with one class only. count: how many rows each one stands for, ``label`` being the sum of theirs.
 
     Distinct scores are counted first. They are dealt by ranges of (group, score), and each range gets its group's sums above it, so neither a group nor the groups together are ordered in one task.
     """
-    per = scored.groupBy(F.col(group).alias("_g"), F.col(score).alias("_s")).agg(F.sum(label).cast("double").alias("_pos"), F.sum(1 - F.col(label)).cast("double").alias("_neg"))
+    per = scored.groupBy(F.col(group).alias("_g"), F.col(score).alias("_s")).agg(F.sum(label).cast("double").alias("_pos"), F.sum((F.col(count) if count else F.lit(1)) - F.col(label)).cast("double").alias("_neg"))
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialised(materialised(per).repartitionByRange(parts, "_g", F.desc("_s")).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy("_g", "_part").agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))  # a row for each range and group that meet

@@ -249,3 +249,44 @@ def test_held_out_metrics_over_slots(spark, monkeypatch):
             assert auc == ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg)
         else:
             assert auc is None
+
+
+def test_models_of_sets_against_flags(spark, monkeypatch):
+    """Each row in one set, in many small blocks; set 3 has no rows."""
+    monkeypatch.setattr(J, "BLOCK", 200)
+    monkeypatch.setattr(J, "PACKED", 700)
+    x, _, y, _ = made()
+    shape, seen = J.Shape(0, 4, np.linspace(0.5, 2, 4)), [None, (0, 3)]
+    rows = M.materialised(spark.createDataFrame([(i, i * i % 3, float(y[i]), x[i].tolist(), [i * i % 3 == k for k in range(4)]) for i in range(len(y))], "id int, s int, y double, x array<double>, flags array<boolean>").repartition(3))
+    got = J.fit_sets(rows, shape, "s", 4, seen, l2=0.01, tolerance=1e-12)
+    want = J.fit(rows, shape, [J.Problem(k, own) for k in range(4) for own in seen], l2=0.01, tolerance=1e-12).reshape(4, 2, 5)
+    assert np.abs(got - want).max() < 1e-6 and not got[3].any() and not got[2].any()  # no square leaves 2 over 3
+    p = {r.id: (r.s, r.p) for r in J.predicted_sets(rows, shape, got, "s", ["id", "s"]).collect()}
+    for r in J.predicted(rows, shape, got.reshape(8, 5), ["id"]).collect():
+        assert p[r.id][1] == pytest.approx(r.p[2 * p[r.id][0] : 2 * p[r.id][0] + 2])
+    assert not J.fit_sets(rows.limit(0), shape, "s", 2, seen).any()
+
+
+def test_boosted_trees_learn_from_counts(spark, monkeypatch):
+    """Rows of equal bins count once, with their number; sets overlap, and the last one is empty."""
+    monkeypatch.setattr(J, "BLOCK", 50)
+    rng = np.random.default_rng(7)
+    bins, flags = rng.integers(0, 5, (800, 2)), np.c_[rng.random((800, 2)) < 0.6, np.zeros(800, bool)]
+    y = ((bins[:, 0] > 2) ^ (rng.random(800) < 0.2)).astype(float)
+    rows = spark.createDataFrame([(float(a), f.tolist(), b.tolist()) for a, f, b in zip(y, flags, bins, strict=True)], "y double, flags array<boolean>, bins array<int>").repartition(4)
+    assert J.counted(rows.withColumn("s", F.lit(0)), "s").count() <= 25
+    got = J.fit_boosted_sets(rows, 2, 4, 3, trees=5)
+    assert not got[2].trees
+    for k in range(2):
+        own = flags[:, k]
+        want = J.boost(lambda model, tree, level, own=own: J.histograms(model, tree, level)(bins[own], y[own]), 2, 4, y[own].mean(), trees=5)
+        assert np.abs(got[k].margin(bins) - want.margin(bins)).max() < 1e-9
+
+
+def test_metrics_of_counted_scores(spark):
+    rng = random.Random(4)
+    data = [(g, rng.randint(0, 1), round(rng.random(), 1)) for g in range(3) for _ in range(100)]
+    df = spark.createDataFrame(data, "g int, y int, p double")
+    counted = df.groupBy("g", "p").agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
+    a, b = ({r.g: r for r in found.collect()} for found in (R.metrics_by_group(df, "g"), R.metrics_by_group(counted, "g", label="ones", count="n")))
+    assert all(a[g].n_pos == b[g].n_pos and a[g].n_neg == b[g].n_neg and a[g].auc == pytest.approx(b[g].auc) and a[g].average_precision == pytest.approx(b[g].average_precision) for g in range(3))

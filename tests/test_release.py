@@ -171,3 +171,35 @@ def test_bundles_are_judged(spark, tmp_path):
     assert [(r.gate, r.reason) for r in late] == [("cohort", "missing")]  # no time, no shift
     with pytest.raises(ValueError, match="not in all bundles"):
         L.judged(spark, folders, L.Gates(subsets={"o": (0.7, ("own",))}), task="t", key="k", label="y")
+
+
+def test_shifts_cost_no_linear_models_and_boosted_trees_see_equal_rows_once(spark, monkeypatch):
+    """Passes of boosted trees read no more than a row for each dataset, kind and combination of bins; linear models that no AUC needs aren't fitted."""
+
+    def none(*_, **__):
+        raise AssertionError("a linear model")
+
+    seen, put = [], J.packed
+    monkeypatch.setattr(J, "fit", none)
+    monkeypatch.setattr(J, "fit_sets", none)
+    monkeypatch.setattr(J, "packed", lambda rows, *a: (seen.append(rows.count()), put(rows, *a))[1])
+    df = spark.range(4000).select((F.col("id") % 2).cast("string").alias("t"), F.lit(1).alias("s"), "id", (F.xxhash64("id") % 3).cast("int").alias("x"), (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("y"))
+    got = L.cohort_shifts(df, "t", "s", "id", F.col("id"), ["x"], "y", draw=F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1000)) / 1000, **TREES).collect()
+    assert len(got) == 2 and len(seen) == 1 and seen[0] <= 2 * 2 * 2 * 5  # sets, kinds, in the other kind's training rows or not, values of x
+
+
+def test_only_linear_models_rows_are_ranked(spark, scored, monkeypatch):
+    ranked, panel = [], R.panel_by_group
+    monkeypatch.setattr(R, "panel_by_group", lambda rows, *a, **b: (ranked.append({r[0] for r in rows.select("model").distinct().collect()}), panel(rows, *a, **b))[1])
+    got = {(r.tier, r.seed, r.metric): r.value for r in L.metrics(scored).collect()}
+    assert ranked == [{"lr"}]
+    for model in ("gbt", "lr:month"):
+        own = scored.where((F.col("model") == model) & (F.col("tier") == "5-LOW") & (F.col("seed") == 3)).withColumn("p", F.round("p", 12))
+        assert got["5-LOW", 3, f"{model}_auc"] == pytest.approx(R.roc_auc(own).first()[0]) and got["5-LOW", 3, f"{model}_average_precision"] == pytest.approx(R.average_precision(own).first()[0])
+
+
+def test_features_may_have_any_name(spark):
+    """Also those that scores() uses itself."""
+    df = spark.range(60).select(F.lit("a").alias("t"), F.lit(1).alias("s"), F.col("id").alias("k"), (F.col("id") % 3).alias("bins"), (F.col("id") % 5).alias("x"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") < 40).alias("tr"))
+    got = L.scores(df, "t", "s", "k", ["bins", "x"], "y", F.col("tr"), subsets={"own": ["x"]}, **TREES).collect()
+    assert len(got) == 60 and {r.model for r in got} == {"lr", "lr:own", "gbt"}
