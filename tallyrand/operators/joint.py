@@ -489,12 +489,14 @@ class Tree:
 
     def node(self, bins: np.ndarray, missing: int, depth: int | None = None) -> np.ndarray:
         """The place in its level that each row has come to."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        goes_left = np.arange(missing + 1) <= self.cut[:, None]
+        goes_left[:, missing] = self.left
+        goes_left[self.feature < 0] = True
+        after = (2 * np.arange(len(self.feature))[:, None] + np.where(goes_left, 1, 2)).ravel()  # a table, each row is looked up once a level
+        at, feature = np.zeros(len(bins), np.int64), np.maximum(self.feature, 0)
+        values, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
         for _ in range(self.depth if depth is None else depth):
-            f = self.feature[at]
-            b = bins[rows, np.maximum(f, 0)]
-            goes_left = (f < 0) | np.where(b == missing, self.left[at], b <= self.cut[at])
-            at = 2 * at + np.where(goes_left, 1, 2)
+            at = after[at * (missing + 1) + values[first + feature[at]]]
         return at
 
 

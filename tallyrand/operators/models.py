@@ -147,8 +147,8 @@ def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str
     return reduce(DataFrame.unionByName, parts)
 
 
-def binned(df: DataFrame, of: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str], bins: int = 32, error: float = 1e-3) -> DataFrame:
-    """df's (keep, bins array<int>): each number's place among quantiles of its column in ``of``, each category's by falling frequency there; ``bins`` for what is missing. Rarer and new categories share the last bin."""
+def bins_of(of: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = 32, error: float = 1e-3) -> Column:
+    """``bins`` array<int>: each number's place among quantiles of its column in ``of``, each category's by falling frequency there; ``bins`` for what is missing. Rarer and new categories share the last bin."""
     edges = of.select(*(F.col(c).cast("double").alias(c) for c in numeric)).approxQuantile(list(numeric), [i / bins for i in range(1, bins)], error) if numeric else []
     places = []
     for c, cuts in zip(numeric, edges, strict=True):
@@ -160,7 +160,12 @@ def binned(df: DataFrame, of: DataFrame, numeric: Sequence[str], categorical: Se
         most = [r[0] for r in of.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(bins - 1).collect()]
         at = F.coalesce(F.element_at(F.create_map(*(x for i, v in enumerate(most) for x in (F.lit(v), F.lit(i)))), F.col(c).cast("string")), F.lit(bins - 1)) if most else F.lit(0)
         places.append(F.when(F.col(c).isNull(), bins).otherwise(at))
-    return df.select(*keep, F.array(*places).cast("array<int>").alias("bins"))
+    return F.array(*places).cast("array<int>").alias("bins")
+
+
+def binned(df: DataFrame, of: DataFrame, numeric: Sequence[str], categorical: Sequence[str], keep: Sequence[str], bins: int = 32, error: float = 1e-3) -> DataFrame:
+    """df's (keep, bins_of())."""
+    return df.select(*keep, bins_of(of, numeric, categorical, bins, error))
 
 
 def hist_gbt(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keep: Sequence[str], *, bins: int = 32, **options) -> DataFrame:

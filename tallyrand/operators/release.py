@@ -51,14 +51,15 @@ def scores(rows: DataFrame, tier: str, seed: str, key: str, features: Sequence[s
     base = materialised(base)
     own = [name[c] for c in features]
     numeric, categorical = M.partitioned(base.select(*own), [])
-    placed = M.binned(base, base.where("_train"), numeric, categorical, base.columns, bins)
-    ready, shape, places = M.prepared(placed, [*name.values()], "_label", ["_set", "_key", "_train", "bins"], written=False)
+    placed = M.bins_of(base.where("_train"), numeric, categorical, bins)
+    ready, shape, places = M.prepared(base, [*name.values()], "_label", ["_set", "_key", "_train", *own], written=False)
     seen = {"lr": features} | {f"lr:{s}": of for s, of in subsets.items()}
     weights = joint.fit_sets(ready.where("_train"), shape, "_set", n, [tuple(p for c in of for p in places[name[c]]) for of in seen.values()], l2=M.RIDGE)
-    counts = joint.counted(placed.where("_train").withColumn("y", F.col("_label")), "_set")
+    counts = joint.counted(base.where("_train").select("_set", F.col("_label").alias("y"), placed), "_set")
     boosted = joint.fit_boosted_counts(counts, "_set", len(own), bins, n, **options)
-    judged = joint.predicted_sets(ready.where("not _train"), shape, weights, "_set", ["_set", "_key", "y", "bins"])
-    judged = joint.predict_boosted_sets(judged.withColumnRenamed("p", "_linear"), boosted, "_set", ["_set", "_key", "y", "_linear"])
+    judged = joint.predicted_sets(ready.where("not _train"), shape, weights, "_set", ["_set", "_key", "y", *own])
+    # Bins are told behind the linear models: with what prepares those, the generated method would be too long for the JVM to compile.
+    judged = joint.predict_boosted_sets(judged.select("_set", "_key", "y", F.col("p").alias("_linear"), placed), boosted, "_set", ["_set", "_key", "y", "_linear"])
     each = F.array(*(F.struct(F.lit(m).alias("model"), F.col("_linear")[j].alias("p")) for j, m in enumerate(seen)), F.struct(F.lit("gbt").alias("model"), F.col("p").alias("p")))
     out = judged.select("_set", "_key", "y", F.explode(each).alias("_m")).join(F.broadcast(names), "_set")  # a row a dataset
     return materialised(out.select("tier", "seed", F.col("_key").alias("key"), "_m.model", F.col("y").cast("int").alias("y"), "_m.p"))
